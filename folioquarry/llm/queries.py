@@ -13,6 +13,7 @@ from folioquarry.llm.licenses import licence_scan
 from folioquarry.llm.minhash import near_duplicates
 from folioquarry.llm.packing import packed
 from folioquarry.llm.pieces import encoded
+from folioquarry.llm.suffix import without_repeats
 from folioquarry.llm.tokens import token_counts
 from folioquarry.llm.topk import exact_top_k
 
@@ -45,6 +46,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir), length=400)
+
+
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stored(documents(spark, sf_dir)))
 

@@ -1,9 +1,53 @@
-"""Corpus pipeline."""
+"""A corpus from documents: quality classifier, near-duplicate removal, repeated-passage removal, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the last
+return the columns of documents. No stage can be put in SQL (a trained model, hashed signatures with connected
+components, byte windows, a linear program), so ORACLE_SQL is None; tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioquarry.llm.common import saved, work_dir
+from folioquarry.llm.minhash import near_duplicates
+from folioquarry.llm.packing import packed
+from folioquarry.llm.quality import fit, good
+from folioquarry.llm.suffix import kept_texts
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows that the classifier, fitted on the labels, rejects."""
+    return good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of the smallest doc_id of each group; of rows that are repeated under one doc_id, all."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts bytes covered by 400-byte strings that also start elsewhere; n_chars follows the text."""
+    return kept_texts(docs, length=400).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
+
+
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("repeated_passages", repeated_passage_stage), ("packing", packing_stage)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = work_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, name, folder)
+    return docs

@@ -102,9 +102,8 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return fmix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(M2)))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, its start byte, first word of each row and the end); no word crosses rows."""
-    data = LOWER[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte) of each word and the first word of each row and the end; no word crosses rows."""
     inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -114,8 +113,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
     first[cuts] = inside[cuts]
     cuts = offsets[1:][offsets[1:] > 0] - 1
     last[cuts] = inside[cuts]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hash(prefix_hash(data), starts, ends), starts, np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, its start byte, first word of each row and the end)."""
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets, separator)
+    return span_hash(prefix_hash(data), starts, ends), starts, first
 
 
 def components(links: DataFrame, folder: str, tag: str) -> DataFrame:

@@ -69,15 +69,12 @@ def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float,
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 5e-4, turns: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, one a column; how often each is used) within `gap` of the program's lower bound, or after `turns`."""
-    m = len(lengths)
+    # Element-wise throughout: new columns have few entries, and a threaded BLAS isn't wanted in a Spark driver.
     basis = np.diag(size // lengths).astype(float)
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
-    floor = float(lengths @ demand) / size
-    for turn in range(turns):
-        if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ demand
+    x = np.diag(inverse) * demand
+    floor = float((lengths * demand).sum()) / size
+    for _ in range(turns):
         total = x.sum()
         if total <= floor * (1 + gap):
             break
@@ -85,7 +82,8 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: f
         worth, new = knapsack(lengths, np.maximum(dual, 0), size)
         if worth <= 1 + 1e-9 or total <= (total / worth) * (1 + gap):  # Farley's bound
             break
-        step = inverse @ new
+        on = np.flatnonzero(new)
+        step = (inverse[:, on] * new[on]).sum(1)
         ratio = np.where(step > 1e-10, np.maximum(x, 0) / np.where(step > 1e-10, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -119,7 +117,7 @@ def plan(histogram: dict[int, int], size: int, slack: float = 0.002) -> list[tup
             out.append(([(int(lengths[k]), int(pattern[k])) for k in on[::-1]], times))
 
     for k in np.argsort(-x, kind="stable"):
-        if lengths @ patterns[:, k] >= size * (1 - slack):
+        if (lengths * patterns[:, k]).sum() >= size * (1 - slack):
             use(patterns[:, k], int(np.floor(x[k] + 1e-9)))
     while left.any():  # each turn all but uses up a length
         pattern, room = np.zeros(len(left), np.int64), size

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from folioquarry.llm.flac import read_back, stored
 from folioquarry.llm.licenses import licence_scan
+from folioquarry.llm.lm import scored
 from folioquarry.llm.minhash import near_duplicates
 from folioquarry.llm.packing import packed
 from folioquarry.llm.pieces import encoded
+from folioquarry.llm.quality import fit, rated
 from folioquarry.llm.suffix import without_repeats
 from folioquarry.llm.tokens import token_counts
 from folioquarry.llm.topk import exact_top_k
@@ -26,6 +28,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rated(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
 
@@ -54,6 +61,10 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stored(documents(spark, sf_dir)))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings

@@ -19,31 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.llm.common import saved, small_batches, work_dir
-from folioquarry.llm.tokens import ENTRIES, PreTokens
+from folioquarry.llm.tokens import RankedIds
 
 PARTS = 256  # of each length, so that a length that many documents share is ranked in many tasks
 
 
-class IdBytes(dict):
-    """Little-endian 32-bit ids of pre-tokens, counted when first asked for."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.pre = PreTokens(path)
-
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = np.array(self.pre.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
-_loaded: dict[str, IdBytes] = {}
+_loaded: dict[str, RankedIds] = {}
 
 
 def id_bytes(text: str, path: str) -> bytes:
-    table = _loaded.get(path) or _loaded.setdefault(path, IdBytes(path))
-    if len(table) > ENTRIES:
-        table.clear()
-    return b"".join(map(table.__getitem__, table.pre.of(text)))
+    """Little-endian 32-bit ids of a text."""
+    table = _loaded.get(path) or _loaded.setdefault(path, RankedIds(path))
+    return table.ids(text).astype("<u4").tobytes()
 
 
 def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, np.ndarray]:

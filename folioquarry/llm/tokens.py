@@ -12,6 +12,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -57,6 +58,29 @@ class PreTokens:
         return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+class RankedIds:
+    """Ids of whole texts for a byte-level BPE file whose merges are in the order of their ids: then ids are ranks, and a
+    rank-based encoder gives what the file's own library gives, several times as fast."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.pre = PreTokens(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
+        letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        vocab = {bytes(letter[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in self.pre.added}
+        order = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if order != sorted(order):
+            raise ValueError(f"{path}: merges aren't in the order of ids")
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens=self.pre.added)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+
 _loaded: dict[str, tuple[PreTokens, dict[str, int]]] = {}
 
 

@@ -80,3 +80,12 @@ def test_edges(spark):
     ids = packed(df, PATH, with_ids=True).where("doc_id = 2").first()
     assert list(ids.ids) == tok.encode("x <|endoftext|> y", add_special_tokens=False).ids + [0]
     assert packed(df.limit(0), PATH).count() == 0
+
+
+def test_ids_equal_the_library():
+    from test_tokens import HARD
+
+    from folioquarry.llm.packing import id_bytes
+
+    for t in HARD + [" " * 5000 + "x", "\n" * 3000, "é" * 5000, "a\u0000b ​　 x"]:
+        assert np.frombuffer(id_bytes(t, PATH), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids

@@ -21,7 +21,7 @@ from folioquarry.llm.common import LOWER, NOT_ALNUM, fmix, prefix_hash, small_ba
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7)
 COPIES = np.arange(8, dtype=np.uint64) << np.uint64(40)  # of a shape's feature, so that many words don't drown it
-SAMPLE = 12_000  # labelled rows that a model is fitted on, at most
+SAMPLE = 4_000  # labelled rows that a model is fitted on, at most
 GRADES = 3
 KIND = np.full(256, 97, np.int64)  # lower-case letters and bytes beyond ASCII
 KIND[:128] = np.arange(128)
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     held = rows.orderBy(F.xxhash64("x")).limit(sample).toArrow()  # an id that stands in many rows doesn't add to the bound
     if not len(held):
         return Model(np.zeros(1 << BITS), np.linspace(-1, 1, GRADES - 1))
-    return regress([np.array(x, np.int64) for x in held["x"].to_pylist()], held["grade"].to_numpy().astype(np.int64))
+    x = held["x"].combine_chunks()
+    return regress(np.split(x.flatten().to_numpy(), np.cumsum(x.value_lengths().to_numpy())[:-1]), held["grade"].to_numpy().astype(np.int64))
 
 
 def rated(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

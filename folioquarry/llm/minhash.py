@@ -8,7 +8,8 @@ collisions are confirmed on the full sets. Two nodes at the threshold of 0.75 ag
 with a probability under 1e-6.
 
 Groups need no pair more than connects them: in two rounds each posting list links its members to one of them, and
-after each round only lists that still span several components stay; what these hold across components is compared last.
+after each round only lists that still span several components stay. What these hold across components is compared
+last, but for pairs that counts of shared shingles rule out exactly.
 """
 
 from __future__ import annotations
@@ -102,50 +103,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = nodes.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
     common = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     ranked = posts.join(common, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("l"))  # at most K each
-    kept = ranked.select("node", F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.size("l") - F.lit(MATCHES - 1)))).alias("p"))
-    lists = saved(kept.select("node", F.col("p.key").alias("key")), "lists", folder)
+    kept = ranked.select("node", F.size("l").alias("common"), F.explode(F.slice("l", F.lit(1), F.greatest(F.lit(0), F.size("l") - F.lit(MATCHES - 1)))).alias("p"))
+    lists = saved(kept.select("node", "common", F.col("p.key").alias("key")), "lists", folder)
+
+    # The full sets of posted nodes: the texts are moved once, whatever the number of nodes.
+    posted = lists.select("node").distinct().join(nodes, "node").select(F.col("node").alias("want"), F.col("rep").alias("doc_id"))
+    sets = saved(sets_of(posted.hint("merge"), rows), "sets", folder)
 
     links = None
-    label = nodes.select("node", F.col("node").alias("component"))
+    label = nodes.select("node", "n", "rep", F.col("node").alias("component"))
     tested = None
     for turn in (1, 2, 3):
         members = lists.join(label, "node")
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("component").alias("component"))
+        # First the member that has most in common with others, then another one for each third of the lists.
+        first = (-F.col("common")).cast("long") if turn == 1 else F.xxhash64("node", F.pmod("key", F.lit(3)))
+        order = F.struct(first.alias("first"), F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("component").alias("component"), F.col("n").alias("n"))
         split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("head")).where("lo <> hi")
         if turn < 3:
-            pairs = members.join(split, "key").where("component <> head.component").select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+            pairs = members.join(split, "key").where("component <> head.component and 100 * least(n, head.n) >= 75 * greatest(n, head.n)").select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
         else:
-            left = members.join(split.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
-            pairs = left.withColumnRenamed("node", "a").join(other, "key").where("a < b and component <> c").select("a", "b")
+            pairs = across(saved(members.join(split.select("key"), "key", "left_semi"), "rest", folder), sets, folder)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, f"pairs-{turn}", folder)
-        found = saved(confirmed(pairs, nodes, rows), f"links-{turn}", folder)
+        found = saved(confirmed(pairs, nodes, sets, f"{folder}/{turn}"), f"links-{turn}", folder)
         tested = pairs if tested is None else tested.union(pairs)
         if turn > 1 and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
-        label = saved(nodes.select("node").join(components(links, folder, f"cc-{turn}"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"label-{turn}", folder)
+        groups = components(links, folder, f"cc-{turn}")
+        label = saved(nodes.select("node", "n", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), f"label-{turn}", folder)
 
-    least = nodes.select("node", "rep").join(label, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    least = label.groupBy("component").agg(F.min("rep").alias("least"))
     of = label.join(least, "component").select(F.col("node"), "least")
     full = scan.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     alone = scan.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def sets_of(want: DataFrame, rows: DataFrame) -> DataFrame:
+    """want: (want: a node, doc_id: a row that has it). Returns (node, shingles), the full sets from the texts."""
+    texts = rows.join(want, rows.doc_id.eqNullSafe(want.doc_id)).select("want", "text")
+    return texts.mapInArrow(_sets, "node long, want long, shingles array<long>").where("node = want").select("node", "shingles").dropDuplicates(["node"])
+
+
+def across(rest: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of different components in one posting list of rest (key, node, n, rep, component).
+
+    A node shares with any other only those of its m shingles that another node of rest has too. Two sets thus have at
+    most min(m) in common, which rules out, exactly, pairs that can't reach the threshold, and nodes that can't with any.
+    """
+    each = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    m = each.join(shared, "s", "left_semi").groupBy("node").agg(F.count("*").alias("m"))
+    left = rest.join(m, "node").where("100 * m >= 75 * n").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    keys = left.groupBy("a").agg(F.sort_array(F.collect_list("key")).alias("keys_a"))  # at most K each
+    left = saved(left.join(keys, "a"), "left", folder)
+    right = left.select("key", F.col("keys_a").alias("keys_b"), F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("ma").alias("mb"))
+    can = F.expr("a < b and ca <> cb and 175 * least(ma, mb) >= 75 * (na + nb) and 100 * least(na, nb) >= 75 * greatest(na, nb)")
+    can = can & (F.col("l.key") == F.array_min(F.array_intersect("keys_a", "keys_b")))  # once, where the two meet first
+    return left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & can).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """The pairs (a, b) with MATCHES collisions at least whose full sets reach the threshold."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"r{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
     hits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)").where(hits >= MATCHES).select("a", "b", "ra", "rb")
-    likely = saved(likely, "likely")
-    want = likely.select(F.col("a").alias("want"), F.col("ra").alias("doc_id")).union(likely.select("b", "rb")).distinct()
-    texts = rows.join(want, rows.doc_id.eqNullSafe(want.doc_id)).select("want", "text")
-    sets = texts.mapInArrow(_sets, "node long, want long, shingles array<long>").where("node = want").select("node", "shingles").dropDuplicates(["node"])
-    sets = saved(sets, "sets")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(hits >= MATCHES).select("a", "b")
+    likely = saved(likely, "likely", folder)
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= 75 * (F.size("x") + F.size("y") - same)).select("a", "b")

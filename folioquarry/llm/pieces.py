@@ -25,7 +25,20 @@ from folioquarry.llm.common import small_batches
 
 MARK = "▁"
 PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-ENTRIES = 500_000  # of a worker's table of parts
+ENTRIES = 700_000  # of a worker's table of parts
+
+
+class Parts(dict):
+    """(ids joined by commas, decoded text) of parts, worked out when first asked for."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, part: str) -> tuple[str, str]:
+        ids = self.pieces.encode_part(part)
+        known = self[part] = (",".join(map(str, ids)), self.pieces.decode(ids, False))
+        return known
 
 
 class Pieces:
@@ -50,7 +63,7 @@ class Pieces:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, tuple[str, str]] = {}
+        self.parts = Parts(self)
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair again and again leaves of text."""
@@ -176,16 +189,6 @@ class Pieces:
         said = "".join(out)
         return said[1:] if first and said.startswith(" ") else said
 
-    def table(self, part: str) -> tuple[str, str]:
-        """(ids joined by commas, decoded text), kept for later parts."""
-        known = self.parts.get(part)
-        if known is None:
-            if len(self.parts) > ENTRIES:
-                self.parts.clear()
-            ids = self.encode_part(part)
-            known = self.parts[part] = (",".join(map(str, ids)), self.decode(ids, False))
-        return known
-
 
 def loose(data: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that can't be read."""
@@ -228,8 +231,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         p = pieces(path)
         for batch in batches:
             a, b, c = [], [], []
+            if len(p.parts) > ENTRIES:
+                p.parts.clear()
             for text in pc.fill_null(batch.column(1), "").to_pylist():
-                rows = list(map(p.table, PART.findall(MARK + text.replace(" ", MARK)))) if text else []
+                rows = list(map(p.parts.__getitem__, PART.findall(MARK + text.replace(" ", MARK)))) if text else []
                 said = ",".join([r[0] for r in rows])
                 back = "".join([r[1] for r in rows])[1:]
                 if digests:

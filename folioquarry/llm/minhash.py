@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from folioquarry.llm.common import M1, M2, components, fmix, saved, small_batches, views, words, work_dir
 
 WORDS, K, MATCHES = 5, 64, 27
+OFTEN, LONG = 64, 32  # see across(): they weigh work against memory and don't change what is found
 _seeds = fmix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 FACTORS = (_seeds[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 TERMS = (_seeds[K:] >> np.uint64(32)).astype(np.uint32)
@@ -153,16 +154,25 @@ def across(rest: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
 
     A node shares with any other only those of its m shingles that another node of rest has too. Two sets thus have at
     most min(m) in common, which rules out, exactly, pairs that can't reach the threshold, and nodes that can't with any.
+    In lists of LONG nodes and more the bound is closer: of shingles that OFTEN nodes or more have, two sets share at most
+    what the one with fewer of these holds, and the others, few as they are, are compared as they stand.
     """
     each = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    m = each.join(shared, "s", "left_semi").groupBy("node").agg(F.count("*").alias("m"))
-    left = rest.join(m, "node").where("100 * m >= 75 * n").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    often = F.col("c") >= OFTEN
+    of = each.join(shared, "s").groupBy("node").agg(F.count("*").alias("m"), F.count(F.when(often, 1)).alias("h"), F.collect_list(F.when(~often, F.col("s"))).alias("few"))  # a node's own set at most
+    of = saved(of, "shared", folder)
+    left = rest.join(of.select("node", "m", "h"), "node").where("100 * m >= 75 * n").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("h").alias("ha"))
+    left = saved(left, "open", folder)
     keys = left.groupBy("a").agg(F.sort_array(F.collect_list("key")).alias("keys_a"))  # at most K each
-    left = saved(left.join(keys, "a"), "left", folder)
-    right = left.select("key", F.col("keys_a").alias("keys_b"), F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("ma").alias("mb"))
+    keys = keys.join(of.select(F.col("node").alias("a"), "few"), "a")
+    long = left.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= LONG)
+    left = left.join(long, "key", "left").join(keys, "a").withColumn("few_a", F.when(F.col("size").isNotNull(), F.col("few"))).drop("size", "few")
+    left = saved(left, "left", folder)
+    right = left.select("key", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "c", "n", "m", "h", "keys_", "few_")])
     can = F.expr("a < b and ca <> cb and 175 * least(ma, mb) >= 75 * (na + nb) and 100 * least(na, nb) >= 75 * greatest(na, nb)")
     can = can & (F.col("l.key") == F.array_min(F.array_intersect("keys_a", "keys_b")))  # once, where the two meet first
+    can = can & F.expr("few_a is null or few_b is null or 175 * (least(ha, hb) + size(array_intersect(few_a, few_b))) >= 75 * (na + nb)")
     return left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & can).select("a", "b")
 
 

@@ -64,3 +64,15 @@ def test_chain_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(near_duplicates(df)) == brute(rows)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_near_copies_of_one_text(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 6])):
+            copy[rng.randrange(120)] = rng.choice("abcdef")
+        rows.append((k, " ".join(copy)))
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -5,14 +5,13 @@ FREQUENT of them by a threshold read off a histogram, are broadcast; the rest ar
 
 Model. P(id | past) = P(class | past) * P(id | class). Classes have about equal mass of training ids; P(id | class) comes
 from counts over all training rows; a self-attention layer gives P(class | past) from the classes of the last CONTEXT
-ids. Each task trains a copy on its training rows (one window in EVERY, all rows take part) and the copies are averaged
-by weight. Scoring cuts a text into windows that overlap by the context, and scores each id, and the end, once.
+ids. Each task trains a copy on every window of its training rows and the copies are averaged by weight. Scoring cuts a text into windows that overlap by the context, and scores each id, and the end, once.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,8 @@ from folioquarry.llm.common import saved, small_batches, views, words, work_dir
 from folioquarry.llm.packing import id_bytes
 
 FREQUENT = 1 << 19
-CLASSES, DIM, CONTEXT, STRIDE, EVERY, RATE = 64, 8, 8, 16, 8, 0.01
+CLASSES, DIM, CONTEXT, STRIDE, RATE = 64, 8, 8, 16, 0.01
+BATCH = 64  # windows of a training step at least, fewer than twice as many at most
 WINDOW = CONTEXT + STRIDE
 PAD = CLASSES
 END_WORD = np.uint64(0x5BD1E9955BD1E995)  # stands for the end among word hashes
@@ -103,6 +103,22 @@ def windows(ids: np.ndarray, class_of: np.ndarray, end: int) -> tuple[np.ndarray
     return np.lib.stride_tricks.sliding_window_view(past, WINDOW)[::STRIDE], target.reshape(count, STRIDE)
 
 
+def batched(rows: Iterable[np.ndarray], class_of: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of all rows, each once; a long row is dealt over several batches."""
+    xs, ts, n = [], [], 0
+    for ids in rows:
+        x, t = windows(ids, class_of, end)
+        for a in range(0, len(x), BATCH):
+            xs.append(x[a : a + BATCH])
+            ts.append(t[a : a + BATCH])
+            n += len(xs[-1])
+            if n >= BATCH:
+                yield np.concatenate(xs), np.concatenate(ts)
+                xs, ts, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(ts)
+
+
 def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray) -> int:
     """Adam on p; the number of targets seen."""
     m1, m2, t, seen = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0, 0
@@ -310,26 +326,12 @@ def scored(docs: DataFrame, path: str, end_id: int = 50256, id_col: str = "doc_i
         class_of, _, prior = shared.value
         p = initial(prior)
 
-        def chosen() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            xs, ts, n = [], [], 0
-            for batch in batches:
-                for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    x, t = windows(np.frombuffer(raw, "<u2").astype(np.int64), class_of, end_id)
-                    a = key % min(EVERY, len(x))
-                    xs.append(x[a::EVERY])
-                    ts.append(t[a::EVERY])
-                    n += len(xs[-1])
-                    if n >= 64:
-                        yield np.concatenate(xs), np.concatenate(ts)
-                        xs, ts, n = [], [], 0
-            if n:
-                yield np.concatenate(xs), np.concatenate(ts)
-
-        seen = train(p, chosen(), class_of)
+        rows = (np.frombuffer(raw, "<u2").astype(np.int64) for batch in batches for raw in batch.column(0).to_pylist())
+        seen = train(p, batched(rows, class_of, end_id), class_of)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([p[k].ravel() for k, _ in SHAPES]).astype(float)], pa.list_(pa.float64()))], names=["weight", "p"])
 
-    copies = ids.where("not held_out").select("key", "ids").mapInArrow(trained, "weight double, p array<double>")
+    copies = ids.where("not held_out").select("ids").mapInArrow(trained, "weight double, p array<double>")
     mean = copies.select("weight", F.posexplode("p")).groupBy("pos").agg((F.sum(F.col("col") * F.col("weight")) / F.sum("weight")).alias("v")).orderBy("pos").toPandas()["v"].to_numpy()  # one row a parameter
     model = initial(prior)
     if len(mean):

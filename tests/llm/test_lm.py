@@ -84,3 +84,20 @@ def test_model_beats_its_prior_on_held_out_rows(spark, monkeypatch):
     trained = score()
     monkeypatch.setattr(lm, "train", lambda *a: 0)
     assert trained > 0.97 * score() and trained < 0
+
+
+def test_every_window_of_training_rows_is_trained_on(spark, monkeypatch, tmp_path):
+    rows = [(k, "some words of a text " * n) for k, n in enumerate([0, 1, 3, 10, 40, 400, 3000])] + [(4, "some words of a text " * 40)]
+    folder = str(tmp_path)
+
+    def counted(p, batches, class_of):
+        seen = [(len(x), int((t >= 0).sum())) for x, t in batches]
+        with open(f"{folder}/{random.getrandbits(64)}", "w") as f:
+            f.write(f"{max((n for n, _ in seen), default=0)} {sum(n for _, n in seen)}")
+        return sum(n for _, n in seen)
+
+    monkeypatch.setattr(lm, "train", counted)
+    assert lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), PATH).count() == len(rows)
+    found = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert sum(n for _, n in found) == sum(len(lm.id_bytes(t, PATH)) // 4 + 1 for k, t in rows if not lm.held_out([k])[0])
+    assert max(n for n, _ in found) < 128  # a long row doesn't make one large step

@@ -7,12 +7,14 @@ components, byte windows, a linear program), so ORACLE_SQL is None; tests hold t
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquarry.llm.common import saved, work_dir
-from folioquarry.llm.minhash import near_duplicates
+from folioquarry.llm.minhash import kept_keys
 from folioquarry.llm.packing import packed
 from folioquarry.llm.quality import fit, good
 from folioquarry.llm.suffix import kept_texts
@@ -26,9 +28,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the smallest doc_id of each group; of rows that are repeated under one doc_id, all."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
+    """Keeps one row of each group: the smallest doc_id, nulls last; of rows repeated under it, one. Blank texts all stay.
+
+    A second row of a text must not stay: the next stage would take both for repeated passages and empty them. Rows are
+    numbered in a written copy, since the numbers would change if docs were computed again."""
+    key = f"row_{uuid.uuid4().hex}"
+    keyed = saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    kept = kept_keys(keyed, key).withColumnRenamed("key", key)
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 node.append(node_of(s))
                 sig.append(minima(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "key", "n_shingles", "node", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +94,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id takes part and is never smallest unless its group has no other id; its kept is true then for all its rows.
     Repeated (doc_id, text) rows each get a row. An empty table gives an empty result. Other columns are not read.
     """
+    scan, of = grouped(docs, id_col, text_col)
+    full = scan.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    alone = scan.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def kept_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key_col numbers the rows of docs. Returns (key) of one row of each group: the smallest doc_id, nulls last, then the
+    smallest key. Null or blank texts stand alone, so each such row is there."""
+    scan, of = grouped(docs, id_col, text_col, key_col)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    one = scan.where("n_shingles > 0").join(of, "node").groupBy("component").agg(F.min(order).alias("row")).select("row.key")
+    return one.union(scan.where("n_shingles = 0").select("key"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a row per row of docs: doc_id, key, n_shingles, node and signature; a row per node: component and its least doc_id)."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = saved(rows.mapInArrow(_scan, "doc_id long, n_shingles long, node long, sig array<int>"), "scan", folder)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
+    scan = saved(rows.mapInArrow(_scan, "doc_id long, key long, n_shingles long, node long, sig array<int>"), "scan", folder)
     nodes = saved(scan.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")), "nodes", folder)
 
     posts = nodes.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
@@ -137,10 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = saved(nodes.select("node", "n", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), f"label-{turn}", folder)
 
     least = label.groupBy("component").agg(F.min("rep").alias("least"))
-    of = label.join(least, "component").select(F.col("node"), "least")
-    full = scan.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    alone = scan.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return scan, label.join(least, "component").select("node", "component", "least")
 
 
 def sets_of(want: DataFrame, rows: DataFrame) -> DataFrame:

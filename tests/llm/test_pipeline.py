@@ -42,3 +42,14 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert c.run(spark, SF).count() > 0
+
+
+def test_one_row_of_each_group_stays_and_keeps_its_text(spark):
+    a, b, d, e = (" ".join(f"{w}{k}" for k in range(120)) for w in "abde")
+    near = a + " more"
+    rows = [(5, a), (5, a), (None, a), (9, near), (None, b), (None, b), (None, d), (None, e), (3, e), (5, e), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t or "")) for k, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = c.near_duplicate_stage(spark, docs, SF)
+    want = Counter([(5, a), (None, b), (None, d), (3, e), (5, ""), (None, None)])
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in c.repeated_passage_stage(spark, out, SF).collect()) == want

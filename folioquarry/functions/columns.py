@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from functools import reduce
 from operator import or_
 from urllib.parse import quote_plus
@@ -60,6 +61,13 @@ def contains(text: str | None, *names: str) -> Column | None:
     return reduce(or_, [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).like(f"%{text}%") for c in names]) if text else None
 
 
+def whole_number(text: str | None) -> int | None:
+    """What a search text is as a 64-bit id."""
+    text = (text or "").strip()
+    n = int(text) if re.fullmatch("[+-]?[0-9]+", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def matches(kind: str | None, value: str | None, columns: dict[str, str]) -> Column | None:
     """A discriminated filter: contains on the column that kind names; no kind, no filter; an unknown kind, no rows."""
     if kind is None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquarry.functions.columns import ACTIVE, ACTIVE_HOLD, OPEN, contains, days_overdue_calendar, days_overdue_elapsed, fine_status, is_overdue, is_unpaid_fine, local_day, matches
+from folioquarry.functions.columns import ACTIVE, ACTIVE_HOLD, OPEN, contains, days_overdue_calendar, days_overdue_elapsed, fine_status, is_overdue, is_unpaid_fine, local_day, matches, whole_number
 
 def zero() -> Column:
     return F.lit(0).cast("long")
@@ -53,13 +56,18 @@ def member_stats(members: DataFrame, loans: DataFrame, ebooks: DataFrame, holds:
 # Searches
 
 
-def loan_search(loans: DataFrame, ebooks: DataFrame, members: DataFrame, books: DataFrame, now: Column, ebook_now: Column, q: str | None = None, status: str | None = None, overdue: bool | None = None, open_only: bool | None = None, due_from: str | None = None, due_to: str | None = None) -> DataFrame:
-    """Physical and e-book loans in one shape. A flag that is None or False filters nothing."""
-    people = members.select(F.col("id").alias("member_id"), "full_name", "email")
-    titles = books.select(F.col("id").alias("book_id"), "title")
+def loan_search(loans: DataFrame, ebooks: DataFrame, members: DataFrame, books: DataFrame, now: Column, ebook_now: Column, q: str | None = None, status: str | None = None, overdue: bool | None = None, open_only: bool | None = None, due_from: str | None = None, due_to: str | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Physical and e-book loans in one shape. A flag that is None or False filters nothing.
+
+    q is looked for in names, e-mails, titles and ISBNs, in phones and barcodes if members and loans have them, and, if it
+    is a whole number, among the ids of loans, members, books and copies. With fields it is looked for in these alone."""
+    phone = ["phone"] if "phone" in members.columns else []
+    barcode = ["barcode"] if "barcode" in loans.columns else []
+    people = members.select(F.col("id").alias("member_id"), "full_name", "email", *phone)
+    titles = books.select(F.col("id").alias("book_id"), "title", "isbn")
     physical = loans.select(
         F.lit("PHYSICAL").alias("media"), "id", "member_id", "book_id", "copy_id", "status", "borrowed_at", "due_date", is_overdue(now).alias("overdue"),
-        F.when(is_overdue(now), days_overdue_elapsed(now, F.col("due_date"))).otherwise(zero()).alias("days_overdue"), "fine_amount", fine_status().alias("fine_status"),
+        F.when(is_overdue(now), days_overdue_elapsed(now, F.col("due_date"))).otherwise(zero()).alias("days_overdue"), "fine_amount", fine_status().alias("fine_status"), *barcode,
     )
     late = (F.col("status") == "ACTIVE") & (F.col("expired_at") < ebook_now)
     digital = ebooks.select(
@@ -80,10 +88,14 @@ def loan_search(loans: DataFrame, ebooks: DataFrame, members: DataFrame, books:
             df = df.where(F.col("due_date") <= F.lit(due_to).cast("timestamp_ntz"))
         return df
 
-    both = kept(physical, F.col("status").isin(*OPEN)).unionByName(kept(digital, F.col("status") == "ACTIVE"))
+    both = kept(physical, F.col("status").isin(*OPEN)).unionByName(kept(digital, F.col("status") == "ACTIVE"), allowMissingColumns=True)
     both = both.join(people, "member_id").join(titles, "book_id")
-    found = contains(q, "full_name", "email", "title")
-    return both if found is None else both.where(found)
+    extra = ["isbn", *phone, *barcode]
+    found = contains(q, *(fields or ("full_name", "email", "title", *extra)))
+    number = whole_number(q) if fields is None else None
+    if number is not None:
+        found = reduce(or_, [F.col(c) == number for c in ("id", "member_id", "book_id", "copy_id")], found)
+    return (both if found is None else both.where(found)).drop(*extra)
 
 
 def members_with_overdue(members: DataFrame, loans: DataFrame, now: Column, q: str | None = None) -> DataFrame:

@@ -76,6 +76,11 @@ LOAN_SEARCH = f""", u AS (SELECT 'PHYSICAL' AS media, id, member_id, book_id, co
 
 @query(LOAN_SEARCH + "WHERE overdue AND (lower(full_name) LIKE '%00001%' OR lower(email) LIKE '%00001%' OR lower(title) LIKE '%00001%')")
 def staff_loan_search(loans, ebook_loans, members, books):
+    return circulation.loan_search(loans, ebook_loans, members, books, now(), enow(), q="00001 ", overdue=True, open_only=False, fields=("full_name", "email", "title"))
+
+
+@query(LOAN_SEARCH + "WHERE overdue AND (lower(full_name) LIKE '%00001%' OR lower(email) LIKE '%00001%' OR lower(title) LIKE '%00001%' OR lower(isbn) LIKE '%00001%' OR u.id = 1 OR u.member_id = 1 OR u.book_id = 1 OR u.copy_id = 1)")
+def staff_loan_search_all_fields(loans, ebook_loans, members, books):
     return circulation.loan_search(loans, ebook_loans, members, books, now(), enow(), q="00001 ", overdue=True, open_only=False)
 
 

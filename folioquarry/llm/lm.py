@@ -3,13 +3,14 @@
 Base. Words of training rows are counted per task before the counts are shuffled. The most frequent ones, at most
 FREQUENT of them by a threshold read off a histogram, are broadcast; the rest are joined by a shuffle of per-row counts.
 
-Model. P(id | past) = P(class | past) * P(id | class). Classes have about equal mass of training ids; P(id | class) comes
-from counts over all training rows; a self-attention layer gives P(class | past) from the classes of the last CONTEXT
-ids. Each task trains a copy on every window of its training rows and the copies are averaged by weight. Scoring cuts a text into windows that overlap by the context, and scores each id, and the end, once.
+Model. P(id | past) = P(class | past) * P(id | class, past). Classes have about equal mass of training ids, and a binary
+tree over the ids of each (Huffman's, of their counts) gives P(id | class, past) as a product of branches. A self-attention
+layer over vectors of the last CONTEXT ids at least, one for each id, gives both; before training they are the counts'. Each task trains a copy on every window of its training rows and the copies are averaged by weight, vectors of ids and branches by how often each was trained. Scoring cuts a text into windows that overlap by the context, and scores each id, and the end, once.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +24,7 @@ from folioquarry.llm.common import saved, small_batches, views, words, work_dir
 from folioquarry.llm.packing import id_bytes
 
 FREQUENT = 1 << 19
-CLASSES, DIM, CONTEXT, STRIDE, RATE = 64, 8, 8, 16, 0.01
+CLASSES, DIM, CONTEXT, STRIDE, RATE, ROW_RATE = 64, 8, 16, 16, 0.01, 0.1
 BATCH = 64  # windows of a training step at least, fewer than twice as many at most
 WINDOW = CONTEXT + STRIDE
 PAD = CLASSES
@@ -68,13 +69,20 @@ def forward(p: dict[str, np.ndarray], x_class: np.ndarray) -> tuple[np.ndarray,
 
 def backward(p: dict[str, np.ndarray], logp: np.ndarray, seen: tuple, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """The gradient of the weighted mean of -log P(target)."""
+    g, dx = gradients(p, logp, seen, target, weight)
+    at = seen[0].ravel()
+    return g | {"E": np.stack([np.bincount(at, dx[..., d].ravel(), len(p["E"])) for d in range(DIM)], 1).astype(dx.dtype)}
+
+
+def gradients(p: dict[str, np.ndarray], logp: np.ndarray, seen: tuple, target: np.ndarray, weight: np.ndarray, dh: np.ndarray | float = 0) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """backward() but for E, and the gradient of the inputs' vectors. dh: what else is lost by h."""
     x_class, x, top, q, k, v, a, mixed, h = seen
     dz = np.exp(logp)
     np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
     dz *= (weight / max(weight.sum(), 1))[..., None]
     flat = lambda m: m.reshape(-1, m.shape[-1])
     g = {"W": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
-    ds = (dz @ p["W"].T) * (1 - h * h)
+    ds = (dz @ p["W"].T + dh) * (1 - h * h)
     g["O"] = flat(mixed).T @ flat(ds)
     dmixed = ds @ p["O"].T
     da, dv = dmixed @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dmixed
@@ -86,16 +94,14 @@ def backward(p: dict[str, np.ndarray], logp: np.ndarray, seen: tuple, target: np
     dx = dk @ p["K"].T + dv @ p["V"].T
     dx[:, CONTEXT:] += ds + dq @ p["Q"].T / scale
     g["P"] = dx.sum(0)
-    flat_class = x_class.ravel()
-    g["E"] = np.stack([np.bincount(flat_class, dx[..., d].ravel(), CLASSES + 1) for d in range(DIM)], 1).astype(dx.dtype)
-    return g
+    return g, dx
 
 
-def windows(ids: np.ndarray, class_of: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, class_of: np.ndarray, end: int, pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
     """(input classes, target ids with -1 where there is none) of windows in which each id and the end is a target once."""
     n = len(ids) + 1
     count = -(-n // STRIDE)
-    past = np.full(count * STRIDE + CONTEXT, PAD, np.int64)
+    past = np.full(count * STRIDE + CONTEXT, pad, np.int64)
     past[CONTEXT] = class_of[end]
     past[CONTEXT + 1 : CONTEXT + n] = class_of[ids]
     target = np.full(count * STRIDE, -1, np.int64)
@@ -103,11 +109,11 @@ def windows(ids: np.ndarray, class_of: np.ndarray, end: int) -> tuple[np.ndarray
     return np.lib.stride_tricks.sliding_window_view(past, WINDOW)[::STRIDE], target.reshape(count, STRIDE)
 
 
-def batched(rows: Iterable[np.ndarray], class_of: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batched(rows: Iterable[np.ndarray], vocabulary: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All windows of all rows, each once; a long row is dealt over several batches."""
-    xs, ts, n = [], [], 0
+    xs, ts, n, each = [], [], 0, np.arange(vocabulary)
     for ids in rows:
-        x, t = windows(ids, class_of, end)
+        x, t = windows(ids, each, end, vocabulary)
         for a in range(0, len(x), BATCH):
             xs.append(x[a : a + BATCH])
             ts.append(t[a : a + BATCH])
@@ -119,20 +125,97 @@ def batched(rows: Iterable[np.ndarray], class_of: np.ndarray, end: int) -> Itera
         yield np.concatenate(xs), np.concatenate(ts)
 
 
-def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray) -> int:
-    """Adam on p; the number of targets seen."""
-    m1, m2, t, seen = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0, 0
-    m1, m2 = m1
+def whole(prior: np.ndarray, class_of: np.ndarray, tree: tuple) -> dict[str, np.ndarray]:
+    """The model before training: ids of one class have one vector, branches follow the counts."""
+    p = initial(prior)
+    return p | {"E": p["E"][np.append(class_of, PAD)], "U": np.concatenate([np.zeros((len(tree[3]), DIM)), tree[3][:, None]], 1).astype(np.float32)}
+
+
+def grown(counts: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree over the ids of each class: (each id's first entry and the end, node and side of each entry, log odds
+    of the nodes by counts, each raised by one)."""
+    n = len(counts)
+    parent, side, odds = np.full(2 * n, -1), np.zeros(2 * n, np.float32), []
+    for k in range(CLASSES):
+        heap = [(float(counts[i]) + 1, i) for i in np.flatnonzero(class_of == k).tolist()]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+            node = n + len(odds)
+            parent[[a, b]], side[a], side[b] = node, -1, 1
+            odds.append(np.log(wb / wa))
+            heapq.heappush(heap, (wa + wb, node))
+    ids, at, entries = np.arange(n), np.arange(n), []
+    while len(ids):
+        live = parent[at] >= 0
+        ids, at = ids[live], at[live]
+        entries.append((ids, parent[at] - n, side[at]))
+        at = parent[at]
+    of, node, way = (np.concatenate(x) for x in zip(*entries, strict=True))
+    order = np.argsort(of, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(of, minlength=n))), node[order], way[order], np.array(odds, np.float32)
+
+
+def branches(tree: tuple, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ids, node, side) of each branch on the way to each id."""
+    first, node, way, _ = tree
+    n = first[ids + 1] - first[ids]
+    of = np.repeat(np.arange(len(ids)), n)
+    entry = np.arange(len(of)) + (first[ids] - np.cumsum(n) + n)[of]
+    return of, node[entry], way[entry]
+
+
+def within_class(u: np.ndarray, h: np.ndarray, of: np.ndarray, node: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log P of each branch, the gradient of its sum's negative by u and by h, both a row a branch)."""
+    hs, us = h[of], u[node]
+    s = np.clip(way * ((hs * us[:, :DIM]).sum(1) + us[:, DIM]), -60, 60)
+    e = np.exp(-s)
+    d = (-way * e / (1 + e))[:, None]
+    return -np.log1p(e), np.concatenate([d * hs, d], 1), d * us[:, :DIM]
+
+
+def summed_rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct places, the sum of g at each, how often it stands there)."""
+    order = np.argsort(at, kind="stable")
+    a = at[order]
+    first = np.flatnonzero(np.diff(a, prepend=-1))
+    return a[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(a)))
+
+
+def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, tree: tuple, often: dict[str, np.ndarray]) -> int:
+    """Adam on p, but Adagrad on the rows of E and U, of which a batch has few; the number of targets seen.
+
+    often: what counts how often each row of E and U was trained."""
+    dense = [k for k, _ in SHAPES if k != "E"]
+    m1, m2, t, seen = {k: np.zeros_like(p[k]) for k in dense}, {k: np.zeros_like(p[k]) for k in dense}, 0, 0
+    squares = {k: np.ones_like(p[k]) for k in "EU"}
     for x, target in batches:
         weight = (target >= 0).astype(np.float32)
+        total = np.float32(max(weight.sum(), 1))
         logp, kept = forward(p, x)
-        g = backward(p, logp, kept, np.where(target >= 0, class_of[np.maximum(target, 0)], 0), weight)
+        h, live = kept[-1].reshape(-1, DIM), np.flatnonzero(target.ravel() >= 0)
+        of, node, way = branches(tree, target.ravel()[live])
+        of = live[of]
+        _, du, each = within_class(p["U"], h, of, node, way)
+        dh = np.zeros_like(h)
+        changes = []
+        if len(of):
+            rows, sums, _ = summed_rows(of, each)
+            dh[rows] = sums
+            changes.append(("U", node, du))
+        g, dx = gradients(p, logp, kept, np.where(target >= 0, class_of[np.maximum(target, 0)], 0), weight, (dh / total).reshape(kept[-1].shape))
+        changes.append(("E", x.ravel(), dx.reshape(-1, DIM) * total))
         t += 1
         seen += int(weight.sum())
-        for k in p:
+        for k in dense:
             m1[k] = 0.9 * m1[k] + 0.1 * g[k]
             m2[k] = 0.99 * m2[k] + 0.01 * g[k] * g[k]
             p[k] -= np.float32(RATE) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)
+        for k, at, d in changes:
+            rows, sums, n = summed_rows(at, d)
+            squares[k][rows] += sums * sums
+            p[k][rows] -= np.float32(ROW_RATE) * sums / np.sqrt(squares[k][rows])
+            often[k][rows] += n
     return seen
 
 
@@ -147,8 +230,8 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return class_of, np.log10(c / total[class_of]), total / total.sum()  # a class without ids has no mass
 
 
-def target_logs(p: dict[str, np.ndarray], x_class: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """What forward() says of the targets' classes, with fewer passes over what doesn't fit a cache."""
+def target_logs(p: dict[str, np.ndarray], x_class: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What forward() says of the targets' classes, and its h, with fewer passes over what doesn't fit a cache."""
     x = p["E"][x_class] + p["P"]
     top = x[:, CONTEXT:]
     a = (top @ (p["Q"] / np.float32(DIM**0.5))) @ (x @ p["K"]).transpose(0, 2, 1)
@@ -167,16 +250,17 @@ def target_logs(p: dict[str, np.ndarray], x_class: np.ndarray, target: np.ndarra
         own = own - most
         z -= most
     np.exp(z, out=z)
-    return (own - np.log(z @ ONES)).reshape(target.shape)
+    return (own - np.log(z @ ONES)).reshape(target.shape), flat
 
 
 OPEN = (MASK == 0).astype(np.float32)
 ONES = np.ones(CLASSES, np.float32)
 
 
-def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.ndarray, within: np.ndarray, end: int) -> list[float]:
-    """log10 of the model's probability of each row of ids."""
-    made = [windows(r, class_of, end) for r in rows]
+def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.ndarray, within: np.ndarray, end: int, tree: tuple | None = None) -> list[float]:
+    """log10 of the model's probability of each row of ids. Without a tree, E is of classes and ids in them follow `within`."""
+    given, pad = (class_of, PAD) if tree is None else (np.arange(len(class_of)), len(class_of))
+    made = [windows(r, given, end, pad) for r in rows]
     if not made:
         return []
     x, target = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
@@ -184,7 +268,14 @@ def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.nd
     for a in range(0, len(x), 256):
         t = target[a : a + 256]
         t0 = np.maximum(t, 0)
-        each = target_logs(p, x[a : a + 256], class_of[t0]) / np.log(10) + within[t0]
+        own, h = target_logs(p, x[a : a + 256], class_of[t0])
+        if tree is None:
+            each = own / np.log(10) + within[t0]
+        else:
+            of, node, way = branches(tree, t0.ravel())
+            us = p["U"][node]
+            s = np.clip(way * ((h[of] * us[:, :DIM]).sum(1) + us[:, DIM]), -60, 60)
+            each = (own - np.bincount(of, np.log1p(np.exp(-s)), t.size).reshape(t.shape)) / np.log(10)
         out[a : a + 256] = np.where(t >= 0, each, 0).sum(1)
     cuts = np.cumsum([0, *(len(m[0]) for m in made)])[:-1]
     return np.add.reduceat(out, cuts).tolist()
@@ -320,30 +411,44 @@ def scored(docs: DataFrame, path: str, end_id: int = 50256, id_col: str = "doc_i
     vocabulary = np.zeros(end_id + 1, np.int64)
     vocabulary[found["id"].to_numpy(int)] = found["c"].to_numpy(int)
     class_of, within, prior = classes(vocabulary)
-    shared = spark.sparkContext.broadcast((class_of, within, prior))
+    tree = grown(vocabulary, class_of)
+    shared = spark.sparkContext.broadcast((class_of, within, prior, tree))
+    n_ids, n_nodes = len(class_of) + 1, len(tree[3])
+    dense = [(k, shape) for k, shape in SHAPES if k != "E"]
+    width = DIM + 1
+    values = [f"v{d}" for d in range(width)]
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, _, prior = shared.value
-        p = initial(prior)
-
+        class_of, _, prior, tree = shared.value
+        p = whole(prior, class_of, tree)
+        often = {k: np.zeros(len(p[k])) for k in "EU"}
         rows = (np.frombuffer(raw, "<u2").astype(np.int64) for batch in batches for raw in batch.column(0).to_pylist())
-        seen = train(p, batched(rows, class_of, end_id), class_of)
+        seen = train(p, batched(rows, len(class_of), end_id), class_of, tree, often)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([p[k].ravel() for k, _ in SHAPES]).astype(float)], pa.list_(pa.float64()))], names=["weight", "p"])
-
-    copies = ids.where("not held_out").select("ids").mapInArrow(trained, "weight double, p array<double>")
-    mean = copies.select("weight", F.posexplode("p")).groupBy("pos").agg((F.sum(F.col("col") * F.col("weight")) / F.sum("weight")).alias("v")).orderBy("pos").toPandas()["v"].to_numpy()  # one row a parameter
-    model = initial(prior)
+            flat = np.concatenate([p[k].ravel() for k, _ in dense])
+            flat = np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
+            table = np.concatenate([np.pad(p["E"], ((0, 0), (0, 1))), p["U"], flat]).astype(float)
+            weight = np.concatenate([often["E"], often["U"], np.full(len(flat), float(seen))])
+            on = np.flatnonzero(weight)  # what this task has trained
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(weight[on]), *(pa.array(table[on, d]) for d in range(width))], names=["row", "weight", *values])
+
+    copies = ids.where("not held_out").select("ids").mapInArrow(trained, "row long, weight double, " + ", ".join(f"{v} double" for v in values))
+    mean = copies.groupBy("row").agg(*[(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).alias(v) for v in values]).toPandas()  # a row for each id and branch at most
+    model = whole(prior, class_of, tree)
     if len(mean):
+        flat = np.concatenate([model[k].ravel() for k, _ in dense])
+        table = np.concatenate([np.pad(model["E"], ((0, 0), (0, 1))), model["U"], np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)])
+        table[mean["row"].to_numpy()] = mean[values].to_numpy()
+        model["E"], model["U"], flat = table[:n_ids, :DIM].copy(), table[n_ids : n_ids + n_nodes], table[n_ids + n_nodes :].ravel()
         at = 0
-        for k, shape in SHAPES:
+        for k, shape in dense:
             size = int(np.prod(shape))
-            model[k] = mean[at : at + size].reshape(shape).astype(np.float32)
+            model[k] = flat[at : at + size].reshape(shape)
             at += size
     final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, within, _ = shared.value
+        class_of, within, _, tree = shared.value
         for batch in batches:
             raw = batch.column(3).to_pylist()
             out: list[float] = []
@@ -351,7 +456,7 @@ def scored(docs: DataFrame, path: str, end_id: int = 50256, id_col: str = "doc_i
             for k, x in enumerate(raw):
                 size += len(x)
                 if size > 200_000 or k + 1 == len(raw):
-                    out += log_scores(final.value, [np.frombuffer(y, "<u2").astype(np.int64) for y in raw[a : k + 1]], class_of, within, end_id)
+                    out += log_scores(final.value, [np.frombuffer(y, "<u2").astype(np.int64) for y in raw[a : k + 1]], class_of, within, end_id, tree)
                     a, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], names=["doc_id", "key", "held_out", "score"])
 

@@ -90,7 +90,7 @@ def test_every_window_of_training_rows_is_trained_on(spark, monkeypatch, tmp_pat
     rows = [(k, "some words of a text " * n) for k, n in enumerate([0, 1, 3, 10, 40, 400, 3000])] + [(4, "some words of a text " * 40)]
     folder = str(tmp_path)
 
-    def counted(p, batches, class_of):
+    def counted(p, batches, *others):
         seen = [(len(x), int((t >= 0).sum())) for x, t in batches]
         with open(f"{folder}/{random.getrandbits(64)}", "w") as f:
             f.write(f"{max((n for n, _ in seen), default=0)} {sum(n for _, n in seen)}")
@@ -101,3 +101,29 @@ def test_every_window_of_training_rows_is_trained_on(spark, monkeypatch, tmp_pat
     found = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
     assert sum(n for _, n in found) == sum(len(lm.id_bytes(t, PATH)) // 4 + 1 for k, t in rows if not lm.held_out([k])[0])
     assert max(n for n, _ in found) < 128  # a long row doesn't make one large step
+
+
+def test_ids_of_one_class_are_told_apart_by_what_came_before():
+    """Ids 0 to 7 share classes; each is always followed by one of its own. Classes and counts can't tell."""
+    counts = np.array([1000] * 8 + [0] * 60 + [1])
+    class_of = np.minimum(np.arange(69) // 8, lm.CLASSES - 1)
+    total = np.bincount(class_of, counts + 1, lm.CLASSES)
+    within = np.log10((counts + 1) / total[class_of])
+    tree = lm.grown(counts, class_of)
+    p = lm.whole(total / total.sum(), class_of, tree)
+    first, last = np.arange(4), 68
+    rows = [np.tile([k, k + 4], 20) for k in first]
+    before = lm.log_scores(p, rows, class_of, within, last, tree)
+    assert np.allclose(before, [sum(np.log10((counts[np.append(r, last)] + 1) / (counts + 1).sum())) for r in rows], atol=1e-2)
+    often = {k: np.zeros(len(p[k])) for k in "EU"}
+    assert lm.train(p, lm.batched(rows * 400, 69, last), class_of, tree, often) == 400 * 4 * 41
+    own = lm.log_scores(p, rows, class_of, within, last, tree)
+    swapped = lm.log_scores(p, [np.tile([k, 4 + (k + 1) % 4], 20) for k in first], class_of, within, last, tree)
+    assert min(own) > max(swapped) + 5 and min(own) > max(before) + 5
+    # still a distribution over ids
+    one = lm.log_scores(p, [np.array([1, 5, k]) for k in range(69)], class_of, within, last, tree)
+    base = lm.forward(p, lm.windows(np.array([1, 5, 0]), np.arange(69), last, 69)[0])
+    h = base[1][-1].reshape(-1, lm.DIM)[2]
+    of, node, way = lm.branches(tree, np.arange(69))
+    logs = np.bincount(of, lm.within_class(p["U"], h[None], of * 0, node, way)[0], 69) + base[0].reshape(-1, lm.CLASSES)[2][class_of]
+    assert abs(np.exp(logs).sum() - 1) < 1e-4 and len(set(np.round(one, 6))) > 8

@@ -34,6 +34,12 @@ def rating_histogram(reviews: DataFrame) -> DataFrame:
     return filled(all_.join(reviews.groupBy("rating").agg(F.count("*").alias("n")), "rating", "left"), "n")
 
 
+def rating_histograms(reviews: DataFrame) -> DataFrame:
+    """rating_histogram() of each book that has reviews."""
+    all_ = reviews.select("book_id").distinct().select("book_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("rating"))
+    return filled(all_.join(reviews.groupBy("book_id", "rating").agg(F.count("*").alias("n")), ["book_id", "rating"], "left"), "n")
+
+
 def category_authors(books: DataFrame) -> DataFrame:
     """Nested authors of each category, sorted by name, with the number of their books."""
     each = books.groupBy("category", "author").agg(F.count("*").alias("n"))

@@ -218,6 +218,11 @@ def rating_histogram(reviews):
     return catalog.rating_histogram(reviews.where("book_id = 7"))
 
 
+@query("SELECT b.book_id, r.rating, CAST(count(v.id) AS BIGINT) AS n FROM (SELECT DISTINCT book_id FROM reviews) b CROSS JOIN (SELECT CAST(unnest(generate_series(1, 5)) AS BIGINT) AS rating) r LEFT JOIN reviews v ON v.rating = r.rating AND v.book_id = b.book_id GROUP BY 1, 2")
+def rating_histogram_all_books(reviews):
+    return catalog.rating_histograms(reviews)
+
+
 @query("SELECT book_id, avg(rating) AS average, count(*) AS n_reviews FROM reviews GROUP BY 1")
 def review_stats(reviews):
     return catalog.review_stats(reviews)
@@ -287,6 +292,13 @@ def member_upsert(members):
     return catalog.merged(members.select("id", "full_name"), new, "id")
 
 
+@query("SELECT coalesce(m.id, h.member_id) AS id, coalesce('HOLDS ' || CAST(h.n AS VARCHAR), full_name) AS full_name FROM members m FULL JOIN (SELECT member_id, count(*) AS n FROM holds GROUP BY 1) h ON h.member_id = m.id UNION ALL SELECT -id, 'ADDED' FROM members")
+def member_upsert_all_rows(members, holds):
+    new = holds.groupBy(F.col("member_id").alias("id")).agg(F.concat(F.lit("HOLDS "), F.count("*").cast("string")).alias("full_name"))
+    new = new.unionByName(members.select((-F.col("id")).alias("id"), F.lit("ADDED").alias("full_name")))
+    return catalog.merged(members.select("id", "full_name"), new, "id")
+
+
 @query("SELECT book_id, count(*) AS copies, CAST(sum(o) AS BIGINT) AS copies_out FROM (SELECT book_id, copy_id, max(CASE WHEN status IN ('BORROWED', 'OVERDUE', 'LOST') THEN 1 ELSE 0 END) AS o FROM loans GROUP BY 1, 2) GROUP BY 1")
 def book_copy_counts(loans):
     return catalog.copy_counts(loans)

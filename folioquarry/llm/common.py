@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+STEPS = 60  # of components()
+SHORT = 32  # bytes of a word that are hashed eight at a time
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
 CHUNK = 1 << 21  # bytes of text handled at once; a longer text is handled alone
 
 
@@ -41,6 +45,12 @@ def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder of this run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a bounded size, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -117,23 +127,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: 8 bytes at a time are mixed in; spans over SHORT bytes go to xxHash.
+
+    Each block is mixed before the next one comes in, so that no arrangement of blocks cancels out, as it can in a
+    polynomial modulo a power of two."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    h = size.astype(np.uint64) * np.uint64(BASE) + np.uint64(M1)
+    rows = np.arange(len(size))
+    for done in range(0, SHORT, 8):
+        if done:
+            rows = rows[size[rows] > done]
+        if not len(rows):
+            break
+        block = eight[starts[rows] + done] & KEEP[np.minimum(size[rows] - done, 8)]
+        h[rows] = fmix(h[rows] ^ block) * np.uint64(M2)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64)
+    return fmix(h)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, its start byte, first word of each row and the end)."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, separator)
-    return span_hash(prefix_hash(data), starts, ends), starts, first
+    return word_hash(data, starts, ends), starts, first
 
 
 def components(links: DataFrame, folder: str, tag: str) -> DataFrame:
     """links: (a long, b long). Returns (node, component), component the smallest node reachable, for all nodes in links.
 
     Alternates large-star and small-star steps until the links no longer change; each step's links are written to the
-    shared folder, and no step gathers a node's neighbours in one place: only their minimum is aggregated.
+    shared folder, and no step gathers a node's neighbours in one place: their minimum is aggregated before the
+    shuffle, and where a node's links meet it, a plain inner join, adaptive execution splits a node with very many links.
+    The steps grow with the logarithm of the longest path; links that aren't settled after STEPS raise an error.
     """
     spark = links.sparkSession
     now = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0", folder)
     mark = None
-    for step in range(1, 60):
+    for step in range(1, STEPS + 1):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -144,4 +181,6 @@ def components(links: DataFrame, folder: str, tag: str) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components not settled after {STEPS} steps")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -14,16 +14,19 @@ last, but for pairs that counts of shared shingles rule out exactly.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm.common import M1, M2, components, fmix, saved, small_batches, views, words, work_dir
 
 WORDS, K, MATCHES = 5, 64, 27
+BLOCK = 512  # members of a posting list that meet at once
 OFTEN, LONG = 64, 32  # see across(): they weigh work against memory and don't change what is found
 _seeds = fmix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 FACTORS = (_seeds[:K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -60,31 +63,30 @@ def minima(values: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def node_of(values: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    if not len(values):
-        return 0
-    return int(fmix(np.array([np.sum(fmix(values ^ np.uint64(M2)), dtype=np.uint64) ^ np.uint64(len(values))]))[:1].view(np.int64)[0])
+def name_of(values: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a set, so that equal names mean equal sets."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in views(batch.column(1)):
             hashes, _, first = words(data, offsets)
-            n, node, sig = [], [], []
+            n, name, sig = [], [], []
             for s in shingles(hashes, first):
                 n.append(len(s))
-                node.append(node_of(s))
+                name.append(name_of(s))
                 sig.append(minima(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "key", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "key", "n_shingles", "name", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in views(batch.column(1)):
+        for lo, hi, data, offsets in views(batch.column(2)):
             hashes, _, first = words(data, offsets)
             found = list(shingles(hashes, first))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), batch.column(0)[lo:hi], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "want", "shingles"])
+            same = pc.equal(pa.array([name_of(s) for s in found], pa.binary()), batch.column(1)[lo:hi])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], same, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "same", "shingles"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +97,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated (doc_id, text) rows each get a row. An empty table gives an empty result. Other columns are not read.
     """
     scan, of = grouped(docs, id_col, text_col)
-    full = scan.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    full = scan.where("n_shingles > 0").join(of, "name").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     alone = scan.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -105,18 +107,21 @@ def kept_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: s
     smallest key. Null or blank texts stand alone, so each such row is there."""
     scan, of = grouped(docs, id_col, text_col, key_col)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    one = scan.where("n_shingles > 0").join(of, "node").groupBy("component").agg(F.min(order).alias("row")).select("row.key")
+    one = scan.where("n_shingles > 0").join(of, "name").groupBy("component").agg(F.min(order).alias("row")).select("row.key")
     return one.union(scan.where("n_shingles = 0").select("key"))
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(a row per row of docs: doc_id, key, n_shingles, node and signature; a row per node: component and its least doc_id)."""
+    """(a row per row of docs: doc_id, key, n_shingles, name of its set and signature; a row per set: its component and the
+    component's least doc_id). A node is the number of a set in a written table."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
-    scan = saved(rows.mapInArrow(_scan, "doc_id long, key long, n_shingles long, node long, sig array<int>"), "scan", folder)
-    nodes = saved(scan.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")), "nodes", folder)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scan = saved(rows.mapInArrow(_scan, f"doc_id {kind}, key long, n_shingles long, name binary, sig array<int>"), "scan", folder)
+    nodes = scan.where("n_shingles > 0").groupBy("name").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
 
     posts = nodes.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
     common = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -125,14 +130,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = N
     lists = saved(kept.select("node", "common", F.col("p.key").alias("key")), "lists", folder)
 
     # The full sets of posted nodes: the texts are moved once, whatever the number of nodes.
-    posted = lists.select("node").distinct().join(nodes, "node").select(F.col("node").alias("want"), F.col("rep").alias("doc_id"))
+    posted = lists.select("node").distinct().join(nodes, "node").select("node", "name", F.col("rep").alias("rep"))
     sets = saved(sets_of(posted.hint("merge"), rows), "sets", folder)
 
     links = None
-    label = nodes.select("node", "n", "rep", F.col("node").alias("component"))
+    own = nodes.select("node", "name", "n", "rep")
+    label = own.withColumn("component", F.col("node"))
     tested = None
     for turn in (1, 2, 3):
-        members = lists.join(label, "node")
+        members = lists.join(label.drop("name"), "node")
         # First the member that has most in common with others, then another one for each third of the lists.
         first = (-F.col("common")).cast("long") if turn == 1 else F.xxhash64("node", F.pmod("key", F.lit(3)))
         order = F.struct(first.alias("first"), F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("component").alias("component"), F.col("n").alias("n"))
@@ -151,16 +157,16 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = N
             continue
         links = found if links is None else links.union(found)
         groups = components(links, folder, f"cc-{turn}")
-        label = saved(nodes.select("node", "n", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), f"label-{turn}", folder)
+        label = saved(own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), f"label-{turn}", folder)
 
     least = label.groupBy("component").agg(F.min("rep").alias("least"))
-    return scan, label.join(least, "component").select("node", "component", "least")
+    return scan, label.join(least, "component").select("name", "component", "least")
 
 
 def sets_of(want: DataFrame, rows: DataFrame) -> DataFrame:
-    """want: (want: a node, doc_id: a row that has it). Returns (node, shingles), the full sets from the texts."""
-    texts = rows.join(want, rows.doc_id.eqNullSafe(want.doc_id)).select("want", "text")
-    return texts.mapInArrow(_sets, "node long, want long, shingles array<long>").where("node = want").select("node", "shingles").dropDuplicates(["node"])
+    """want: (node, name, rep: the doc_id of a row that has the set). Returns (node, shingles), full sets from the texts."""
+    texts = rows.join(want, rows.doc_id.eqNullSafe(want.rep)).select("node", "name", "text")
+    return texts.mapInArrow(_sets, "node long, same boolean, shingles array<long>").where("same").select("node", "shingles").dropDuplicates(["node"])
 
 
 def across(rest: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
@@ -181,13 +187,18 @@ def across(rest: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     keys = left.groupBy("a").agg(F.sort_array(F.collect_list("key")).alias("keys_a"))  # at most K each
     keys = keys.join(of.select(F.col("node").alias("a"), "few"), "a")
     long = left.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= LONG)
-    left = left.join(long, "key", "left").join(keys, "a").withColumn("few_a", F.when(F.col("size").isNotNull(), F.col("few"))).drop("size", "few")
-    left = saved(left, "left", folder)
-    right = left.select("key", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "c", "n", "m", "h", "keys_", "few_")])
-    can = F.expr("a < b and ca <> cb and 175 * least(ma, mb) >= 75 * (na + nb) and 100 * least(na, nb) >= 75 * greatest(na, nb)")
+    left = left.join(long, "key", "left").join(keys, "a").withColumn("few_a", F.when(F.col("size").isNotNull(), F.col("few"))).drop("few")
+    # The members of a long list are dealt into blocks; each pair of blocks meets by itself, so no task holds a long list.
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))
+    left = saved(left.withColumns({"last": blocks - 1, "block": F.pmod(F.xxhash64("a"), blocks)}).drop("size"), "left", folder)
+    right = left.select("key", "last", "block", *[F.col(f"{c}a").alias(f"{c}b") for c in ("", "c", "n", "m", "h", "keys_", "few_")])
+    right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
+    left = left.select("*", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
+    can = F.expr("(l.i < l.j or a < b) and ca <> cb and 175 * least(ma, mb) >= 75 * (na + nb) and 100 * least(na, nb) >= 75 * greatest(na, nb)")
     can = can & (F.col("l.key") == F.array_min(F.array_intersect("keys_a", "keys_b")))  # once, where the two meet first
     can = can & F.expr("few_a is null or few_b is null or 175 * (least(ha, hb) + size(array_intersect(few_a, few_b))) >= 75 * (na + nb)")
-    return left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & can).select("a", "b")
+    met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & can)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, folder: str) -> DataFrame:

@@ -18,19 +18,21 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import fmix, powers, prefix_hash, saved, small_batches, span_hash, views, work_dir
+from folioquarry.llm.common import fmix, powers, prefix_hash, removed, saved, small_batches, span_hash, views, work_dir
 from folioquarry.llm.common import INVERSE
 
 SEGMENT = 1 << 20  # windows of one text handled at once
 RUN = 24 << 20  # bytes of suffixes that a task sorts at once
+BUCKET = 64 << 20  # bytes of texts meant for a bucket
 PART = 24 << 20  # bytes of suffixes meant for a partition
+SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 RECORD = np.dtype([("key", "V16"), ("at", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("done", "?")])
 
 
@@ -233,7 +235,7 @@ def _grams(length: int):
 
 
 def _runs(length: int, parts: int):
-    """Front-coded runs for partitions; stretches that a task knows to be repeated come as (key, a, b)."""
+    """Front-coded runs for partitions; what a task knows to be repeated comes as a row a text: (key, spans)."""
 
     def flush(held: list[tuple[int, bytes, tuple]]) -> list[dict]:
         held.sort(key=lambda x: (x[0], x[1]))
@@ -242,11 +244,11 @@ def _runs(length: int, parts: int):
             b = a
             while b < len(held) and held[b][0] == held[a][0]:
                 b += 1
-            out.append({"part": held[a][0], "blob": Run.packed([h[1] for h in held[a:b]], np.array([h[2] for h in held[a:b]], RECORD)), "key": None, "a": None, "b": None})
+            out.append({"part": held[a][0], "blob": Run.packed([h[1] for h in held[a:b]], np.array([h[2] for h in held[a:b]], RECORD)), "key": None, "spans": None})
             a = b
         return out
 
-    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("key", pa.binary()), ("spans", pa.list_(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, tuple]] = []
@@ -267,16 +269,26 @@ def _runs(length: int, parts: int):
                 begin = start - offsets[row]  # of a row's text, seen from data
                 whole = span_hash(prefix_hash(data), at - hi, at - lo + length) ^ fmix((lo << 16 | hi).astype(np.uint64))
                 _, one, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                many = np.flatnonzero(count[inverse] > 1)
-                if len(many):
-                    ks = np.array([np.void(keys[first + r]) for r in row[many].tolist()], "V16")
-                    yield from _marks(ks, begin[many] + at[many] - hi[many], begin[many] + at[many] - lo[many] + length, schema)
                 raw = data.tobytes()
-                for k in one.tolist():
+                first_byte, end_byte = (at - hi).tolist(), (at - lo + length).tolist()
+                alike = np.zeros(len(row), bool)  # bytes that stand elsewhere in this stretch too
+                others = []
+                for k in np.flatnonzero(count[inverse] > 1).tolist():
+                    like = int(one[inverse[k]])
+                    if k == like:
+                        continue
+                    if raw[first_byte[k] : end_byte[k]] == raw[first_byte[like] : end_byte[like]] and lo[k] == lo[like]:
+                        alike[[k, like]] = True
+                    else:  # one hash, other bytes
+                        others.append(k)
+                many = np.flatnonzero(alike)
+                if len(many):
+                    yield _marks([keys[first + r] for r in range(rows)], row[many], begin[many] + at[many] - hi[many], begin[many] + at[many] - lo[many] + length, schema)
+                for k in [*one.tolist(), *others]:
                     i, d0, d1 = int(at[k]), int(lo[k]), int(hi[k])
                     r = raw[i : i + length - d0]
                     s = r.ljust(length, b"\0") + len(r).to_bytes(2, "big") + raw[i - d1 : i][::-1]
-                    held.append((int(hashes[k] % np.uint64(parts)), s, (np.void(keys[first + int(row[k])]), int(begin[k]) + i, d0, d1, bool(count[inverse[k]] > 1))))
+                    held.append((int(hashes[k] % np.uint64(parts)), s, (np.void(keys[first + int(row[k])]), int(begin[k]) + i, d0, d1, bool(alike[k]))))
                     size += len(s) + 200
                 if size >= RUN:
                     yield from _table(flush(held), schema)
@@ -288,14 +300,29 @@ def _runs(length: int, parts: int):
         for a in range(0, len(rows), 16):
             yield pa.RecordBatch.from_pylist(rows[a : a + 16], schema=schema)
 
-    def _marks(keys: np.ndarray, a: np.ndarray, b: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        n = len(keys)
-        part = (fmix(a.astype(np.uint64) + np.uint64(n)) % np.uint64(parts)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(n, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+    def _marks(keys: list[bytes], row: np.ndarray, a: np.ndarray, b: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        """One row a text: what of it is known to be repeated."""
+        who, spans = merged_spans(row, a, b)
+        part = pa.array((fmix(who.astype(np.uint64) + np.uint64(len(row))) % np.uint64(parts)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([part, pa.nulls(len(who), pa.binary()), pa.array([keys[r] for r in who.tolist()], pa.binary()), spans], schema=schema)
 
     return run
 
 
+def merged_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(distinct rows, the union of each one's stretches from a to b as a list of (a, b))."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    far = int(b.max(initial=0)) + 1
+    reach = np.maximum.accumulate(b + row * far)  # rows don't meet: a row's ends lie beyond those of rows before it
+    new = np.concatenate([[True], (a[1:] + row[1:] * far > reach[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+    start = np.flatnonzero(new)
+    end = reach[np.append(start[1:], len(row))[: len(start)] - 1] - row[start] * far
+    who, count = np.unique(row[start], return_counts=True)
+    pairs = pa.StructArray.from_arrays([pa.array(a[start], pa.int64()), pa.array(end, pa.int64())], fields=list(SPAN))
+    return who, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pairs)
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -306,13 +333,14 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts has key, text and copies of each distinct text of `length` bytes at least, spans has key and
-    spans (a, b) of texts with repeated bytes, apart from those that have copies (of these all bytes are repeated)."""
+def changed(docs: DataFrame, length: int, of: Callable[[bytes, list[tuple[int, int]]], dict], kind: str, text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """(key, columns of `kind`) of each distinct text that has repeated bytes; of: what to say of a text's bytes and of
+    the stretches (a, b) of them that are repeated, which are all of them where the text has copies.
+
+    Work tables are gone when it returns: the result is written."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     rows = rows.select(F.unhex(F.md5("text")).alias("key"), "text")
 
@@ -327,30 +355,53 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
             yield batch.take(pa.array(keep, pa.int64()))
 
     # Equal keys are in one bucket, so later joins by key leave the texts where they are.
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET))
     name = f"texts_{uuid.uuid4().hex}"
     rows.mapInArrow(once, "key binary, text string").repartition(n, "key").mapInArrow(once, "key binary, text string").write.bucketBy(n, "key").option("path", f"{folder}/texts").saveAsTable(name)
-    texts = spark.table(name)
-    copies = saved(rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies", folder)
-
-    grams = texts.mapInArrow(_grams(length), "gram long, key binary, n long")
-    often = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    wanted = saved(grams.join(often, "gram", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams")), "wanted", folder)  # one text's
-    count = wanted.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
-    parts = max(n, -(-count * (length + 100) // PART))
-    runs = texts.join(wanted, "key").select("key", "text", "grams").mapInArrow(_runs(length, parts), "part int, blob binary, key binary, a long, b long")
-
-    def merged(table: pa.Table) -> pa.Table:
-        known = table.filter(table["blob"].is_null())
-        blobs = [b for b in table["blob"].to_pylist() if b is not None]
-        out = [known.select(["key", "a", "b"])]
-        if blobs:
+    try:
+        texts = spark.table(name)
+        copies = saved(rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies", folder)
+
+        grams = texts.mapInArrow(_grams(length), "gram long, key binary, n long")
+        often = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+        wanted = saved(grams.join(often, "gram", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams")), "wanted", folder)  # one text's
+        count = wanted.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
+        parts = max(n, -(-count * (length + 100) // PART))
+        runs = texts.join(wanted, "key").select("key", "text", "grams").mapInArrow(_runs(length, parts), "part int, blob binary, key binary, spans array<struct<a: long, b: long>>")
+
+        def merged(table: pa.Table) -> pa.Table:
+            known = table.filter(table["blob"].is_null()).select(["key", "spans"])
+            blobs = [b for b in table["blob"].to_pylist() if b is not None]
+            if not blobs:
+                return known
             keys, a, b = repeated(blobs, length)
-            out.append(pa.table({"key": pa.array([k.tobytes() for k in keys], pa.binary()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}))
-        return pa.concat_tables(out)
+            names, row = np.unique(keys, return_inverse=True)
+            who, spans = merged_spans(row, a, b)
+            return pa.concat_tables([known, pa.table({"key": pa.array([names[r].tobytes() for r in who.tolist()], pa.binary()), "spans": spans})])
+
+        marks = runs.groupBy("part").applyInArrow(merged, "key binary, spans array<struct<a: long, b: long>>")
+        spans = saved(marks.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", folder)  # one text's
+        cut = texts.join(copies, "key", "left").select("key", "text", F.coalesce("copies", F.lit(1)).alias("copies")).join(spans, "key", "left")
+        out = saved(cut.where("copies > 1 or spans is not null").select("key", "text", "copies", "spans").mapInArrow(_each(of), f"key binary, {kind}"), "cut", folder)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for part in ("texts", "copies", "wanted", "spans"):
+        removed(spark, f"{folder}/{part}")
+    return out
 
-    marks = runs.groupBy("part").applyInArrow(merged, "key binary, a long, b long")
-    spans = saved(marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", folder)  # one text's
-    return texts.join(copies, "key", "left").select("key", "text", F.coalesce("copies", F.lit(1)).alias("copies")), spans
+
+def _each(of: Callable[[bytes, list[tuple[int, int]]], dict]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                raw = text.encode()
+                gone = [(0, len(raw))] if copies > 1 else _union([(s["a"], s["b"]) for s in spans])
+                out.append({"key": key} | of(raw, gone))
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+
+    return run
 
 
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,19 +411,11 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     short texts lose nothing (null counts as empty). Repeated rows and equal texts repeat each other. Null ids stay. An
     empty table gives an empty result; other columns are not read.
     """
-    texts, spans = repeated_spans(docs, length, text_col)
-    cut = texts.join(spans, "key", "left").where("copies > 1 or spans is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, copies, spans_ in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode()
-                gone = [(0, len(raw))] if copies > 1 else _union([(s["a"], s["b"]) for s in spans_])
-                out.append({"key": key, "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": hashlib.sha256(_kept(raw, gone)).hexdigest()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+    def told(raw: bytes, gone: list[tuple[int, int]]) -> dict:
+        return {"n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "sha": hashlib.sha256(_kept(raw, gone)).hexdigest()}
 
-    done = cut.select("key", "text", "copies", "spans").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("kept_sha256", "sha")
+    done = changed(docs, length, told, "n_removed long, n_spans long, sha string", text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
@@ -381,17 +424,7 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 
 def kept_texts(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """docs, all its columns, with the removed bytes cut out of text_col; parts of characters left at a cut go too."""
-    texts, spans = repeated_spans(docs, length, text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, copies, spans_ in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode()
-                out.append({"key": key, "kept": _kept(raw, [(0, len(raw))] if copies > 1 else _union([(s["a"], s["b"]) for s in spans_])).decode(errors="ignore")})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("kept", pa.string())]))
-
-    cut = texts.join(spans, "key", "left").where("copies > 1 or spans is not null").select("key", "text", "copies", "spans").mapInArrow(run, "key binary, kept string")
+    cut = changed(docs, length, lambda raw, gone: {"kept": _kept(raw, gone).decode(errors="ignore")}, "kept string", text_col)
     key, kept = f"key_{uuid.uuid4().hex}", f"kept_{uuid.uuid4().hex}"
     left = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("string"))))
     both = left.join(cut.select(F.col("key").alias(key), F.col("kept").alias(kept)), key, "left")

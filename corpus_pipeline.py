@@ -20,10 +20,12 @@ from folioquarry.llm.quality import fit, good
 from folioquarry.llm.suffix import kept_texts
 
 ORACLE_SQL = None
+PASSAGE = 200  # bytes: 50 words of three letters and a space, so that a passage of over 50 words is longer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that the classifier, fitted on the labels, rejects."""
+    """Drops rows that the classifier, fitted on the labels, rejects. Null texts count as empty; equal texts get equal
+    grades, so repeated rows go or stay together; an empty table stays empty."""
     return good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -39,11 +41,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts bytes covered by 400-byte strings that also start elsewhere; n_chars follows the text."""
-    return kept_texts(docs, length=400).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cuts bytes covered by strings of PASSAGE bytes that also start elsewhere; n_chars, where there is one, follows the
+    text. Null texts stay null; rows that are emptied stay, with an empty text; ties don't occur; an empty table stays empty."""
+    out = kept_texts(docs, length=PASSAGE)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 1024 ids, as packed() says; null texts count as empty, repeated rows are packed
+    each by itself, and an empty table gives no piece."""
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
 
 

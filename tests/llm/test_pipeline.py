@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark):
     n = held["near_duplicates"]
     assert set(n.doc_id) == {r[0] for r in brute(list(zip(q.doc_id, q.text))) if r[3]}
     s = held["repeated_passages"]
-    want = {r[0]: r[1] - r[2] for r in brute_spans(list(zip(n.doc_id, n.text)), 400)}
+    want = {r[0]: r[1] - r[2] for r in brute_spans(list(zip(n.doc_id, n.text)), c.PASSAGE)}
     assert set(s.doc_id) == set(n.doc_id) and all(0 <= want[k] - len(t.encode()) < 8 for k, t in zip(s.doc_id, s.text))
     assert (s.n_chars == s.text.str.len()).all()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm.common import small_batches, views
@@ -329,7 +329,15 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         starts += offsets
         ends += [*offsets[1:], int(base[r + 1])] if offsets else []
         owner += [r] * len(offsets)
-    samples, size, number = decode_frames(np.frombuffer(b"".join(streams), np.uint8), np.array(starts, np.int64), np.array(ends, np.int64))
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    parts, a = [], 0
+    while a < len(starts):  # a decoder holds several bytes for each bit: frames of some STRETCH bytes at once
+        b = a + 1
+        while b < len(starts) and ends[b] - starts[a] <= STRETCH:
+            b += 1
+        parts.append(decode_frames(data[starts[a] : ends[b - 1]], np.array(starts[a:b], np.int64) - starts[a], np.array(ends[a:b], np.int64) - starts[a]))
+        a = b
+    samples, size, number = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
     count = np.bincount(np.array(owner, int), size, len(streams)).astype(np.int64)
     cuts = np.cumsum([0, *count])
     out = []
@@ -407,23 +415,52 @@ def read_at(stream: bytes, sample: int) -> tuple[int, np.ndarray]:
     return points[k][0], decode_frames(data, np.array([0]), np.array([len(data)]))[0]
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features of what stored()'s rows hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature. A stream that fails a check raises; null media isn't expected."""
+def pcm_rows(media: DataFrame) -> DataFrame:
+    """stored()'s rows decoded and checked: doc_id, n_bytes, media_bytes, media_sha256, blocks (sample_offset, pcm), one
+    block a frame, in order, so that any sample is found by its offset. A stream that fails a check raises; null media
+    gives null columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, held in _groups(batch.column(2)):
-                out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-                for stream, x in zip(held, decode(held), strict=True):
-                    raw = (x + 128).astype(np.uint8).tobytes()
-                    out["payload_bytes"].append(len(raw))
-                    out["payload_sha256"].append(hashlib.sha256(raw).hexdigest())
-                    out["tail_crc32"].append(zlib.crc32(raw[-16:]))
-                    out["media_bytes"].append(len(stream))
-                    out["media_sha256"].append(hashlib.sha256(stream).hexdigest())
-                    out["feature"].append(features(x))
-                yield pa.RecordBatch.from_arrays([c[lo : lo + len(held)] for c in batch.columns[:2]] + [pa.array(v) for v in out.values()], names=["doc_id", "n_bytes", *out])
-
+            at = np.flatnonzero(np.array(batch.column(2).is_valid()))
+            for lo, held in _groups(batch.column(2).drop_null()):
+                rows = pa.array(at[lo : lo + len(held)])
+                blocks = [[{"sample_offset": a, "pcm": x[a : a + BLOCK].astype(np.int8).tobytes()} for a in range(0, len(x), BLOCK)] for x in decode(held)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([len(m) for m in held], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in held]), pa.array(blocks, pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())])))], names=names)
+            gone = batch.filter(batch.column(2).is_null())
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([gone.column(0), gone.column(1), pa.nulls(len(gone), pa.int64()), pa.nulls(len(gone), pa.string()), pa.nulls(len(gone), pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())])))], names=names)
+
+    names = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"]
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, pcm: binary>>")
+
+
+def block_at(blocks: str, sample: str) -> Column:
+    """The block of a column of blocks that holds a sample."""
+    return F.element_at(F.filter(blocks, lambda b: b["sample_offset"] <= F.col(sample)), -1)
+
+
+def read_back(pcm: DataFrame) -> DataFrame:
+    """Digests and features of pcm_rows(): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature; the last ones null where there are no blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "feature")}
+            for blocks in batch.column(4):
+                if not blocks.is_valid:
+                    for v in out.values():
+                        v.append(None)
+                    continue
+                x = np.concatenate([np.frombuffer(b["pcm"], np.int8) for b in blocks.as_py()]).astype(np.int64)
+                raw = (x + 128).astype(np.uint8).tobytes()
+                out["payload_bytes"].append(len(raw))
+                out["payload_sha256"].append(hashlib.sha256(raw).hexdigest())
+                out["tail_crc32"].append(zlib.crc32(raw[-16:]))
+                out["feature"].append(features(x))
+            cols = [pa.array(out[k], t) for k, t in (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols, batch.column(2), batch.column(3), pa.array(out["feature"], pa.string())], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    kind = pcm.schema["doc_id"].dataType.simpleString()
+    return pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

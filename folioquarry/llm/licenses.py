@@ -1,13 +1,14 @@
 """Licence scans by a generalised suffix automaton of licence words.
 
 The automaton holds every run of words of every template. A text is streamed through it: after each word, the state and
-the length say the longest run that ends there and stands in a template (the matching statistics). Long runs that can't
-be extended are matches; each template's matches are chained in order, and what the chain covers of the template is its
-score. Words that no template has lead to the root, so only stretches of two or more known words are walked.
+the length say the longest run that ends there and stands in a template (the matching statistics). Runs of LEAST_MATCH
+words and more are matches; each template's matches are chained in order, and what the best chain covers of the template is
+its score. Words that no template has lead to the root, so only stretches of two or more known words are walked.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.llm.common import NOT_ALNUM, small_batches, views, words
 
-# Phrases that name a licence, and opening words of common licence notices.
+# Phrases that name a licence, opening words of common licence notices, and whole texts of short licences.
 PHRASES = [
     ("gpl", "gnu general public license"),
     ("apache", "apache license"),
@@ -33,6 +34,44 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("gpl", """this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+      see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see"""),
+    ("apache", """unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+      either express or implied see the license for the specific language governing permissions and limitations under the license"""),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including
+      without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+      following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any
+      kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable
+      for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""),
+    ("mit", """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no
+      event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+      or the use or other dealings in the software"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above
+      copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in
+      the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+      from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to
+      the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special
+      exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+      liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all
+      copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be
+      liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+      arising out of or in connection with the use or performance of this software"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone
+      to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be
+      misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2
+      altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"""),
+    ("bsl", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display
+      distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the
+      copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in
+      part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a
+      compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+      in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of
+      relinquishment in perpetuity of all present and future rights to this software under copyright law"""),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 LEAST_MATCH = 3  # words
 LEAST_COVER = 0.6  # of a template
@@ -89,6 +128,16 @@ class Automaton:
         return (self.next[v][w], length + 1) if w in self.next[v] else (0, 0)
 
 
+def shortest(automaton: Automaton) -> list[int]:
+    """For each state, the one on its way to the root whose runs have the last LEAST_MATCH words of its own."""
+    out = []
+    for v in range(len(automaton.size)):
+        while v > 0 and automaton.size[automaton.link[v]] >= LEAST_MATCH:
+            v = automaton.link[v]
+        out.append(v)
+    return out
+
+
 class Scanner:
     def __init__(self) -> None:
         all_ = [text.split() for _, text in PHRASES + TEMPLATES]
@@ -110,46 +159,49 @@ class Scanner:
                 found += [(t, k) for t, k in self.automaton.ends[u] if t < n and k == len(self.sequences[t]) and self.automaton.size[self.automaton.link[u]] < k <= min(most, self.automaton.size[u])]
                 u = self.automaton.link[u]
             self.phrases.append(tuple(set(found)))
+        self.shortest = shortest(self.automaton)
 
     def scan(self, ids: list[int], first: int, places: list[tuple[int, int]], matches: list[tuple[int, int, int]]) -> None:
-        """Walks known words that stand together from `first` on; adds (phrase, start) and (end, length, state)."""
-        step, phrases = self.automaton.step, self.phrases
+        """Walks known words that stand together from `first` on; adds (phrase, start) and (end, length, state).
+
+        Wherever the longest run reaches LEAST_MATCH words, its last ones are a match, by the state that stands for just
+        these: a run of one template may go on where that of another ends, or reach further back."""
+        step, phrases, shortest = self.automaton.step, self.phrases, self.shortest
         v = length = 0
         for k, w in enumerate(ids):
-            before, had = v, length
             v, length = step(v, length, w)
-            if had >= LEAST_MATCH and length <= had:
-                matches.append((first + k, had, before))
+            if length >= LEAST_MATCH:
+                matches.append((first + k + 1, LEAST_MATCH, shortest[v]))
             for t, size in phrases[v]:
                 if length >= size:
                     places.append((t, first + k + 1 - size))
-        if length >= LEAST_MATCH:
-            matches.append((first + len(ids), length, v))
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end word, share of the template) of each template's best chain of matches."""
+        """(label, first word, end word, share of the template) of each template's best chain of matches.
+
+        A match says which word of the text is which word of a template. The best chain takes the most words of the template
+        in order, each from a word of the text further on: a longest increasing subsequence of such pairs, so matches that
+        overlap are cut where it pays."""
+        pairs: dict[int, set[tuple[int, int]]] = {}
+        for end, length, state in matches:
+            for t, at in self.automaton.ends[state]:
+                if t >= len(PHRASES):
+                    pairs.setdefault(t, set()).update((end - k, k - at) for k in range(1, min(length, at) + 1))
         out = []
-        for t in range(len(PHRASES), len(self.sequences)):
-            total = len(self.sequences[t])
-            best = np.zeros(total + 1, np.int64)  # words covered by a chain that ends at or before a template word
-            since = np.full(total + 1, -1)
-            until, reached = 0, -1
-            for end, length, state in matches:  # in order of end
-                length = min(length, end - until)
-                for at in [k for s, k in self.automaton.ends[state] if s == t]:
-                    size = min(length, at)
-                    if size >= 1:
-                        got = best[at - size] + size
-                        if got > best[at]:
-                            start = since[at - size] if best[at - size] else end - size
-                            higher = np.arange(total + 1)[at:][best[at:] < got]
-                            best[higher] = got
-                            since[higher] = start
-                            reached = end
-                if any(s == t for s, _ in self.automaton.ends[state]):
-                    until = end
-            if reached >= 0:
-                out.append(((PHRASES + TEMPLATES)[t][0], int(since[total]), reached, float(best[total]) / total))
+        for t, found in pairs.items():
+            # Template places are negated back here: of pairs of one text word the furthest place comes first, so a chain has one.
+            tails: list[int] = []
+            at_tail: list[tuple[int, int]] = []  # (text word, first text word of the chain) by length
+            for i, minus in sorted(found):
+                j = -minus
+                k = bisect_left(tails, j)
+                first = at_tail[k - 1][1] if k else i
+                if k == len(tails):
+                    tails.append(j)
+                    at_tail.append((i, first))
+                else:
+                    tails[k], at_tail[k] = j, (i, first)
+            out.append(((PHRASES + TEMPLATES)[t][0], at_tail[-1][1], at_tail[-1][0] + 1, len(tails) / len(self.sequences[t])))
         return out
 
 

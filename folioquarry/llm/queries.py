@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm.flac import read_back, stored
+from folioquarry.llm.common import saved, work_dir
+from folioquarry.llm.flac import pcm_rows, read_back, stored
 from folioquarry.llm.licenses import licence_scan
 from folioquarry.llm.lm import scored
 from folioquarry.llm.minhash import near_duplicates
@@ -58,7 +59,9 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(stored(documents(spark, sf_dir)))
+    folder = work_dir(spark)
+    media = saved(stored(documents(spark, sf_dir)), "media", folder)
+    return read_back(saved(pcm_rows(media), "pcm", folder))
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

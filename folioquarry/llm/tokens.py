@@ -1,9 +1,9 @@
 """Token counts by pre-token, without ids.
 
-A task keeps a table of distinct pre-tokens with their number of pieces. For each stretch of rows it forms per-row
-pre-token frequencies, counts the pieces of the pre-tokens that its table lacks, once each, joins the two and sums. The
-join is local to the task: a table of all pre-tokens of a corpus can't be broadcast, and shuffling per-row frequencies
-would move more bytes than the texts have. Nothing is shuffled; a row's result depends on its text alone.
+Each row's pre-token frequencies are written to the shared folder. The distinct pre-tokens of the whole table, with the
+number of rows that have them, are counted into pieces once each. That table is joined to the frequencies in two parts: its
+most frequent rows, a bounded number of bytes, are broadcast and joined where the frequencies lie; the others stand in few
+rows each and are joined by a shuffle. A row's count is the sum of both.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import small_batches
+from folioquarry.llm.common import removed, saved, small_batches, work_dir
 
-ENTRIES = 600_000  # of a worker's table; beyond it the table is begun anew
+HELD = 1_000_000  # distinct pre-tokens that a task holds before it passes them on
+SHARED = 16 << 20  # bytes of the table that is broadcast, with 16 for each entry
 STRETCH = 256  # rows whose frequencies are held at once
 
 
@@ -54,8 +55,9 @@ class PreTokens:
             out += [part] if k % 2 else self.find(part)
         return out
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def count(self, pieces: list[str]) -> list[int]:
+        """The number of tokens of each pre-token; no id is read."""
+        return [len(x) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 class RankedIds:
@@ -81,25 +83,20 @@ class RankedIds:
         return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
-_loaded: dict[str, tuple[PreTokens, dict[str, int]]] = {}
+_loaded: dict[str, PreTokens] = {}
+
+
+def pre_tokens(path: str) -> PreTokens:
+    return _loaded.get(path) or _loaded.setdefault(path, PreTokens(path))
 
 
 def count_column(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text."""
-    if path not in _loaded:
-        _loaded[path] = (PreTokens(path), {})
-    pre, table = _loaded[path]
-    if len(table) > ENTRIES:
-        table.clear()
-    out = []
-    for a in range(0, len(texts), STRETCH):
-        frequencies = [Counter(pre.of(t)) for t in texts[a : a + STRETCH]]
-        new = list({p for f in frequencies for p in f if p not in table})
-        for b in range(0, len(new), 20_000):
-            part = new[b : b + 20_000]
-            table.update(zip(part, map(len, pre.encode(part)), strict=True))
-        out += [sum(map(int.__mul__, map(table.__getitem__, f), f.values())) for f in frequencies]
-    return out
+    """Tokens of each of a few texts, in one place."""
+    pre = pre_tokens(path)
+    found = [Counter(pre.of(t)) for t in texts]
+    each = list({p for f in found for p in f})
+    table = dict(zip(each, pre.count(each), strict=True)) if each else {}
+    return [sum(table[p] * n for p, n in f.items()) for f in found]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,13 +105,85 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     Null texts count as empty, with no token. Null ids and repeated rows stay as they are; whole texts of any length are
     counted; an empty table gives an empty result; other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = work_dir(spark)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = pre_tokens(path).of
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            n = pa.array(count_column(texts.to_pylist(), path), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for a in range(0, len(texts), STRETCH):
+                found = [Counter(of(t)) for t in texts[a : a + STRETCH].to_pylist()]
+                cuts = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                piece = pa.array([p for f in found for p in f], pa.string())
+                times = pa.array([n for f in found for n in f.values()], pa.int32())
+                n_bytes = pc.cast(pc.binary_length(texts[a : a + STRETCH]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + STRETCH], n_bytes, pa.ListArray.from_arrays(cuts, piece), pa.ListArray.from_arrays(cuts, times)], names=["doc_id", "n_bytes", "pieces", "times"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    each = saved(rows.mapInArrow(frequencies, f"doc_id {kind}, n_bytes long, pieces array<string>, times array<int>"), "frequencies", folder)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            t = pa.concat_tables(held).group_by("piece").aggregate([("n", "sum")])
+            return pa.RecordBatch.from_arrays([t["piece"].combine_chunks(), t["n_sum"].combine_chunks()], names=["piece", "n"])
+
+        for batch in batches:
+            v = pc.value_counts(batch.column(0).flatten())
+            held.append(pa.table({"piece": v.field("values"), "n": v.field("counts")}))
+            size += len(v)
+            if size > HELD:
+                held = [pa.Table.from_batches([told()])]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield held[0].combine_chunks().to_batches()[0]
+                    held, size = [], 0
+        if size:
+            yield told()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = pre_tokens(path).count
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=["piece", "n", "tokens"])
+
+    once = each.select("pieces").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    table = saved(once.mapInArrow(counted, "piece string, n long, tokens long"), "pieces", folder)  # each distinct pre-token once
+
+    # The most frequent ones, SHARED bytes of them at most, are broadcast; the others, each in few rows, are joined.
+    least = (1 << 14) + 1
+    room = SHARED
+    for c, size in sorted(table.groupBy(F.least("n", F.lit(1 << 14)).alias("c")).agg(F.sum(F.octet_length("piece") + F.lit(16).cast("long")).alias("size")).collect(), reverse=True):  # 1 << 14 rows at most
+        room -= size
+        if room < 0:
+            break
+        least = c
+    frequent = table.where(F.col("n") >= least).select("piece", "tokens").toArrow() if least <= 1 << 14 else table.limit(0).select("piece", "tokens").toArrow()
+    known = spark.sparkContext.broadcast((frequent["piece"].combine_chunks(), frequent["tokens"].to_numpy()))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, tokens = known.value
+        for batch in batches:
+            lists = batch.column(2)
+            flat, times = lists.flatten(), batch.column(3).flatten()
+            of = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            at = pc.index_in(flat, value_set=pieces).to_numpy(zero_copy_only=False) if len(pieces) else np.full(len(flat), np.nan)
+            hit = ~np.isnan(at.astype(float))
+            n = times.to_numpy()
+            # Sums stay below 2 ** 53: a batch has fewer bytes.
+            total = np.bincount(of[hit], tokens[at[hit].astype(np.int64)] * n[hit], len(lists)) if hit.any() else np.zeros(len(lists))
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[~hit], minlength=len(lists)))]), pa.int32())
+            rest = pa.array(~hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total.astype(np.int64)), pa.ListArray.from_arrays(cuts, flat.filter(rest)), pa.ListArray.from_arrays(cuts, times.filter(rest))], names=["doc_id", "n_bytes", "n", "pieces", "times"])
+
+    part = each.mapInArrow(joined, f"doc_id {kind}, n_bytes long, n long, pieces array<string>, times array<int>").withColumn("row", F.monotonically_increasing_id())
+    part = saved(part, "known", folder)
+    removed(spark, f"{folder}/frequencies")
+    rest = part.where(F.size("pieces") > 0).select("row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("f"))
+    more = rest.join(table.where(F.col("n") < least).select("piece", "tokens"), "piece").groupBy("row").agg(F.sum(F.col("f") * F.col("tokens")).alias("more"))
+    total = F.col("n") + F.coalesce("more", F.lit(0).cast("long"))
+    return part.select("row", "doc_id", "n_bytes", "n").join(more, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folioquarry.llm.flac import BLOCK, _number, crcs, CRC16, CRC8, decode, encode, parse, payload, pcm_blocks, read_at, read_back, stored
+from folioquarry.llm.flac import BLOCK, _number, crcs, CRC16, CRC8, decode, encode, parse, payload, block_at, pcm_blocks, pcm_rows, read_at, read_back, stored
 
 
 def samples(p):
@@ -69,11 +69,16 @@ def test_partitions_and_constant():
 def test_query_columns(spark):
     rows = [(1, "some text " * 700), (1, "some text " * 700), (2, None), (2, ""), (None, "é" * 96), (3, "z" * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes")
-    out = read_back(stored(df)).collect()
+    pcm = pcm_rows(stored(df))
+    out = read_back(pcm).collect()
     assert len(out) == len(rows) and len({tuple(r) for r in out}) == 4
     for r in out:
         p = payload(next(t for k, t in rows if k == r.doc_id and len((t or "").encode()) == r.n_bytes).encode() if r.n_bytes else b"")
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     blocks = pcm_blocks(stored(df.where("doc_id = 3"))).orderBy("sample_offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == samples(payload(b"z" * 20_000)).astype(np.int8).tobytes()
-    assert read_back(stored(df.limit(0))).count() == 0
+    assert read_back(pcm_rows(stored(df.limit(0)))).count() == 0
+    block = pcm.where("doc_id = 3").selectExpr("*", "9999 AS want").select(block_at("blocks", "want").alias("b")).first().b
+    assert block.sample_offset == 9999 // BLOCK * BLOCK and bytes(block.pcm) == samples(payload(b"z" * 20_000)).astype(np.int8).tobytes()[block.sample_offset :][:BLOCK]
+    gone = stored(df).selectExpr("doc_id", "n_bytes", "CASE WHEN n_bytes > 0 THEN media END AS media")
+    assert sorted(r.n_bytes for r in read_back(pcm_rows(gone)).where("payload_sha256 IS NULL").collect()) == [0, 0]

@@ -61,3 +61,16 @@ def test_edges(spark):
     assert sorted((r.doc_id, list(r.ids)) for r in ids.where("doc_id = 1").collect()) == [(1, []), (1, [])]
     assert {r.text for r in decoded(ids, PIECE).collect()} == {"", "a b"}
     assert token_counts(df.limit(0), BYTE).count() == 0 and encoded(df.limit(0), PIECE, digests=True).count() == 0
+
+
+def test_rare_pre_tokens_are_joined(spark, monkeypatch):
+    """With room for few broadcast entries, most counts come through the shuffled join."""
+    import folioquarry.llm.tokens as t
+
+    rng = random.Random(8)
+    rows = [(k % 40, " ".join(rng.choice(["the", "word", f"n{rng.randrange(900)}", "x" * 30, "é\n"]) for _ in range(rng.randrange(60)))) for k in range(300)] + [(None, None), (1, ""), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS pieces", "2 AS n")
+    want = sorted([(k, len((x or "").encode()), len(tok.encode(x or "", add_special_tokens=False).ids)) for k, x in rows], key=str)
+    for shared in (0, 200, 1 << 20):
+        monkeypatch.setattr(t, "SHARED", shared)
+        assert sorted([(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts(df, BYTE).collect()], key=str) == want

@@ -5,7 +5,10 @@ FREQUENT of them by a threshold read off a histogram, are broadcast; the rest ar
 
 Model. P(id | past) = P(class | past) * P(id | class, past). Classes have about equal mass of training ids, and a binary
 tree over the ids of each (Huffman's, of their counts) gives P(id | class, past) as a product of branches. A self-attention
-layer over vectors of the last CONTEXT ids at least, one for each id, gives both; before training they are the counts'. Each task trains a copy on every window of its training rows and the copies are averaged by weight, vectors of ids and branches by how often each was trained. Scoring cuts a text into windows that overlap by the context, and scores each id, and the end, once.
+layer over vectors of the last CONTEXT ids at least, one for each id, gives both; before training they are the counts'.
+Training rows are dealt into shards by their hash; a copy of the model is trained on every window of each shard's rows, and
+the copies are averaged, vectors of ids and branches by how often each was trained. Scoring cuts a text into windows that
+overlap by the context, and scores each id, and the end, once.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from folioquarry.llm.packing import id_bytes
 
 FREQUENT = 1 << 19
 CLASSES, DIM, CONTEXT, STRIDE, RATE, ROW_RATE = 64, 8, 16, 16, 0.01, 0.1
-BATCH = 64  # windows of a training step at least, fewer than twice as many at most
+BATCH = 128  # windows of a training step at least, fewer than twice as many at most
+SHARD = 1 << 21  # ids of training rows that one copy of the model is trained on, about
+FINE = 1 << 20  # averages are sums of whole numbers, so that they don't depend on the order of summing
 WINDOW = CONTEXT + STRIDE
 PAD = CLASSES
 END_WORD = np.uint64(0x5BD1E9955BD1E995)  # stands for the end among word hashes
@@ -56,12 +61,12 @@ def forward(p: dict[str, np.ndarray], x_class: np.ndarray) -> tuple[np.ndarray,
     x = p["E"][x_class] + p["P"]
     top = x[:, CONTEXT:]
     q, k, v = top @ (p["Q"] / np.float32(DIM**0.5)), x @ p["K"], x @ p["V"]
-    a = q @ k.transpose(0, 2, 1) + MASK
+    a = np.clip(q @ k.transpose(0, 2, 1), -60, 60) + MASK
     a = np.exp(a - a.max(2, keepdims=True))
     a /= a.sum(2, keepdims=True)
     mixed = a @ v
     h = np.tanh(mixed @ p["O"] + top)
-    z = h @ p["W"] + p["b"]
+    z = np.minimum(h @ p["W"] + p["b"], 60)
     z -= z.max(2, keepdims=True)
     z -= np.log(np.exp(z).sum(2, keepdims=True))
     return z, (x_class, x, top, q, k, v, a, mixed, h)
@@ -176,10 +181,70 @@ def within_class(u: np.ndarray, h: np.ndarray, of: np.ndarray, node: np.ndarray,
 
 def summed_rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct places, the sum of g at each, how often it stands there)."""
-    order = np.argsort(at, kind="stable")
-    a = at[order]
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")  # 16 bits: a radix sort
+    a = at.take(order)
     first = np.flatnonzero(np.diff(a, prepend=-1))
-    return a[first], np.add.reduceat(g[order], first, axis=0), np.diff(np.append(first, len(a)))
+    return a[first], np.add.reduceat(g.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(a)))
+
+
+def learned(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, class_of: np.ndarray, tree: tuple) -> tuple[dict[str, np.ndarray], list[tuple[str, np.ndarray, np.ndarray]], int]:
+    """(gradients of the mean loss by what isn't looked up; (table, places, rows of gradients of the summed loss); targets).
+
+    What forward(), gradients() and within_class() give, in fewer passes over what doesn't fit a cache: attention and classes
+    stay unnormalised, and their sums are divided out of what has DIM columns."""
+    n, t = len(x), target.ravel()
+    live = np.flatnonzero(t >= 0)
+    t, total = t[live], np.float32(max(len(live), 1))
+    ids = x.ravel()
+    x3 = p["E"].take(ids, axis=0).reshape(n, WINDOW, DIM) + p["P"]
+    flat, top = x3.reshape(-1, DIM), x3[:, CONTEXT:].reshape(-1, DIM)
+    query = p["Q"] / np.float32(DIM**0.5)
+    q, k, v = ((m @ w).reshape(n, -1, DIM) for m, w in ((top, query), (flat, p["K"]), (flat, p["V"])))
+    e = q @ k.transpose(0, 2, 1)
+    np.clip(e, -60, 60, out=e)
+    np.exp(e, out=e)
+    e *= OPEN
+    over = 1 / (e @ np.ones(WINDOW, np.float32))[..., None]
+    mixed = ((e @ v) * over).reshape(-1, DIM)
+    h = np.tanh(mixed @ p["O"] + top)
+    z = h @ p["W"]
+    z += p["b"]
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    weight = np.zeros(len(z), np.float32)
+    weight[live] = 1 / total
+    z *= (weight / (z @ ONES))[:, None]
+    z[live, class_of[t]] -= 1 / total
+    g = {"W": h.T @ z, "b": np.ones(len(z), np.float32) @ z}
+    dh = z @ p["W"].T
+    of, node, way = branches(tree, t)
+    changes = []
+    if len(of):
+        hs, us = h.take(live[of], axis=0), p["U"].take(node, axis=0)
+        d = -way / (1 + np.exp(np.clip(way * (np.einsum("ij,ij->i", hs, us[:, :DIM]) + us[:, DIM]), -60, 60)))
+        du = np.empty_like(us)
+        np.multiply(d[:, None], hs, out=du[:, :DIM])
+        du[:, DIM] = d
+        first = np.flatnonzero(np.diff(of, prepend=-1))  # of ascends
+        dh[live[of[first]]] += np.add.reduceat(d[:, None] * us[:, :DIM], first, axis=0) / total
+        changes.append(("U", node, du))
+    ds = dh * (1 - h * h)
+    g["O"] = mixed.T @ ds
+    dm = ds @ p["O"].T
+    both = np.einsum("ij,ij->i", dm, mixed).reshape(n, STRIDE, 1) * over
+    dm = dm.reshape(n, STRIDE, DIM) * over
+    dv = (e.transpose(0, 2, 1) @ dm).reshape(-1, DIM)
+    da = dm @ v.transpose(0, 2, 1)
+    da -= both
+    da *= e
+    dq, dk = (da @ k).reshape(-1, DIM), (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    g["Q"] = top.T @ dq / np.float32(DIM**0.5)
+    g["K"], g["V"] = flat.T @ dk, flat.T @ dv
+    dx = (dk @ p["K"].T + dv @ p["V"].T).reshape(n, WINDOW, DIM)
+    dx[:, CONTEXT:] += (ds + dq @ query.T).reshape(n, STRIDE, DIM)
+    g["P"] = dx.sum(0)
+    changes.append(("E", ids, dx.reshape(-1, DIM) * total))
+    return g, changes, len(live)
 
 
 def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, tree: tuple, often: dict[str, np.ndarray]) -> int:
@@ -190,23 +255,9 @@ def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarr
     m1, m2, t, seen = {k: np.zeros_like(p[k]) for k in dense}, {k: np.zeros_like(p[k]) for k in dense}, 0, 0
     squares = {k: np.ones_like(p[k]) for k in "EU"}
     for x, target in batches:
-        weight = (target >= 0).astype(np.float32)
-        total = np.float32(max(weight.sum(), 1))
-        logp, kept = forward(p, x)
-        h, live = kept[-1].reshape(-1, DIM), np.flatnonzero(target.ravel() >= 0)
-        of, node, way = branches(tree, target.ravel()[live])
-        of = live[of]
-        _, du, each = within_class(p["U"], h, of, node, way)
-        dh = np.zeros_like(h)
-        changes = []
-        if len(of):
-            rows, sums, _ = summed_rows(of, each)
-            dh[rows] = sums
-            changes.append(("U", node, du))
-        g, dx = gradients(p, logp, kept, np.where(target >= 0, class_of[np.maximum(target, 0)], 0), weight, (dh / total).reshape(kept[-1].shape))
-        changes.append(("E", x.ravel(), dx.reshape(-1, DIM) * total))
+        g, changes, n = learned(p, x, target, class_of, tree)
         t += 1
-        seen += int(weight.sum())
+        seen += n
         for k in dense:
             m1[k] = 0.9 * m1[k] + 0.1 * g[k]
             m2[k] = 0.99 * m2[k] + 0.01 * g[k] * g[k]
@@ -232,23 +283,19 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def target_logs(p: dict[str, np.ndarray], x_class: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What forward() says of the targets' classes, and its h, with fewer passes over what doesn't fit a cache."""
-    x = p["E"][x_class] + p["P"]
-    top = x[:, CONTEXT:]
-    a = (top @ (p["Q"] / np.float32(DIM**0.5))) @ (x @ p["K"]).transpose(0, 2, 1)
-    if np.abs(a).max() > 60:
-        a -= a.max(2, keepdims=True)
-        np.maximum(a, -80, out=a)
+    n = len(x_class)
+    x = p["E"].take(x_class.ravel(), axis=0).reshape(n, WINDOW, DIM) + p["P"]
+    rows, top = x.reshape(-1, DIM), x[:, CONTEXT:]
+    a = (top @ (p["Q"] / np.float32(DIM**0.5))) @ (rows @ p["K"]).reshape(n, WINDOW, DIM).transpose(0, 2, 1)
+    np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
     a *= OPEN
-    h = np.tanh((a @ (x @ p["V"])) / a.sum(2, keepdims=True) @ p["O"] + top)
-    flat = h.reshape(-1, DIM)
+    mixed = (a @ (rows @ p["V"]).reshape(n, WINDOW, DIM)) / (a @ np.ones(WINDOW, np.float32))[..., None]
+    flat = np.tanh(mixed.reshape(-1, DIM) @ p["O"] + top.reshape(-1, DIM))
     z = flat @ p["W"]
     z += p["b"]
+    np.minimum(z, 60, out=z)
     own = z[np.arange(len(flat)), target.ravel()]
-    most = z.max()
-    if most > 60:
-        own = own - most
-        z -= most
     np.exp(z, out=z)
     return (own - np.log(z @ ONES)).reshape(target.shape), flat
 
@@ -263,7 +310,10 @@ def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.nd
     made = [windows(r, given, end, pad) for r in rows]
     if not made:
         return []
-    x, target = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+    # Steps of one shape, the last one filled up, so that what is said of a window doesn't depend on those beside it.
+    count = sum(len(m[0]) for m in made)
+    x = np.concatenate([*(m[0] for m in made), np.full((-count % 256, WINDOW), pad)])
+    target = np.concatenate([*(m[1] for m in made), np.full((-count % 256, STRIDE), -1)])
     out = np.empty(len(x))
     for a in range(0, len(x), 256):
         t = target[a : a + 256]
@@ -273,12 +323,12 @@ def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.nd
             each = own / np.log(10) + within[t0]
         else:
             of, node, way = branches(tree, t0.ravel())
-            us = p["U"][node]
-            s = np.clip(way * ((h[of] * us[:, :DIM]).sum(1) + us[:, DIM]), -60, 60)
+            us = p["U"].take(node, axis=0)
+            s = np.clip(way * (np.einsum("ij,ij->i", h.take(of, axis=0), us[:, :DIM]) + us[:, DIM]), -60, 60)
             each = (own - np.bincount(of, np.log1p(np.exp(-s)), t.size).reshape(t.shape)) / np.log(10)
         out[a : a + 256] = np.where(t >= 0, each, 0).sum(1)
-    cuts = np.cumsum([0, *(len(m[0]) for m in made)])[:-1]
-    return np.add.reduceat(out, cuts).tolist()
+    cuts = np.cumsum([0, *(len(m[0]) for m in made)])
+    return [float(out[a:b].sum()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 # The base
@@ -290,11 +340,12 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return u, np.bincount(inverse, c, len(u)).astype(np.int64)
 
 
-def scored(docs: DataFrame, path: str, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, path: str, end_id: int = 50257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty and have the end alone. A null doc_id counts as the empty text for the fold. Repeated rows count
-    as often as they stand there. If no row is in training, N and V are 0 and no word is known: base_score is then null
+    as often as they stand there. end_id is a symbol of its own, beyond the vocabulary. The score is the same for any
+    partitioning of docs, but for rounding below 1e-4: shards of training rows are dealt by rows' hashes and trained in the order of these. If no row is in training, N and V are 0 and no word is known: base_score is then null
     for the logarithm of 1/0 doesn't exist. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -418,22 +469,25 @@ def scored(docs: DataFrame, path: str, end_id: int = 50256, id_col: str = "doc_i
     width = DIM + 1
     values = [f"v{d}" for d in range(width)]
 
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trained(table: pa.Table) -> pa.Table:
         class_of, _, prior, tree = shared.value
         p = whole(prior, class_of, tree)
         often = {k: np.zeros(len(p[k])) for k in "EU"}
-        rows = (np.frombuffer(raw, "<u2").astype(np.int64) for batch in batches for raw in batch.column(0).to_pylist())
-        seen = train(p, batched(rows, len(class_of), end_id), class_of, tree, often)
-        if seen:
-            flat = np.concatenate([p[k].ravel() for k, _ in dense])
-            flat = np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
-            table = np.concatenate([np.pad(p["E"], ((0, 0), (0, 1))), p["U"], flat]).astype(float)
-            weight = np.concatenate([often["E"], often["U"], np.full(len(flat), float(seen))])
-            on = np.flatnonzero(weight)  # what this task has trained
-            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(weight[on]), *(pa.array(table[on, d]) for d in range(width))], names=["row", "weight", *values])
-
-    copies = ids.where("not held_out").select("ids").mapInArrow(trained, "row long, weight double, " + ", ".join(f"{v} double" for v in values))
-    mean = copies.groupBy("row").agg(*[(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).alias(v) for v in values]).toPandas()  # a row for each id and branch at most
+        raw = table["ids"].take(pc.sort_indices(table, sort_keys=[("key", "ascending")])).to_pylist()
+        seen = train(p, batched((np.frombuffer(r, "<u2").astype(np.int64) for r in raw), len(class_of), end_id), class_of, tree, often)
+        flat = np.concatenate([p[k].ravel() for k, _ in dense])
+        flat = np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
+        values_ = np.concatenate([np.pad(p["E"], ((0, 0), (0, 1))), p["U"], flat]).astype(float)
+        weight = np.ceil(np.sqrt(np.concatenate([often["E"], often["U"], np.full(len(flat), float(seen))]))).astype(np.int64)
+        on = np.flatnonzero(weight)  # what this shard has trained
+        whole_numbers = np.round(np.clip(values_[on], -1000, 1000) * FINE).astype(np.int64) * weight[on][:, None]
+        return pa.table([pa.array(on), pa.array(weight[on]), *(pa.array(whole_numbers[:, d]) for d in range(width))], names=["row", "weight", *values])
+
+    shards = max(1, -(-int(vocabulary.sum()) // SHARD))  # by rows' own hash, so that partitions don't matter
+    rows_of = ids.where("not held_out").select("key", "ids", F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"))
+    copies = rows_of.groupBy("shard").applyInArrow(trained, "row long, weight long, " + ", ".join(f"{v} long" for v in values))
+    # A row for each id and branch at most. Weights are square roots of how often a row was trained.
+    mean = copies.groupBy("row").agg(*[(F.sum(v).cast("double") / F.sum("weight") / FINE).alias(v) for v in values]).toPandas()
     model = whole(prior, class_of, tree)
     if len(mean):
         flat = np.concatenate([model[k].ravel() for k, _ in dense])

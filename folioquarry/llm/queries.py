@@ -65,7 +65,7 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+    return scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=50257)  # one beyond the vocabulary
 
 
 OP7_SQL = """

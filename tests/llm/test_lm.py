@@ -82,8 +82,8 @@ def test_model_beats_its_prior_on_held_out_rows(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     score = lambda: sum(r.score for r in lm.scored(docs, PATH).where("held_out").collect())
     trained = score()
-    monkeypatch.setattr(lm, "train", lambda *a: 0)
-    assert trained > 0.97 * score() and trained < 0
+    monkeypatch.setattr(lm, "train", lambda p, batches, *a: sum(0 for _ in batches))
+    assert trained > 0.85 * score() and trained < 0
 
 
 def test_every_window_of_training_rows_is_trained_on(spark, monkeypatch, tmp_path):
@@ -100,7 +100,7 @@ def test_every_window_of_training_rows_is_trained_on(spark, monkeypatch, tmp_pat
     assert lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), PATH).count() == len(rows)
     found = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
     assert sum(n for _, n in found) == sum(len(lm.id_bytes(t, PATH)) // 4 + 1 for k, t in rows if not lm.held_out([k])[0])
-    assert max(n for n, _ in found) < 128  # a long row doesn't make one large step
+    assert max(n for n, _ in found) < 2 * lm.BATCH  # a long row doesn't make one large step
 
 
 def test_ids_of_one_class_are_told_apart_by_what_came_before():
@@ -127,3 +127,66 @@ def test_ids_of_one_class_are_told_apart_by_what_came_before():
     of, node, way = lm.branches(tree, np.arange(69))
     logs = np.bincount(of, lm.within_class(p["U"], h[None], of * 0, node, way)[0], 69) + base[0].reshape(-1, lm.CLASSES)[2][class_of]
     assert abs(np.exp(logs).sum() - 1) < 1e-4 and len(set(np.round(one, 6))) > 8
+
+
+def small():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, 300)
+    class_of, within, prior = lm.classes(counts)
+    tree = lm.grown(counts, class_of)
+    p = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in lm.whole(prior, class_of, tree).items()}
+    return rng, p, class_of, within, tree
+
+
+def test_fast_gradients_and_scores_equal_the_plain_ones():
+    rng, p, class_of, within, tree = small()
+    p["b"] = np.where(p["b"] < -1e6, -1e9, p["b"]).astype(np.float32)
+    for size in (1, 40):
+        for large in (1, 4):
+            big = dict(p, Q=p["Q"] * large)
+            x, t = rng.integers(0, 301, (size, lm.WINDOW)), rng.integers(-1, 300, (size, lm.STRIDE))
+            g, changes, n = lm.learned(big, x, t, class_of, tree)
+            logp, kept = lm.forward(big, x)
+            live = np.flatnonzero(t.ravel() >= 0)
+            of, node, way = lm.branches(tree, t.ravel()[live])
+            _, du, each = lm.within_class(big["U"], kept[-1].reshape(-1, lm.DIM), live[of], node, way)
+            dh = np.zeros((t.size, lm.DIM))
+            np.add.at(dh, live[of], each / n)
+            w = (t >= 0).astype(np.float32)
+            want, dx = lm.gradients(big, logp, kept, np.where(t >= 0, class_of[np.maximum(t, 0)], 0), w, dh.reshape(kept[-1].shape))
+            assert n == len(live) and all(np.allclose(g[k], want[k], atol=2e-4) for k in want)
+            assert np.allclose(changes[0][2], du, atol=1e-4) and np.allclose(changes[1][2], dx.reshape(-1, lm.DIM) * n, atol=2e-2)
+            own, h = lm.target_logs(big, x, class_of[np.maximum(t, 0)])
+            assert np.allclose(own, np.take_along_axis(logp, class_of[np.maximum(t, 0)][..., None], 2)[..., 0], atol=1e-3) and np.allclose(h, kept[-1].reshape(-1, lm.DIM), atol=1e-4)
+
+
+def test_scores_equal_one_id_after_another():
+    """log_scores against the plain forward pass, class and branches of one id at a time."""
+    rng, p, class_of, within, tree = small()
+    p["b"] = np.where(p["b"] < -1e6, -1e9, p["b"]).astype(np.float32)
+    for n in (0, 1, 15, 16, 40):
+        ids = rng.integers(0, 299, n)
+        x, target = lm.windows(ids, np.arange(300), 299, 300)
+        logp, kept = lm.forward(p, x)
+        h, total = kept[-1].reshape(-1, lm.DIM), 0.0
+        for at, i in enumerate([*ids.tolist(), 299]):
+            of, node, way = lm.branches(tree, np.array([i]))
+            total += logp.reshape(-1, lm.CLASSES)[at, class_of[i]] + lm.within_class(p["U"], h[at : at + 1], of, node, way)[0].sum()
+        assert abs(lm.log_scores(p, [ids], class_of, within, 299, tree)[0] - total / math.log(10)) < 1e-3 * max(1, n)
+
+
+def test_score_does_not_depend_on_partitions(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    one, eight, many = (sorted((r.doc_id, r.score, r.base_score) for r in lm.scored(docs.repartition(n), PATH).collect()) for n in (1, 8, 64))
+    for a, b, d in zip(one, eight, many, strict=True):  # but for the rounding of sums in single precision
+        assert a[0] == b[0] == d[0] and max(abs(a[k] - x[k]) for k in (1, 2) for x in (b, d)) < 1e-4
+
+
+def test_long_words_alike_under_a_polynomial_are_told_apart(spark):
+    """Two words of 1,024 letters that complement each other by the Thue-Morse rule."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rows = [(k, a) for k in range(4)] + [(k, b) for k in range(100, 140) if zlib.crc32(str(k).encode()) % 7 == 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(got(df), key=str) == sorted(brute(rows), key=str)

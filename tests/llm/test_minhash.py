@@ -76,3 +76,19 @@ def test_many_near_copies_of_one_text(spark):
             copy[rng.randrange(120)] = rng.choice("abcdef")
         rows.append((k, " ".join(copy)))
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_long_words_and_ids_of_text(spark):
+    """Words of 1,024 letters that a polynomial modulo a power of two takes for one another; ids needn't be numbers."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rows = [(1, f"x {a} y"), (2, f"x {a} y"), (3, f"x {b} y"), (4, b), (5, a)]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    named = [(f"d{k}", t) for k, t in rows]
+    assert result(near_duplicates(spark.createDataFrame(named, "doc_id string, text string"))) == brute(named)
+
+
+def test_all_links_of_sf001_are_found(spark):
+    """Recall against an exact computation over the whole table: shared shingles counted by an inverted index."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -35,8 +35,9 @@ def test_equals_brute_force(spark):
 def test_blocks(spark, monkeypatch):
     import folioquarry.llm.topk as t
 
-    monkeypatch.setattr(t, "QUERIES", 16)
-    monkeypatch.setattr(t, "CANDIDATES", 64)
+    monkeypatch.setattr(t, "QUERY_BYTES", 6000)
+    monkeypatch.setattr(t, "FIRST", 40)
+    monkeypatch.setattr(t, "SIDE", 16)
     rng = random.Random(8)
     rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(33)]) for i in range(500)]
     assert got(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows, 5)

@@ -27,6 +27,12 @@ def is_overdue(now: Column, status: str = "status", due: str = "due_date") -> Co
     return (F.col(status) == "OVERDUE") | ((F.col(status) == "BORROWED") & (F.col(due) < now))
 
 
+def optional_bound(name: str, value: object, op: str) -> Column:
+    """name >= value or name <= value; without a value, whatever isn't null."""
+    c, v = F.col(name), F.coalesce(F.lit(value), F.col(name))
+    return {">=": c >= v, "<=": c <= v}[op]
+
+
 def is_unpaid_fine() -> Column:
     return (F.col("fine_amount") > 0) & F.col("fine_paid_at").isNull() & F.col("fine_waived_by").isNull()
 

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquarry.functions.columns import contains, isbn_digits
-from folioquarry.operators.circulation import count_if, ebook_counts, filled, zero
-
-
-def book_search(books: DataFrame, reviews: DataFrame, q: str | None = None, title: str | None = None, isbn: str | None = None, category: str | None = None, language: str | None = None, author: str | None = None, available_only: bool | None = None) -> DataFrame:
-    """Books that aren't deleted and meet each given condition, with rating statistics (0 without reviews)."""
-    out = books.where(~F.col("deleted"))
+from folioquarry.functions.columns import contains, isbn_digits, signature
+from folioquarry.operators.circulation import count_if, filled, zero
+from folioquarry.operators.lending import live, member_state, with_member
+from folioquarry.operators.paging import head_of
+
+
+def book_search(
+    books: DataFrame, reviews: DataFrame, q: str | None = None, title: str | None = None, isbn: str | None = None, category: str | None = None, language: str | None = None, author: str | None = None,
+    available_only: bool | None = None, category_id: int | None = None, author_id: int | None = None, author_name: str | None = None, links: DataFrame | None = None, authors: DataFrame | None = None,
+) -> DataFrame:
+    """Books that aren't deleted and meet each given condition, with rating statistics (0 without reviews).
+
+    links (book_id, author_id) and authors (id, name) are needed for conditions on authors: a book stays once, however
+    many of its authors match. Null texts meet no condition on them; an empty table gives an empty result."""
+    out = live(books)
+    if category_id is not None:
+        out = out.where(F.col("category_id") == category_id)
+    if author_id is not None or author_name is not None:
+        out = books_by_author(out, links, authors, author_id, author_name)
     for test in (contains(q, "title", "isbn"), contains(title, "title"), contains(isbn, "isbn"), contains(author, "author")):
         if test is not None:
             out = out.where(test)
@@ -24,7 +36,60 @@ def book_search(books: DataFrame, reviews: DataFrame, q: str | None = None, titl
     return out.join(review_stats(reviews).withColumnRenamed("book_id", "id"), "id", "left").select("id", "title", "isbn", "language", "author", "available_copies", F.coalesce("average", F.lit(0.0)).alias("average"), F.coalesce("n_reviews", zero()).alias("n_reviews"))
 
 
+def books_by_author(books: DataFrame, links: DataFrame, authors: DataFrame, author_id: int | None = None, author_name: str | None = None) -> DataFrame:
+    """books of an author (by id or a part of the name, in any case): a semi-join, so no book comes twice."""
+    who = authors if author_id is None else authors.where(F.col("id") == author_id)
+    test = contains(author_name, "name")
+    who = who if test is None else who.where(test)
+    hit = links.join(who.select(F.col("id").alias("author_id")), "author_id", "left_semi").select(F.col("book_id").alias("_author_book"))
+    return books.join(hit, F.col("id") == F.col("_author_book"), "left_semi")
+
+
+def book_details(books: DataFrame, links: DataFrame, authors: DataFrame, categories: DataFrame, copies: DataFrame) -> DataFrame:
+    """Live books with their category's name (null without one), authors sorted by name and copies sorted by id, both
+    aggregated before the join; a book without any gets an empty list."""
+    a = links.join(authors.select(F.col("id").alias("author_id"), "name"), "author_id").groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", F.col("author_id").alias("id")))).alias("authors"))
+    c = live(copies).groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("id"), "barcode"))).alias("copies"))
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    b = live(books).select("id", "title", "category_id").join(a, "id", "left").join(c, "id", "left").join(names, "category_id", "left")
+    return b.select("id", "title", "category_name", F.coalesce("authors", F.expr("array()")).alias("authors"), F.coalesce("copies", F.expr("array()")).alias("copies"))
+
+
+def ebook_titles(ebooks: DataFrame, books: DataFrame) -> DataFrame:
+    """E-books with the title of their book, "N/A" where it isn't there, and a caption cut to 255 characters."""
+    t = books.select(F.col("id").alias("book_id"), F.col("title").alias("_title"))
+    return ebooks.select("id", "book_id").join(t, "book_id", "left").select("id", F.coalesce("_title", F.lit("N/A")).alias("title"), F.substring(F.concat(F.lit("Book cover for "), F.coalesce("_title", F.lit(""))), 1, 255).alias("caption"))
+
+
+def newest_ebooks(ebooks: DataFrame) -> DataFrame:
+    """The ACTIVE e-book with the largest id of each book."""
+    return head_of(ebooks.where("status = 'ACTIVE'"), ["book_id"], F.desc("id")).select("book_id", "id", "original_filename")
+
+
+def isbn_repairs(books: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """updates: book_id, old_isbn, new_isbn. (issues: issue, book_id; books with the new ISBNs).
+
+    Issues: the book isn't there or has another ISBN; the new ISBN is at another book; it is twice in the list; it isn't
+    thirteen digits. Comparisons between books ignore case. Books without an update keep their ISBN; of several updates
+    the smallest ISBN counts."""
+    u = updates.select("book_id", "old_isbn", "new_isbn")
+    own = books.select(F.col("id").alias("book_id"), F.col("isbn").alias("_isbn"))
+    key = lambda c: F.lower(F.col(c))
+    said = lambda issue, df: df.select(F.lit(issue).alias("issue"), F.col("book_id"))
+    mismatch = u.join(own, "book_id", "left").where(F.col("_isbn").isNull() | (F.col("_isbn") != F.col("old_isbn")))
+    other = books.select(F.col("id").alias("_id"), F.lower("isbn").alias("_key"))
+    taken = u.join(other, (key("new_isbn") == F.col("_key")) & (F.col("book_id") != F.col("_id")), "left_semi")
+    twice = u.groupBy(key("new_isbn").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    double = u.join(twice.select("_key"), key("new_isbn") == F.col("_key"), "left_semi")
+    malformed = u.where(~F.coalesce(F.col("new_isbn").rlike("^[0-9]{13}$"), F.lit(False)))
+    issues = said("MISSING_OR_OLD_ISBN_MISMATCH", mismatch).unionByName(said("NEW_ISBN_ALREADY_EXISTS_ON_OTHER_BOOK", taken)).unionByName(said("DUPLICATE_NEW_ISBN_IN_UPDATE_LIST", double)).unionByName(said("NEW_ISBN_NOT_13_DIGITS", malformed))
+    new = updates.groupBy(F.col("book_id").alias("_book")).agg(F.min("new_isbn").alias("_new"))
+    fixed = books.join(new, F.col("id") == F.col("_book"), "left").select("id", F.coalesce("_new", "isbn").alias("isbn"))
+    return issues, fixed
+
+
 def review_stats(reviews: DataFrame) -> DataFrame:
+    """Mean rating and number of reviews of each book that has any; null ratings count as reviews, not in the mean."""
     return reviews.groupBy("book_id").agg(F.avg("rating").alias("average"), F.count("*").alias("n_reviews"))
 
 
@@ -47,6 +112,7 @@ def category_authors(books: DataFrame) -> DataFrame:
 
 
 def unreviewed(books: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Books without a review, all columns."""
     return books.join(reviews.select(F.col("book_id").alias("id")), "id", "left_anti")
 
 
@@ -59,55 +125,82 @@ def isbn_clashes(books: DataFrame) -> DataFrame:
     return key.join(group, "key").select("id", "isbn", "first_id", "n")
 
 
-def receipts(payments: DataFrame, books: DataFrame, loans: DataFrame, members: DataFrame) -> DataFrame:
-    """Payments with the title of what they are for: a book of either target type, else its type and id."""
-    ebook = books.select(F.col("id").alias("ebook"), F.col("title").alias("ebook_title"))
-    target = loans.groupBy("book_id").agg(F.min("id").alias("loan_id")).select(F.col("book_id").alias("loan_book"), "loan_id")
-    fine = books.select(F.col("id").alias("fine_book"), F.concat(F.lit("Fine: "), "title").alias("fine_title"))
-    j = payments.join(ebook, (F.col("target_type") == "BOOK_EBOOK") & (F.col("ebook") == F.col("target_id")), "left").join(target, (F.col("target_type") == "BORROW_RECORD") & (F.col("loan_book") == F.col("target_id")), "left").join(fine, F.col("fine_book") == F.col("loan_book"), "left")
-    j = j.join(members.select(F.col("id").alias("member_id"), "full_name", "email"), "member_id")
-    return j.select("id", "payment_code", "provider", "target_type", "status", "amount", "currency", "paid_at", "created_at", "full_name", "email", F.coalesce("ebook_title", "fine_title", F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string"))).alias("title"))
+def receipts(payments: DataFrame, ebooks: DataFrame, books: DataFrame, loans: DataFrame, members: DataFrame) -> DataFrame:
+    """Payments of members with the title of what they are for: the book of an e-book or of a fined loan, else type and id."""
+    titles = lambda x: books.select(F.col("id").alias(f"_{x}_book"), F.col("title").alias(f"_{x}_title"))
+    e = ebooks.select(F.col("id").alias("_ebook"), F.col("book_id").alias("_e_book")).join(titles("e"), "_e_book", "left")
+    l = loans.select(F.col("id").alias("_loan"), F.col("book_id").alias("_l_book")).join(titles("l"), "_l_book", "left")
+    m = members.select(F.col("id").alias("member_id"), F.col("full_name").alias("member_name"), F.col("email").alias("member_email"))
+    j = payments.join(m, "member_id")
+    j = j.join(e, (F.col("target_type") == "BOOK_EBOOK") & (F.col("_ebook") == F.col("target_id")), "left").join(l, (F.col("target_type") == "BORROW_RECORD") & (F.col("_loan") == F.col("target_id")), "left")
+    title = F.coalesce("_e_title", "_l_title", F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string")))
+    names = ["provider", "provider_transaction_id", "provider_response_code", "provider_transaction_status", "purpose", "target_type", "target_id"]
+    rest = ["amount", "currency", "status", "paid_at", "expired_at", "created_at", "updated_at"]
+    kinds = {"paid_at": "timestamp_ntz", "expired_at": "timestamp_ntz", "created_at": "timestamp_ntz", "updated_at": "timestamp_ntz"}
+    col = lambda c: F.col(c) if c in payments.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c)
+    return j.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("receipt_number"), "payment_code", "member_id", "member_name", "member_email", *map(col, names), title.alias("item_title"), *map(col, rest))
 
 
 def payment_dashboard(payments: DataFrame, first: Column, until: Column) -> DataFrame:
+    """One row: counts and amounts by status, and successes paid in [first, until); zeros for an empty table."""
     is_ = lambda s: F.col("status") == s
     today = is_("SUCCESS") & (F.col("paid_at") >= first) & (F.col("paid_at") < until)
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), zero())
     return payments.agg(count_if(is_("SUCCESS")).alias("n_success"), count_if(is_("PENDING")).alias("n_pending"), count_if(is_("FAILED")).alias("n_failed"), total(is_("SUCCESS")).alias("amount_success"), total(is_("PENDING")).alias("amount_pending"), count_if(today).alias("n_period"), total(today).alias("amount_period"))
 
 
+def verified(events: DataFrame, payments: DataFrame, secret: str) -> DataFrame:
+    """events: id, received_at, params (map). Callbacks as callback_outcomes() takes them, from the provider's parameters:
+    the signature over all other vnp_ parameters, the amount in hundredths, and both codes "00" for success."""
+    get = lambda k: F.try_element_at("params", F.lit(k))
+    signed = F.map_filter("params", lambda k, v: k.startswith("vnp_") & ~k.isin("vnp_SecureHash", "vnp_SecureHashType"))
+    p = payments.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("_code"), F.col("amount").alias("_amount"))
+    j = events.join(p, get("vnp_TxnRef") == F.col("_code"), "left")
+    valid = F.lower(signature(secret)(signed)) == F.lower(get("vnp_SecureHash"))
+    paid = F.try_to_number(get("vnp_Amount"), F.lit("999999999999999")).cast("long")
+    amount = F.floor(paid / 100) == F.col("_amount")
+    success = (get("vnp_ResponseCode") == "00") & (get("vnp_TransactionStatus") == "00")
+    return j.select("id", "payment_id", "received_at", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in ((valid, "signature_valid"), (amount, "amount_matches"), (success, "provider_success"))))
+
+
 def callback_outcomes(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
     """What each callback does, as if they were handled one after another: bad ones fail, the first good one of a pending
     payment decides it, later ones are ignored."""
-    p = payments.select(F.col("id").alias("payment_id"), F.col("status").alias("state"))
+    p = payments.select(F.col("id").alias("payment_id"), F.col("status").alias("_state"))
     j = callbacks.join(p, "payment_id", "left")
-    bad = F.when(~F.col("signature_valid"), "BAD_SIGNATURE").when(F.col("state").isNull(), "UNKNOWN_PAYMENT").when(~F.col("amount_matches"), "AMOUNT_MISMATCH")
-    j = j.withColumn("bad", bad)
-    n = F.sum(F.col("bad").isNull().cast("int")).over(Window.partitionBy("payment_id").orderBy("received_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    good = F.when((F.col("state") != "PENDING") | (n > 1), "IGNORED").when(F.col("provider_success"), "SUCCESS").otherwise("FAILED")
-    return j.select("id", "payment_id", F.coalesce("bad", good).alias("outcome"))
-
-
-def idempotency(callbacks: DataFrame) -> DataFrame:
-    """NEW, REPLAY or CONFLICT of each request: a day's first request of a key holds it, others must have its hash.
-
-    The time to live is the calendar day, so that keys of a batch are settled without carrying state; the streaming form
-    has a time to live counted from the holder."""
-    order = Window.partitionBy("idempotency_key", F.to_date("received_at")).orderBy("received_at", "id")
-    j = callbacks.select("id", "request_hash", F.row_number().over(order).alias("n"), F.first("request_hash").over(order).alias("holder"))
-    return j.select("id", F.when(F.col("n") == 1, "NEW").when(F.col("holder") == F.col("request_hash"), "REPLAY").otherwise("CONFLICT").alias("answer"))
-
-
-def fulfilment(payments: DataFrame, ebooks: DataFrame, now: Column, licences: int = 5) -> DataFrame:
-    """The outcome of each successful e-book payment."""
-    paid = payments.where("status = 'SUCCESS' AND target_type = 'BOOK_EBOOK'").withColumn("ebook_id", F.col("target_id") % 120)
-    live = ebooks.where((F.col("status") == "ACTIVE") & (F.col("expired_at") > now))
-    own = live.groupBy("member_id", "ebook_id").agg(F.count("*").alias("own"))
-    used = live.groupBy("ebook_id").agg(F.count("*").alias("used"))
-    known = ebooks.select("ebook_id").distinct().withColumn("known", F.lit(True))
-    j = filled(paid.join(own, ["member_id", "ebook_id"], "left").join(used, "ebook_id", "left").join(known, "ebook_id", "left").join(ebook_counts(ebooks, now).select("member_id", "ebook_entitled"), "member_id", "left"), "own", "used", "ebook_entitled")
-    code = F.when(F.col("known").isNull(), "EBOOK_NOT_AVAILABLE").when(F.col("own") > 0, "ALREADY_HAS_ACTIVE_LOAN").when(F.col("ebook_entitled") >= 5, "BORROW_LIMIT_EXCEEDED").when(F.col("used") >= licences, "LICENSE_UNAVAILABLE").otherwise("FULFILLED")
-    return j.select("id", "member_id", "ebook_id", code.alias("outcome"))
+    bad = F.when(~F.coalesce("signature_valid", F.lit(False)), "BAD_SIGNATURE").when(F.col("_state").isNull(), "UNKNOWN_PAYMENT").when(~F.coalesce("amount_matches", F.lit(False)), "AMOUNT_MISMATCH")
+    j = j.withColumn("_bad", bad)
+    n = F.sum(F.col("_bad").isNull().cast("int")).over(Window.partitionBy("payment_id").orderBy("received_at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    good = F.when((F.col("_state") != "PENDING") | (n > 1), "IGNORED").when(F.col("provider_success"), "SUCCESS").otherwise("FAILED")
+    return j.select("id", "payment_id", F.coalesce("_bad", good).alias("outcome"))
+
+
+def fulfilment(payments: DataFrame, ebooks: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column) -> DataFrame:
+    """The outcome of each successful e-book payment that has no loan yet, and the end of the loan it gives.
+
+    In order: EBOOK_NOT_FOUND, RESOURCE_NOT_FOUND (no member), EBOOK_NOT_AVAILABLE, ALREADY_HAS_ACTIVE_LOAN,
+    MEMBER_HAS_UNPAID_FINES, BORROW_LIMIT_EXCEEDED (physical and entitled e-book loans), LICENSE_UNAVAILABLE, FULFILLED.
+    Payments that pass the rules against the state before the batch are ranked by paid_at and id: a member's second one
+    for an e-book finds the first one's loan, and no more pass than the member has room and the e-book free licences for;
+    one that a later rule refuses has used up its rank in the rules before it."""
+    paid = payments.where("status = 'SUCCESS' AND target_type = 'BOOK_EBOOK'").select("id", "member_id", F.col("target_id").alias("ebook_id"), "paid_at")
+    paid = paid.join(ebook_loans.select(F.col("payment_id").alias("id")), "id", "left_anti")
+    e = ebooks.select(F.col("id").alias("_ebook"), F.col("status").alias("_ebook_status"), "max_concurrent_loans", "loan_days")
+    entitled = ebook_loans.where((F.col("status") == "ACTIVE") & (F.col("expired_at") > ebook_now))
+    own = entitled.select(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).distinct()
+    used = entitled.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
+    j = with_member(paid, member_state(members, loans, ebook_loans, now, ebook_now)).join(e, F.col("ebook_id") == F.col("_ebook"), "left")
+    j = j.join(own, (F.col("member_id") == F.col("_own_member")) & (F.col("ebook_id") == F.col("_own_ebook")), "left").join(used, F.col("ebook_id") == F.col("_used_ebook"), "left")
+    free = F.col("max_concurrent_loans") - F.coalesce("_used", zero())
+    before = (
+        F.when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_ebook_status") != "ACTIVE", "EBOOK_NOT_AVAILABLE")
+        .when(F.col("_own_ebook").isNotNull(), "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_unpaid"), "MEMBER_HAS_UNPAID_FINES").when(F.col("_limit"), "BORROW_LIMIT_EXCEEDED").when(free <= 0, "LICENSE_UNAVAILABLE")
+    )
+    j = j.withColumn("_code", before)
+    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys, F.col("_code").isNull()).orderBy("paid_at", "id"))
+    j = j.withColumns({"_same": turn("member_id", "ebook_id"), "_mine": turn("member_id"), "_its": turn("ebook_id")})
+    code = F.coalesce("_code", F.when(F.col("_same") > 1, "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_mine") > F.col("_room"), "BORROW_LIMIT_EXCEEDED").when(F.col("_its") > free, "LICENSE_UNAVAILABLE").otherwise("FULFILLED"))
+    return j.select("id", "member_id", "ebook_id", code.alias("outcome"), F.when(code == "FULFILLED", ebook_now + F.make_dt_interval(F.col("loan_days").cast("int"))).alias("expired_at"))
 
 
 def merged(old: DataFrame, new: DataFrame, key: str, update: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 from operator import or_
 
@@ -26,21 +27,25 @@ def filled(df: DataFrame, *names: str) -> DataFrame:
 
 
 def borrow_counts(loans: DataFrame, now: Column) -> DataFrame:
+    """Active, open, overdue and all loans of each member that has any; a null status counts as a loan alone."""
     return loans.groupBy("member_id").agg(
         count_if(F.col("status").isin(*ACTIVE)).alias("active_count"), count_if(F.col("status").isin(*OPEN)).alias("open_count"), count_if(is_overdue(now)).alias("overdue_count"), F.count("*").alias("history_count")
     )
 
 
 def ebook_counts(ebooks: DataFrame, now: Column) -> DataFrame:
+    """Active, overdue, entitled and all e-book loans of each member that has any; a loan without an end is neither late nor entitled."""
     active = F.col("status") == "ACTIVE"
     return ebooks.groupBy("member_id").agg(count_if(active).alias("ebook_active"), count_if(active & (F.col("expired_at") < now)).alias("ebook_overdue"), count_if(active & (F.col("expired_at") > now)).alias("ebook_entitled"), F.count("*").alias("ebook_history"))
 
 
 def unpaid_fines(loans: DataFrame) -> DataFrame:
+    """The unpaid fines of each member that has any; null amounts are none."""
     return loans.where(is_unpaid_fine()).groupBy("member_id").agg(F.sum("fine_amount").alias("unpaid_total"))
 
 
 def active_holds(holds: DataFrame) -> DataFrame:
+    """The number of active holds of each member that has any."""
     return holds.where(F.col("status").isin(*ACTIVE_HOLD)).groupBy("member_id").agg(F.count("*").alias("active_holds"))
 
 
@@ -56,46 +61,60 @@ def member_stats(members: DataFrame, loans: DataFrame, ebooks: DataFrame, holds:
 # Searches
 
 
-def loan_search(loans: DataFrame, ebooks: DataFrame, members: DataFrame, books: DataFrame, now: Column, ebook_now: Column, q: str | None = None, status: str | None = None, overdue: bool | None = None, open_only: bool | None = None, due_from: str | None = None, due_to: str | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
-    """Physical and e-book loans in one shape. A flag that is None or False filters nothing.
-
-    q is looked for in names, e-mails, titles and ISBNs, in phones and barcodes if members and loans have them, and, if it
-    is a whole number, among the ids of loans, members, books and copies. With fields it is looked for in these alone."""
-    phone = ["phone"] if "phone" in members.columns else []
-    barcode = ["barcode"] if "barcode" in loans.columns else []
-    people = members.select(F.col("id").alias("member_id"), "full_name", "email", *phone)
-    titles = books.select(F.col("id").alias("book_id"), "title", "isbn")
-    physical = loans.select(
-        F.lit("PHYSICAL").alias("media"), "id", "member_id", "book_id", "copy_id", "status", "borrowed_at", "due_date", is_overdue(now).alias("overdue"),
-        F.when(is_overdue(now), days_overdue_elapsed(now, F.col("due_date"))).otherwise(zero()).alias("days_overdue"), "fine_amount", fine_status().alias("fine_status"), *barcode,
-    )
-    late = (F.col("status") == "ACTIVE") & (F.col("expired_at") < ebook_now)
-    digital = ebooks.select(
-        F.lit("EBOOK").alias("media"), "id", "member_id", F.col("ebook_id").alias("book_id"), F.lit(None).cast("long").alias("copy_id"), "status", "borrowed_at", F.col("expired_at").alias("due_date"), late.alias("overdue"),
-        F.when(late, days_overdue_elapsed(ebook_now, F.col("expired_at"))).otherwise(zero()).alias("days_overdue"), zero().alias("fine_amount"), F.lit("NONE").alias("fine_status"),
-    )
-
-    def kept(df: DataFrame, live: Column) -> DataFrame:
+def loan_search(
+    loans: DataFrame, ebooks: DataFrame, members: DataFrame, books: DataFrame, copies: DataFrame, files: DataFrame, payments: DataFrame, now: Column, ebook_now: Column, q: str | None = None, status: str | None = None,
+    overdue: bool | None = None, open_only: bool | None = None, due_from: str | None = None, due_to: str | None = None, member_id: int | None = None, fields: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Physical and e-book loans in one shape of 24 columns. A flag that is None or False filters nothing.
+
+    files (id, original_filename) are the e-books' files. q is looked for in names, e-mails, phones, titles, ISBNs and, by
+    kind, barcodes or file names and payment codes; if it is a whole number, also among the ids of loans, members, books,
+    and copies or e-books and payments. With fields it is looked for in these alone. Unknown members, books and copies
+    drop a loan; unknown files and payments don't. Null texts match nothing."""
+    people = members.select(F.col("id").alias("member_id"), F.col("full_name").alias("member_name"), F.col("email").alias("member_email"), F.col("phone").alias("_phone"))
+    titles = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), F.col("isbn").alias("_isbn"))
+    shelf = copies.select(F.col("id").alias("book_copy_id"), F.col("barcode").alias("item_barcode"), F.col("status").alias("copy_status"))
+    names = files.select(F.col("id").alias("book_ebook_id"), F.col("original_filename").alias("_file"))
+    codes = payments.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("_code"))
+    null = lambda kind: F.lit(None).cast(kind)
+    late, elate = is_overdue(now), (F.col("status") == "ACTIVE") & (F.col("expired_at") < ebook_now)
+
+    def kept(df: DataFrame, is_live: Column, is_late: Column, due: str) -> DataFrame:
+        if member_id is not None:
+            df = df.where(F.col("member_id") == member_id)
         if status:
             df = df.where(F.col("status") == status)
         if overdue:
-            df = df.where("overdue")
+            df = df.where(is_late)
         if open_only:
-            df = df.where(live)
+            df = df.where(is_live)
         if due_from:
-            df = df.where(F.col("due_date") >= F.lit(due_from).cast("timestamp_ntz"))
+            df = df.where(F.col(due) >= F.lit(due_from).cast("timestamp_ntz"))
         if due_to:
-            df = df.where(F.col("due_date") <= F.lit(due_to).cast("timestamp_ntz"))
+            df = df.where(F.col(due) <= F.lit(due_to).cast("timestamp_ntz"))
         return df
 
-    both = kept(physical, F.col("status").isin(*OPEN)).unionByName(kept(digital, F.col("status") == "ACTIVE"), allowMissingColumns=True)
-    both = both.join(people, "member_id").join(titles, "book_id")
-    extra = ["isbn", *phone, *barcode]
-    found = contains(q, *(fields or ("full_name", "email", "title", *extra)))
+    physical = kept(loans, F.col("status").isin(*OPEN), late, "due_date").select(
+        F.col("id").alias("borrow_id"), "member_id", "book_id", F.col("copy_id").alias("book_copy_id"), "borrowed_at", "due_date", "returned_at", "status", "renew_count", "max_renewals",
+        F.coalesce("fine_amount", zero()).alias("fine_amount"), fine_status().alias("fine_status"), late.alias("overdue"), F.when(late, days_overdue_elapsed(now, F.col("due_date"))).otherwise(zero()).alias("days_overdue"),
+        F.lit("PHYSICAL").alias("loan_type"), null("long").alias("ebook_loan_id"), null("long").alias("book_ebook_id"), null("long").alias("payment_id"), null("timestamp_ntz").alias("expired_at"),
+    ).join(shelf, "book_copy_id").withColumns({"_file": null("string"), "_code": null("string")})
+    digital = kept(ebooks, F.col("status") == "ACTIVE", elate, "expired_at").select(
+        null("long").alias("borrow_id"), "member_id", F.col("ebook_id").alias("book_id"), null("long").alias("book_copy_id"), null("string").alias("item_barcode"), null("string").alias("copy_status"), "borrowed_at",
+        F.col("expired_at").alias("due_date"), null("timestamp_ntz").alias("returned_at"), "status", null("long").alias("renew_count"), null("long").alias("max_renewals"), zero().alias("fine_amount"), F.lit("NONE").alias("fine_status"),
+        elate.alias("overdue"), F.when(elate, days_overdue_elapsed(ebook_now, F.col("expired_at"))).otherwise(zero()).alias("days_overdue"), F.lit("EBOOK").alias("loan_type"), F.col("id").alias("ebook_loan_id"), F.col("ebook_id").alias("book_ebook_id"), "payment_id", "expired_at",
+    ).join(names, "book_ebook_id", "left").join(codes, "payment_id", "left")
+    both = physical.unionByName(digital).join(people, "member_id").join(titles, "book_id")
+    where = {"full_name": "member_name", "email": "member_email", "title": "book_title"}
+    test = contains(q, *(where[f] for f in fields)) if fields else contains(q, "member_name", "member_email", "_phone", "book_title", "_isbn", "item_barcode", "_file", "_code")
     number = whole_number(q) if fields is None else None
     if number is not None:
-        found = reduce(or_, [F.col(c) == number for c in ("id", "member_id", "book_id", "copy_id")], found)
-    return (both if found is None else both.where(found)).drop(*extra)
+        test = reduce(or_, [F.coalesce(F.col(c) == number, F.lit(False)) for c in ("borrow_id", "ebook_loan_id", "member_id", "book_id", "book_copy_id", "book_ebook_id", "payment_id")], test)
+    out = both if test is None else both.where(test)
+    return out.select(
+        "borrow_id", "member_id", "member_name", "member_email", "book_id", "book_title", "book_copy_id", "item_barcode", "copy_status", "borrowed_at", "due_date", "returned_at", "status", "renew_count", "max_renewals",
+        "fine_amount", "fine_status", "overdue", "days_overdue", "loan_type", "ebook_loan_id", "book_ebook_id", "payment_id", "expired_at",
+    )
 
 
 def members_with_overdue(members: DataFrame, loans: DataFrame, now: Column, q: str | None = None) -> DataFrame:
@@ -105,6 +124,7 @@ def members_with_overdue(members: DataFrame, loans: DataFrame, now: Column, q: s
 
 
 def fine_list(loans: DataFrame) -> DataFrame:
+    """Loans with a fine and its state, waived before paid."""
     return loans.where("fine_amount > 0").select("id", "member_id", "fine_amount", fine_status(waived_first=True).alias("fine_status"))
 
 
@@ -125,7 +145,12 @@ def dashboard(loans: DataFrame, ebooks: DataFrame, holds: DataFrame, now: Column
 
 
 def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str, kind: str | None = None, value: str | None = None, language: str | None = None) -> DataFrame:
-    """A row for each day of a span of 21 days at most: borrowed, returned, net, and whether it is the first peak of borrowing."""
+    """A row for each day of a span of 21 days at most: borrowed, returned, net, and whether it is the first peak of borrowing.
+
+    A longer span, or one that ends before it begins, raises. Loans are read once; loans without a book's row drop out only
+    where a filter asks for books."""
+    if not 0 <= (date.fromisoformat(last) - date.fromisoformat(first)).days <= 20:
+        raise ValueError("a span of 1 to 21 days is asked for")
     days = loans.sparkSession.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day")
     test = matches(kind, value, {"category": "category", "isbn": "isbn", "title": "title"})
     wanted = books if test is None else books.where(test)
@@ -137,8 +162,13 @@ def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str,
     each = loans.select(F.inline(F.filter(moved, lambda x: x.isNotNull()))).where(F.col("day").between(first, last))
     counts = each.groupBy("day").agg(F.sum("b").alias("borrowed"), F.sum("r").alias("returned"))
     out = filled(days.join(counts, "day", "left"), "borrowed", "returned")
-    peak = out.agg(F.min_by("day", F.struct(-F.col("borrowed"), "day")).alias("peak"), F.max("borrowed").alias("most"))
-    return out.join(peak, (F.col("day") == F.col("peak")) & (F.col("most") > 0), "left").select("day", "borrowed", "returned", (F.col("borrowed") - F.col("returned")).alias("net"), F.col("peak").isNotNull().alias("is_peak"))
+    turn = F.row_number().over(Window.orderBy(F.desc("borrowed"), "day"))  # 21 rows at most
+    return out.select("day", "borrowed", "returned", (F.col("borrowed") - F.col("returned")).alias("net"), ((turn == 1) & (F.col("borrowed") > 0)).alias("is_peak"))
+
+
+def period_totals(days: DataFrame) -> DataFrame:
+    """Totals of period_statistics(): borrowed, returned, net and the peak day as text, "" where nothing was borrowed."""
+    return days.agg(F.sum("borrowed").alias("borrowed"), F.sum("returned").alias("returned"), F.sum("net").alias("net"), F.coalesce(F.max(F.when(F.col("is_peak"), F.col("day").cast("string"))), F.lit("")).alias("peak_day"))
 
 
 # Rules
@@ -146,35 +176,7 @@ def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str,
 
 def account_reason(now: Column) -> Column:
     """The first reason why an account may not act, else null."""
-    return F.when(F.col("role") != "MEMBER", "NOT_A_MEMBER").when(F.col("status") != "ACTIVE", "ACCOUNT_NOT_ACTIVE").when(F.col("membership_expires_at") <= now, "MEMBERSHIP_EXPIRED")
-
-
-def checkout_reasons(members: DataFrame, loans: DataFrame, ebooks: DataFrame, now: Column, ebook_now: Column, borrow_days: int = 14) -> DataFrame:
-    """All reasons that block a checkout, the first of them, whether the limit is reached, and a due date if none."""
-    own = borrow_counts(loans, now).join(loans.where("status = 'OVERDUE'").groupBy("member_id").agg(F.count("*").alias("marked")), "member_id", "left")
-    m = members.withColumnRenamed("id", "member_id")
-    for part in (own, ebook_counts(ebooks, ebook_now), unpaid_fines(loans)):
-        m = m.join(part, "member_id", "left")
-    m = filled(m, "active_count", "ebook_entitled", "unpaid_total", "marked")
-    limit = F.col("active_count") + F.col("ebook_entitled") >= F.coalesce("max_borrow_limit", F.lit(5))
-    reasons = F.array(account_reason(now), F.when(F.col("unpaid_total") > 0, "UNPAID_FINES"), F.when(limit, "BORROW_LIMIT_REACHED"), F.when(F.col("marked") > 0, "OVERDUE_LOANS"))
-    m = m.withColumn("list", F.filter(reasons, lambda x: x.isNotNull()))
-    free = F.size("list") == 0
-    return m.select("member_id", F.array_join("list", ",").alias("reasons"), F.try_element_at("list", F.lit(1)).alias("first_reason"), limit.alias("limit_reached"), F.when(free, now + F.expr(f"INTERVAL {borrow_days} DAYS")).alias("due_date"))
-
-
-def auto_renewals(loans: DataFrame, members: DataFrame, books: DataFrame, holds: DataFrame, now: Column, first: Column, until: Column, renewal_days: int = 7) -> DataFrame:
-    """A result code for each BORROWED loan due in [first, until): the first failing rule, else SUCCESS with a new due date."""
-    due = loans.where((F.col("status") == "BORROWED") & (F.col("due_date") >= first) & (F.col("due_date") < until))
-    waiting = holds.where(F.col("status").isin(*ACTIVE_HOLD)).select("book_id").distinct().withColumn("held", F.lit(True))
-    m = members.select(F.col("id").alias("member_id"), account_reason(now).alias("reason"), F.lit(True).alias("exists"))
-    j = due.join(m, "member_id", "left").join(books.select(F.col("id").alias("book_id"), "deleted"), "book_id", "left").join(waiting, "book_id", "left")
-    code = (
-        F.when(F.col("exists").isNull(), "MEMBER_NOT_FOUND").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("due_date") < now, "LOAN_OVERDUE")
-        .when(F.col("renew_count") >= F.col("max_renewals"), "MAX_RENEWALS_REACHED").when(F.coalesce("deleted", F.lit(True)), "BOOK_DELETED").when(F.col("held"), "ACTIVE_HOLD_EXISTS").otherwise("SUCCESS")
-    )
-    ok = F.col("code") == "SUCCESS"
-    return j.withColumn("code", code).select("id", "member_id", "code", F.when(ok, F.col("due_date") + F.expr(f"INTERVAL {renewal_days} DAYS")).otherwise(F.col("due_date")).alias("new_due_date"), (F.col("renew_count") + F.when(ok, 1).otherwise(0)).alias("new_renew_count"))
+    return F.when(F.col("role") != "MEMBER", "NOT_A_MEMBER").when(F.col("status") != "ACTIVE", "ACCOUNT_NOT_ACTIVE").when(F.col("membership_expires_at") < now, "MEMBERSHIP_EXPIRED")
 
 
 def effective_fines(loans: DataFrame, configs: DataFrame) -> DataFrame:
@@ -197,30 +199,6 @@ def mark_overdue(loans: DataFrame, now: Column, most: int = 500) -> DataFrame:
     return late.orderBy("due_date", "id").limit(most).select("id", "copy_id", F.lit("OVERDUE").alias("new_status"), F.lit("OVERDUE").alias("new_copy_status"), "due_date")
 
 
-def expire_holds(holds: DataFrame, now: Column, pickup_days: int = 3, most: int | None = None) -> DataFrame:
-    """Expired holds and what becomes of their copies: the next waiting hold of the book by rank, else back on the shelf.
-
-    Copies by expiry and waiting holds by queue (nulls last), reservation and id are ranked within the book and joined on
-    rank, which is what taking one head after another gives."""
-    expired = holds.where(F.col("status").isin("NOTIFIED", "READY_FOR_PICKUP") & (F.col("expires_at") < now))
-    if most is not None:
-        expired = expired.orderBy("expires_at", "id").limit(most)
-    rank = lambda *order: F.row_number().over(Window.partitionBy("book_id").orderBy(*order))
-    has = F.col("assigned_copy_id").isNotNull()
-    copies = expired.where(has).select("book_id", F.col("id").alias("expired_id"), "assigned_copy_id", rank("expires_at", "id").alias("n"))
-    heads = holds.where("status = 'WAITING'").select("book_id", F.col("id").alias("next_id"), rank(F.asc_nulls_last("queue_position"), "reserved_at", "id").alias("n"))
-    moved = copies.join(heads, ["book_id", "n"], "left").select("expired_id", "book_id", "assigned_copy_id", "next_id")
-    moved = moved.unionByName(expired.where(~has).select(F.col("id").alias("expired_id"), "book_id", "assigned_copy_id", F.lit(None).cast("long").alias("next_id")))
-    given = F.col("next_id").isNotNull()
-    return moved.select("*", F.when(given, "ON_HOLD_SHELF").when(F.col("assigned_copy_id").isNotNull(), "AVAILABLE").alias("copy_status"), F.when(given, now + F.expr(f"INTERVAL {pickup_days} DAYS")).alias("next_expires_at"))
-
-
-def due_soon(loans: DataFrame, queue: DataFrame, first: Column, until: Column) -> DataFrame:
-    """Reminders to queue: loans due in [first, until) without one for the same target."""
-    due = loans.where((F.col("status") == "BORROWED") & (F.col("due_date") >= first) & (F.col("due_date") < until))
-    return due.join(queue.select(F.col("target_id").alias("id")), "id", "left_anti").select("id", "member_id", "due_date", F.lit("PENDING").alias("queue_status"))
-
-
 def hold_heads(holds: DataFrame) -> DataFrame:
     """Per book: the head of the queue and the next free position."""
     live = holds.where(F.col("status").isin(*ACTIVE_HOLD))
@@ -228,32 +206,18 @@ def hold_heads(holds: DataFrame) -> DataFrame:
     return live.groupBy("book_id").agg(F.min_by(F.when(F.col("status") == "WAITING", F.col("id")), F.when(F.col("status") == "WAITING", order)).alias("head_id"), (F.coalesce(F.max("queue_position"), F.lit(0)) + 1).alias("next_position"))
 
 
-def violations(loans: DataFrame, holds: DataFrame, payments: DataFrame, reviews: DataFrame, members: DataFrame, books: DataFrame) -> DataFrame:
-    """(rule, violations) of each invariant that the tables promise."""
-
-    def named(rule: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-    many = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
-    live = holds.where(F.col("status").isin(*ACTIVE_HOLD))
-    parts = [
-        named("one open loan per copy", many(loans.where(F.col("status").isin(*OPEN)), "copy_id")),
-        named("one active hold per member and book", many(live, "member_id", "book_id")),
-        named("one active hold per assigned copy", many(live.where("assigned_copy_id IS NOT NULL"), "assigned_copy_id")),
-        named("available copies within total", books.where("available_copies < 0 OR available_copies > total_copies")),
-        named("due after borrowed, returned not before, fine not negative", loans.where("due_date <= borrowed_at OR returned_at < borrowed_at OR fine_amount < 0")),
-        named("one pending payment per target", many(payments.where("status = 'PENDING'"), "target_type", "target_id")),
-        named("one successful payment per target", many(payments.where("status = 'SUCCESS'"), "target_type", "target_id")),
-        named("positive amounts", payments.where("amount <= 0")),
-        named("ratings from 1 to 5", reviews.where("rating NOT BETWEEN 1 AND 5")),
-        named("one review per book and member", many(reviews, "book_id", "member_id")),
-        named("known loan states", loans.where(~F.col("status").isin("BORROWED", "RETURNED", "OVERDUE", "LOST"))),
-        named("loans have members", loans.join(members.select(F.col("id").alias("member_id")), "member_id", "left_anti")),
-        named("loans have books", loans.join(books.select(F.col("id").alias("book_id")), "book_id", "left_anti")),
-        named("isbn is thirteen digits", books.where(~F.col("isbn").rlike("^[0-9]{13}$"))),
-        named("isbn is unique", many(books, F.lower("isbn"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def violations(rows: list[tuple[DataFrame, dict[str, Column]]], groups: list[tuple[str, DataFrame, list]], missing: list[tuple[str, DataFrame, str, DataFrame]]) -> DataFrame:
+    """(rule, violations). rows: per table, rules that a row breaks, all counted in one pass; a null condition isn't broken.
+    groups: (rule, table, keys) of keys that stand more than once. missing: (rule, table, column, parents with id) of rows
+    whose value, unless null, has no parent."""
+    parts = []
+    for df, rules in rows:
+        one = df.agg(*[count_if(c).alias(f"r{k}") for k, c in enumerate(rules.values())])
+        parts.append(one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r{k}").alias("violations")) for k, r in enumerate(rules)]))))
+    for rule, df, keys in groups:
+        many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+        parts.append(many.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations"))
+    for rule, df, column, parents in missing:
+        lost = df.select(F.col(column).alias("_value")).where("_value IS NOT NULL").join(parents.select(F.col("id").alias("_value")), "_value", "left_anti")
+        parts.append(lost.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations"))
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ def sort_order(text: str | None, allowed: dict[str, str], usual: str, key: str =
     return [c.desc_nulls_last() if direction.strip().lower() == "desc" else c.asc_nulls_last(), F.col(key)]
 
 
-def head_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def head_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each group; null keys are a group."""
+    n = f"n_{uuid.uuid4().hex}"
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)

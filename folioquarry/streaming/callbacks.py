@@ -1,4 +1,4 @@
-"""Keyed event processing with Structured Streaming; batch twins are in operators.catalog."""
+"""Keyed event processing with Structured Streaming; batch twins are in operators.catalog and operators.sequences."""
 
 from __future__ import annotations
 
@@ -10,14 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def payment_decisions(events: DataFrame) -> DataFrame:
+DAY = 86_400_000  # milliseconds
+
+
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """events with a watermark: state is dropped by event time, and events more than `late` behind are not taken in."""
+    return events.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", late)
+
+
+def forget_after(state: GroupState, last: pd.Timestamp, milliseconds: int) -> None:
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + milliseconds, state.getCurrentWatermarkMs() + 1))
+
+
+def payment_decisions(events: DataFrame, keep_days: int = 30, late: str = "1 day") -> DataFrame:
     """events: payment_id, id, received_at, signature_valid, amount_matches, provider_success. A payment's state is whether
-    it is decided; bad events fail, the first good one decides, later ones are ignored."""
+    it is decided; bad events fail, the first good one decides, later ones are ignored. A payment without an event for
+    `keep_days` days is forgotten, so the state doesn't grow for ever; nulls in the flags count as false."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         decided = state.get[0] if state.exists else False
+        last_at = pd.Timestamp(0)
         for pdf in frames:
             out = []
+            last_at = max(last_at, pdf["received_at"].max())
             for r in pdf.sort_values(["received_at", "id"]).itertuples():
                 if not r.signature_valid:
                     said = "BAD_SIGNATURE"
@@ -30,8 +48,37 @@ def payment_decisions(events: DataFrame) -> DataFrame:
                 out.append((r.id, key[0], said))
             yield pd.DataFrame(out, columns=["id", "payment_id", "outcome"])
         state.update((decided,))
+        forget_after(state, last_at, keep_days * DAY)
+
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("signature_valid", "amount_matches", "provider_success")}
+    return timed(events, late).withColumns(flags).groupBy("payment_id").applyInPandasWithState(step, "id long, payment_id long, outcome string", "decided boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def answered_requests(events: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """events: idempotency_key, id, request_hash, received_at. NEW, REPLAY or CONFLICT, as sequences.idempotency() says;
+    a key's state is its holder, forgotten `ttl` seconds after its last request."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, held = state.get if state.exists else (None, None)
+        last_at = pd.Timestamp(0)
+        for pdf in frames:
+            out = []
+            last_at = max(last_at, pdf["received_at"].max())
+            for r in pdf.sort_values(["received_at", "id"]).itertuples():
+                t = r.received_at.timestamp()
+                if since is None or t >= since + ttl:
+                    since, held, said = t, r.request_hash, "NEW"
+                else:
+                    said = "REPLAY" if held == r.request_hash else "CONFLICT"
+                out.append((r.id, key[0], said))
+            yield pd.DataFrame(out, columns=["id", "idempotency_key", "answer"])
+        state.update((since, held))
+        forget_after(state, last_at, ttl * 1000)
 
-    return events.groupBy("payment_id").applyInPandasWithState(step, "id long, payment_id long, outcome string", "decided boolean", "append", GroupStateTimeout.NoTimeout)
+    return timed(events, late).groupBy("idempotency_key").applyInPandasWithState(step, "id long, idempotency_key string, answer string", "since double, held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_requests(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -39,14 +86,20 @@ def first_requests(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return events.withColumn("at", F.col("received_at").cast("timestamp")).withWatermark("at", ttl).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def rate_limited(events: DataFrame, cooldown: int = 60, most: int = 5, window: int = 86_400) -> DataFrame:
+def rate_limited(events: DataFrame, cooldown: int = 60, most: int = 5, window: int = 86_400, late: str = "1 hour") -> DataFrame:
     """events: user_id, id, received_at. Allowed unless within `cooldown` seconds of the last allowed one, or `most` were
-    allowed in the window of `window` seconds that the first allowed one began."""
+    allowed in the window of `window` seconds that the first allowed one began. A user who sends nothing for twice the
+    window is forgotten. operators.sequences.rate_limits is the batch twin."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         begun, last, n = state.get if state.exists else (None, None, 0)
+        last_at = pd.Timestamp(0)
         for pdf in frames:
             out = []
+            last_at = max(last_at, pdf["received_at"].max())
             for r in pdf.sort_values(["received_at", "id"]).itertuples():
                 t = r.received_at.timestamp()
                 if begun is None or t >= begun + window:
@@ -57,5 +110,6 @@ def rate_limited(events: DataFrame, cooldown: int = 60, most: int = 5, window: i
                 out.append((r.id, key[0], said))
             yield pd.DataFrame(out, columns=["id", "user_id", "answer"])
         state.update((begun, last, n))
+        forget_after(state, last_at, 2 * window * 1000)
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "id long, user_id long, answer string", "begun double, last double, n int", "append", GroupStateTimeout.NoTimeout)
+    return timed(events, late).groupBy("user_id").applyInPandasWithState(step, "id long, user_id long, answer string", "begun double, last double, n int", "append", GroupStateTimeout.EventTimeTimeout)

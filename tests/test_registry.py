@@ -9,7 +9,7 @@ from folioquarry.plans.registry import QUERIES, SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 con = duckdb.connect()
-for t in ("customer", "part", "lineitem", "orders", "events"):
+for t in ("customer", "part", "lineitem", "orders", "events", "supplier", "nation"):
     con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
 
 

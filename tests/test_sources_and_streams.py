@@ -6,45 +6,87 @@ import pyspark.sql.functions as F  # noqa: E402
 import pytest  # noqa: E402
 
 from folioquarry.functions.columns import fine_status, signature  # noqa: E402
-from folioquarry.operators.catalog import callback_outcomes  # noqa: E402
-from folioquarry.operators.paging import bounds, sort_order  # noqa: E402
-from folioquarry.sources.catalog_csv import plan_import, read_rows  # noqa: E402
+from folioquarry.operators.catalog import callback_outcomes, verified  # noqa: E402
+from folioquarry.operators.paging import bounds, head_of, page, sort_order  # noqa: E402
+from folioquarry.operators.sequences import idempotency, rate_limits  # noqa: E402
+from folioquarry.sources import runs  # noqa: E402
+from folioquarry.sources.catalog_csv import plan_import, read_rows, run_import  # noqa: E402
 from folioquarry.sources.domain import spark_views  # noqa: E402
-from folioquarry.streaming.callbacks import payment_decisions, rate_limited  # noqa: E402
-
-CSV = '''Title,ISBN,Authors,Category,Barcode,published_date
-"Clean Code, Revised",9780132350884,"Robert ""Uncle Bob"" Martin;Another Author","Tech, Programming",LIB-1,2008-08-01
-
-Same Again,9780132350884,another author,Tech,LIB-2,
-Twice,9780000000001,A,Tech,LIB-3,
-Twice,9780000000001,A,Tech,lib-3,
-Held,9780000000002,A,Tech,LIB-000001,
-No Author,9780000000003,,Tech,LIB-5,
-Bad Date,9780000000004,A,Tech,LIB-6,yesterday
-Deleted,9780000000009,A,Tech,LIB-7,
+from folioquarry.streaming.callbacks import answered_requests, payment_decisions, rate_limited  # noqa: E402
+
+CSV = '''Title,isbn,AUTHORS,Category,barcode,Published_Date,language
+"Herons, A Field Year",9791000000017,"Ada ""Reed"" Marsh|Ben Fen; ben fen ","Nature, Birds",SHELF-9,2011-04-30,fr
+
+Second Herons,9791000000017,Ben Fen,Nature,SHELF-10,,
+Pair,9791000000024,C,,SHELF-11,,
+Pair,9791000000024,C,,shelf-11 ,,
+On Shelf,9791000000031,C,,Old-1,,
+Nobody,9791000000048, ; ,,SHELF-12,,
+Year Only,9791000000055,C,,SHELF-13,2011,
+Gone,9791000000062,C,,SHELF-14,,
+Known,9791000000079,D,Maps,SHELF-15,,
 '''
 
 
+def tables(spark):
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    return frame([("old-1",)], "barcode string"), frame([(7, "9791000000062", True), (9, "9791000000079", False)], "id long, isbn string, deleted boolean"), frame([(3, "BEN fen")], "id long, name string"), frame([(1, "maps")], "id long, name string")
+
+
 def test_import(spark, tmp_path):
     (tmp_path / "a.csv").write_text(CSV)
-    rows = read_rows(spark, str(tmp_path / "a.csv"))
-    frame = lambda data, schema: spark.createDataFrame(data, schema)
-    out = plan_import(rows, frame([("lib-000001",)], "barcode string"), frame([("9780000000009", True)], "isbn string, deleted boolean"), frame([("Another AUTHOR",)], "name string"), frame([], "name string"))
-    assert out.summary.first().asDict() == {"total": 8, "success": 2, "failed": 6}
+    out = plan_import(read_rows(spark, str(tmp_path / "a.csv")), *tables(spark))
+    assert out.summary.first().asDict() == {"total": 9, "success": 3, "failed": 6, "created_books": 1, "created_copies": 3}
     assert sorted((r.row_number, r.code) for r in out.errors.collect()) == [(4, "DUPLICATE_RESOURCE"), (5, "DUPLICATE_RESOURCE"), (6, "DUPLICATE_RESOURCE"), (7, "BAD_REQUEST"), (8, "BAD_REQUEST"), (9, "DUPLICATE_RESOURCE")]
-    book = out.books.first()
-    assert out.books.count() == 1 and book.title == "Clean Code, Revised" and list(book.names) == ['Robert "Uncle Bob" Martin', "Another Author"]
-    assert [r.name for r in out.authors.collect()] == ['Robert "Uncle Bob" Martin'] and out.copies.first().copies == 2
+    (book,) = out.books.collect()
+    assert (book.id, book.title, book.language, str(book.day), book.category_id) == (10, "Herons, A Field Year", "fr", "2011-04-30", 2)
+    assert [(r.id, r.name) for r in out.authors.collect()] == [(4, 'Ada "Reed" Marsh')] and [(r.id, r.name) for r in out.categories.collect()] == [(2, "Nature, Birds")]
+    assert sorted(r.author_id for r in out.book_authors.collect()) == [3, 4]
+    assert sorted((r.book_id, r.barcode, r.status) for r in out.copy_rows.collect()) == [(9, "SHELF-15", "AVAILABLE"), (10, "SHELF-10", "AVAILABLE"), (10, "SHELF-9", "AVAILABLE")]
+
+
+def test_refused_files(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text(CSV)
+    for bad in (dict(most_rows=3), dict(most_bytes=40)):
+        with pytest.raises(ValueError):
+            read_rows(spark, str(path), **bad)
     with pytest.raises(ValueError):
-        read_rows(spark, str(tmp_path / "a.csv"), most_rows=3)
+        read_rows(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text("title,isbn\nx,y\n")
+    for name in ("b.csv", "c.csv"):
+        with pytest.raises(ValueError):
+            read_rows(spark, str(tmp_path / name))
+
+
+def test_run_log_and_sinks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CSV)
+    log, sink = str(tmp_path / "log"), str(tmp_path / "copies")
+    run_import(spark, str(tmp_path / "a.csv"), log, "import", sink, *tables(spark))
+    with pytest.raises(ValueError):
+        run_import(spark, str(tmp_path), log, "import", sink, *tables(spark))
+    said = {r.status: r for r in runs.runs(spark.read.parquet(log)).collect()}
+    assert set(said) == {"COMPLETED", "FAILED"} and (said["COMPLETED"].total, said["COMPLETED"].succeeded, said["COMPLETED"].failed) == (9, 3, 6) and said["FAILED"].message
+    assert spark.read.parquet(sink).count() == 3 and runs.cut("x" * 3000) == "x" * 2000 and runs.cut(None) is None
+    good, bad = spark.range(4), spark.range(1)
+    assert runs.progress("j", good, bad).first().asDict() == {"job_id": "j", "processed": 5, "succeeded": 4, "failed": 1}
+    table = spark.createDataFrame([("A", "12"), ("B", "x"), ("C", "TRUE"), ("D", None)], "key string, value string")
+    s = runs.Settings(table)
+    assert (s.number("A", 1), s.number("A", 1, 0, 7), s.number("B", 5), s.number("Z", 5, 6), s.flag("C", False), s.flag("B", True), s.flag("Z", True)) == (12, 7, 5, 6, True, False, True)
+    e = runs.received_events(spark.sql("SELECT 1 AS id, 'p' AS payment_code, 'IPN' AS event_type, map('vnp_b', '2', 'other', 'x', 'vnp_a', '1') AS params, CAST(NULL AS MAP<STRING, STRING>) AS headers")).first()
+    assert e.payload == '{"vnp_a":"1","vnp_b":"2"}' and e.headers == "{}" and e.processing_status == "RECEIVED"
 
 
 def test_small_rules(spark):
     df = spark.sql("SELECT * FROM VALUES (0, NULL, NULL), (5, NULL, NULL), (5, 1, 1), (5, NULL, 1) AS t(fine_amount, fine_paid_at, fine_waived_by)")
     assert [tuple(r) for r in df.select(fine_status(), fine_status(True)).collect()] == [("NONE", "NONE"), ("UNPAID", "UNPAID"), ("PAID", "WAIVED"), ("WAIVED", "WAIVED")]
-    assert bounds(-1, 0) == (0, 20) and bounds(2, 500) == (2, 100)
+    assert bounds(-1, 0) == (0, 20) and bounds(2, 500) == (2, 100) and bounds(0, 500, most=50) == (0, 50)
     with pytest.raises(ValueError):
         sort_order("x,desc", {"title": "title"}, "title,asc")
+    rows = spark.sql("SELECT * FROM VALUES (1, 'b'), (2, NULL), (3, 'a'), (4, 'b') AS t(id, title)")
+    assert [r.id for r in page(rows, sort_order("title,desc", {"title": "title"}, "title,asc"), 0, 10).collect()] == [1, 4, 3, 2]
+    assert sorted(r.id for r in head_of(rows.withColumn("_n", F.lit(0)), ["title"], F.desc("id")).collect()) == [2, 3, 4]
     signed = spark.range(1).select(signature("key")(F.create_map(F.lit("b"), F.lit("2 3"), F.lit("a"), F.lit("1"))).alias("s")).first().s
     import hashlib
     import hmac
@@ -52,20 +94,41 @@ def test_small_rules(spark):
     assert signed == hmac.new(b"key", b"a=1&b=2+3", hashlib.sha512).hexdigest()
 
 
+def test_callbacks_from_parameters(spark):
+    payments = spark.sql("SELECT * FROM VALUES (1L, 'P1', 250L, 'PENDING'), (2L, 'P2', 100L, 'PENDING') AS p(id, payment_code, amount, status)")
+    rows = [(1, "P1", "25000", "00", "00"), (2, "P1", "25000", "00", "00"), (3, "P2", "9900", "00", "00"), (4, "P2", "10000", "24", "00"), (5, "P9", "1", "00", "00"), (6, "P2", "x", "00", "00")]
+    events = spark.createDataFrame([(k, f"2024-01-01 00:00:0{k}", {"vnp_TxnRef": ref, "vnp_Amount": a, "vnp_ResponseCode": r, "vnp_TransactionStatus": t, "note": "n"}) for k, ref, a, r, t in rows], "id long, received_at string, params map<string,string>")
+    events = events.withColumn("received_at", F.col("received_at").cast("timestamp"))
+    hashed = events.withColumn("params", F.map_concat("params", F.create_map(F.lit("vnp_SecureHash"), F.upper(signature("s")(F.map_filter("params", lambda k, v: k.startswith("vnp_")))))))
+    assert {r.id: r.outcome for r in callback_outcomes(verified(hashed, payments, "s"), payments).collect()} == {1: "SUCCESS", 2: "IGNORED", 3: "AMOUNT_MISMATCH", 4: "FAILED", 5: "UNKNOWN_PAYMENT", 6: "AMOUNT_MISMATCH"}
+    assert {r.outcome for r in callback_outcomes(verified(events, payments, "s"), payments).collect()} == {"BAD_SIGNATURE"}
+
+
 def stream(spark, df, tmp_path, f, name):
     df.repartition(1).write.parquet(str(tmp_path / name))
-    q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / name))).writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / name))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    if not q.awaitTermination(90):
+        q.stop()
+        raise AssertionError("the stream doesn't end")
     return spark.table(name).collect()
 
 
-def test_streams(spark, tmp_path):
+def test_streams_and_their_batch_twins(spark, tmp_path):
     callbacks, payments = spark_views(spark, "/root/testdata/sf0.001", "callbacks", "payments")
     pending = callbacks.join(payments.where("status = 'PENDING'").select(F.col("id").alias("payment_id")), "payment_id", "left_semi")
     want = {(r.id, r.payment_id, r.outcome) for r in callback_outcomes(pending, payments).collect()}
     assert {tuple(r) for r in stream(spark, pending, tmp_path, payment_decisions, "decisions")} == want
     times = [0, 30, 60, 130, 200, 270, 340, 86_399, 86_400, 86_430]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "user_id long, id long, t long").select("user_id", "id", F.timestamp_seconds("t").alias("received_at"))
-    got = [r.answer for r in sorted(stream(spark, df, tmp_path, rate_limited, "limits"), key=lambda r: r.id)]
-    assert got == ["ALLOWED", "COOLDOWN", "ALLOWED", "ALLOWED", "ALLOWED", "ALLOWED", "LIMIT", "LIMIT", "ALLOWED", "COOLDOWN"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)] + [(None, 90, 5), (2, 91, 5)], "user_id long, id long, t long").select("user_id", "id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("received_at"))
+    want = ["ALLOWED", "COOLDOWN", "ALLOWED", "ALLOWED", "ALLOWED", "ALLOWED", "LIMIT", "LIMIT", "ALLOWED", "COOLDOWN"]
+    got = [r.answer for r in sorted(stream(spark, df.where("user_id = 1"), tmp_path, rate_limited, "limits"), key=lambda r: r.id)]
+    assert got == want
+    assert [r.answer for r in rate_limits(df).orderBy("id").collect()] == [*want, "ALLOWED", "ALLOWED"]
+    rows = [("a", 1, "x", 0), ("a", 2, "x", 3599), ("a", 3, "y", 3599), ("a", 4, "y", 3600), ("a", 5, "x", 7000), ("b", 6, "x", 1), (" a ", 7, "y", 7100)]
+    asked = spark.createDataFrame(rows, "idempotency_key string, id long, request_hash string, t long").select("idempotency_key", "id", "request_hash", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("received_at"))
+    want = {1: "NEW", 2: "REPLAY", 3: "CONFLICT", 4: "NEW", 5: "CONFLICT", 6: "NEW", 7: "REPLAY"}
+    assert {r.id: r.answer for r in idempotency(asked).collect()} == want
+    got = {r.id: r.answer for r in stream(spark, asked.where("id < 7"), tmp_path, answered_requests, "answers")}
+    assert got == {k: v for k, v in want.items() if k < 7}
+    blank = asked.withColumn("idempotency_key", F.when(F.col("id") > 3, " "))
+    assert {r.answer for r in idempotency(blank).collect()} == {"KEY_REQUIRED"} and idempotency(asked.limit(0)).count() == 0

@@ -52,9 +52,11 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a bounded size, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of a bounded size, so that long texts don't pile up in a Python worker; settings made by the user stay."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str(64 << 20), str(16 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual).lower() in (usual, "64mb", "67108864b"):
+            spark.conf.set(key, value)
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

@@ -68,6 +68,21 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=50257)  # one beyond the vocabulary
 
 
+OP1_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM d
+), sized AS (SELECT r, doc_id, len(s) AS n, s FROM sets),
+each AS (SELECT r, n, unnest(s) AS s FROM sized),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM each a JOIN each b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, o) AS (SELECT r, r FROM sized UNION SELECT reach.r, e.b FROM reach JOIN both_ways e ON e.a = reach.o)
+SELECT x.doc_id, CAST(x.n AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id, x.doc_id IS NOT DISTINCT FROM min(y.doc_id) AS kept
+FROM reach JOIN sized x ON x.r = reach.r JOIN sized y ON y.r = reach.o GROUP BY x.r, x.doc_id, x.n
+"""
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -87,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op7_exact_top_k": OP7_SQL}

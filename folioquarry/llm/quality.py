@@ -71,6 +71,25 @@ class Model:
         return sigmoid(score[:, None] - self.thresholds[None, :])
 
 
+def likelihood(p: np.ndarray, flat: np.ndarray, of: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """(mean negative log-likelihood plus ridge, its gradient) at p: weights, the first threshold, logs of the gaps.
+
+    flat, of: the weight and the row of each feature that is present."""
+    n, k = len(grades), len(p) - GRADES + 1
+    w, free = p[:k], p[k:]
+    theta = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
+    score = np.bincount(of, w[flat], n)
+    edges = np.concatenate([np.full((n, 1), -np.inf), theta[None] - score[:, None], np.full((n, 1), np.inf)], 1)
+    low, high = edges[np.arange(n), grades], edges[np.arange(n), grades + 1]
+    s_low, s_high = np.where(np.isinf(low), 0, sigmoid(low)), np.where(np.isinf(high), 1, sigmoid(high))
+    mass = np.maximum(s_high - s_low, 1e-9)
+    d_high, d_low = s_high * (1 - s_high) / mass, s_low * (1 - s_low) / mass  # of log mass
+    g_theta = np.array([d_high[grades == j].sum() - d_low[grades == j + 1].sum() for j in range(GRADES - 1)])
+    g_free = np.concatenate([[g_theta.sum()], [np.exp(free[1 + j]) * g_theta[j + 1 :].sum() for j in range(GRADES - 2)]])
+    g = np.concatenate([-np.bincount(flat, (d_low - d_high)[of], k) / n + ridge * w, -g_free / n])
+    return float(-np.log(mass).mean() + ridge * (w * w).sum() / 2), g
+
+
 def regress(rows: list[np.ndarray], grades: np.ndarray, turns: int = 150, rate: float = 0.05, ridge: float = 1e-3) -> Model:
     """Adam on the mean negative log-likelihood plus ridge; the gaps between thresholds are exponentials, so they stay ordered."""
     n = len(rows)
@@ -82,18 +101,7 @@ def regress(rows: list[np.ndarray], grades: np.ndarray, turns: int = 150, rate:
     p = np.concatenate([np.zeros(len(used)), [cut[0]], np.log(np.maximum(np.diff(cut), 0.1))])
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, turns + 1):
-        w, free = p[: len(used)], p[len(used) :]
-        theta = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
-        score = np.bincount(of, w[flat], n)
-        edges = np.concatenate([np.full((n, 1), -np.inf), theta[None] - score[:, None], np.full((n, 1), np.inf)], 1)
-        low, high = edges[np.arange(n), grades], edges[np.arange(n), grades + 1]
-        s_low, s_high = np.where(np.isinf(low), 0, sigmoid(low)), np.where(np.isinf(high), 1, sigmoid(high))
-        mass = np.maximum(s_high - s_low, 1e-9)
-        d_high, d_low = s_high * (1 - s_high) / mass, s_low * (1 - s_low) / mass  # of log mass
-        g_theta = np.array([d_high[grades == j].sum() - d_low[grades == j + 1].sum() for j in range(GRADES - 1)])
-        g_score = d_low - d_high
-        g_free = np.concatenate([[g_theta.sum()], [np.exp(free[1 + j]) * g_theta[j + 1 :].sum() for j in range(GRADES - 2)]])
-        g = np.concatenate([-np.bincount(flat, g_score[of], len(used)) / n + ridge * w, -g_free / n])
+        g = likelihood(p, flat, of, grades, ridge)[1]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         p = p - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS)

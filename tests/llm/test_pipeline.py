@@ -53,3 +53,27 @@ def test_one_row_of_each_group_stays_and_keeps_its_text(spark):
     want = Counter([(5, a), (None, b), (None, d), (3, e), (5, ""), (None, None)])
     assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
     assert Counter((r.doc_id, r.text) for r in c.repeated_passage_stage(spark, out, SF).collect()) == want
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    clean = spark.read.parquet(f"{SF}/documents.parquet").limit(5).collect()
+    rows = [tuple(r) for r in clean] + [tuple(clean[0])] * 2 + [(None,) * 5, (None, "", None, None, 0), (7, None, "en", None, None), (8, "x " * 40_000, "en", "s", 80_000)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in c.STAGES:
+            docs = stage(spark, docs, SF)
+            if name != "packing":
+                assert docs.columns == schema.names
+        n = docs.count()
+        assert n == 0 if not rows else n >= 0
+        rows = []
+
+
+def test_a_passage_of_300_bytes_that_many_documents_share_is_cut(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    passage = " ".join(f"shared{k:02d}" for k in range(34))
+    assert 300 <= len(passage) < 400
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(60))
+    rows = [(k, f"{own(k)} {passage} {own(k + 100)}", "en", "s", 1) for k in range(40)] + [(99, own(99), "en", "s", 1)]
+    out = {r.doc_id: r.text for r in c.repeated_passage_stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert out[99] == own(99) and all("shared" not in out[k] and out[k].startswith(own(k)) and out[k].endswith(own(k + 100)) for k in range(40))

@@ -22,6 +22,7 @@ from folioquarry.llm.common import saved, small_batches, work_dir
 from folioquarry.llm.tokens import RankedIds
 
 PARTS = 256  # of each length, so that a length that many documents share is ranked in many tasks
+FULL = 100_000  # full pieces, which grow with the corpus, meant for a part
 
 
 _loaded: dict[str, RankedIds] = {}
@@ -86,7 +87,11 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: f
 
 
 def plan(histogram: dict[int, int], size: int, slack: float = 0.002) -> list[tuple[list[tuple[int, int]], int]]:
-    """[(pattern as (length, copies), times)] that holds each length as often as the histogram says."""
+    """[(pattern as (length, copies), times)] that holds each length as often as the histogram says.
+
+    Of the program's patterns those are taken, rounded down, that leave less than `slack` of a sequence empty; others (in a
+    program that isn't quite at its bound, those it began with) are made anew, with what rounding leaves, from lengths
+    that are still there. Taking all of them pads 11.7 % where this pads 0.05 %."""
     out: list[tuple[list[tuple[int, int]], int]] = []
     if histogram.get(size):
         out.append(([(size, 1)], histogram[size]))
@@ -162,23 +167,26 @@ def packed(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col
     kind = rows.schema["doc_id"].dataType.simpleString()
     extra = ", ids array<int>" if with_ids else ""
     pieces = rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + extra)
-    pieces = saved(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS))), "pieces", work_dir(spark))
+    pieces = saved(pieces, "pieces", work_dir(spark))
+    wide = max(PARTS, pieces.where(F.col("length") == size).count() // FULL)
+    parts = F.when(F.col("length") == size, F.lit(wide)).otherwise(F.lit(PARTS))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), parts))
 
-    counts = np.array(pieces.groupBy("length", "part").count().orderBy("length", "part").collect(), np.int64).reshape(-1, 3)  # size * PARTS rows at most
+    counts = np.array(pieces.groupBy("length", "part").count().orderBy("length", "part").collect(), np.int64).reshape(-1, 3)  # (size - 1) * PARTS + wide rows at most
     before = np.cumsum(counts[:, 2]) - counts[:, 2]
     first = before - before[np.searchsorted(counts[:, 0], counts[:, 0])]
     histogram = dict(zip(*(x.tolist() for x in np.unique(counts[:, 0], return_counts=True)), strict=True))
     for n in histogram:
         histogram[n] = int(counts[counts[:, 0] == n, 2].sum())
-    table = spark.sparkContext.broadcast((counts[:, 0] * PARTS + counts[:, 1], first, slots(plan(histogram, size))))
+    table = spark.sparkContext.broadcast((counts[:, 0] * wide + counts[:, 1], first, slots(plan(histogram, size))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, slot = table.value
         for batch in batches:
             length, part, row = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "part", "row"))
-            rank = row + first[np.searchsorted(keys, length * PARTS + part)]
-            wide = np.int64(1) << np.int64(40)
-            at = slot[np.searchsorted(slot[:, 0] * wide + slot[:, 1], length * wide + rank, "right") - 1]
+            rank = row + first[np.searchsorted(keys, length * wide + part)]
+            far = np.int64(1) << np.int64(40)
+            at = slot[np.searchsorted(slot[:, 0] * far + slot[:, 1], length * far + rank, "right") - 1]
             k = rank - at[:, 1]
             names = [n for n in batch.schema.names if n not in ("part", "row")]
             cols = [batch.column(n) for n in names] + [pa.array(at[:, 2] + k // at[:, 3]), pa.array(at[:, 4] + k % at[:, 3] * length)]

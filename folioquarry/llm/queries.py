@@ -55,7 +55,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(documents(spark, sf_dir), length=400)
+    return without_repeats(documents(spark, sf_dir), length=400, passage=200)
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -333,15 +335,16 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def changed(docs: DataFrame, length: int, of: Callable[[bytes, list[tuple[int, int]]], dict], kind: str, text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(key, columns of `kind`) of each distinct text that has repeated bytes; of: what to say of a text's bytes and of
-    the stretches (a, b) of them that are repeated, which are all of them where the text has copies.
+def changed(docs: DataFrame, lengths: tuple[int, ...], of: Callable[[bytes, list[list[tuple[int, int]]]], dict], kind: str, text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """(key, columns of `kind`) of each distinct text that has repeated bytes; of: what to say of a text's bytes and, for
+    each of `lengths`, of the stretches (a, b) of them that are repeated, which are all of them where the text has copies.
 
-    Work tables are gone when it returns: the result is written."""
+    Distinct texts are written once, whatever the number of lengths. Work tables are gone when it returns: the result is
+    written."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark)
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= min(lengths))
     rows = rows.select(F.unhex(F.md5("text")).alias("key"), "text")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,41 +365,50 @@ def changed(docs: DataFrame, length: int, of: Callable[[bytes, list[tuple[int, i
         texts = spark.table(name)
         copies = saved(rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies", folder)
 
-        grams = texts.mapInArrow(_grams(length), "gram long, key binary, n long")
-        often = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-        wanted = saved(grams.join(often, "gram", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams")), "wanted", folder)  # one text's
-        count = wanted.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
-        parts = max(n, -(-count * (length + 100) // PART))
-        runs = texts.join(wanted, "key").select("key", "text", "grams").mapInArrow(_runs(length, parts), "part int, blob binary, key binary, spans array<struct<a: long, b: long>>")
-
-        def merged(table: pa.Table) -> pa.Table:
-            known = table.filter(table["blob"].is_null()).select(["key", "spans"])
-            blobs = [b for b in table["blob"].to_pylist() if b is not None]
-            if not blobs:
-                return known
-            keys, a, b = repeated(blobs, length)
-            names, row = np.unique(keys, return_inverse=True)
-            who, spans = merged_spans(row, a, b)
-            return pa.concat_tables([known, pa.table({"key": pa.array([names[r].tobytes() for r in who.tolist()], pa.binary()), "spans": spans})])
-
-        marks = runs.groupBy("part").applyInArrow(merged, "key binary, spans array<struct<a: long, b: long>>")
-        spans = saved(marks.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", folder)  # one text's
-        cut = texts.join(copies, "key", "left").select("key", "text", F.coalesce("copies", F.lit(1)).alias("copies")).join(spans, "key", "left")
-        out = saved(cut.where("copies > 1 or spans is not null").select("key", "text", "copies", "spans").mapInArrow(_each(of), f"key binary, {kind}"), "cut", folder)
+        cut = texts.join(copies, "key", "left").select("key", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+        for length in lengths:
+            spans = saved(_repeated_spans(texts if length == min(lengths) else texts.where(F.octet_length("text") >= length), length, n, folder), f"spans-{length}", folder)
+            cut = cut.join(spans.withColumnRenamed("spans", f"spans_{length}"), "key", "left")
+        names = [f"spans_{length}" for length in lengths]
+        hit = reduce(or_, [F.col(c).isNotNull() for c in names], F.col("copies") > 1)
+        out = saved(cut.where(hit).select("key", "text", "copies", *names).mapInArrow(_each(of, lengths), f"key binary, {kind}"), "cut", folder)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    for part in ("texts", "copies", "wanted", "spans"):
+    for part in ("texts", "copies", *(f"{x}-{length}" for x in ("wanted", "spans") for length in lengths)):
         removed(spark, f"{folder}/{part}")
     return out
 
 
-def _each(of: Callable[[bytes, list[tuple[int, int]]], dict]):
+def _repeated_spans(texts: DataFrame, length: int, n: int, folder: str) -> DataFrame:
+    """(key, spans) of distinct texts that share strings of `length` bytes with others or within themselves."""
+    grams = texts.mapInArrow(_grams(length), "gram long, key binary, n long")
+    often = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    wanted = saved(grams.join(often, "gram", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams")), f"wanted-{length}", folder)  # one text's
+    count = wanted.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
+    parts = max(n, -(-count * (length + 100) // PART))
+    runs = texts.join(wanted, "key").select("key", "text", "grams").mapInArrow(_runs(length, parts), "part int, blob binary, key binary, spans array<struct<a: long, b: long>>")
+
+    def merged(table: pa.Table) -> pa.Table:
+        known = table.filter(table["blob"].is_null()).select(["key", "spans"])
+        blobs = [b for b in table["blob"].to_pylist() if b is not None]
+        if not blobs:
+            return known
+        keys, a, b = repeated(blobs, length)
+        names, row = np.unique(keys, return_inverse=True)
+        who, spans = merged_spans(row, a, b)
+        return pa.concat_tables([known, pa.table({"key": pa.array([names[r].tobytes() for r in who.tolist()], pa.binary()), "spans": spans})])
+
+    marks = runs.groupBy("part").applyInArrow(merged, "key binary, spans array<struct<a: long, b: long>>")
+    return marks.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # one text's
+
+
+def _each(of: Callable[[bytes, list[list[tuple[int, int]]]], dict], lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text, copies, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for key, text, copies, *each in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                gone = [(0, len(raw))] if copies > 1 else _union([(s["a"], s["b"]) for s in spans])
+                gone = [([(0, len(raw))] if len(raw) >= n else []) if copies > 1 else _union([(s["a"], s["b"]) for s in spans or []]) for n, spans in zip(lengths, each, strict=True)]
                 out.append({"key": key} | of(raw, gone))
             if out:
                 yield pa.RecordBatch.from_pylist(out)
@@ -404,27 +416,30 @@ def _each(of: Callable[[bytes, list[tuple[int, int]]], dict]):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Removed is each byte covered by a string of `length` bytes that also starts anywhere else in the table. Null and
+    Removed is each byte covered by a string of `length` bytes that also starts anywhere else in the table. With passage,
+    n_passage follows: the bytes covered by such strings of `passage` bytes, which are counted, not removed. Null and
     short texts lose nothing (null counts as empty). Repeated rows and equal texts repeat each other. Null ids stay. An
     empty table gives an empty result; other columns are not read.
     """
+    lengths = (length,) if passage is None else (length, passage)
 
-    def told(raw: bytes, gone: list[tuple[int, int]]) -> dict:
-        return {"n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "sha": hashlib.sha256(_kept(raw, gone)).hexdigest()}
+    def told(raw: bytes, gone: list[list[tuple[int, int]]]) -> dict:
+        covered = [sum(b - a for a, b in g) for g in gone]
+        return {"n_removed": covered[0], "n_spans": len(gone[0]), "sha": hashlib.sha256(_kept(raw, gone[0])).hexdigest(), "n_passage": covered[-1]}
 
-    done = changed(docs, length, told, "n_removed long, n_spans long, sha string", text_col)
+    done = changed(docs, lengths, told, "n_removed long, n_spans long, sha string, n_passage long", text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return rows.join(done, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    return rows.join(done, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), *([F.coalesce("n_passage", zero).alias("n_passage")] if passage else []))
 
 
 def kept_texts(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """docs, all its columns, with the removed bytes cut out of text_col; parts of characters left at a cut go too."""
-    cut = changed(docs, length, lambda raw, gone: {"kept": _kept(raw, gone).decode(errors="ignore")}, "kept string", text_col)
+    cut = changed(docs, (length,), lambda raw, gone: {"kept": _kept(raw, gone[0]).decode(errors="ignore")}, "kept string", text_col)
     key, kept = f"key_{uuid.uuid4().hex}", f"kept_{uuid.uuid4().hex}"
     left = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("string"))))
     both = left.join(cut.select(F.col("key").alias(key), F.col("kept").alias(kept)), key, "left")

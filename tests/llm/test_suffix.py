@@ -69,3 +69,14 @@ def test_kept_texts(spark):
     out = kept_texts(spark.createDataFrame(rows, "doc_id long, text string, key int"), 400)
     assert out.columns == ["doc_id", "text", "key"]
     assert {r.doc_id: (r.text, r.key) for r in out.collect()} == {1: ("ab", 7), 2: ("c", 8), 3: ("alone", 9), 4: (None, 1)}
+
+
+def test_two_lengths_at_once(spark):
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared = [part(rng.choice([30, 50, 90, 130])) for _ in range(8)]
+    rows = [(k, "".join(rng.choice([part(rng.randrange(90)), rng.choice(shared)]) for _ in range(rng.randrange(1, 5)))) for k in range(60)] + [(70, "x" * 60), (71, "x" * 60), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = without_repeats(df, 80, passage=40).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out], key=str) == brute(rows, 80)
+    assert sorted([(r.doc_id, r.n_passage) for r in out], key=str) == sorted([(k, n) for k, _, n, _, _ in brute(rows, 40)], key=str)

@@ -37,11 +37,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{folder or work_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -76,4 +76,5 @@ def test_a_passage_of_300_bytes_that_many_documents_share_is_cut(spark):
     own = lambda k: " ".join(f"own{k}x{j}" for j in range(60))
     rows = [(k, f"{own(k)} {passage} {own(k + 100)}", "en", "s", 1) for k in range(40)] + [(99, own(99), "en", "s", 1)]
     out = {r.doc_id: r.text for r in c.repeated_passage_stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
-    assert out[99] == own(99) and all("shared" not in out[k] and out[k].startswith(own(k)) and out[k].endswith(own(k + 100)) for k in range(40))
+    # what stands around the passage in all of them ("x59 " and " own1") goes with it
+    assert out[99] == own(99) and all("shared" not in t and len(t) >= len(own(k) + own(k + 100)) - 20 for k, t in out.items() if k < 40)

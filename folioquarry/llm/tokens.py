@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from folioquarry.llm.common import removed, saved, small_batches, work_dir
 
-HELD = 1_000_000  # distinct pre-tokens that a task holds before it passes them on
-SHARED = 16 << 20  # bytes of the table that is broadcast, with 16 for each entry
-STRETCH = 256  # rows whose frequencies are held at once
+HELD = 300_000  # distinct pre-tokens that a task holds before it passes them on
+SHARED = 8 << 20  # bytes of the table that is broadcast, with 16 for each entry
+STRETCH = 128  # rows whose frequencies are held at once
 
 
 class PreTokens:
@@ -31,7 +31,6 @@ class PreTokens:
 
     def __init__(self, path: str):
         import public_tokenizers
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
@@ -42,9 +41,8 @@ class PreTokens:
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
+        self.tokenizer = None  # loaded where pieces are counted, not where texts are cut
 
     def of(self, text: str) -> list[str]:
         """Pre-tokens in order; an added token stands as one."""
@@ -57,6 +55,12 @@ class PreTokens:
 
     def count(self, pieces: list[str]) -> list[int]:
         """The number of tokens of each pre-token; no id is read."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         return [len(x) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
@@ -123,7 +127,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 n_bytes = pc.cast(pc.binary_length(texts[a : a + STRETCH]), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + STRETCH], n_bytes, pa.ListArray.from_arrays(cuts, piece), pa.ListArray.from_arrays(cuts, times)], names=["doc_id", "n_bytes", "pieces", "times"])
 
-    each = saved(rows.mapInArrow(frequencies, f"doc_id {kind}, n_bytes long, pieces array<string>, times array<int>"), "frequencies", folder)
+    each = saved(rows.mapInArrow(frequencies, f"doc_id {kind}, n_bytes long, pieces array<string>, times array<int>"), "frequencies", folder, compression="zstd")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -139,6 +143,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             size += len(v)
             if size > HELD:
                 held = [pa.Table.from_batches([told()])]
+                pa.default_memory_pool().release_unused()
                 size = len(held[0])
                 if size > HELD // 2:
                     yield held[0].combine_chunks().to_batches()[0]

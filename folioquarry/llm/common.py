@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M1, M2, BASE = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15
@@ -59,6 +59,44 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+OFTEN = 1 << 14  # rows that share a key before it is salted
+WAYS = 32  # salts
+SLOTS = 1 << 16  # bits that say which keys are salted
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, often: Column, salt: Column) -> DataFrame:
+    """left, outer joined to right, whose keys are distinct. Rows of left whose key is `often` in right (a condition on right)
+    are spread over WAYS tasks by `salt` (a column of left), and such rows of right are there once for each.
+
+    Which keys these are is said by SLOTS bits of their hashes, alike on both sides: a key that shares its bit with one of
+    them is spread for nothing, and the result is the same."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    on = [r.s for r in right.where(often).select(slot(key).alias("s")).distinct().collect()]  # SLOTS rows at most
+    if not on:
+        return left.join(right, key, "left")
+    bits = np.zeros(SLOTS, np.uint8)
+    bits[on] = 1
+    words = F.from_json(F.lit(str(np.packbits(bits, bitorder="little").view("<i4").tolist())), "array<int>")  # folded to a literal
+    hit = F.getbit(F.element_at(words, (F.shiftright(slot(key), 5) + 1).cast("int")), F.pmod(slot(key), F.lit(32)).cast("int")) == 1
+    spread = left.withColumn("_salt", F.when(hit, F.pmod(salt, F.lit(WAYS)).cast("int")).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def frequent_from(table: DataFrame, size: Column, room: int) -> int:
+    """table: n. The least n so that all rows with at least as much take `room` bytes by `size`; beyond any n if none fit.
+
+    Read from sizes by n, below OFTEN one by one and beyond it by powers of two: OFTEN + 63 rows at most."""
+    step = F.when(F.col("n") < OFTEN, F.col("n")).otherwise(F.pow(F.lit(2.0), F.length(F.bin("n")) - 1).cast("long"))
+    least = 1 << 62
+    for n, bytes_ in sorted(table.groupBy(step.alias("step")).agg(F.sum(size)).collect(), reverse=True):
+        room -= bytes_
+        if room < 0:
+            break
+        least = n
+    return least
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(M1)

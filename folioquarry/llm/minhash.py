@@ -77,7 +77,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 name.append(name_of(s))
                 sig.append(minima(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "key", "n_shingles", "name", "sig"])
+            cols = [batch.column(k)[lo:hi] for k in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "key", "mark", "n_shingles", "name", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +119,12 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = N
     small_batches(spark)
     folder = work_dir(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scan = saved(rows.mapInArrow(_scan, f"doc_id {kind}, key long, n_shingles long, name binary, sig array<int>"), "scan", folder)
-    nodes = scan.where("n_shingles > 0").groupBy("name").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
+    scan = saved(rows.mapInArrow(_scan, f"doc_id {kind}, key long, mark long, n_shingles long, name binary, sig array<int>"), "scan", folder)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
+    nodes = scan.where("n_shingles > 0").groupBy("name").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), least)
+    nodes = nodes.select("name", "sig", "n", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("rep_mark"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
 
     posts = nodes.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
@@ -130,7 +134,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = N
     lists = saved(kept.select("node", "common", F.col("p.key").alias("key")), "lists", folder)
 
     # The full sets of posted nodes: the texts are moved once, whatever the number of nodes.
-    posted = lists.select("node").distinct().join(nodes, "node").select("node", "name", F.col("rep").alias("rep"))
+    posted = lists.select("node").distinct().join(nodes, "node").select("node", "name", "rep", "rep_mark")
     sets = saved(sets_of(posted.hint("merge"), rows), "sets", folder)
 
     links = None
@@ -164,8 +168,11 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = N
 
 
 def sets_of(want: DataFrame, rows: DataFrame) -> DataFrame:
-    """want: (node, name, rep: the doc_id of a row that has the set). Returns (node, shingles), full sets from the texts."""
-    texts = rows.join(want, rows.doc_id.eqNullSafe(want.rep)).select("node", "name", "text")
+    """want: (node, name; rep and rep_mark: doc_id and text's hash of a row that has the set). Returns (node, shingles).
+
+    Texts meet the sets of their own id and hash, so that different texts under one id (null is one) aren't multiplied; equal
+    texts under one id have one set."""
+    texts = rows.join(want, rows.doc_id.eqNullSafe(want.rep) & (rows.mark == want.rep_mark)).select("node", "name", "text")
     return texts.mapInArrow(_sets, "node long, same boolean, shingles array<long>").where("same").select("node", "shingles").dropDuplicates(["node"])
 
 

@@ -2,8 +2,8 @@
 
 Each row's pre-token frequencies are written to the shared folder. The distinct pre-tokens of the whole table, with the
 number of rows that have them, are counted into pieces once each. That table is joined to the frequencies in two parts: its
-most frequent rows, a bounded number of bytes, are broadcast and joined where the frequencies lie; the others stand in few
-rows each and are joined by a shuffle. A row's count is the sum of both.
+most frequent rows, a bounded number of bytes, are broadcast and joined where the frequencies lie; all others are joined by a
+shuffle, in which those that stand in many rows are salted. A row's count is the sum of both.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import removed, saved, small_batches, work_dir
+from folioquarry.llm.common import OFTEN, frequent_from, removed, salted_join, saved, small_batches, work_dir
 
 HELD = 300_000  # distinct pre-tokens that a task holds before it passes them on
 SHARED = 8 << 20  # bytes of the table that is broadcast, with 16 for each entry
@@ -159,15 +159,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     once = each.select("pieces").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     table = saved(once.mapInArrow(counted, "piece string, n long, tokens long"), "pieces", folder)  # each distinct pre-token once
 
-    # The most frequent ones, SHARED bytes of them at most, are broadcast; the others, each in few rows, are joined.
-    least = (1 << 14) + 1
-    room = SHARED
-    for c, size in sorted(table.groupBy(F.least("n", F.lit(1 << 14)).alias("c")).agg(F.sum(F.octet_length("piece") + F.lit(16).cast("long")).alias("size")).collect(), reverse=True):  # 1 << 14 rows at most
-        room -= size
-        if room < 0:
-            break
-        least = c
-    frequent = table.where(F.col("n") >= least).select("piece", "tokens").toArrow() if least <= 1 << 14 else table.limit(0).select("piece", "tokens").toArrow()
+    # The most frequent ones, SHARED bytes of them at most, are broadcast; all others are joined, salted where they are often.
+    least = frequent_from(table, F.octet_length("piece") + F.lit(16).cast("long"), SHARED)
+    frequent = table.where(F.col("n") >= least).select("piece", "tokens").toArrow()
     known = spark.sparkContext.broadcast((frequent["piece"].combine_chunks(), frequent["tokens"].to_numpy()))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +183,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     part = saved(part, "known", folder)
     removed(spark, f"{folder}/frequencies")
     rest = part.where(F.size("pieces") > 0).select("row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("f"))
-    more = rest.join(table.where(F.col("n") < least).select("piece", "tokens"), "piece").groupBy("row").agg(F.sum(F.col("f") * F.col("tokens")).alias("more"))
+    met = salted_join(rest, table.where(F.col("n") < least).select("piece", F.col("n").alias("rows"), "tokens"), "piece", F.col("rows") >= OFTEN, F.xxhash64("row"))
+    tokens = F.coalesce("tokens", F.raise_error(F.lit("a pre-token has no count")).cast("long"))
+    more = met.groupBy("row").agg(F.sum(F.col("f") * tokens).alias("more"))
     total = F.col("n") + F.coalesce("more", F.lit(0).cast("long"))
     return part.select("row", "doc_id", "n_bytes", "n").join(more, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -92,3 +92,15 @@ def test_all_links_of_sf001_are_found(spark):
     """Recall against an exact computation over the whole table: shared shingles counted by an inverted index."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    """Different texts under one id are no product: 2,000 rows without an id and 500 under one id."""
+    rng = random.Random(2)
+    rows = [(None if k < 2000 else 7, " ".join(rng.choice("abcdefghijklmnop") for _ in range(12))) for k in range(2500)]
+    rows += [(k, t) for k, (_, t) in enumerate(rows[:60])] + rows[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r.component_id is None for r in got) > 1000
+    small = rows[:50] + rows[2000:2050] + rows[2500:]
+    assert result(near_duplicates(spark.createDataFrame(small, "doc_id long, text string"))) == brute(small)

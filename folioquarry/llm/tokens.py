@@ -9,6 +9,7 @@ shuffle, in which those that stand in many rows are salted. A row's count is the
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,6 +57,7 @@ class PreTokens:
     def count(self, pieces: list[str]) -> list[int]:
         """The number of tokens of each pre-token; no id is read."""
         if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory of its own
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
@@ -155,6 +157,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         count = pre_tokens(path).count
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=["piece", "n", "tokens"])
+        pa.default_memory_pool().release_unused()
 
     once = each.select("pieces").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     table = saved(once.mapInArrow(counted, "piece string, n long, tokens long"), "pieces", folder)  # each distinct pre-token once

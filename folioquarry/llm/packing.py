@@ -3,8 +3,8 @@
 Each document's ids are cut into full pieces of `size` and one remainder. The histogram of remainder lengths (at most
 size - 1 numbers, whatever the corpus) is the demand of a cutting-stock program: its columns are patterns of lengths
 that fit in one sequence, a knapsack by dynamic programming prices new ones, and a revised simplex takes them in. The
-solution is rounded down; what is left is packed by patterns that take the longest length that fits, each as often as
-it can be. Slots of each length are numbered; documents are ranked within their length, and rank says slot.
+solution is rounded, and what is left is a smaller program of the same kind; the last few lengths are filled longest
+first. Slots of each length are numbered; documents are ranked within their length, and rank says slot.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from folioquarry.llm.tokens import RankedIds
 
 PARTS = 256  # of each length, so that a length that many documents share is ranked in many tasks
 FULL = 100_000  # full pieces, which grow with the corpus, meant for a part
+COLUMNS, SURE, REFRESH = 60, 1e-4, 200  # patterns that a pricing gives; the least pivot that is trusted; steps between inverses
 
 
 _loaded: dict[str, RankedIds] = {}
@@ -34,8 +35,8 @@ def id_bytes(text: str, path: str) -> bytes:
     return table.ids(text).astype("<u4").tobytes()
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """The most worthy pattern: (worth, count of each length). lengths ascend."""
+def priced(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack program: the most worth of each capacity and the last length taken there (-1: none). lengths ascend."""
     best, took = np.zeros(size + 1), np.full(size + 1, -1)
     most = np.searchsorted(lengths, np.arange(size + 1), "right")
     for c in range(1, size + 1):
@@ -43,84 +44,144 @@ def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float,
         if most[c]:
             found = best[c - lengths[: most[c]]] + worth[: most[c]]
             k = int(found.argmax())
-            if found[k] > best[c]:
+            if found[k] > best[c] + 1e-12:
                 best[c], took[c] = found[k], k
-    counts, c = np.zeros(len(lengths), np.int64), size
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+    return best, took
+
+
+def filled(lengths: np.ndarray, took: np.ndarray, room: int, counts: np.ndarray) -> np.ndarray:
+    """counts with the most worthy lengths for `room` added."""
+    while room > 0:
+        if took[room] < 0:
+            room -= 1
         else:
-            counts[took[c]] += 1
-            c -= int(lengths[took[c]])
-    return float(best[size]), counts
+            counts[took[room]] += 1
+            room -= int(lengths[took[room]])
+    return counts
+
+
+def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """The most worthy pattern: (worth, count of each length)."""
+    best, took = priced(lengths, worth, size)
+    return float(best[size]), filled(lengths, took, size, np.zeros(len(lengths), np.int64))
+
 
+def first_fit(lengths: np.ndarray, demand: np.ndarray, size: int) -> np.ndarray:
+    """Patterns, one a column, that together cover the demand: the longest lengths that are left and fit, each used until one
+    of its lengths runs out."""
+    left, on = demand.astype(float), np.ones(len(lengths), bool)
+    patterns = np.zeros((len(lengths), len(lengths)))
+    for column in range(len(lengths)):
+        room, pattern = size, patterns[:, column]
+        while len(fit := np.flatnonzero(on & (lengths <= room) & (pattern == 0))):
+            pattern[fit[-1]] = min(room // lengths[fit[-1]], max(1, np.ceil(left[fit[-1]])))
+            room -= int(pattern[fit[-1]] * lengths[fit[-1]])
+        held = np.flatnonzero(pattern)
+        times = left[held] / pattern[held]
+        left[held] = np.maximum(left[held] - times.min() * pattern[held], 0)
+        on[held[times.argmin()]] = False
+    return patterns
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 5e-4, turns: int = 800) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, one a column; how often each is used) within `gap` of the program's lower bound, or after `turns`."""
-    # Element-wise throughout: new columns have few entries, and a threaded BLAS isn't wanted in a Spark driver.
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, one a column; how often each is used) within `gap` of the program's lower bound; gap=0 goes to its optimum.
+
+    A revised simplex over a pool of patterns, at first those of first_fit(). Where none of the pool improves the program,
+    the knapsack prices new ones: the best pattern around each length, of which the COLUMNS best come to the pool."""
+    nudge = np.random.default_rng(0).random(len(demand)) * 1e-6  # so that no step of the simplex stands still
+    nudged = demand * (1 + nudge) + nudge
     basis = np.diag(size // lengths).astype(float)
     inverse = np.diag(1 / np.diag(basis))
-    x = np.diag(inverse) * demand
-    floor = float((lengths * demand).sum()) / size
-    for _ in range(turns):
-        total = x.sum()
-        if total <= floor * (1 + gap):
-            break
+    x = inverse.sum(0) * nudged
+    pool, barred = first_fit(lengths, demand, size), np.zeros(len(lengths), bool)
+    bound, entered = float((lengths * demand).sum()) / size, 0
+    while x.sum() > bound * (1 + gap):
         dual = inverse.sum(0)
-        worth, new = knapsack(lengths, np.maximum(dual, 0), size)
-        if worth <= 1 + 1e-9 or total <= (total / worth) * (1 + gap):  # Farley's bound
-            break
-        on = np.flatnonzero(new)
-        step = (inverse[:, on] * new[on]).sum(1)
-        ratio = np.where(step > 1e-10, np.maximum(x, 0) / np.where(step > 1e-10, step, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
-        basis[:, out] = new
+        worth = np.where(barred, 0, dual @ pool)
+        k = int(worth.argmax())
+        if worth[k] <= 1 + 1e-9:
+            dual = np.maximum(dual, 0)
+            best, took = priced(lengths, dual, size)
+            if best[size] <= 1 + 1e-9:
+                break
+            bound = max(bound, float((dual * demand).sum() / best[size]))  # Farley's bound
+            around = dual + best[size - lengths]
+            new = [k for k in np.argsort(-around, kind="stable")[:COLUMNS] if around[k] > 1 + 1e-9]
+            fresh = np.zeros((len(lengths), len(new)))
+            fresh[new, np.arange(len(new))] = 1
+            for column, k in enumerate(new):
+                filled(lengths, took, size - int(lengths[k]), fresh[:, column])
+            pool, barred = fresh, np.zeros(len(new), bool)  # what was in the pool can't improve now
+            if (inverse.sum(0) @ pool).max() <= 1 + 1e-9:
+                break
+            continue
+        step = inverse @ pool[:, k]
+        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(np.where(ratio <= ratio.min() * (1 + 1e-9) + 1e-12, step, 0).argmax())  # of equal ones the surest pivot
+        if step[out] < SURE:
+            barred[k] = True
+            continue
+        basis[:, out] = pool[:, k]
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-        t = ratio[out]
-        x = x - t * step
-        x[out] = t
-    return basis.round().astype(np.int64), np.maximum(x, 0)
+        times = ratio[out]
+        x = x - times * step
+        x[out] = times
+        entered += 1
+        if entered % REFRESH == 0:
+            inverse = np.linalg.inv(basis)
+            x = inverse @ nudged
+    return basis.round().astype(np.int64), np.maximum(np.linalg.solve(basis, demand), 0)
 
 
-def plan(histogram: dict[int, int], size: int, slack: float = 0.002) -> list[tuple[list[tuple[int, int]], int]]:
+def plan(histogram: dict[int, int], size: int, gap: float = 3e-3) -> list[tuple[list[tuple[int, int]], int]]:
     """[(pattern as (length, copies), times)] that holds each length as often as the histogram says.
 
-    Of the program's patterns those are taken, rounded down, that leave less than `slack` of a sequence empty; others (in a
-    program that isn't quite at its bound, those it began with) are made anew, with what rounding leaves, from lengths
-    that are still there. Taking all of them pads 11.7 % where this pads 0.05 %."""
+    The program's patterns are used as often as it says, rounded down, and then, the largest fractions first, once more where
+    the lengths that are left allow it. What is left then is a smaller program of the same kind, and so on; the last few
+    lengths, of which no pattern can be used, are filled longest first."""
+    return planned(histogram, size, gap)[0]
+
+
+def planned(histogram: dict[int, int], size: int, gap: float = 3e-3) -> tuple[list[tuple[list[tuple[int, int]], int]], int]:
+    """(plan(), how many of its sequences the program's patterns make, full ones aside)."""
     out: list[tuple[list[tuple[int, int]], int]] = []
     if histogram.get(size):
         out.append(([(size, 1)], histogram[size]))
     lengths = np.array(sorted(k for k, v in histogram.items() if v and k < size), np.int64)
-    if not len(lengths):
-        return out
     left = np.array([histogram[k] for k in lengths.tolist()], np.int64)
-    patterns, x = column_generation(lengths, left.astype(float), size)
 
-    def use(pattern: np.ndarray, most: int) -> None:
+    def use(pattern: np.ndarray, most: int) -> int:
         on = np.flatnonzero(pattern)
-        times = min(most, int((left[on] // pattern[on]).min())) if len(on) else 0
+        times = min(most, int((left[on] // pattern[on]).min()))
         if times > 0:
             left[on] -= pattern[on] * times
             out.append(([(int(lengths[k]), int(pattern[k])) for k in on[::-1]], times))
+        return max(times, 0)
 
-    for k in np.argsort(-x, kind="stable"):
-        if (lengths * patterns[:, k]).sum() >= size * (1 - slack):
-            use(patterns[:, k], int(np.floor(x[k] + 1e-9)))
-    while left.any():  # each turn all but uses up a length
+    solved, some = 0, 1
+    while some and left.any():
+        there, some = np.flatnonzero(left), 0
+        patterns, x = column_generation(lengths[there], left[there].astype(float), size, gap)
+        whole = np.floor(x + 1e-9).astype(np.int64)
+        for k in np.argsort(-x, kind="stable"):
+            wide = np.zeros(len(left), np.int64)
+            wide[there] = patterns[:, k]
+            some += use(wide, int(whole[k]))
+        for k in np.argsort(whole - x, kind="stable"):
+            if x[k] - whole[k] > 1e-6:
+                wide = np.zeros(len(left), np.int64)
+                wide[there] = patterns[:, k]
+                some += use(wide, 1)
+        solved += some
+    while left.any():
         pattern, room = np.zeros(len(left), np.int64), size
-        while True:
-            fit = np.flatnonzero((lengths <= room) & (left > pattern))
-            if not len(fit):
-                break
+        while len(fit := np.flatnonzero((lengths <= room) & (left > pattern))):
             pattern[fit[-1]] += 1
             room -= int(lengths[fit[-1]])
         use(pattern, 1 << 60)
-    return out
+    return out, solved
 
 
 def slots(plans: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from folioquarry.llm.packing import column_generation, knapsack, packed, plan, slots
+from folioquarry.llm.packing import column_generation, first_fit, knapsack, packed, plan, planned, slots
 
 PATH = P.path("byte_bpe_50k.json")
 tok = Tokenizer.from_file(PATH)
@@ -24,11 +24,35 @@ def test_knapsack_equals_brute_force():
 
 def test_program_known_optimum():
     # widths 45, 36, 31, 14 of 100 with demands 97, 610, 395, 211: a classic with optimum 452.25
-    patterns, x = column_generation(np.array([14, 31, 36, 45]), np.array([211.0, 395, 610, 97]), 100, gap=0, turns=5000)
+    patterns, x = column_generation(np.array([14, 31, 36, 45]), np.array([211.0, 395, 610, 97]), 100, gap=0)
     assert abs(x.sum() - 452.25) < 1e-6
     assert np.allclose(patterns @ x, [211, 395, 610, 97])
 
 
+def test_program_against_the_bound_and_first_fit():
+    rng = np.random.default_rng(3)
+    for n, size in ((8, 60), (40, 200), (200, 1024)):
+        lengths = np.sort(rng.choice(np.arange(1, size), n, replace=False))
+        demand = rng.integers(1, 30, n).astype(float)
+        start = first_fit(lengths, demand, size)
+        assert (lengths @ start <= size).all() and (start.max(1) > 0).all()
+        patterns, x = column_generation(lengths, demand, size)
+        assert np.allclose(patterns @ x, demand, atol=1e-3) and (lengths @ patterns <= size).all()
+        best, use = column_generation(lengths[:8], demand[:8], size, gap=0)
+        dual = np.linalg.solve(best.T, np.ones(8))
+        assert abs(dual @ demand[:8] - use.sum()) < 1e-6
+        assert knapsack(lengths[:8], np.maximum(dual, 0), size)[0] <= 1 + 1e-6  # no pattern is worth more: the optimum
+
+
+def test_sequences_come_from_the_program():
+    rng = random.Random(7)
+    for n in (1000, 20_000):
+        histogram = Counter(int(rng.expovariate(1 / 300)) % 1023 + 1 for _ in range(n))
+        plans, solved = planned(dict(histogram), 1024)
+        total = sum(t for _, t in plans)
+        assert solved >= 0.97 * total and total <= sum(k * v for k, v in histogram.items()) / 1024 * 1.01 + 2
+
+
 def test_plan_covers_the_histogram():
     rng = random.Random(1)
     for n in (0, 1, 40, 3000, 200_000):

@@ -64,20 +64,29 @@ WAYS = 32  # salts
 SLOTS = 1 << 16  # bits that say which keys are salted
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, often: Column, salt: Column) -> DataFrame:
-    """left, outer joined to right, whose keys are distinct. Rows of left whose key is `often` in right (a condition on right)
-    are spread over WAYS tasks by `salt` (a column of left), and such rows of right are there once for each.
+def slot_test(keys: DataFrame, *names: str) -> Column | None:
+    """A condition that holds for rows whose columns `names` are in keys, and for few others; None if keys is empty.
 
-    Which keys these are is said by SLOTS bits of their hashes, alike on both sides: a key that shares its bit with one of
-    them is spread for nothing, and the result is the same."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    on = [r.s for r in right.where(often).select(slot(key).alias("s")).distinct().collect()]  # SLOTS rows at most
+    It looks up one of SLOTS bits by the columns' hash, so what goes to the driver and back is the same for any keys."""
+    slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS))
+    on = [r.s for r in keys.select(slot.alias("s")).distinct().collect()]  # SLOTS rows at most
     if not on:
-        return left.join(right, key, "left")
+        return None
     bits = np.zeros(SLOTS, np.uint8)
     bits[on] = 1
     words = F.from_json(F.lit(str(np.packbits(bits, bitorder="little").view("<i4").tolist())), "array<int>")  # folded to a literal
-    hit = F.getbit(F.element_at(words, (F.shiftright(slot(key), 5) + 1).cast("int")), F.pmod(slot(key), F.lit(32)).cast("int")) == 1
+    return F.getbit(F.element_at(words, (F.shiftright(slot, 5) + 1).cast("int")), F.pmod(slot, F.lit(32)).cast("int")) == 1
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, often: Column, salt: Column) -> DataFrame:
+    """left, outer joined to right, whose keys are distinct. Rows of left whose key is `often` in right (a condition on right)
+    are spread over WAYS tasks by `salt` (a column of left), and such rows of right are there once for each.
+
+    Which keys these are is said by slot_test(), alike on both sides: a key that it takes for one of them is spread for
+    nothing, and the result is the same."""
+    hit = slot_test(right.where(often).select(key), key)
+    if hit is None:
+        return left.join(right, key, "left")
     spread = left.withColumn("_salt", F.when(hit, F.pmod(salt, F.lit(WAYS)).cast("int")).otherwise(0))
     copies = right.withColumn("_salt", F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))))
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")
@@ -167,7 +176,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes: 8 bytes at a time are mixed in; spans over SHORT bytes go to xxHash.
 
     Each block is mixed before the next one comes in, so that no arrangement of blocks cancels out, as it can in a
@@ -176,7 +185,7 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
-    h = size.astype(np.uint64) * np.uint64(BASE) + np.uint64(M1)
+    h = size.astype(np.uint64) * np.uint64(BASE) + np.uint64((M1 + seed * M2) % (1 << 64))
     rows = np.arange(len(size))
     for done in range(0, SHORT, 8):
         if done:
@@ -188,10 +197,35 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     long = np.flatnonzero(size > SHORT)
     if len(long):
         raw = data.tobytes()
-        h[long] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64)
+        h[long] = np.array([xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64)
     return fmix(h)
 
 
+def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of bytes as strings; they may overlap."""
+    size = ends - starts
+    cuts = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=cuts[1:])
+    at = np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(cuts), pa.py_buffer(data[at]))
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span with the number `like` has for it."""
+    rows = np.flatnonzero(starts != starts[like])
+    if not (ends - starts == ends[like] - starts[like]).all():
+        return False
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    size, here, there = (ends - starts)[rows], starts[rows], starts[like[rows]]
+    for done in range(0, SHORT, 8):
+        some = np.flatnonzero(size > done)
+        if ((eight[here[some] + done] ^ eight[there[some] + done]) & KEEP[np.minimum(size[some] - done, 8)]).any():
+            return False
+    return all((data[here[k] : here[k] + size[k]] == data[there[k] : there[k] + size[k]]).all() for k in np.flatnonzero(size > SHORT))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, its start byte, first word of each row and the end)."""
     data = LOWER[data]

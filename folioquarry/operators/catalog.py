@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquarry.functions.columns import contains, isbn_digits, signature
+from folioquarry.functions.columns import contains, isbn_digits, signature, whole_number
 from folioquarry.operators.circulation import count_if, filled, zero
-from folioquarry.operators.lending import live, member_state, with_member
+from folioquarry.operators.lending import entitled, in_turn, live, member_state, with_member
 from folioquarry.operators.paging import head_of
 
 
@@ -141,6 +144,22 @@ def receipts(payments: DataFrame, ebooks: DataFrame, books: DataFrame, loans: Da
     return j.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("receipt_number"), "payment_code", "member_id", "member_name", "member_email", *map(col, names), title.alias("item_title"), *map(col, rest))
 
 
+def receipt_search(found: DataFrame, q: str | None = None, status: str | None = None, paid_from: str | None = None, paid_to: str | None = None) -> DataFrame:
+    """receipts() that meet each given condition. q is looked for in codes, transaction ids, names, e-mails and titles of e-books
+    and fined books; if it is a whole number, also among the ids of payments, members and targets. Nulls match nothing."""
+    if status:
+        found = found.where(F.col("status") == status)
+    for text, test in ((paid_from, lambda t: F.col("paid_at") >= t), (paid_to, lambda t: F.col("paid_at") <= t)):
+        if text:
+            found = found.where(test(F.lit(text).cast("timestamp_ntz")))
+    named = found.withColumn("_title", F.when(~F.col("item_title").eqNullSafe(F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string"))), F.col("item_title")))
+    test = contains(q, "payment_code", "provider_transaction_id", "member_name", "member_email", "_title")
+    number = whole_number(q)
+    if number is not None:
+        test = reduce(or_, [F.coalesce(F.col(c) == number, F.lit(False)) for c in ("payment_id", "member_id", "target_id")], test)
+    return (named if test is None else named.where(test)).drop("_title")
+
+
 def payment_dashboard(payments: DataFrame, first: Column, until: Column) -> DataFrame:
     """One row: counts and amounts by status, and successes paid in [first, until); zeros for an empty table."""
     is_ = lambda s: F.col("status") == s
@@ -175,39 +194,64 @@ def callback_outcomes(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
     return j.select("id", "payment_id", F.coalesce("_bad", good).alias("outcome"))
 
 
+MESSAGES = {  # fixed texts, kept with a payment
+    "FULFILLED": "Ebook loan created", "LICENSE_UNAVAILABLE": "Payment succeeded but no ebook license was available",
+    "BORROW_LIMIT_EXCEEDED": "Payment succeeded but member reached media borrow limit", "ALREADY_HAS_ACTIVE_LOAN": "Member already has an active ebook loan",
+    "EBOOK_NOT_AVAILABLE": "Ebook is not active when payment succeeded",
+}
+
+
 def fulfilment(payments: DataFrame, ebooks: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column) -> DataFrame:
     """The outcome of each successful e-book payment that has no loan yet, and the end of the loan it gives.
 
-    In order: EBOOK_NOT_FOUND, RESOURCE_NOT_FOUND (no member), EBOOK_NOT_AVAILABLE, ALREADY_HAS_ACTIVE_LOAN,
+    In order: RESOURCE_NOT_FOUND (no member), EBOOK_NOT_FOUND, EBOOK_NOT_AVAILABLE, ALREADY_HAS_ACTIVE_LOAN,
     MEMBER_HAS_UNPAID_FINES, BORROW_LIMIT_EXCEEDED (physical and entitled e-book loans), LICENSE_UNAVAILABLE, FULFILLED.
-    Payments that pass the rules against the state before the batch are ranked by paid_at and id: a member's second one
-    for an e-book finds the first one's loan, and no more pass than the member has room and the e-book free licences for;
-    one that a later rule refuses has used up its rank in the rules before it."""
+    Payments are taken one by one by paid_at and id: each that is fulfilled uses up room under its member's limit and a
+    licence, and is the loan that the member's later payments for the e-book find; others use up nothing."""
     paid = payments.where("status = 'SUCCESS' AND target_type = 'BOOK_EBOOK'").select("id", "member_id", F.col("target_id").alias("ebook_id"), "paid_at")
     paid = paid.join(ebook_loans.select(F.col("payment_id").alias("id")), "id", "left_anti")
     e = ebooks.select(F.col("id").alias("_ebook"), F.col("status").alias("_ebook_status"), "max_concurrent_loans", "loan_days")
-    entitled = ebook_loans.where((F.col("status") == "ACTIVE") & (F.col("expired_at") > ebook_now))
-    own = entitled.select(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).distinct()
-    used = entitled.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
+    has = entitled(ebook_loans, ebook_now)
+    own = has.select(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).distinct()
+    used = has.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
     j = with_member(paid, member_state(members, loans, ebook_loans, now, ebook_now)).join(e, F.col("ebook_id") == F.col("_ebook"), "left")
     j = j.join(own, (F.col("member_id") == F.col("_own_member")) & (F.col("ebook_id") == F.col("_own_ebook")), "left").join(used, F.col("ebook_id") == F.col("_used_ebook"), "left")
     free = F.col("max_concurrent_loans") - F.coalesce("_used", zero())
-    before = (
-        F.when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_ebook_status") != "ACTIVE", "EBOOK_NOT_AVAILABLE")
-        .when(F.col("_own_ebook").isNotNull(), "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_unpaid"), "MEMBER_HAS_UNPAID_FINES").when(F.col("_limit"), "BORROW_LIMIT_EXCEEDED").when(free <= 0, "LICENSE_UNAVAILABLE")
-    )
+    before = F.when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_ebook_status") != "ACTIVE", "EBOOK_NOT_AVAILABLE")
+    has_one = F.col("_own_ebook").isNotNull()
     j = j.withColumn("_code", before)
-    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys, F.col("_code").isNull()).orderBy("paid_at", "id"))
-    j = j.withColumns({"_same": turn("member_id", "ebook_id"), "_mine": turn("member_id"), "_its": turn("ebook_id")})
-    code = F.coalesce("_code", F.when(F.col("_same") > 1, "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_mine") > F.col("_room"), "BORROW_LIMIT_EXCEEDED").when(F.col("_its") > free, "LICENSE_UNAVAILABLE").otherwise("FULFILLED"))
-    return j.select("id", "member_id", "ebook_id", code.alias("outcome"), F.when(code == "FULFILLED", ebook_now + F.make_dt_interval(F.col("loan_days").cast("int"))).alias("expired_at"))
-
-
-def merged(old: DataFrame, new: DataFrame, key: str, update: bool = True) -> DataFrame:
-    """An upsert: rows of new replace (or, without update, yield to) those of old with the same key; others are added."""
+    j = in_turn(j, "paid_at", F.col("member_id"), F.col("ebook_id"), F.struct("member_id", "ebook_id"), F.col("_room"), free, F.col("_code").isNull() & ~has_one & ~F.col("_unpaid"))
+    after = (
+        F.when(has_one | (F.col("had_pair") > 0), "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_unpaid"), "MEMBER_HAS_UNPAID_FINES")
+        .when(F.col("had_member") >= F.col("room"), "BORROW_LIMIT_EXCEEDED").when(F.col("had_item") >= F.col("free"), "LICENSE_UNAVAILABLE").otherwise("FULFILLED")
+    )
+    j = j.withColumn("outcome", F.coalesce("_code", after))
+    end = ebook_now + F.make_dt_interval(F.col("loan_days").cast("int"))
+    return j.select("id", "member_id", "ebook_id", "outcome", F.when(F.col("outcome") == "FULFILLED", end).alias("expired_at"))
+
+
+def fulfilment_metadata(payments: DataFrame, outcomes: DataFrame, at: Column) -> DataFrame:
+    """payments: id, metadata (map or null). (id, metadata) with what fulfilment() said, as status, message and moment; keys that
+    are there already are replaced, others stay. Outcomes that have no message (errors) and payments without one change nothing."""
+    text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    told = outcomes.select(F.col("id").alias("_id"), F.col("outcome").alias("_outcome"), F.element_at(text, F.col("outcome")).alias("_text")).where("_text IS NOT NULL")
+    new = F.create_map(F.lit("ebookFulfillmentStatus"), "_outcome", F.lit("ebookFulfillmentMessage"), "_text", F.lit("ebookFulfillmentAt"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    j = payments.select("id", "metadata").join(told, F.col("id") == F.col("_id"), "left")
+    return j.select("id", F.when(F.col("_id").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, new)).alias("metadata"))
+
+
+def merged(old: DataFrame, new: DataFrame, key: str, update: bool = True, order: list[Column] | None = None) -> DataFrame:
+    """An upsert: rows of new replace (or, without update, yield to) those of old with the same key; others are added.
+
+    A key that stands in new more than once counts once: by its first row in `order`, by default that of all its columns,
+    ascending. A null key is a key like others. Rows of old that share a key stay, or go, together."""
+    once = head_of(new, [key], *(order or [F.col(c) for c in sorted(new.columns)]))
+    same = old[key].eqNullSafe(once[key])
     if not update:
-        return old.unionByName(new.join(old.select(key), key, "left_anti"))
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+        return old.unionByName(once.join(old, same, "left_anti"))
+    return old.join(once, same, "left_anti").unionByName(once)
 
 
 def copy_counts(loans: DataFrame) -> DataFrame:

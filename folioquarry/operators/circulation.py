@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.functions.columns import ACTIVE, ACTIVE_HOLD, OPEN, contains, days_overdue_calendar, days_overdue_elapsed, fine_status, is_overdue, is_unpaid_fine, local_day, matches, whole_number
+from folioquarry.operators.ordered import nearest, segments
 
 def zero() -> Column:
     return F.lit(0).cast("long")
@@ -26,11 +27,19 @@ def filled(df: DataFrame, *names: str) -> DataFrame:
 # Per-member aggregates
 
 
+def loan_totals(loans: DataFrame, now: Column) -> DataFrame:
+    """Of each member that has any loans, in one pass: active, open, overdue and all loans, those marked OVERDUE, and the
+    unpaid fines. A null status counts as a loan alone; null amounts are none."""
+    status, owed = F.col("status"), F.when(is_unpaid_fine(), F.col("fine_amount"))
+    return loans.groupBy("member_id").agg(
+        count_if(status.isin(*ACTIVE)).alias("active_count"), count_if(status.isin(*OPEN)).alias("open_count"), count_if(is_overdue(now)).alias("overdue_count"),
+        F.count("*").alias("history_count"), count_if(status == "OVERDUE").alias("marked"), F.coalesce(F.sum(owed), zero()).alias("unpaid_total"),
+    )
+
+
 def borrow_counts(loans: DataFrame, now: Column) -> DataFrame:
     """Active, open, overdue and all loans of each member that has any; a null status counts as a loan alone."""
-    return loans.groupBy("member_id").agg(
-        count_if(F.col("status").isin(*ACTIVE)).alias("active_count"), count_if(F.col("status").isin(*OPEN)).alias("open_count"), count_if(is_overdue(now)).alias("overdue_count"), F.count("*").alias("history_count")
-    )
+    return loan_totals(loans, now).select("member_id", "active_count", "open_count", "overdue_count", "history_count")
 
 
 def ebook_counts(ebooks: DataFrame, now: Column) -> DataFrame:
@@ -52,10 +61,14 @@ def active_holds(holds: DataFrame) -> DataFrame:
 def member_stats(members: DataFrame, loans: DataFrame, ebooks: DataFrame, holds: DataFrame, now: Column, ebook_now: Column) -> DataFrame:
     """Physical and e-book loans, fines and holds of each member; members without any get zeros."""
     out = members.select(F.col("id").alias("member_id"), "full_name")
-    for part in (borrow_counts(loans, now), ebook_counts(ebooks, ebook_now), unpaid_fines(loans), active_holds(holds)):
+    for part in (loan_totals(loans, now), ebook_counts(ebooks, ebook_now), active_holds(holds)):
         out = out.join(part, "member_id", "left")
     c = filled(out, *out.columns[2:])
-    return c.select("member_id", "full_name", (F.col("active_count") + F.col("ebook_active")).alias("active_loans"), (F.col("overdue_count") + F.col("ebook_overdue")).alias("overdue_loans"), (F.col("history_count") + F.col("ebook_history")).alias("history"), "unpaid_total", "active_holds")
+    both = lambda a, b, name: (F.col(a) + F.col(b)).alias(name)
+    return c.select(
+        "member_id", "full_name", both("active_count", "ebook_active", "active_loans"), both("overdue_count", "ebook_overdue", "overdue_loans"),
+        both("history_count", "ebook_history", "history"), "unpaid_total", "active_holds",
+    )
 
 
 # Searches
@@ -65,7 +78,8 @@ def loan_search(
     loans: DataFrame, ebooks: DataFrame, members: DataFrame, books: DataFrame, copies: DataFrame, files: DataFrame, payments: DataFrame, now: Column, ebook_now: Column, q: str | None = None, status: str | None = None,
     overdue: bool | None = None, open_only: bool | None = None, due_from: str | None = None, due_to: str | None = None, member_id: int | None = None, fields: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Physical and e-book loans in one shape of 24 columns. A flag that is None or False filters nothing.
+    """Physical and e-book loans in one shape of 24 columns. A flag that is None or False filters nothing. ebooks: book_id is
+    the book's id, ebook_id that of its file.
 
     files (id, original_filename) are the e-books' files. q is looked for in names, e-mails, phones, titles, ISBNs and, by
     kind, barcodes or file names and payment codes; if it is a whole number, also among the ids of loans, members, books,
@@ -100,7 +114,7 @@ def loan_search(
         F.lit("PHYSICAL").alias("loan_type"), null("long").alias("ebook_loan_id"), null("long").alias("book_ebook_id"), null("long").alias("payment_id"), null("timestamp_ntz").alias("expired_at"),
     ).join(shelf, "book_copy_id").withColumns({"_file": null("string"), "_code": null("string")})
     digital = kept(ebooks, F.col("status") == "ACTIVE", elate, "expired_at").select(
-        null("long").alias("borrow_id"), "member_id", F.col("ebook_id").alias("book_id"), null("long").alias("book_copy_id"), null("string").alias("item_barcode"), null("string").alias("copy_status"), "borrowed_at",
+        null("long").alias("borrow_id"), "member_id", "book_id", null("long").alias("book_copy_id"), null("string").alias("item_barcode"), null("string").alias("copy_status"), "borrowed_at",
         F.col("expired_at").alias("due_date"), null("timestamp_ntz").alias("returned_at"), "status", null("long").alias("renew_count"), null("long").alias("max_renewals"), zero().alias("fine_amount"), F.lit("NONE").alias("fine_status"),
         elate.alias("overdue"), F.when(elate, days_overdue_elapsed(ebook_now, F.col("expired_at"))).otherwise(zero()).alias("days_overdue"), F.lit("EBOOK").alias("loan_type"), F.col("id").alias("ebook_loan_id"), F.col("ebook_id").alias("book_ebook_id"), "payment_id", "expired_at",
     ).join(names, "book_ebook_id", "left").join(codes, "payment_id", "left")
@@ -179,15 +193,23 @@ def account_reason(now: Column) -> Column:
     return F.when(F.col("role") != "MEMBER", "NOT_A_MEMBER").when(F.col("status") != "ACTIVE", "ACCOUNT_NOT_ACTIVE").when(F.col("membership_expires_at") < now, "MEMBERSHIP_EXPIRED")
 
 
+def rates_on(days: DataFrame, configs: DataFrame) -> DataFrame:
+    """days: on_day. (on_day, rate) in force on each distinct day that has one: of several the one that began last, ties to the
+    larger id. The dated rows are cut into stretches once and merged with the days in order, so that neither meets all rows
+    of the other."""
+    number = lambda c: F.unix_date(c).cast("long")
+    spans = configs.select(F.lit(0).alias("_key"), F.col("id").cast("long").alias("id"), number("effective_from").alias("since"), number("effective_until").alias("until"), F.col("rate_per_day").cast("long").alias("value"))
+    points = segments(spans, ["_key"]).select("_key", "t", F.lit(0).cast("long").alias("tie"), "value")
+    probes = days.where("on_day IS NOT NULL").select("on_day").distinct().select(F.lit(0).alias("_key"), number("on_day").alias("t"), number("on_day").alias("row"))
+    return nearest(probes, points, ["_key"], "value").select(F.date_from_unix_date(F.col("row").cast("int")).alias("on_day"), F.col("value").alias("rate")).where("rate IS NOT NULL")
+
+
 def effective_fines(loans: DataFrame, configs: DataFrame) -> DataFrame:
-    """Days late times the rate in force on the local day of return, of several the newest; without one the fine stays.
-
-    The rates are a handful of effective-dated rows, joined by range; the newest is taken by an aggregate, not a sort."""
-    day = local_day("returned_at")
-    late = loans.where("returned_at IS NOT NULL").withColumn("days_late", days_overdue_calendar(F.col("returned_at"), F.col("due_date"))).where("days_late > 0").withColumn("on_day", day)
-    days = late.select("on_day").distinct()
-    rate = days.join(configs, (F.col("effective_from") <= F.col("on_day")) & (F.col("effective_until").isNull() | (F.col("effective_until") > F.col("on_day")))).groupBy("on_day").agg(F.max_by("rate_per_day", F.struct("effective_from", "id")).alias("rate"))
-    return late.join(rate, "on_day", "left").select("id", "days_late", F.coalesce(F.col("days_late") * F.col("rate"), F.col("fine_amount")).alias("fine"))
+    """Days late times the rate in force on the local day of return, of several the newest; without one the fine stays."""
+    late = loans.where("returned_at IS NOT NULL").withColumn("days_late", days_overdue_calendar(F.col("returned_at"), F.col("due_date")))
+    late = late.where("days_late > 0").withColumn("on_day", local_day("returned_at"))
+    fine = F.coalesce(F.col("days_late") * F.col("rate"), F.col("fine_amount"))
+    return late.join(rates_on(late, configs), "on_day", "left").select("id", "days_late", fine.alias("fine"))
 
 
 # Batch transitions

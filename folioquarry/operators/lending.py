@@ -1,4 +1,4 @@
-"""Lending life cycle as set operations: copies, holds, check-ins, renewals, e-book loans, fines, reading sessions.
+"""Lending life cycle as set operations: copies, holds, checkouts, check-ins, renewals, e-book loans, fines.
 
 Each takes whole tables of requests and state and gives one row a request with the first rule that refuses it, or the new
 state. Requests of one batch are judged against the state before it, unless a docstring says how they see each other.
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquarry.functions.columns import ACTIVE, ACTIVE_HOLD, OPEN, contains, days_overdue_calendar, is_unpaid_fine
-from folioquarry.operators.circulation import account_reason, borrow_counts, count_if, ebook_counts, filled, unpaid_fines, zero
+from folioquarry.operators.circulation import account_reason, ebook_counts, filled, loan_totals, rates_on, zero
+from folioquarry.operators.ordered import allocated
 
 FULL_LIMIT = 5  # of members without one
 
@@ -24,10 +25,9 @@ def days(n: int) -> Column:
 
 def member_state(members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column) -> DataFrame:
     """_member, _account (the first reason why the account may not act), _unpaid, _limit (reached), _room, _overdue."""
-    marked = loans.groupBy("member_id").agg(count_if(F.col("status") == "OVERDUE").alias("marked"))
-    own = borrow_counts(loans, now).select("member_id", "active_count").join(marked, "member_id", "left")
+    own = loan_totals(loans, now).select("member_id", "active_count", "marked", "unpaid_total")
     m = members.select(F.col("id").alias("member_id"), account_reason(now).alias("_account"), F.coalesce("max_borrow_limit", F.lit(FULL_LIMIT)).alias("most"))
-    for part in (own, ebook_counts(ebook_loans, ebook_now).select("member_id", "ebook_entitled"), unpaid_fines(loans)):
+    for part in (own, ebook_counts(ebook_loans, ebook_now).select("member_id", "ebook_entitled")):
         m = m.join(part, "member_id", "left")
     m = filled(m, "active_count", "ebook_entitled", "unpaid_total", "marked")
     room = F.col("most") - F.col("active_count") - F.col("ebook_entitled")
@@ -102,6 +102,39 @@ def checkout_blocks(requests: DataFrame, copies: DataFrame, books: DataFrame, me
     return j.select("id", F.array_join("_reasons", ",").alias("reasons"), F.try_element_at("_reasons", F.lit(1)).alias("first_reason"), F.when(F.size("_reasons") == 0, now + days(borrow_days)).alias("due_date"))
 
 
+def in_turn(asks: DataFrame, at: str, member: Column, item: Column, pair: Column, room: Column, free: Column, able: Column) -> DataFrame:
+    """asks with granted, had_member, had_item and had_pair, as allocated() says, taken by the column `at` and id."""
+    return allocated(asks.select("*", F.monotonically_increasing_id().alias("row"), F.col(at).alias("at"), member.alias("member"), item.alias("item"), pair.alias("pair"), room.alias("room"), free.alias("free"), able.alias("able")))
+
+
+def checkouts(
+    requests: DataFrame, copies: DataFrame, books: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column,
+    borrow_days: int = 14, max_renewals: int = 2,
+) -> DataFrame:
+    """requests: id, member_id, copy_id, asked_at. The first rule that refuses each checkout, else OK with its loan: book_id,
+    borrowed_at, due_date, status, renew_count, max_renewals, fine_amount.
+
+    Requests are taken one by one by asked_at and id: each that stands uses up room under its member's limit, its copy, and
+    its member's right to that book; refused ones use up nothing."""
+    c = copies.select(F.col("id").alias("_copy"), F.col("book_id").alias("_copy_book"), F.col("status").alias("_copy_status"))
+    b = books.select(F.col("id").alias("_book"), F.coalesce("deleted", F.lit(False)).alias("_deleted"))
+    own = loans.where(F.col("status").isin(*OPEN)).select(F.col("member_id").alias("_has_member"), F.col("book_id").alias("_has_book")).distinct()
+    j = with_member(requests.select("id", "member_id", "copy_id", "asked_at"), member_state(members, loans, ebook_loans, now, ebook_now))
+    j = j.join(c, F.col("copy_id") == F.col("_copy"), "left").join(b, F.col("_copy_book") == F.col("_book"), "left")
+    j = j.join(own, (F.col("member_id") == F.col("_has_member")) & (F.col("_copy_book") == F.col("_has_book")), "left")
+    away = F.coalesce(F.col("_copy_status") != "AVAILABLE", F.lit(True)) | F.coalesce("_deleted", F.lit(True))
+    able = found().isNull() & ~F.col("_unpaid") & ~F.col("_overdue") & F.col("_has_book").isNull() & F.col("_copy").isNotNull() & ~away
+    j = in_turn(j, "asked_at", F.col("member_id"), F.col("copy_id"), F.struct("member_id", "_copy_book"), F.col("_room"), F.lit(1), able)
+    code = (
+        F.when(found().isNotNull(), found()).when(F.col("_unpaid"), "UNPAID_FINES").when(F.col("had_member") >= F.col("_room"), "BORROW_LIMIT_REACHED").when(F.col("_overdue"), "OVERDUE_LOANS")
+        .when(F.col("_has_book").isNotNull() | (F.col("had_pair") > 0), "ALREADY_BORROWED_BOOK").when(F.col("_copy").isNull(), "COPY_NOT_FOUND")
+        .when(away | (F.col("had_item") > 0), "COPY_NOT_AVAILABLE").otherwise("OK")
+    )
+    ok = F.col("code") == "OK"
+    new = {"borrowed_at": now, "due_date": now + days(borrow_days), "status": F.lit("BORROWED"), "renew_count": zero(), "max_renewals": F.lit(max_renewals).cast("long"), "fine_amount": zero()}
+    return j.withColumn("code", code).select("id", "member_id", "copy_id", "code", F.when(ok, F.col("_copy_book")).alias("book_id"), *[F.when(ok, v).alias(k) for k, v in new.items()])
+
+
 # Renewal
 
 
@@ -182,25 +215,26 @@ def place_holds(requests: DataFrame, members: DataFrame, books: DataFrame, holds
     return j.select("id", "member_id", "book_id", "code", F.when(stands, F.coalesce("_last", F.lit(0)) + place).alias("queue_position"), F.when(stands, now + days(pickup_days)).alias("expires_at"))
 
 
-def checkout_holds(holds: DataFrame, copies: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column, borrow_days: int = 14) -> DataFrame:
+def checkout_holds(
+    holds: DataFrame, copies: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column, borrow_days: int = 14
+) -> DataFrame:
     """Every active hold as a pickup: the loan's due date and the copy's and hold's new states, or what refuses it.
 
-    Holds of one member are taken by reservation and id: each pickup that stands uses up room under the limit."""
+    Holds are taken one by one by reservation and id: each pickup that stands uses up room under its member's limit and its
+    copy; one that is refused uses up nothing."""
     c = copies.select(F.col("id").alias("_copy"), F.col("status").alias("_copy_status"))
     h = holds.where(F.col("status").isin(*ACTIVE_HOLD)).select("id", "member_id", "book_id", "reserved_at", "status", "assigned_copy_id")
     j = with_member(h, member_state(members, loans, ebook_loans, now, ebook_now)).join(c, F.col("assigned_copy_id") == F.col("_copy"), "left")
-    before = (
-        F.when(F.col("status") != "READY_FOR_PICKUP", "HOLD_NOT_READY_FOR_PICKUP")
-        .when(F.col("_copy_status").isNull() | (F.col("_copy_status") != "ON_HOLD_SHELF"), "HOLD_ASSIGNED_COPY_INVALID")
-        .when(found().isNotNull(), found())
-        .when(F.col("_unpaid"), "UNPAID_FINES")
-        .when(F.col("_limit"), "BORROW_LIMIT_REACHED")
-        .when(F.col("_overdue"), "OVERDUE_LOANS")
-    )
-    j = j.withColumn("_code", before)
-    turn = F.row_number().over(Window.partitionBy("member_id", F.col("_code").isNull()).orderBy("reserved_at", "id"))
-    j = j.withColumn("code", F.coalesce("_code", F.when(turn > F.col("_room"), "BORROW_LIMIT_REACHED").otherwise("FULFILLED")))
+    waits = F.col("status") != "READY_FOR_PICKUP"
+    away = F.col("_copy_status").isNull() | (F.col("_copy_status") != "ON_HOLD_SHELF")
+    able = ~waits & ~away & found().isNull() & ~F.col("_unpaid") & ~F.col("_overdue")
+    j = in_turn(j, "reserved_at", F.col("member_id"), F.col("assigned_copy_id"), F.monotonically_increasing_id(), F.col("_room"), F.lit(1), able)
+    code = (
+        F.when(waits, "HOLD_NOT_READY_FOR_PICKUP").when(away | (F.col("had_item") > 0), "HOLD_ASSIGNED_COPY_INVALID").when(found().isNotNull(), found())
+        .when(F.col("_unpaid"), "UNPAID_FINES").when(F.col("had_member") >= F.col("_room"), "BORROW_LIMIT_REACHED").when(F.col("_overdue"), "OVERDUE_LOANS").otherwise("FULFILLED")
+    )
     ok = F.col("code") == "FULFILLED"
+    j = j.withColumn("code", code)
     return j.select("id", "member_id", "assigned_copy_id", "code", F.when(ok, now + days(borrow_days)).alias("due_date"), F.when(ok, "BORROWED").alias("copy_status"))
 
 
@@ -242,14 +276,18 @@ def check_in(returns: DataFrame, copies: DataFrame, loans: DataFrame, holds: Dat
     j = j.withColumn("code", code).withColumn("overdue_days", F.when(F.col("code") == "RETURNED", days_overdue_calendar(F.col("returned_at"), F.col("_loan.due_date"))))
     day = F.to_date(F.col("returned_at") + F.expr("INTERVAL 7 HOURS"))
     j = j.withColumn("_day", day)
-    on = j.select("_day").distinct().join(configs, (F.col("effective_from") <= F.col("_day")) & (F.col("effective_until").isNull() | (F.col("effective_until") > F.col("_day"))))  # days and rates: few rows
-    j = j.join(on.groupBy("_day").agg(F.max_by("rate_per_day", F.struct("effective_from", "id")).alias("_rate")), "_day", "left")
+    j = j.join(rates_on(j.select(F.col("_day").alias("on_day")), configs).select(F.col("on_day").alias("_day"), F.col("rate").alias("_rate")), "_day", "left")
     whole = (F.col("code") == "RETURNED") & (F.col("_condition") != "DAMAGED")
     j = j.withColumn("_n", F.when(whole, F.row_number().over(Window.partitionBy("_copy_book", whole).orderBy("returned_at", "id"))))
     j = j.join(queue(holds), (F.col("_copy_book") == F.col("_queue_book")) & (F.col("_n") == F.col("_place")), "left")
     fine = F.when(F.col("overdue_days") > 0, F.coalesce(F.col("overdue_days") * F.col("_rate"), F.col("_loan.fine_amount"))).otherwise(F.col("_loan.fine_amount"))
     status = F.when(F.col("code") != "RETURNED", F.lit(None).cast("string")).when(F.col("_condition") == "DAMAGED", "DAMAGED").when(F.col("_next").isNotNull(), "ON_HOLD_SHELF").otherwise("AVAILABLE")
-    return j.select("id", "code", F.col("_loan.loan_id").alias("loan_id"), "overdue_days", F.when(F.col("code") == "RETURNED", fine).alias("fine"), status.alias("copy_status"), F.col("_next").alias("next_hold_id"), F.when(F.col("_next").isNotNull(), F.col("returned_at") + days(pickup_days)).alias("next_expires_at"))
+    back = F.col("code") == "RETURNED"
+    return j.select(
+        "id", "code", F.col("_loan.loan_id").alias("loan_id"), "overdue_days", F.when(back, fine).alias("fine"), status.alias("copy_status"), F.col("_next").alias("next_hold_id"),
+        F.when(F.col("_next").isNotNull(), F.col("returned_at") + days(pickup_days)).alias("next_expires_at"), F.when(back, F.col("_copy")).alias("copy_id"),
+        F.when(back, F.col("_copy_book")).alias("book_id"), (F.coalesce(status, F.lit("")) == "AVAILABLE").cast("long").alias("counter_delta"),
+    )
 
 
 def expired_hold_moves(holds: DataFrame, copies: DataFrame, now: Column, pickup_days: int = 3, most: int = 500) -> DataFrame:
@@ -288,30 +326,36 @@ def purge(images: DataFrame, now: Column, most: int = 25) -> DataFrame:
 # E-books
 
 
+def entitled(ebook_loans: DataFrame, ebook_now: Column) -> DataFrame:
+    return ebook_loans.where((F.col("status") == "ACTIVE") & (F.col("expired_at") > ebook_now))
+
+
 def ebook_grants(requests: DataFrame, ebooks: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column) -> DataFrame:
     """requests: id, member_id, book_id, asked_at, for free e-books. The newest active e-book of the book is taken.
 
-    EBOOK_NOT_FOUND, EBOOK_REQUIRES_PAYMENT, RESOURCE_NOT_FOUND (no member), UNPAID_FINES, BORROW_LIMIT_REACHED, EXISTING
-    (an entitled loan is given back), LICENSE_UNAVAILABLE or GRANTED with its end. Of requests that come so far, ranked by
-    asked_at and id, as many as an e-book has free licences and a member has room for are granted."""
-    newest = ebooks.where("status = 'ACTIVE'").groupBy(F.col("book_id").alias("_ebook_book")).agg(F.max_by(F.struct(F.col("id").alias("id"), "access_type", "max_concurrent_loans", "loan_days"), "id").alias("_e"))
-    entitled = ebook_loans.where((F.col("status") == "ACTIVE") & (F.col("expired_at") > ebook_now))
-    own = entitled.groupBy(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).agg(F.max("expired_at").alias("_own_until"))
-    used = entitled.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
+    EBOOK_NOT_FOUND, EBOOK_REQUIRES_PAYMENT, RESOURCE_NOT_FOUND (no member), UNPAID_FINES, BORROW_LIMIT_REACHED, EXISTING (an
+    entitled loan, or one granted in this batch, is given back), LICENSE_UNAVAILABLE or GRANTED with its end. Requests are
+    taken one by one by asked_at and id: a grant uses up room under its member's limit and a licence, other outcomes nothing."""
+    what = F.struct(F.col("id").alias("id"), "access_type", "max_concurrent_loans", "loan_days")
+    newest = ebooks.where("status = 'ACTIVE'").groupBy(F.col("book_id").alias("_ebook_book")).agg(F.max_by(what, "id").alias("_e"))
+    has = entitled(ebook_loans, ebook_now)
+    own = has.groupBy(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).agg(F.max("expired_at").alias("_own_until"))
+    used = has.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
     j = with_member(requests.select("id", "member_id", "book_id", "asked_at"), member_state(members, loans, ebook_loans, now, ebook_now))
     j = j.join(newest, F.col("book_id") == F.col("_ebook_book"), "left").withColumn("_ebook", F.col("_e.id"))
     j = j.join(own, (F.col("member_id") == F.col("_own_member")) & (F.col("_ebook") == F.col("_own_ebook")), "left").join(used, F.col("_ebook") == F.col("_used_ebook"), "left")
     before = (
-        F.when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_e.access_type") != "FREE", "EBOOK_REQUIRES_PAYMENT").when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND")
-        .when(F.col("_unpaid"), "UNPAID_FINES").when(F.col("_limit"), "BORROW_LIMIT_REACHED").when(F.col("_own_until").isNotNull(), "EXISTING")
-        .when(F.coalesce("_used", zero()) >= F.col("_e.max_concurrent_loans"), "LICENSE_UNAVAILABLE")
+        F.when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_e.access_type") != "FREE", "EBOOK_REQUIRES_PAYMENT")
+        .when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_unpaid"), "UNPAID_FINES")
     )
+    free = F.col("_e.max_concurrent_loans") - F.coalesce("_used", zero())
     j = j.withColumn("_code", before)
-    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys, F.col("_code").isNull()).orderBy("asked_at", "id"))
-    j = j.withColumns({"_same": turn("member_id", "_ebook"), "_mine": turn("member_id"), "_its": turn("_ebook")})
-    code = F.coalesce("_code", F.when(F.col("_same") > 1, "EXISTING").when(F.col("_mine") > F.col("_room"), "BORROW_LIMIT_REACHED").when(F.col("_its") > F.col("_e.max_concurrent_loans") - F.coalesce("_used", zero()), "LICENSE_UNAVAILABLE").otherwise("GRANTED"))
-    j = j.withColumn("code", code)
-    until = F.when(F.col("code") == "GRANTED", ebook_now + F.make_dt_interval(F.col("_e.loan_days").cast("int"))).when(F.col("code") == "EXISTING", F.col("_own_until"))
+    j = in_turn(j, "asked_at", F.col("member_id"), F.col("_ebook"), F.struct("member_id", "_ebook"), F.col("_room"), free, F.col("_code").isNull() & F.col("_own_until").isNull())
+    mine = F.col("_own_until").isNotNull() | (F.col("had_pair") > 0)
+    after = F.when(F.col("had_member") >= F.col("room"), "BORROW_LIMIT_REACHED").when(mine, "EXISTING").when(F.col("had_item") >= F.col("free"), "LICENSE_UNAVAILABLE").otherwise("GRANTED")
+    end = ebook_now + F.make_dt_interval(F.col("_e.loan_days").cast("int"))
+    j = j.withColumn("code", F.coalesce("_code", after))
+    until = F.when(F.col("code") == "GRANTED", end).when(F.col("code") == "EXISTING", F.coalesce("_own_until", end))
     return j.select("id", "member_id", F.col("_ebook").alias("ebook_id"), "code", until.alias("expired_at"))
 
 
@@ -336,30 +380,3 @@ def policy_faults(ebooks: DataFrame) -> DataFrame:
     fee = F.coalesce("fee", F.lit(0))
     good = ((F.col("access_type") == "FREE") & (fee == 0)) | ((F.col("access_type") == "PAID") & (fee > 0))
     return ebooks.where(~F.coalesce(good, F.lit(False))).select("id", "access_type", "fee")
-
-
-def reading_sessions(beats: DataFrame, ebook_loans: DataFrame, ttl: int = 15, throttle: int = 5, url_ttl: int = 5) -> DataFrame:
-    """beats: id, member_id, ebook_id, at (opens, refreshes and reads of a reader). A row for each beat within a loan.
-
-    The loan is the entitled one that ends last. A beat after the session's end (`ttl` minutes from the beat before, the
-    loan's end at most) begins a new session; session_expires_at is min(at + ttl, loan end), the address is valid to
-    min(at + url_ttl, session end). writes says whether the beat writes a heartbeat: the first of a session does, and any
-    that is more than `throttle` minutes after the last written one, here taken by `throttle` slots from the session's
-    start. Beats without an entitled loan get NO_LOAN."""
-    l = ebook_loans.where("status = 'ACTIVE'").select(F.col("member_id").alias("_lm"), F.col("ebook_id").alias("_le"), F.col("borrowed_at").alias("_from"), F.col("expired_at").alias("_until"))
-    loan = F.max("_until").alias("_until")
-    j = beats.select("id", "member_id", "ebook_id", "at")
-    met = j.join(l, (F.col("member_id") == F.col("_lm")) & (F.col("ebook_id") == F.col("_le")) & (F.col("_from") <= F.col("at")) & (F.col("_until") > F.col("at"))).groupBy("id").agg(loan)
-    j = j.join(met, "id", "left")
-    order = Window.partitionBy("member_id", "ebook_id", F.col("_until").isNull()).orderBy("at", "id")
-    minutes = lambda n: F.expr(f"INTERVAL {n} MINUTES")
-    j = j.withColumn("_end", F.least(F.col("at") + minutes(ttl), F.col("_until")))
-    j = j.withColumn("_new", (F.lag("_end").over(order).isNull() | (F.col("at") >= F.lag("_end").over(order))).cast("int"))
-    j = j.withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("member_id", "ebook_id", F.col("_until").isNull(), "session_no").orderBy("at", "id")
-    seconds = F.unix_timestamp(F.col("at").cast("timestamp"))
-    slot = F.floor((seconds - F.first(seconds).over(inside)) / (60 * throttle))
-    j = j.withColumn("_slot", slot)
-    there = F.col("_until").isNotNull()
-    writes = F.lag("_slot").over(inside).isNull() | (F.lag("_slot").over(inside) < F.col("_slot"))
-    return j.select("id", F.when(there, "ACTIVE").otherwise("NO_LOAN").alias("code"), F.when(there, F.col("session_no")).alias("session_no"), F.when(there, F.col("_end")).alias("session_expires_at"), F.when(there, F.least(F.col("at") + minutes(url_ttl), F.col("_end"))).alias("url_expires_at"), (there & writes).alias("writes"))

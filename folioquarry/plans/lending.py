@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquarry.functions import columns as c
-from folioquarry.operators import catalog, circulation, lending, paging, sequences
+from folioquarry.operators import catalog, circulation, lending, paging, sequences, transitions
 from folioquarry.plans.registry import E, LIVE, N, PERIOD, UNPAID, enow, now, query
 from folioquarry.sources import runs
 
@@ -14,6 +14,14 @@ STATE = f""", st AS (SELECT m.id AS mid, CASE WHEN role <> 'MEMBER' THEN 'NOT_A_
   coalesce(a.f, 0) > 0 AS unpaid, coalesce(max_borrow_limit, 5) - coalesce(a.n, 0) - coalesce(b.n, 0) AS room, coalesce(a.m, 0) > 0 AS overdue FROM members m
   LEFT JOIN (SELECT member_id, count(*) FILTER (WHERE status IN ('BORROWED', 'OVERDUE')) AS n, count(*) FILTER (WHERE status = 'OVERDUE') AS m, sum(fine_amount) FILTER (WHERE {UNPAID}) AS f FROM loans GROUP BY 1) a ON a.member_id = m.id
   LEFT JOIN (SELECT member_id, count(*) AS n FROM ebook_loans WHERE status = 'ACTIVE' AND expired_at > {E} GROUP BY 1) b ON b.member_id = m.id)"""
+# Requests taken one by one: asks(k, t, id, m, i, p, room, free, able) in; out(k, had_m, had_i, had_p), what was granted before each.
+TURNS = "PARTITION BY {} ORDER BY t NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+WINDOWS = f"WINDOW wm AS ({TURNS.format('m')}), wi AS ({TURNS.format('i')}), wp AS ({TURNS.format('p')})"
+ALLOCATED = f""", a(step, k, t, id, m, i, p, room, free, g) AS (SELECT 0, k, t, id, m, i, p, room, free, CASE WHEN able THEN NULL ELSE false END FROM asks
+  UNION ALL SELECT step + 1, k, t, id, m, i, p, room, free, CASE WHEN g IS NOT NULL THEN g WHEN gm >= room OR gi >= free OR gp > 0 THEN false WHEN gm + um < room AND gi + ui < free AND up = 0 THEN true END
+    FROM (SELECT *, count(*) FILTER (WHERE g) OVER wm AS gm, count(*) FILTER (WHERE g IS NULL) OVER wm AS um, count(*) FILTER (WHERE g) OVER wi AS gi, count(*) FILTER (WHERE g IS NULL) OVER wi AS ui,
+      count(*) FILTER (WHERE g) OVER wp AS gp, count(*) FILTER (WHERE g IS NULL) OVER wp AS up, count(*) FILTER (WHERE g IS NULL) OVER () AS n FROM a {WINDOWS}) WHERE n > 0),
+  turns AS (SELECT k, count(*) FILTER (WHERE g) OVER wm AS had_m, count(*) FILTER (WHERE g) OVER wi AS had_i, count(*) FILTER (WHERE g) OVER wp AS had_p FROM (SELECT * FROM a WHERE step = (SELECT max(step) FROM a)) {WINDOWS})"""
 QUEUE = "SELECT book_id, id AS next_id, row_number() OVER (PARTITION BY book_id ORDER BY queue_position NULLS LAST, reserved_at, id) AS place FROM {holds} WHERE status = 'WAITING'"
 
 
@@ -22,15 +30,29 @@ QUEUE = "SELECT book_id, id AS next_id, row_number() OVER (PARTITION BY book_id
 
 @query(STATE + f""", r AS (SELECT h.id, h.member_id, c.id AS copy_id, h.copy_no FROM (SELECT id, member_id, book_id * 100000 + id % 110 AS copy_no FROM holds) h LEFT JOIN copies c ON c.id = copy_no),
   x AS (SELECT r.id, list_filter([CASE WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' ELSE account END, CASE WHEN unpaid THEN 'UNPAID_FINES' END, CASE WHEN room <= 0 THEN 'BORROW_LIMIT_REACHED' END, CASE WHEN overdue THEN 'OVERDUE_LOANS' END,
-    CASE WHEN EXISTS (SELECT 1 FROM loans l WHERE l.member_id = r.member_id AND l.book_id = c.book_id AND l.status IN ('BORROWED', 'OVERDUE', 'LOST')) AND mid IS NOT NULL THEN 'ALREADY_BORROWED_BOOK' END,
+    CASE WHEN o.m IS NOT NULL AND mid IS NOT NULL THEN 'ALREADY_BORROWED_BOOK' END,
     CASE WHEN c.id IS NULL THEN 'COPY_NOT_FOUND' WHEN c.status <> 'AVAILABLE' OR coalesce(b.deleted, true) THEN 'COPY_NOT_AVAILABLE' END], lambda v: v IS NOT NULL) AS l
-    FROM r LEFT JOIN st ON mid = r.member_id LEFT JOIN copies c ON c.id = r.copy_id LEFT JOIN books b ON b.id = c.book_id)
+    FROM r LEFT JOIN st ON mid = r.member_id LEFT JOIN copies c ON c.id = r.copy_id LEFT JOIN books b ON b.id = c.book_id
+    LEFT JOIN (SELECT DISTINCT member_id AS m, book_id AS b FROM loans WHERE status IN ('BORROWED', 'OVERDUE', 'LOST')) o ON o.m = r.member_id AND o.b = c.book_id)
   SELECT id, coalesce(array_to_string(l, ','), '') AS reasons, l[1] AS first_reason, CASE WHEN len(l) = 0 THEN {N} + INTERVAL '14' DAY END AS due_date FROM x""")
 def checkout_block_reasons(holds, copies, books, members, loans, ebook_loans):
     requests = holds.select("id", "member_id", (F.col("book_id") * 100000 + F.col("id") % 110).alias("copy_id"))
     return lending.checkout_blocks(requests, copies, books, members, loans, ebook_loans, now(), enow())
 
 
+@query(STATE + f""", r AS (SELECT h.id, h.member_id, reserved_at AS t, book_id * 100000 + h.id % 30 AS copy_id FROM holds h),
+  j AS (SELECT r.*, mid, account, unpaid, room, overdue, c.id AS cid, c.book_id AS book, coalesce(c.status <> 'AVAILABLE', true) OR coalesce(b.deleted, true) AS away, o.m IS NOT NULL AS own
+    FROM r LEFT JOIN st ON mid = r.member_id LEFT JOIN copies c ON c.id = r.copy_id LEFT JOIN books b ON b.id = c.book_id
+    LEFT JOIN (SELECT DISTINCT member_id AS m, book_id AS b FROM loans WHERE status IN ('BORROWED', 'OVERDUE', 'LOST')) o ON o.m = r.member_id AND o.b = c.book_id),
+  asks AS (SELECT id AS k, t, id, member_id AS m, copy_id AS i, member_id || ':' || coalesce(book, -1) AS p, room, 1 AS free, mid IS NOT NULL AND account IS NULL AND NOT unpaid AND NOT overdue AND NOT own AND cid IS NOT NULL AND NOT away AS able FROM j)
+  {ALLOCATED}, x AS (SELECT j.*, CASE WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account WHEN unpaid THEN 'UNPAID_FINES' WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN overdue THEN 'OVERDUE_LOANS'
+    WHEN own OR had_p > 0 THEN 'ALREADY_BORROWED_BOOK' WHEN cid IS NULL THEN 'COPY_NOT_FOUND' WHEN away OR had_i > 0 THEN 'COPY_NOT_AVAILABLE' ELSE 'OK' END AS code FROM j JOIN turns ON k = j.id)
+  SELECT id, member_id, copy_id, code, CASE WHEN code = 'OK' THEN book END AS book_id, CASE WHEN code = 'OK' THEN {N} + INTERVAL '14' DAY END AS due_date FROM x""")
+def checkout_loans(holds, copies, books, members, loans, ebook_loans):
+    requests = holds.select("id", "member_id", (F.col("book_id") * 100000 + F.col("id") % 30).alias("copy_id"), F.col("reserved_at").alias("asked_at"))
+    return lending.checkouts(requests, copies, books, members, loans, ebook_loans, now(), enow()).select("id", "member_id", "copy_id", "code", "book_id", "due_date")
+
+
 @query(STATE + f""", r AS (SELECT id, id AS loan_id, CASE WHEN id % 3 = 0 THEN member_id + 1 ELSE member_id END AS actor_id, id % 5 = 0 AS staff FROM loans UNION ALL SELECT -id, -id, id, false FROM members),
   j AS (SELECT r.id, r.loan_id, due_date, renew_count, CASE WHEN l.id IS NULL OR mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account WHEN unpaid THEN 'UNPAID_FINES' WHEN NOT staff AND actor_id <> l.member_id THEN 'ACCESS_DENIED'
     WHEN l.status <> 'BORROWED' OR due_date < {N} OR renew_count >= max_renewals THEN 'NOT_RENEWABLE' WHEN l.book_id IN (SELECT book_id FROM holds WHERE {LIVE}) THEN 'BLOCKED_BY_HOLD' ELSE 'OK' END AS code
@@ -66,10 +88,11 @@ def hold_placement(requests, members, books, holds):
     return lending.place_holds(requests, members, books, holds, now())
 
 
-@query(STATE + f""", j AS (SELECT h.*, room, CASE WHEN h.status <> 'READY_FOR_PICKUP' THEN 'HOLD_NOT_READY_FOR_PICKUP' WHEN coalesce(c.status, '') <> 'ON_HOLD_SHELF' THEN 'HOLD_ASSIGNED_COPY_INVALID' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account
-    WHEN unpaid THEN 'UNPAID_FINES' WHEN room <= 0 THEN 'BORROW_LIMIT_REACHED' WHEN overdue THEN 'OVERDUE_LOANS' END AS pre FROM holds h LEFT JOIN copies c ON c.id = assigned_copy_id LEFT JOIN st ON mid = h.member_id WHERE h.{LIVE}),
-  k AS (SELECT *, coalesce(pre, CASE WHEN row_number() OVER (PARTITION BY member_id, pre IS NULL ORDER BY reserved_at, id) > room THEN 'BORROW_LIMIT_REACHED' ELSE 'FULFILLED' END) AS code FROM j)
-  SELECT id, member_id, assigned_copy_id, code, CASE WHEN code = 'FULFILLED' THEN {N} + INTERVAL '14' DAY END AS due_date, CASE WHEN code = 'FULFILLED' THEN 'BORROWED' END AS copy_status FROM k""")
+@query(STATE + f""", j AS (SELECT h.*, mid, account, unpaid, room, overdue, coalesce(c.status <> 'ON_HOLD_SHELF', true) AS away FROM holds h LEFT JOIN copies c ON c.id = assigned_copy_id LEFT JOIN st ON mid = h.member_id WHERE h.{LIVE}),
+  asks AS (SELECT id AS k, reserved_at AS t, id, member_id AS m, assigned_copy_id AS i, id AS p, room, 1 AS free, status = 'READY_FOR_PICKUP' AND NOT away AND mid IS NOT NULL AND account IS NULL AND NOT unpaid AND NOT overdue AS able FROM j)
+  {ALLOCATED}, x AS (SELECT j.*, CASE WHEN status <> 'READY_FOR_PICKUP' THEN 'HOLD_NOT_READY_FOR_PICKUP' WHEN away OR had_i > 0 THEN 'HOLD_ASSIGNED_COPY_INVALID' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account
+    WHEN unpaid THEN 'UNPAID_FINES' WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN overdue THEN 'OVERDUE_LOANS' ELSE 'FULFILLED' END AS code FROM j JOIN turns ON k = j.id)
+  SELECT id, member_id, assigned_copy_id, code, CASE WHEN code = 'FULFILLED' THEN {N} + INTERVAL '14' DAY END AS due_date, CASE WHEN code = 'FULFILLED' THEN 'BORROWED' END AS copy_status FROM x""")
 def hold_checkout(holds, copies, members, loans, ebook_loans):
     return lending.checkout_holds(holds, copies, members, loans, ebook_loans, now(), enow())
 
@@ -95,7 +118,8 @@ CHECKIN = f""", r AS (SELECT id, ' ' || lower(barcode) || ' ' AS barcode, {N} +
     FROM r LEFT JOIN copies c ON lower(trim(c.barcode)) = lower(trim(r.barcode)) LEFT JOIN o ON o.copy_id = c.id AND rn = 1),
   w AS (SELECT id, row_number() OVER (PARTITION BY book_id ORDER BY returned_at, id) AS n FROM j WHERE code = 'RETURNED' AND cond <> 'DAMAGED'), q AS ({QUEUE.format(holds='holds')})
   SELECT j.id, code, loan_id, overdue_days, CAST(CASE WHEN overdue_days > 0 THEN coalesce(overdue_days * (SELECT rate_per_day FROM fine_configs WHERE effective_from <= d AND (effective_until IS NULL OR effective_until > d) ORDER BY effective_from DESC, id DESC LIMIT 1), fine_amount) ELSE fine_amount END AS BIGINT) AS fine,
-  CASE WHEN code = 'RETURNED' THEN CASE WHEN cond = 'DAMAGED' THEN 'DAMAGED' WHEN next_id IS NOT NULL THEN 'ON_HOLD_SHELF' ELSE 'AVAILABLE' END END AS copy_status, next_id AS next_hold_id, CASE WHEN next_id IS NOT NULL THEN returned_at + INTERVAL '3' DAY END AS next_expires_at
+  CASE WHEN code = 'RETURNED' THEN CASE WHEN cond = 'DAMAGED' THEN 'DAMAGED' WHEN next_id IS NOT NULL THEN 'ON_HOLD_SHELF' ELSE 'AVAILABLE' END END AS copy_status, next_id AS next_hold_id, CASE WHEN next_id IS NOT NULL THEN returned_at + INTERVAL '3' DAY END AS next_expires_at,
+  CASE WHEN code = 'RETURNED' THEN cid END AS copy_id, CASE WHEN code = 'RETURNED' THEN j.book_id END AS book_id, CAST(CASE WHEN code = 'RETURNED' AND cond <> 'DAMAGED' AND next_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS counter_delta
   FROM j LEFT JOIN w ON w.id = j.id LEFT JOIN q ON q.book_id = j.book_id AND q.place = w.n"""
 
 
@@ -242,25 +266,50 @@ def payment_receipt_page(payments, book_ebooks, books, loans, members):
     return paging.page(found, [F.desc_nulls_last("paid_at"), F.desc("created_at"), F.col("payment_id")])
 
 
-@query(STATE + f""", ent AS (SELECT * FROM ebook_loans WHERE status = 'ACTIVE' AND expired_at > {E}),
-  j AS (SELECT p.id, p.member_id, target_id AS ebook_id, paid_at, room, loan_days, max_concurrent_loans - coalesce(u.n, 0) AS free, CASE WHEN e.id IS NULL THEN 'EBOOK_NOT_FOUND' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN e.status <> 'ACTIVE' THEN 'EBOOK_NOT_AVAILABLE'
-    WHEN EXISTS (SELECT 1 FROM ent WHERE ent.member_id = p.member_id AND ent.ebook_id = p.target_id) THEN 'ALREADY_HAS_ACTIVE_LOAN' WHEN unpaid THEN 'MEMBER_HAS_UNPAID_FINES' WHEN room <= 0 THEN 'BORROW_LIMIT_EXCEEDED' WHEN max_concurrent_loans - coalesce(u.n, 0) <= 0 THEN 'LICENSE_UNAVAILABLE' END AS pre
+FULFILMENT = STATE + f""", ent AS (SELECT * FROM ebook_loans WHERE status = 'ACTIVE' AND expired_at > {E}),
+  j AS (SELECT p.id, p.member_id, target_id AS ebook_id, paid_at, unpaid, room, loan_days, max_concurrent_loans - coalesce(u.n, 0) AS free, h.m IS NOT NULL AS own,
+    CASE WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN e.id IS NULL THEN 'EBOOK_NOT_FOUND' WHEN e.status <> 'ACTIVE' THEN 'EBOOK_NOT_AVAILABLE' END AS pre
     FROM payments p LEFT JOIN book_ebooks e ON e.id = target_id LEFT JOIN st ON mid = p.member_id LEFT JOIN (SELECT ebook_id, count(*) AS n FROM ent GROUP BY 1) u ON u.ebook_id = target_id
+    LEFT JOIN (SELECT DISTINCT member_id AS m, ebook_id AS e FROM ent) h ON h.m = p.member_id AND h.e = target_id
     WHERE p.status = 'SUCCESS' AND target_type = 'BOOK_EBOOK' AND p.id NOT IN (SELECT payment_id FROM ebook_loans WHERE payment_id IS NOT NULL)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY member_id, ebook_id, pre IS NULL ORDER BY paid_at, id) AS same, row_number() OVER (PARTITION BY member_id, pre IS NULL ORDER BY paid_at, id) AS mine, row_number() OVER (PARTITION BY ebook_id, pre IS NULL ORDER BY paid_at, id) AS its FROM j),
-  o AS (SELECT *, coalesce(pre, CASE WHEN same > 1 THEN 'ALREADY_HAS_ACTIVE_LOAN' WHEN mine > room THEN 'BORROW_LIMIT_EXCEEDED' WHEN its > free THEN 'LICENSE_UNAVAILABLE' ELSE 'FULFILLED' END) AS outcome FROM k)
-  SELECT id, member_id, ebook_id, outcome, CASE WHEN outcome = 'FULFILLED' THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY END AS expired_at FROM o""")
+  asks AS (SELECT id AS k, paid_at AS t, id, member_id AS m, ebook_id AS i, member_id || ':' || ebook_id AS p, room, free, pre IS NULL AND NOT own AND NOT unpaid AS able FROM j)
+  {ALLOCATED}, o AS (SELECT j.*, coalesce(pre, CASE WHEN own OR had_p > 0 THEN 'ALREADY_HAS_ACTIVE_LOAN' WHEN unpaid THEN 'MEMBER_HAS_UNPAID_FINES' WHEN had_m >= room THEN 'BORROW_LIMIT_EXCEEDED' WHEN had_i >= free THEN 'LICENSE_UNAVAILABLE'
+    ELSE 'FULFILLED' END) AS outcome FROM j JOIN turns ON k = j.id) """
+
+
+@query(FULFILMENT + f"SELECT id, member_id, ebook_id, outcome, CASE WHEN outcome = 'FULFILLED' THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY END AS expired_at FROM o")
 def payment_fulfilment(payments, book_ebooks, members, loans, ebook_loans):
     return catalog.fulfilment(payments, book_ebooks, members, loans, ebook_loans, now(), enow())
 
 
+_cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in catalog.MESSAGES.items())
+
+
+@query(FULFILMENT + f""", t AS (SELECT id, outcome, CASE outcome {_cases} END AS message FROM o)
+  SELECT p.id, CASE WHEN message IS NULL THEN CASE WHEN p.id % 3 = 0 THEN '{{"ebookFulfillmentStatus":"OLD","vnp_BankCode":"NCB"}}' END
+    ELSE '{{"ebookFulfillmentAt":"2024-01-20T00:00:00Z","ebookFulfillmentMessage":"' || message || '","ebookFulfillmentStatus":"' || outcome || '"' || CASE WHEN p.id % 3 = 0 THEN ',"vnp_BankCode":"NCB"' ELSE '' END || '}}' END AS metadata
+  FROM payments p LEFT JOIN t ON t.id = p.id""")
+def payment_metadata(payments, book_ebooks, members, loans, ebook_loans):
+    outcomes = catalog.fulfilment(payments, book_ebooks, members, loans, ebook_loans, now(), enow())
+    old = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("vnp_BankCode"), F.lit("NCB"), F.lit("ebookFulfillmentStatus"), F.lit("OLD")))
+    out = catalog.fulfilment_metadata(payments.select("id", old.alias("metadata")), outcomes, enow())
+    return out.select("id", c.canonical_json(F.col("metadata")).alias("metadata"))
+
+
+@query(RECEIPTS + """WHERE p.status = 'SUCCESS' AND paid_at >= TIMESTAMP '1995-01-01' AND paid_at <= TIMESTAMP '1998-01-01' AND (lower(payment_code) LIKE '%12%' OR lower(provider_transaction_id) LIKE '%12%' OR lower(full_name) LIKE '%12%'
+  OR lower(email) LIKE '%12%' OR lower(be.title) LIKE '%12%' OR lower(bf.title) LIKE '%12%' OR p.id = 12 OR m.id = 12 OR target_id = 12)""")
+def payment_receipt_search(payments, book_ebooks, books, loans, members):
+    found = catalog.receipts(payments, book_ebooks, books, loans, members)
+    return catalog.receipt_search(found, " 12 ", "SUCCESS", "1995-01-01", "1998-01-01")
+
+
 @query(STATE + f""", ent AS (SELECT * FROM ebook_loans WHERE status = 'ACTIVE' AND expired_at > {E}), nw AS (SELECT * FROM book_ebooks WHERE status = 'ACTIVE' QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY id DESC) = 1),
-  j AS (SELECT r.id, r.member_id, e.id AS ebook_id, asked_at, room, loan_days, max_concurrent_loans - coalesce(u.n, 0) AS free, x.until, CASE WHEN e.id IS NULL THEN 'EBOOK_NOT_FOUND' WHEN access_type <> 'FREE' THEN 'EBOOK_REQUIRES_PAYMENT' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND'
-    WHEN unpaid THEN 'UNPAID_FINES' WHEN room <= 0 THEN 'BORROW_LIMIT_REACHED' WHEN x.until IS NOT NULL THEN 'EXISTING' WHEN coalesce(u.n, 0) >= max_concurrent_loans THEN 'LICENSE_UNAVAILABLE' END AS pre FROM requests r LEFT JOIN nw e ON e.book_id = r.book_id LEFT JOIN st ON mid = r.member_id
+  j AS (SELECT r.id, r.member_id, e.id AS ebook_id, asked_at, room, loan_days, max_concurrent_loans - coalesce(u.n, 0) AS free, x.until,
+    CASE WHEN e.id IS NULL THEN 'EBOOK_NOT_FOUND' WHEN access_type <> 'FREE' THEN 'EBOOK_REQUIRES_PAYMENT' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN unpaid THEN 'UNPAID_FINES' END AS pre FROM requests r LEFT JOIN nw e ON e.book_id = r.book_id LEFT JOIN st ON mid = r.member_id
     LEFT JOIN (SELECT ebook_id, count(*) AS n FROM ent GROUP BY 1) u ON u.ebook_id = e.id LEFT JOIN (SELECT member_id, ebook_id, max(expired_at) AS until FROM ent GROUP BY 1, 2) x ON x.member_id = r.member_id AND x.ebook_id = e.id),
-  k AS (SELECT *, row_number() OVER (PARTITION BY member_id, ebook_id, pre IS NULL ORDER BY asked_at, id) AS same, row_number() OVER (PARTITION BY member_id, pre IS NULL ORDER BY asked_at, id) AS mine, row_number() OVER (PARTITION BY ebook_id, pre IS NULL ORDER BY asked_at, id) AS its FROM j),
-  o AS (SELECT *, coalesce(pre, CASE WHEN same > 1 THEN 'EXISTING' WHEN mine > room THEN 'BORROW_LIMIT_REACHED' WHEN its > free THEN 'LICENSE_UNAVAILABLE' ELSE 'GRANTED' END) AS code FROM k)
-  SELECT id, member_id, ebook_id, code, CASE WHEN code = 'GRANTED' THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY WHEN code = 'EXISTING' THEN until END AS expired_at FROM o""")
+  asks AS (SELECT id AS k, asked_at AS t, id, member_id AS m, ebook_id AS i, member_id || ':' || coalesce(ebook_id, -1) AS p, room, free, pre IS NULL AND until IS NULL AS able FROM j)
+  {ALLOCATED}, o AS (SELECT j.*, coalesce(pre, CASE WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN until IS NOT NULL OR had_p > 0 THEN 'EXISTING' WHEN had_i >= free THEN 'LICENSE_UNAVAILABLE' ELSE 'GRANTED' END) AS code FROM j JOIN turns ON k = j.id)
+  SELECT id, member_id, ebook_id, code, CASE WHEN code = 'GRANTED' OR code = 'EXISTING' AND until IS NULL THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY WHEN code = 'EXISTING' THEN until END AS expired_at FROM o""")
 def ebook_grants(requests, book_ebooks, members, loans, ebook_loans):
     return lending.ebook_grants(requests, book_ebooks, members, loans, ebook_loans, now(), enow())
 
@@ -277,11 +326,12 @@ def ebook_policy_faults(book_ebooks):
     return lending.policy_faults(book_ebooks)
 
 
-@query("""SELECT e.id, e.book_id, b.title, p.payment_code, c.name AS category_name FROM (SELECT id, ebook_id AS book_id, payment_id FROM ebook_loans) e LEFT JOIN payments p ON p.id = e.payment_id LEFT JOIN books b ON b.id = e.book_id LEFT JOIN categories c ON c.id = b.category_id""")
+@query("""SELECT e.id, e.ebook_id, e.book_id, b.title, p.payment_code, c.name AS category_name FROM ebook_loans e LEFT JOIN payments p ON p.id = e.payment_id LEFT JOIN books b ON b.id = e.book_id LEFT JOIN categories c ON c.id = b.category_id""")
 def ebook_loan_payments(ebook_loans, payments, books, categories):
-    b = books.select(F.col("id").alias("ebook_id"), "title", "category_id")
-    j = ebook_loans.select("id", "ebook_id", "payment_id").join(payments.select(F.col("id").alias("payment_id"), "payment_code"), "payment_id", "left").join(b, "ebook_id", "left")
-    return j.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name")), "category_id", "left").select("id", F.col("ebook_id").alias("book_id"), "title", "payment_code", "category_name")
+    b = books.select(F.col("id").alias("book_id"), "title", "category_id")
+    j = ebook_loans.select("id", "ebook_id", "book_id", "payment_id").join(payments.select(F.col("id").alias("payment_id"), "payment_code"), "payment_id", "left").join(b, "book_id", "left")
+    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    return j.join(names, "category_id", "left").select("id", "ebook_id", "book_id", "title", "payment_code", "category_name")
 
 
 @query("""SELECT DISTINCT m.id AS member_id, EXISTS (SELECT 1 FROM loans l WHERE l.member_id = m.id) AS has_history, (SELECT count(*) FROM holds h WHERE h.member_id = m.id) AS n_holds FROM members m""")
@@ -291,24 +341,68 @@ def member_existence(members, loans, holds):
     return members.select(F.col("id").alias("member_id")).join(had, "member_id", "left").join(n, "member_id", "left").select("member_id", F.coalesce("has_history", F.lit(False)).alias("has_history"), F.coalesce("n_holds", F.lit(0)).alias("n_holds"))
 
 
-@query(f""", r AS (SELECT id, member_id, book_id % 100 AS ebook_id, asked_at AS moment FROM requests), m AS (SELECT r.id, max(expired_at) AS until FROM r JOIN ebook_loans l ON l.member_id = r.member_id AND l.ebook_id = r.ebook_id AND l.status = 'ACTIVE' AND borrowed_at <= moment AND expired_at > moment GROUP BY 1),
-  j AS (SELECT r.*, until, least(moment + INTERVAL '15' MINUTE, until) AS fin FROM r LEFT JOIN m USING (id)), k AS (SELECT *, CASE WHEN lag(fin) OVER w IS NULL OR moment >= lag(fin) OVER w THEN 1 ELSE 0 END AS new FROM j WHERE until IS NOT NULL WINDOW w AS (PARTITION BY member_id, ebook_id ORDER BY moment, id)),
-  s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY member_id, ebook_id ORDER BY moment, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS no FROM k),
-  t AS (SELECT *, floor((epoch_us(date_trunc('second', moment)) - epoch_us(date_trunc('second', first_value(moment) OVER (PARTITION BY member_id, ebook_id, no ORDER BY moment, id)))) / 300e6) AS slot FROM s)
-  SELECT id, 'ACTIVE' AS code, no AS session_no, fin AS session_expires_at, least(moment + INTERVAL '5' MINUTE, fin) AS url_expires_at, coalesce(lag(slot) OVER (PARTITION BY member_id, ebook_id, no ORDER BY moment, id) < slot, true) AS writes FROM t UNION ALL SELECT id, 'NO_LOAN', NULL, NULL, NULL, false FROM j WHERE until IS NULL""")
-def reading_sessions(requests, ebook_loans):
-    beats = requests.select("id", "member_id", (F.col("book_id") % 100).alias("ebook_id"), F.col("asked_at").alias("at"))
-    return lending.reading_sessions(beats, ebook_loans)
+_action = "CASE WHEN id % 10 IN (0, 1) THEN 'OPEN' WHEN id % 10 = 9 THEN CASE WHEN id % 20 = 9 THEN 'CLOSE' ELSE 'REVOKE' END WHEN id % 10 IN (2, 3) THEN 'READ' WHEN id % 10 = 8 AND id % 7 = 0 THEN 'PLAY' ELSE 'REFRESH' END"
 
 
-@query(""", h AS (SELECT id, idempotency_key AS k, request_hash AS q, received_at AS t FROM callbacks),
-  g AS (SELECT h.*, (SELECT min_by(n.id, (n.t, n.id)) FROM h n WHERE n.k = h.k AND n.t >= h.t + INTERVAL '3' DAY) AS nxt FROM h),
-  hold AS (SELECT k, list_sort(list(DISTINCT id)) AS ids FROM (SELECT k, unnest(chain) AS id FROM (SELECT f.k, [f.id, a.id, b.id, c.id, d.id, e.id, p.id, r.id, s.id, u.id] AS chain FROM (SELECT k, min_by(id, (t, id)) AS id FROM h GROUP BY 1) f
-    LEFT JOIN g x0 ON x0.id = f.id LEFT JOIN g a ON a.id = x0.nxt LEFT JOIN g b ON b.id = a.nxt LEFT JOIN g c ON c.id = b.nxt LEFT JOIN g d ON d.id = c.nxt LEFT JOIN g e ON e.id = d.nxt LEFT JOIN g p ON p.id = e.nxt LEFT JOIN g r ON r.id = p.nxt LEFT JOIN g s ON s.id = r.nxt LEFT JOIN g u ON u.id = s.nxt)) WHERE id IS NOT NULL GROUP BY 1),
-  m AS (SELECT h.*, list_contains(ids, h.id) AS own, last_value(CASE WHEN list_contains(ids, h.id) THEN q END IGNORE NULLS) OVER (PARTITION BY h.k ORDER BY h.t, h.id ROWS UNBOUNDED PRECEDING) AS held FROM h JOIN hold ON hold.k = h.k)
-  SELECT id, CASE WHEN own THEN 'NEW' WHEN held = q THEN 'REPLAY' ELSE 'CONFLICT' END AS answer FROM m""")
+@query(f""", e0 AS (SELECT id, member_id * 10 + id % 3 AS sid, CASE WHEN id % 23 = 0 THEN member_id + 1 ELSE member_id END AS member, id * 3 % 10 + 7001 AS ebook, {_action} AS action, {E} + CAST(id * 7 % 240 AS INTEGER) * INTERVAL '1' MINUTE + CAST(id % 2 AS INTEGER) * INTERVAL '30' SECOND AS t FROM requests),
+  m AS (SELECT e0.id, max(expired_at) AS until FROM e0 JOIN ebook_loans l ON l.member_id = member AND l.ebook_id = ebook AND l.status = 'ACTIVE' AND borrowed_at <= t AND expired_at > t WHERE action = 'OPEN' GROUP BY 1),
+  ev AS (SELECT e0.*, until, row_number() OVER (PARTITION BY sid ORDER BY t, e0.id) AS n FROM e0 LEFT JOIN m USING (id) WHERE action <> 'PLAY'),
+  s(sid, n, id, code, fin, url, wrote, owner, loan_end, endd, written, state) AS (
+    SELECT DISTINCT sid, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), false, CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR) FROM ev
+    UNION ALL SELECT sid, n, id, code, CASE WHEN code = 'ACTIVE' THEN new_end END, CASE WHEN code = 'ACTIVE' AND action = 'READ' THEN least(t + INTERVAL '5' MINUTE, new_end) END, wrote, CASE WHEN begins THEN member ELSE owner END, CASE WHEN begins THEN until ELSE loan_end END,
+      CASE WHEN code = 'ACTIVE' THEN new_end ELSE endd END, CASE WHEN wrote THEN t ELSE written END, CASE WHEN begins THEN 'ACTIVE' WHEN owner = member OR action = 'REVOKE' THEN CASE WHEN action IN ('CLOSE', 'REVOKE') AND owner IS NOT NULL THEN code ELSE state END ELSE state END
+    FROM (SELECT *, code = 'ACTIVE' AND owner IS NULL AS begins, CASE WHEN code = 'ACTIVE' THEN CASE WHEN action = 'READ' THEN endd ELSE least(t + INTERVAL '15' MINUTE, coalesce(loan_end, until)) END END AS new_end,
+        code = 'ACTIVE' AND action <> 'READ' AND (owner IS NULL OR written < t - INTERVAL '5' MINUTE) AS wrote
+      FROM (SELECT ev.sid, ev.n, ev.id, ev.t, ev.member, ev.action, ev.until, x.owner, x.loan_end, x.endd, x.written, x.state, CASE WHEN x.owner IS NULL THEN CASE WHEN ev.action <> 'OPEN' THEN 'READING_SESSION_NOT_FOUND' WHEN ev.until IS NULL THEN 'EBOOK_LOAN_REQUIRED' ELSE 'ACTIVE' END
+          WHEN ev.member <> x.owner AND ev.action <> 'REVOKE' THEN 'READING_SESSION_FORBIDDEN' WHEN ev.action IN ('CLOSE', 'REVOKE') THEN CASE WHEN x.state = 'ACTIVE' THEN CASE WHEN x.endd <= ev.t THEN 'EXPIRED' WHEN ev.action = 'CLOSE' THEN 'CLOSED' ELSE 'REVOKED' END ELSE x.state END
+          WHEN x.state <> 'ACTIVE' OR x.endd <= ev.t THEN 'READING_SESSION_NOT_ACTIVE' ELSE 'ACTIVE' END AS code FROM s x JOIN ev ON ev.sid = x.sid AND ev.n = x.n + 1)))
+  SELECT id, code, fin AS session_expires_at, url AS url_expires_at, wrote FROM s WHERE n > 0 UNION ALL SELECT id, 'BAD_REQUEST', NULL, NULL, false FROM e0 WHERE action = 'PLAY'""")
+def reading_sessions(requests, ebook_loans):
+    at = enow() + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 7 % 240).cast("int"), F.when(F.col("id") % 2 == 1, F.lit(30)).otherwise(F.lit(0)))
+    who = F.when(F.col("id") % 23 == 0, F.col("member_id") + 1).otherwise(F.col("member_id"))
+    events = requests.select("id", (F.col("member_id") * 10 + F.col("id") % 3).alias("session_id"), who.alias("member_id"), (F.col("id") * 3 % 10 + 7001).alias("ebook_id"), F.expr(_action).alias("action"), at.alias("at"))
+    return sequences.reading_sessions(events, ebook_loans)
+
+
+@query(""", ev AS (SELECT *, row_number() OVER (PARTITION BY k, who ORDER BY t, id) AS n FROM (SELECT id, idempotency_key AS k, user_id % 3 AS who, 'BEGIN' AS kind, request_hash AS q, received_at AS t, id AS request FROM callbacks
+    UNION ALL SELECT -id - 1, idempotency_key, user_id % 3, CASE WHEN id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END, NULL, received_at + CAST(id % 4 AS INTEGER) * INTERVAL '1' HOUR, id FROM callbacks WHERE id % 5 < 4)),
+  s(k, who, n, id, answer, fin, q, status, running) AS (
+    SELECT DISTINCT k, who, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM ev
+    UNION ALL SELECT k, who, n, id, answer, CASE WHEN answer IN ('NEW', 'STORED') THEN t + INTERVAL '3' DAY ELSE fin END, CASE WHEN answer = 'NEW' THEN eq ELSE q END, CASE answer WHEN 'NEW' THEN 'PROCESSING' WHEN 'STORED' THEN kind ELSE status END,
+      CASE answer WHEN 'NEW' THEN request WHEN 'STORED' THEN NULL ELSE running END
+    FROM (SELECT ev.k, ev.who, ev.n, ev.id, ev.kind, ev.t, ev.request, ev.q AS eq, x.fin, x.q, x.status, x.running, CASE WHEN ev.kind <> 'BEGIN' THEN CASE WHEN ev.request = x.running THEN 'STORED' ELSE 'UNKNOWN_REQUEST' END WHEN x.fin IS NULL OR ev.t >= x.fin THEN 'NEW' WHEN x.q <> ev.q THEN 'CONFLICT'
+        WHEN x.status = 'PROCESSING' THEN 'IN_PROGRESS' WHEN x.status = 'FAILED' THEN 'REPLAY_FAILURE' ELSE 'REPLAY' END AS answer FROM s x JOIN ev ON ev.k = x.k AND ev.who = x.who AND ev.n = x.n + 1))
+  SELECT id, answer FROM s WHERE n > 0""")
 def idempotent_requests(callbacks):
-    return sequences.idempotency(callbacks, ttl=3 * 86_400)
+    began = callbacks.select("id", "idempotency_key", "request_hash", "received_at", (F.col("user_id") % 3).alias("actor_id"), F.lit("BEGIN").alias("kind"), F.col("id").alias("request_id"))
+    kind = F.when(F.col("id") % 3 == 0, "FAILED").otherwise("COMPLETED")
+    ended = began.where("id % 5 < 4").select((-F.col("id") - 1).alias("id"), "idempotency_key", F.lit(None).cast("string").alias("request_hash"), (F.col("received_at") + F.make_dt_interval(F.lit(0), (F.col("id") % 4).cast("int"))).alias("received_at"), "actor_id", kind.alias("kind"), "request_id")
+    return sequences.idempotency(began.unionByName(ended), ttl=3 * 86_400)
+
+
+@query(""", ev AS (SELECT id, user_id AS u, received_at AS t, row_number() OVER (PARTITION BY user_id ORDER BY received_at, id) AS n FROM callbacks),
+  s(u, n, id, answer, begun, last, many) AS (SELECT DISTINCT u, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 0 FROM ev
+    UNION ALL SELECT u, n, id, answer, CASE WHEN answer = 'ALLOWED' THEN coalesce(begun, t) ELSE begun END, CASE WHEN answer = 'ALLOWED' THEN t ELSE last END, many + CASE WHEN answer = 'ALLOWED' THEN 1 ELSE 0 END
+    FROM (SELECT *, CASE WHEN t < last + INTERVAL '6' HOUR THEN 'COOLDOWN' WHEN many >= 5 THEN 'LIMIT' ELSE 'ALLOWED' END AS answer FROM (SELECT ev.u, ev.n, ev.id, ev.t, x.last, CASE WHEN ev.t < x.begun + INTERVAL '4' DAY THEN x.begun END AS begun, CASE WHEN ev.t < x.begun + INTERVAL '4' DAY THEN many ELSE 0 END AS many
+      FROM s x JOIN ev ON ev.u = x.u AND ev.n = x.n + 1)))
+  SELECT id, answer FROM s WHERE n > 0""")
+def rate_limited_sends(callbacks):
+    return sequences.rate_limits(callbacks, cooldown=6 * 3600, most=5, window=4 * 86_400)
+
+
+# Counters
+
+
+@query(""", after AS (SELECT book_id, CASE WHEN id % 5 = 0 THEN 'AVAILABLE' ELSE status END AS status FROM copies WHERE NOT (deleted OR id % 9 = 0) UNION ALL SELECT id, 'AVAILABLE' FROM books)
+  SELECT book_id, count(*) AS total, count(*) FILTER (WHERE status = 'AVAILABLE') AS available FROM after GROUP BY 1""")
+def counters_by_deltas(copies, books):
+    """Counters kept from before a batch, with the batch's deltas; the SQL recounts the copies as they are after it."""
+    changed = copies.where("id % 5 = 0 OR id % 9 = 0")
+    new = changed.withColumns({"status": F.when(F.col("id") % 5 == 0, "AVAILABLE").otherwise(F.col("status")), "deleted": F.col("deleted") | (F.col("id") % 9 == 0)})
+    added = books.select((-F.col("id")).alias("id"), F.col("id").alias("book_id"), F.lit("AVAILABLE").alias("status"), F.lit(False).alias("deleted"))
+    names = ["id", "book_id", "status", "deleted"]
+    deltas = transitions.book_deltas(changed.select(names), new.select(names).unionByName(added))
+    return transitions.counted_on(transitions.book_counts(copies), deltas)
 
 
 # Statistics, settings, invariants
@@ -360,7 +454,7 @@ GROUPS = [
 ]
 PARENTS = [
     ("loans have members", "loans", "member_id", "members"), ("loans have books", "loans", "book_id", "books"), ("loans have copies", "loans", "copy_id", "copies"), ("holds have members", "holds", "member_id", "members"), ("holds have books", "holds", "book_id", "books"),
-    ("assigned copies exist", "holds", "assigned_copy_id", "copies"), ("e-book loans have members", "ebook_loans", "member_id", "members"), ("e-book loans have e-books", "ebook_loans", "ebook_id", "book_ebooks"), ("e-book loans have payments", "ebook_loans", "payment_id", "payments"),
+    ("assigned copies exist", "holds", "assigned_copy_id", "copies"), ("e-book loans have members", "ebook_loans", "member_id", "members"), ("e-book loans have e-books", "ebook_loans", "ebook_id", "book_ebooks"), ("e-book loans have books", "ebook_loans", "book_id", "books"), ("e-book loans have payments", "ebook_loans", "payment_id", "payments"),
     ("payments have members", "payments", "member_id", "members"), ("reviews have books", "reviews", "book_id", "books"), ("copies have books", "copies", "book_id", "books"), ("e-books have books", "book_ebooks", "book_id", "books"),
 ]
 COUNTERS = "counters equal copies"

@@ -72,7 +72,7 @@ LOAN_SEARCH = f""", u AS (SELECT l.id AS borrow_id, member_id, l.book_id, copy_i
   CASE WHEN fine_amount <= 0 THEN 'NONE' WHEN fine_paid_at IS NOT NULL THEN 'PAID' WHEN fine_waived_by IS NOT NULL THEN 'WAIVED' ELSE 'UNPAID' END AS fine_status, {O.replace('status', 'l.status')} AS overdue,
   CASE WHEN {O.replace('status', 'l.status')} THEN {ELAPSED.format(end=N, due='due_date')} ELSE 0 END AS days_overdue, 'PHYSICAL' AS loan_type, NULL AS ebook_loan_id, NULL AS book_ebook_id, NULL AS payment_id, NULL AS expired_at, NULL AS file, NULL AS code
   FROM loans l JOIN copies c ON c.id = copy_id
-  UNION ALL SELECT NULL, e.member_id, ebook_id, NULL, NULL, NULL, borrowed_at, expired_at, NULL, e.status, NULL, NULL, 0, 'NONE', e.status = 'ACTIVE' AND expired_at < {E}, CASE WHEN e.status = 'ACTIVE' AND expired_at < {E} THEN {ELAPSED.format(end=E, due='expired_at')} ELSE 0 END,
+  UNION ALL SELECT NULL, e.member_id, e.book_id, NULL, NULL, NULL, borrowed_at, expired_at, NULL, e.status, NULL, NULL, 0, 'NONE', e.status = 'ACTIVE' AND expired_at < {E}, CASE WHEN e.status = 'ACTIVE' AND expired_at < {E} THEN {ELAPSED.format(end=E, due='expired_at')} ELSE 0 END,
   'EBOOK', e.id, ebook_id, payment_id, expired_at, original_filename, payment_code FROM ebook_loans e LEFT JOIN book_ebooks f ON f.id = ebook_id LEFT JOIN payments p ON p.id = payment_id)
   SELECT borrow_id, u.member_id, full_name AS member_name, email AS member_email, u.book_id, title AS book_title, book_copy_id, item_barcode, copy_status, borrowed_at, due_date, returned_at, u.status, renew_count, max_renewals, CAST(fine_amount AS BIGINT) AS fine_amount,
   fine_status, overdue, CAST(days_overdue AS BIGINT) AS days_overdue, loan_type, ebook_loan_id, book_ebook_id, payment_id, expired_at FROM u JOIN members m ON m.id = u.member_id JOIN books b ON b.id = u.book_id """

@@ -28,7 +28,7 @@ VIEWS = {
       CASE WHEN l_linestatus = 'F' THEN CAST(greatest({days}(greatest(l_shipdate, o_orderdate), o_orderdate + INTERVAL '14' DAY), 0) AS BIGINT) * 5000 ELSE CAST(0 AS BIGINT) END AS fine_amount,
       CASE WHEN l_quantity % 2 = 0 OR o_custkey % 4 > 0 THEN l_shipdate END AS fine_paid_at, CASE WHEN l_partkey % 11 = 0 THEN CAST(1 AS BIGINT) END AS fine_waived_by
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "ebook_loans": """SELECT event_id AS id, user_id AS member_id, event_id % 100 AS ebook_id, ts AS borrowed_at, ts + INTERVAL '14' DAY AS expired_at,
+    "ebook_loans": """SELECT event_id AS id, user_id AS member_id, event_id % 100 AS book_id, event_id % 100 + 7000 AS ebook_id, ts AS borrowed_at, ts + INTERVAL '14' DAY AS expired_at,
       CASE WHEN event_id % 9 = 0 THEN 'REVOKED' ELSE 'ACTIVE' END AS status, CASE WHEN event_id % 4 = 0 THEN event_id % 5000 END AS payment_id FROM {events} WHERE event_type IN ('signup', 'view')""",
     "holds": """SELECT o_orderkey AS id, o_custkey AS member_id, o_orderkey % 100 AS book_id, o_orderdate AS reserved_at, o_orderdate + INTERVAL '3' DAY AS expires_at,
       CASE WHEN o_orderpriority LIKE '1%' THEN 'READY_FOR_PICKUP' WHEN o_orderpriority LIKE '2%' THEN 'NOTIFIED' WHEN o_orderpriority LIKE '3%' THEN 'CANCELLED' WHEN o_orderpriority LIKE '4%' THEN 'FULFILLED' ELSE 'WAITING' END AS status,
@@ -37,7 +37,7 @@ VIEWS = {
       CASE WHEN o_orderkey % 3 = 0 THEN 'MOMO' ELSE 'VNPAY' END AS provider, CASE WHEN o_orderkey % 5 < 4 THEN 'TX' || CAST(o_orderkey AS STRING) END AS provider_transaction_id,
       CASE WHEN o_orderstatus = 'F' THEN '00' ELSE '24' END AS provider_response_code, CASE WHEN o_orderkey % 2 = 0 THEN 'EBOOK_PAYMENT' ELSE 'OVERDUE_FINE' END AS purpose,
       CASE WHEN o_orderkey % 2 = 0 THEN 'BOOK_EBOOK' ELSE 'BORROW_RECORD' END AS target_type,
-      CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3000 ELSE coalesce(first_loan, o_orderkey) END AS target_id, CAST(floor(o_totalprice) AS BIGINT) AS amount, 'VND' AS currency,
+      CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3000 + 7000 ELSE coalesce(first_loan, o_orderkey) END AS target_id, CAST(floor(o_totalprice) AS BIGINT) AS amount, 'VND' AS currency,
       CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'P' THEN 'PENDING' ELSE 'FAILED' END AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS paid_at, o_orderdate AS created_at
       FROM {orders} LEFT JOIN (SELECT l_orderkey, min(l_orderkey * 100000000 + l_partkey * 1000 + l_linenumber) AS first_loan FROM {lineitem} GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
     "authors": """SELECT s_suppkey AS id, s_name AS name FROM {supplier}""",
@@ -47,7 +47,7 @@ VIEWS = {
       CASE (l_partkey + l_suppkey) % 8 WHEN 0 THEN 'AVAILABLE' WHEN 1 THEN 'AVAILABLE' WHEN 2 THEN 'ON_HOLD_SHELF' WHEN 3 THEN 'DAMAGED' WHEN 4 THEN 'RESERVED' ELSE 'BORROWED' END AS status,
       CASE l_suppkey % 3 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'Worn' END AS condition, 'A-' || CAST(l_suppkey % 10 AS STRING) AS location, l_suppkey % 29 = 0 AS deleted FROM {lineitem} GROUP BY l_partkey, l_suppkey
       UNION ALL SELECT o_orderkey + 7000000000000, o_orderkey % 100, 'HOLD-' || CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 5 = 0 THEN 'AVAILABLE' ELSE 'ON_HOLD_SHELF' END, 'GOOD', 'SHELF', false FROM {orders} WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'""",
-    "book_ebooks": """SELECT p_partkey AS id, p_partkey AS book_id, 'file-' || CAST(p_partkey AS STRING) || '.pdf' AS original_filename, CASE WHEN p_partkey % 11 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,
+    "book_ebooks": """SELECT p_partkey + 7000 AS id, p_partkey AS book_id, 'file-' || CAST(p_partkey AS STRING) || '.pdf' AS original_filename, CASE WHEN p_partkey % 11 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,
       CASE WHEN p_partkey % 2 = 0 THEN 'PAID' ELSE 'FREE' END AS access_type, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 45 = 0 THEN p_retailprice ELSE 0 END AS fee, 1 + p_partkey * 7 % 60 AS max_concurrent_loans, CAST(14 AS BIGINT) AS loan_days FROM {part}""",
     "requests": """SELECT event_id AS id, user_id AS member_id, event_id % 120 AS book_id, ts AS asked_at, event_id % 10 = 0 AS staff FROM {events} WHERE event_type IN ('click', 'signup')""",
     "images": """SELECT p_partkey AS id, p_partkey AS book_id, 'https://img/' || CASE WHEN p_partkey % 6 = 0 THEN 'v12/' ELSE '' END || CAST(p_partkey AS STRING) || '/a.jpg' AS url,
@@ -72,11 +72,11 @@ def spark_views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
 
 
 def duckdb_views(*names: str) -> str:
-    """WITH members AS (...), ... of the named views, for DuckDB, where the tables have the same names."""
+    """WITH RECURSIVE members AS (...), ... of the named views, for DuckDB, where the tables have the same names."""
     sql = {k: v.replace("{ts}", "timestamp ").replace("{days}", "datediff_days") for k, v in VIEWS.items() if k in names}
     for t in TABLES:
         sql = {k: v.replace("{" + t + "}", t) for k, v in sql.items()}
     days = "datediff_days(greatest(l_shipdate, o_orderdate), o_orderdate + INTERVAL '14' DAY)"
     if "loans" in sql:
         sql["loans"] = sql["loans"].replace(days, "date_diff('day', CAST(o_orderdate + INTERVAL '14' DAY AS DATE), CAST(greatest(l_shipdate, o_orderdate) AS DATE))")
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in sql.items()) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in sql.items()) + "\n"

@@ -68,6 +68,36 @@ def received_events(callbacks: DataFrame) -> DataFrame:
     return callbacks.select("id", "payment_code", "event_type", json(ours).alias("payload"), json(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"), F.lit("RECEIVED").alias("processing_status"))
 
 
+class EventSink:
+    """A table of received_events() that a stream writes with foreachBatch, each micro-batch once.
+
+    A batch goes into a folder of its own, named by the stream and the batch's number. Spark marks the folder when it is
+    whole; a batch that comes again, since its stream died before it was noted, finds the mark and is not written, and one
+    that was left unfinished is written anew. A stream that begins with a new checkpoint counts from 0 again and so needs a
+    name of its own."""
+
+    def __init__(self, path: str, stream: str):
+        self.path, self.stream = path.rstrip("/"), stream
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{self.path}/stream={self.stream}/batch={number}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            received_events(batch).write.mode("overwrite").parquet(folder)
+
+    def start(self, callbacks: DataFrame, checkpoint: str):
+        """Writes a stream of callbacks; availableNow, so that it ends with what is there."""
+        return callbacks.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def stored(self, spark: SparkSession) -> DataFrame:
+        """All events, with their stream and batch; folders that aren't marked as whole are left out."""
+        top = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stream=*/batch=*/_SUCCESS")
+        found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []
+        whole = [f.getPath().getParent().toString() for f in found]
+        return spark.read.option("basePath", self.path).parquet(*whole)
+
+
 def progress(job_id: str, good: DataFrame, errors: DataFrame) -> DataFrame:
     """The deltas that a batch adds to its job: (job_id, processed, succeeded, failed)."""
     both = good.agg(F.count("*").alias("succeeded")).crossJoin(errors.agg(F.count("*").alias("failed")))  # two single rows

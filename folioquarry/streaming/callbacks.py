@@ -1,14 +1,20 @@
-"""Keyed event processing with Structured Streaming; batch twins are in operators.catalog and operators.sequences."""
+"""Keyed event processing with Structured Streaming; batch twins are in operators.catalog and operators.sequences.
+
+Idempotency, sessions and rate limits keep the states of the batch operators, as JSON, and take their steps.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioquarry.operators.ordered import micros
+from folioquarry.operators.sequences import idempotency_step, keyed_requests, rate_step
 
 DAY = 86_400_000  # milliseconds
 
@@ -22,63 +28,56 @@ def forget_after(state: GroupState, last: pd.Timestamp, milliseconds: int) -> No
     state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + milliseconds, state.getCurrentWatermarkMs() + 1))
 
 
+def keyed(events: DataFrame, key: str, columns: tuple[str, ...], step: Callable, keep: int, late: str, answer: str = "answer") -> DataFrame:
+    """(id, answer): events (received_at, id, `columns`; at first) through step(state, values) by key; a batch's events of a key
+    are taken by time and id. A key without an event for `keep` milliseconds is forgotten."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else None
+        pdf = pd.concat(list(frames)).sort_values(["received_at", "id"])  # one key's events of one micro-batch
+        said = []
+        for values in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in columns), strict=True):
+            held, what = step(held, values)
+            said.append(what)
+        state.update((json.dumps(held),))
+        forget_after(state, pdf["received_at"].max(), keep)
+        yield pd.DataFrame({"id": pdf["id"].to_numpy(), answer: said})
+
+    kind = events.schema["id"].dataType.simpleString()
+    return timed(events, late).groupBy(key).applyInPandasWithState(run, f"id {kind}, {answer} string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def payment_decisions(events: DataFrame, keep_days: int = 30, late: str = "1 day") -> DataFrame:
     """events: payment_id, id, received_at, signature_valid, amount_matches, provider_success. A payment's state is whether
     it is decided; bad events fail, the first good one decides, later ones are ignored. A payment without an event for
     `keep_days` days is forgotten, so the state doesn't grow for ever; nulls in the flags count as false."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        decided = state.get[0] if state.exists else False
-        last_at = pd.Timestamp(0)
-        for pdf in frames:
-            out = []
-            last_at = max(last_at, pdf["received_at"].max())
-            for r in pdf.sort_values(["received_at", "id"]).itertuples():
-                if not r.signature_valid:
-                    said = "BAD_SIGNATURE"
-                elif not r.amount_matches:
-                    said = "AMOUNT_MISMATCH"
-                elif decided:
-                    said = "IGNORED"
-                else:
-                    said, decided = "SUCCESS" if r.provider_success else "FAILED", True
-                out.append((r.id, key[0], said))
-            yield pd.DataFrame(out, columns=["id", "payment_id", "outcome"])
-        state.update((decided,))
-        forget_after(state, last_at, keep_days * DAY)
+    def step(decided: bool | None, event: tuple) -> tuple[bool, str]:
+        payment, valid, matches, success = event
+        if not valid:
+            said = "BAD_SIGNATURE"
+        elif not matches:
+            said = "AMOUNT_MISMATCH"
+        elif decided:
+            said = "IGNORED"
+        else:
+            decided, said = True, "SUCCESS" if success else "FAILED"
+        return bool(decided), f"{payment} {said}"
 
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("signature_valid", "amount_matches", "provider_success")}
-    return timed(events, late).withColumns(flags).groupBy("payment_id").applyInPandasWithState(step, "id long, payment_id long, outcome string", "decided boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    out = keyed(events.withColumns(flags), "payment_id", ("payment_id", *flags), step, keep_days * DAY, late)
+    parts = F.split("answer", " ")
+    return out.select("id", parts[0].cast("long").alias("payment_id"), parts[1].alias("outcome"))
 
 
 def answered_requests(events: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """events: idempotency_key, id, request_hash, received_at. NEW, REPLAY or CONFLICT, as sequences.idempotency() says;
-    a key's state is its holder, forgotten `ttl` seconds after its last request."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        since, held = state.get if state.exists else (None, None)
-        last_at = pd.Timestamp(0)
-        for pdf in frames:
-            out = []
-            last_at = max(last_at, pdf["received_at"].max())
-            for r in pdf.sort_values(["received_at", "id"]).itertuples():
-                t = r.received_at.timestamp()
-                if since is None or t >= since + ttl:
-                    since, held, said = t, r.request_hash, "NEW"
-                else:
-                    said = "REPLAY" if held == r.request_hash else "CONFLICT"
-                out.append((r.id, key[0], said))
-            yield pd.DataFrame(out, columns=["id", "idempotency_key", "answer"])
-        state.update((since, held))
-        forget_after(state, last_at, ttl * 1000)
-
-    return timed(events, late).groupBy("idempotency_key").applyInPandasWithState(step, "id long, idempotency_key string, answer string", "since double, held string", "append", GroupStateTimeout.EventTimeTimeout)
+    """events and answers as sequences.idempotency() says, whose faulty events are dropped here; a key is forgotten `ttl` seconds
+    after its last event."""
+    rows = keyed_requests(events).where("_fault IS NULL").withColumn("at", micros("received_at"))
+    return keyed(rows, "_key", ("at", "kind", "request_hash", "request"), idempotency_step(ttl), ttl * 1000, late)
 
 
 def first_requests(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -87,29 +86,7 @@ def first_requests(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
 
 
 def rate_limited(events: DataFrame, cooldown: int = 60, most: int = 5, window: int = 86_400, late: str = "1 hour") -> DataFrame:
-    """events: user_id, id, received_at. Allowed unless within `cooldown` seconds of the last allowed one, or `most` were
-    allowed in the window of `window` seconds that the first allowed one began. A user who sends nothing for twice the
-    window is forgotten. operators.sequences.rate_limits is the batch twin."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        begun, last, n = state.get if state.exists else (None, None, 0)
-        last_at = pd.Timestamp(0)
-        for pdf in frames:
-            out = []
-            last_at = max(last_at, pdf["received_at"].max())
-            for r in pdf.sort_values(["received_at", "id"]).itertuples():
-                t = r.received_at.timestamp()
-                if begun is None or t >= begun + window:
-                    begun, n = None, 0
-                said = "COOLDOWN" if last is not None and t < last + cooldown else "LIMIT" if n >= most else "ALLOWED"
-                if said == "ALLOWED":
-                    begun, last, n = t if begun is None else begun, t, n + 1
-                out.append((r.id, key[0], said))
-            yield pd.DataFrame(out, columns=["id", "user_id", "answer"])
-        state.update((begun, last, n))
-        forget_after(state, last_at, 2 * window * 1000)
-
-    return timed(events, late).groupBy("user_id").applyInPandasWithState(step, "id long, user_id long, answer string", "begun double, last double, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    """events: user_id, id, received_at; (id, answer) as sequences.rate_limits() says, whose events without a time are dropped
+    here. A user who sends nothing for twice the window is forgotten."""
+    rows = events.where("received_at IS NOT NULL").withColumns({"at": micros("received_at"), "user_id": F.coalesce(F.col("user_id").cast("string"), F.lit(""))})
+    return keyed(rows, "user_id", ("at",), rate_step(cooldown, most, window), 2 * window * 1000, late)

@@ -8,7 +8,7 @@ import pytest  # noqa: E402
 from folioquarry.functions.columns import fine_status, signature  # noqa: E402
 from folioquarry.operators.catalog import callback_outcomes, verified  # noqa: E402
 from folioquarry.operators.paging import bounds, head_of, page, sort_order  # noqa: E402
-from folioquarry.operators.sequences import idempotency, rate_limits  # noqa: E402
+from folioquarry.operators.sequences import idempotency, rate_limits, reading_sessions  # noqa: E402
 from folioquarry.sources import runs  # noqa: E402
 from folioquarry.sources.catalog_csv import plan_import, read_rows, run_import  # noqa: E402
 from folioquarry.sources.domain import spark_views  # noqa: E402
@@ -125,10 +125,65 @@ def test_streams_and_their_batch_twins(spark, tmp_path):
     assert got == want
     assert [r.answer for r in rate_limits(df).orderBy("id").collect()] == [*want, "ALLOWED", "ALLOWED"]
     rows = [("a", 1, "x", 0), ("a", 2, "x", 3599), ("a", 3, "y", 3599), ("a", 4, "y", 3600), ("a", 5, "x", 7000), ("b", 6, "x", 1), (" a ", 7, "y", 7100)]
-    asked = spark.createDataFrame(rows, "idempotency_key string, id long, request_hash string, t long").select("idempotency_key", "id", "request_hash", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("received_at"))
-    want = {1: "NEW", 2: "REPLAY", 3: "CONFLICT", 4: "NEW", 5: "CONFLICT", 6: "NEW", 7: "REPLAY"}
+    ends = [("b", 8, None, 50, "FAILED", "6"), ("b", 9, "x", 3640, "BEGIN", None), ("b", 10, "x", 3650, "BEGIN", None), ("b", 11, None, 3651, "COMPLETED", "10"), ("b", 12, "x", 3652, "BEGIN", None), ("b", 13, None, 3653, "COMPLETED", "10"), ("b", 14, "z", 3654, "BEGIN", None)]
+    asked = spark.createDataFrame([(*r, "BEGIN", None) for r in rows] + ends, "idempotency_key string, id long, request_hash string, t long, kind string, request_id string").withColumn("received_at", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
+    want = {1: "NEW", 2: "IN_PROGRESS", 3: "CONFLICT", 4: "NEW", 5: "CONFLICT", 6: "NEW", 7: "IN_PROGRESS"}
+    want |= {8: "STORED", 9: "REPLAY_FAILURE", 10: "NEW", 11: "STORED", 12: "REPLAY", 13: "UNKNOWN_REQUEST", 14: "CONFLICT"}
     assert {r.id: r.answer for r in idempotency(asked).collect()} == want
-    got = {r.id: r.answer for r in stream(spark, asked.where("id < 7"), tmp_path, answered_requests, "answers")}
-    assert got == {k: v for k, v in want.items() if k < 7}
+    assert {r.id: r.answer for r in stream(spark, asked, tmp_path, answered_requests, "answers")} == want
+    scoped = asked.withColumn("actor_id", F.col("id"))
+    assert {r.answer for r in idempotency(scoped.where("kind = 'BEGIN'")).collect()} == {"NEW"}
     blank = asked.withColumn("idempotency_key", F.when(F.col("id") > 3, " "))
     assert {r.answer for r in idempotency(blank).collect()} == {"KEY_REQUIRED"} and idempotency(asked.limit(0)).count() == 0
+    # A null time, or an unknown kind, holds nothing.
+    odd = asked.where("id < 4").withColumns({"received_at": F.when(F.col("id") > 1, F.col("received_at")), "kind": F.when(F.col("id") == 2, "PLAY").otherwise("BEGIN")})
+    assert {r.id: r.answer for r in idempotency(odd).collect()} == {1: "TIME_REQUIRED", 2: "UNKNOWN_KIND", 3: "NEW"}
+    assert {r.answer for r in rate_limits(df.withColumn("received_at", F.lit(None).cast("timestamp"))).collect()} == {"TIME_REQUIRED"}
+
+
+def test_a_late_end_overwrites_the_next_holder(spark):
+    rows = [(1, "x", 0, "BEGIN", "1"), (2, "y", 20, "BEGIN", "2"), (3, None, 21, "COMPLETED", "1"), (4, "y", 22, "BEGIN", "4"), (5, "x", 23, "BEGIN", "5"), (6, None, 24, "FAILED", "2"), (7, "y", 25, "BEGIN", "7")]
+    df = spark.createDataFrame(rows, "id long, request_hash string, t long, kind string, request_id string").selectExpr("*", "'k' AS idempotency_key", "timestamp_seconds(t) AS received_at")
+    assert [r.answer for r in idempotency(df, ttl=10).orderBy("id").collect()] == ["NEW", "NEW", "STORED", "CONFLICT", "REPLAY", "STORED", "REPLAY_FAILURE"]
+
+
+def test_sessions(spark):
+    at = "TIMESTAMP_NTZ '2024-03-01'"
+    loans = spark.sql(f"SELECT * FROM VALUES (8L, 72L, 'ACTIVE', {at} - INTERVAL 1 DAY, {at} + INTERVAL 40 MINUTES), (8L, 72L, 'ACTIVE', {at} - INTERVAL 9 DAYS, {at} + INTERVAL 5 MINUTES), (8L, 73L, 'REVOKED', {at} - INTERVAL 1 DAY, {at} + INTERVAL 9 DAYS) AS l(member_id, ebook_id, status, borrowed_at, expired_at)")
+    beats = [(0, "OPEN"), (6, "REFRESH"), (10.5, "REFRESH"), (11, "REFRESH"), (11.01, "REFRESH"), (20, "REFRESH"), (25, "REFRESH"), (30, "READ"), (38, "REFRESH"), (39, "READ"), (40, "REFRESH"), (41, "CLOSE")]
+    rows = [(k, 1, 8, 72, a, t) for k, (t, a) in enumerate(beats)]
+    rows += [(20, 2, 8, 73, "OPEN", 0.0), (21, 2, 8, 72, "OPEN", 1.0), (22, 2, 9, 72, "READ", 2.0), (23, 2, 9, None, "REVOKE", 3.0), (24, 2, 8, 72, "CLOSE", 4.0), (25, 2, 8, 72, "OPEN", 5.0), (30, 3, 8, 72, "REFRESH", 1.0), (31, None, 8, 72, "OPEN", 1.0), (32, 3, 8, 72, "PLAY", 1.0), (33, 3, 8, 72, "OPEN", None)]
+    rows += [(40, 4, 8, 72, "OPEN", 0.0), (41, 4, 8, 72, "REFRESH", 15.0), (42, 4, 8, 72, "CLOSE", 16.0), (50, 5, 8, 72, "OPEN", 0.0), (51, 5, 8, 72, "CLOSE", 1.0), (52, 5, 8, 72, "READ", 2.0)]
+    df = spark.createDataFrame([(*r[:5], None if r[5] is None else float(r[5])) for r in rows], "id long, session_id long, member_id long, ebook_id long, action string, m double")
+    df = df.withColumn("at", F.expr(f"{at} + make_dt_interval(0, 0, 0, m * 60)"))
+    out = {r.id: r for r in reading_sessions(df, loans).collect()}
+    assert [out[k].code for k in range(12)] == ["ACTIVE"] * 10 + ["READING_SESSION_NOT_ACTIVE", "EXPIRED"]
+    # Written: 0, 6, then the first one over five minutes after 6 (11 is five minutes sharp), 20, and 38; 25 is five minutes after 20.
+    assert [k for k in range(12) if out[k].wrote] == [0, 1, 4, 5, 8]
+    minutes = lambda x: None if x is None else (x.hour * 60 + x.minute)
+    assert [minutes(out[k].session_expires_at) for k in (0, 1, 7, 8)] == [15, 21, 40, 40] and [minutes(out[k].url_expires_at) for k in (0, 7, 9)] == [None, 35, 40]
+    want = {20: "EBOOK_LOAN_REQUIRED", 21: "ACTIVE", 22: "READING_SESSION_FORBIDDEN", 23: "REVOKED", 24: "REVOKED", 25: "READING_SESSION_NOT_ACTIVE", 30: "READING_SESSION_NOT_FOUND", 31: "BAD_REQUEST", 32: "BAD_REQUEST", 33: "BAD_REQUEST"}
+    want |= {40: "ACTIVE", 41: "READING_SESSION_NOT_ACTIVE", 42: "EXPIRED", 51: "CLOSED", 52: "READING_SESSION_NOT_ACTIVE"}
+    assert {k: out[k].code for k in want} == want and reading_sessions(df.limit(0), loans).count() == 0
+
+
+def test_events_of_a_stream_are_stored_once(spark, tmp_path):
+    """A stream that dies after a batch is written, but before that is noted, writes the batch again when it is restarted."""
+    rows = spark.sql("SELECT id, concat('p', id) AS payment_code, 'IPN' AS event_type, map('vnp_a', string(id)) AS params, CAST(NULL AS MAP<STRING, STRING>) AS headers FROM range(10)")
+    source, checkpoint = str(tmp_path / "in"), tmp_path / "checkpoint"
+    rows.where("id < 6").coalesce(1).write.parquet(source)
+    events = lambda: spark.readStream.schema(rows.schema).parquet(source)
+    sink = runs.EventSink(str(tmp_path / "events"), "ipn")
+    assert sink.start(events(), str(checkpoint)).awaitTermination(60)
+    (checkpoint / "commits" / "0").unlink()
+    for crc in (checkpoint / "commits").glob(".0.crc"):
+        crc.unlink()
+    rows.where("id >= 6").coalesce(1).write.mode("append").parquet(source)
+    assert sink.start(events(), str(checkpoint)).awaitTermination(60)
+    stored = sink.stored(spark)
+    assert sorted(r.id for r in stored.collect()) == list(range(10)) and stored.select("batch").distinct().count() == 2
+    # A batch that was left unfinished isn't read, and is written anew.
+    (tmp_path / "events" / "stream=ipn" / "batch=1" / "_SUCCESS").unlink()
+    assert sink.stored(spark).count() == 6
+    sink(rows.where("id >= 6"), 1)
+    assert sorted(r.id for r in sink.stored(spark).collect()) == list(range(10))

@@ -46,9 +46,12 @@ def records(pages: DataFrame, least: int, moment: str, id_col: str, url_col: str
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     heads = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("head"), F.count("*").alias("copies")).where("copies > 1")
     heads = heads.select(F.col("digest").alias("shared"), "head")
-    # A short payload meets no head; its key is its own, so that short ones don't meet in one task.
-    keyed = rows.withColumn("shared", F.when(F.col("size") >= least, F.col("digest")).otherwise(F.col("row").cast("string")))
-    j = keyed.join(heads, "shared", "left")
+    # Payloads that no other row has are written where they are read; the others, and few besides, move to meet their head.
+    hit = slot_test(heads.select(F.col("shared").alias("digest")), "digest")
+    may = F.lit(False) if hit is None else hit & (F.col("size") >= least)
+    none = F.lit(None).cast(heads.schema["head"].dataType)
+    alone = rows.where(~may).withColumn("head", none)
+    j = alone.unionByName(rows.where(may).join(heads, F.col("digest") == F.col("shared"), "left").drop("shared"))
     again = F.col("head").isNotNull() & (F.col("head.row") != F.col("row"))
     uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20\x7f]+", "%20"), r"WARC/1\.1$", "WARC/1%2E1")  # no magic in a header
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))

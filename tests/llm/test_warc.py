@@ -44,12 +44,12 @@ def test_magic_in_payloads_and_repeats(spark):
 
 
 def test_chains_over_many_blocks(spark):
-    """Blocks of a few hundred bytes: records begin in one and end in another, and payloads cover blocks whole."""
-    rows = pages(2)
+    """Blocks of a few thousand bytes: records begin in one and end in another, and payloads cover blocks whole."""
+    rows = pages(2, 40)
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        for size in ("700b", "5k", "40k"):
+        for size in ("3k", "40k"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "0b")
             assert got(df) == brute(rows), size

@@ -36,7 +36,10 @@ def book_search(
         out = out.where(F.lower("language") == language.lower())
     if available_only:
         out = out.where("available_copies > 0")
-    return out.join(review_stats(reviews).withColumnRenamed("book_id", "id"), "id", "left").select("id", "title", "isbn", "language", "author", "available_copies", F.coalesce("average", F.lit(0.0)).alias("average"), F.coalesce("n_reviews", zero()).alias("n_reviews"))
+    return out.join(review_stats(reviews).withColumnRenamed("book_id", "id"), "id", "left").select(
+        "id", "title", "isbn", "language", "author", "available_copies", F.coalesce("average", F.lit(0.0)).alias("average"),
+        F.coalesce("n_reviews", zero()).alias("n_reviews"),
+    )
 
 
 def books_by_author(books: DataFrame, links: DataFrame, authors: DataFrame, author_id: int | None = None, author_name: str | None = None) -> DataFrame:
@@ -61,7 +64,10 @@ def book_details(books: DataFrame, links: DataFrame, authors: DataFrame, categor
 def ebook_titles(ebooks: DataFrame, books: DataFrame) -> DataFrame:
     """E-books with the title of their book, "N/A" where it isn't there, and a caption cut to 255 characters."""
     t = books.select(F.col("id").alias("book_id"), F.col("title").alias("_title"))
-    return ebooks.select("id", "book_id").join(t, "book_id", "left").select("id", F.coalesce("_title", F.lit("N/A")).alias("title"), F.substring(F.concat(F.lit("Book cover for "), F.coalesce("_title", F.lit(""))), 1, 255).alias("caption"))
+    return ebooks.select("id", "book_id").join(t, "book_id", "left").select(
+        "id", F.coalesce("_title", F.lit("N/A")).alias("title"),
+        F.substring(F.concat(F.lit("Book cover for "), F.coalesce("_title", F.lit(""))), 1, 255).alias("caption"),
+    )
 
 
 def newest_ebooks(ebooks: DataFrame) -> DataFrame:
@@ -135,13 +141,18 @@ def receipts(payments: DataFrame, ebooks: DataFrame, books: DataFrame, loans: Da
     l = loans.select(F.col("id").alias("_loan"), F.col("book_id").alias("_l_book")).join(titles("l"), "_l_book", "left")
     m = members.select(F.col("id").alias("member_id"), F.col("full_name").alias("member_name"), F.col("email").alias("member_email"))
     j = payments.join(m, "member_id")
-    j = j.join(e, (F.col("target_type") == "BOOK_EBOOK") & (F.col("_ebook") == F.col("target_id")), "left").join(l, (F.col("target_type") == "BORROW_RECORD") & (F.col("_loan") == F.col("target_id")), "left")
+    j = j.join(e, (F.col("target_type") == "BOOK_EBOOK") & (F.col("_ebook") == F.col("target_id")), "left").join(
+        l, (F.col("target_type") == "BORROW_RECORD") & (F.col("_loan") == F.col("target_id")), "left",
+    )
     title = F.coalesce("_e_title", "_l_title", F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string")))
     names = ["provider", "provider_transaction_id", "provider_response_code", "provider_transaction_status", "purpose", "target_type", "target_id"]
     rest = ["amount", "currency", "status", "paid_at", "expired_at", "created_at", "updated_at"]
     kinds = {"paid_at": "timestamp_ntz", "expired_at": "timestamp_ntz", "created_at": "timestamp_ntz", "updated_at": "timestamp_ntz"}
     col = lambda c: F.col(c) if c in payments.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c)
-    return j.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("receipt_number"), "payment_code", "member_id", "member_name", "member_email", *map(col, names), title.alias("item_title"), *map(col, rest))
+    return j.select(
+        F.col("id").alias("payment_id"), F.col("payment_code").alias("receipt_number"), "payment_code", "member_id", "member_name", "member_email",
+        *map(col, names), title.alias("item_title"), *map(col, rest),
+    )
 
 
 def receipt_search(found: DataFrame, q: str | None = None, status: str | None = None, paid_from: str | None = None, paid_to: str | None = None) -> DataFrame:
@@ -152,7 +163,9 @@ def receipt_search(found: DataFrame, q: str | None = None, status: str | None =
     for text, test in ((paid_from, lambda t: F.col("paid_at") >= t), (paid_to, lambda t: F.col("paid_at") <= t)):
         if text:
             found = found.where(test(F.lit(text).cast("timestamp_ntz")))
-    named = found.withColumn("_title", F.when(~F.col("item_title").eqNullSafe(F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string"))), F.col("item_title")))
+    named = found.withColumn(
+        "_title", F.when(~F.col("item_title").eqNullSafe(F.concat("target_type", F.lit(" #"), F.col("target_id").cast("string"))), F.col("item_title")),
+    )
     test = contains(q, "payment_code", "provider_transaction_id", "member_name", "member_email", "_title")
     number = whole_number(q)
     if number is not None:
@@ -160,17 +173,26 @@ def receipt_search(found: DataFrame, q: str | None = None, status: str | None =
     return (named if test is None else named.where(test)).drop("_title")
 
 
-def payment_dashboard(payments: DataFrame, first: Column, until: Column) -> DataFrame:
-    """One row: counts and amounts by status, and successes paid in [first, until); zeros for an empty table."""
+def payment_dashboard(payments: DataFrame, first: Column, until: Column, now: Column | None = None) -> DataFrame:
+    """A row for each currency, or one of zeros without any payment: counts and amounts by status, successes paid in [first, until),
+    and, if given, the moment it was made. A null currency is VND."""
     is_ = lambda s: F.col("status") == s
     today = is_("SUCCESS") & (F.col("paid_at") >= first) & (F.col("paid_at") < until)
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), zero())
-    return payments.agg(count_if(is_("SUCCESS")).alias("n_success"), count_if(is_("PENDING")).alias("n_pending"), count_if(is_("FAILED")).alias("n_failed"), total(is_("SUCCESS")).alias("amount_success"), total(is_("PENDING")).alias("amount_pending"), count_if(today).alias("n_period"), total(today).alias("amount_period"))
+    counts = {f"n_{n}": count_if(c) for n, c in (("success", is_("SUCCESS")), ("pending", is_("PENDING")), ("failed", is_("FAILED")), ("period", today))}
+    amounts = {f"amount_{n}": total(c) for n, c in (("success", is_("SUCCESS")), ("pending", is_("PENDING")), ("period", today))}
+    per = payments.groupBy(F.coalesce("currency", F.lit("VND")).alias("currency")).agg(*[c.alias(n) for n, c in (counts | amounts).items()])
+    none = payments.agg(F.count("*").alias("_n")).where("_n = 0").select(  # one row at most
+        F.lit("VND").alias("currency"), *[zero().alias(n) for n in (*counts, *amounts)],
+    )
+    out = per.unionByName(none)
+    return out if now is None else out.withColumn("made_at", now)
 
 
 def verified(events: DataFrame, payments: DataFrame, secret: str) -> DataFrame:
     """events: id, received_at, params (map). Callbacks as callback_outcomes() takes them, from the provider's parameters:
-    the signature over all other vnp_ parameters, the amount in hundredths, and both codes "00" for success."""
+    the signature over all other vnp_ parameters, the amount in hundredths, and both codes "00" for success; paid_at is
+    vnp_PayDate (yyyyMMddHHmmss), null if it can't be read."""
     get = lambda k: F.try_element_at("params", F.lit(k))
     signed = F.map_filter("params", lambda k, v: k.startswith("vnp_") & ~k.isin("vnp_SecureHash", "vnp_SecureHashType"))
     p = payments.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("_code"), F.col("amount").alias("_amount"))
@@ -179,7 +201,9 @@ def verified(events: DataFrame, payments: DataFrame, secret: str) -> DataFrame:
     paid = F.try_to_number(get("vnp_Amount"), F.lit("999999999999999")).cast("long")
     amount = F.floor(paid / 100) == F.col("_amount")
     success = (get("vnp_ResponseCode") == "00") & (get("vnp_TransactionStatus") == "00")
-    return j.select("id", "payment_id", "received_at", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in ((valid, "signature_valid"), (amount, "amount_matches"), (success, "provider_success"))))
+    paid_at = F.expr("try_to_timestamp(params['vnp_PayDate'], 'yyyyMMddHHmmss')").cast("timestamp_ntz").alias("paid_at")
+    flags = ((valid, "signature_valid"), (amount, "amount_matches"), (success, "provider_success"))
+    return j.select("id", "payment_id", "received_at", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in flags), paid_at)
 
 
 def callback_outcomes(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
@@ -215,12 +239,17 @@ def fulfilment(payments: DataFrame, ebooks: DataFrame, members: DataFrame, loans
     own = has.select(F.col("member_id").alias("_own_member"), F.col("ebook_id").alias("_own_ebook")).distinct()
     used = has.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
     j = with_member(paid, member_state(members, loans, ebook_loans, now, ebook_now)).join(e, F.col("ebook_id") == F.col("_ebook"), "left")
-    j = j.join(own, (F.col("member_id") == F.col("_own_member")) & (F.col("ebook_id") == F.col("_own_ebook")), "left").join(used, F.col("ebook_id") == F.col("_used_ebook"), "left")
+    j = j.join(
+        own, (F.col("member_id") == F.col("_own_member")) & (F.col("ebook_id") == F.col("_own_ebook")), "left",
+    ).join(used, F.col("ebook_id") == F.col("_used_ebook"), "left")
     free = F.col("max_concurrent_loans") - F.coalesce("_used", zero())
     before = F.when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_ebook_status") != "ACTIVE", "EBOOK_NOT_AVAILABLE")
     has_one = F.col("_own_ebook").isNotNull()
     j = j.withColumn("_code", before)
-    j = in_turn(j, "paid_at", F.col("member_id"), F.col("ebook_id"), F.struct("member_id", "ebook_id"), F.col("_room"), free, F.col("_code").isNull() & ~has_one & ~F.col("_unpaid"))
+    j = in_turn(
+        j, "paid_at", F.col("member_id"), F.col("ebook_id"), F.struct("member_id", "ebook_id"), F.col("_room"), free,
+        F.col("_code").isNull() & ~has_one & ~F.col("_unpaid"),
+    )
     after = (
         F.when(has_one | (F.col("had_pair") > 0), "ALREADY_HAS_ACTIVE_LOAN").when(F.col("_unpaid"), "MEMBER_HAS_UNPAID_FINES")
         .when(F.col("had_member") >= F.col("room"), "BORROW_LIMIT_EXCEEDED").when(F.col("had_item") >= F.col("free"), "LICENSE_UNAVAILABLE").otherwise("FULFILLED")
@@ -235,7 +264,10 @@ def fulfilment_metadata(payments: DataFrame, outcomes: DataFrame, at: Column) ->
     are there already are replaced, others stay. Outcomes that have no message (errors) and payments without one change nothing."""
     text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
     told = outcomes.select(F.col("id").alias("_id"), F.col("outcome").alias("_outcome"), F.element_at(text, F.col("outcome")).alias("_text")).where("_text IS NOT NULL")
-    new = F.create_map(F.lit("ebookFulfillmentStatus"), "_outcome", F.lit("ebookFulfillmentMessage"), "_text", F.lit("ebookFulfillmentAt"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    new = F.create_map(
+        F.lit("ebookFulfillmentStatus"), "_outcome", F.lit("ebookFulfillmentMessage"), "_text", F.lit("ebookFulfillmentAt"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    )
     old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
     j = payments.select("id", "metadata").join(told, F.col("id") == F.col("_id"), "left")

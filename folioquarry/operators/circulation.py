@@ -45,7 +45,10 @@ def borrow_counts(loans: DataFrame, now: Column) -> DataFrame:
 def ebook_counts(ebooks: DataFrame, now: Column) -> DataFrame:
     """Active, overdue, entitled and all e-book loans of each member that has any; a loan without an end is neither late nor entitled."""
     active = F.col("status") == "ACTIVE"
-    return ebooks.groupBy("member_id").agg(count_if(active).alias("ebook_active"), count_if(active & (F.col("expired_at") < now)).alias("ebook_overdue"), count_if(active & (F.col("expired_at") > now)).alias("ebook_entitled"), F.count("*").alias("ebook_history"))
+    return ebooks.groupBy("member_id").agg(
+        count_if(active).alias("ebook_active"), count_if(active & (F.col("expired_at") < now)).alias("ebook_overdue"),
+        count_if(active & (F.col("expired_at") > now)).alias("ebook_entitled"), F.count("*").alias("ebook_history"),
+    )
 
 
 def unpaid_fines(loans: DataFrame) -> DataFrame:
@@ -85,7 +88,9 @@ def loan_search(
     kind, barcodes or file names and payment codes; if it is a whole number, also among the ids of loans, members, books,
     and copies or e-books and payments. With fields it is looked for in these alone. Unknown members, books and copies
     drop a loan; unknown files and payments don't. Null texts match nothing."""
-    people = members.select(F.col("id").alias("member_id"), F.col("full_name").alias("member_name"), F.col("email").alias("member_email"), F.col("phone").alias("_phone"))
+    people = members.select(
+        F.col("id").alias("member_id"), F.col("full_name").alias("member_name"), F.col("email").alias("member_email"), F.col("phone").alias("_phone"),
+    )
     titles = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), F.col("isbn").alias("_isbn"))
     shelf = copies.select(F.col("id").alias("book_copy_id"), F.col("barcode").alias("item_barcode"), F.col("status").alias("copy_status"))
     names = files.select(F.col("id").alias("book_ebook_id"), F.col("original_filename").alias("_file"))
@@ -120,10 +125,16 @@ def loan_search(
     ).join(names, "book_ebook_id", "left").join(codes, "payment_id", "left")
     both = physical.unionByName(digital).join(people, "member_id").join(titles, "book_id")
     where = {"full_name": "member_name", "email": "member_email", "title": "book_title"}
-    test = contains(q, *(where[f] for f in fields)) if fields else contains(q, "member_name", "member_email", "_phone", "book_title", "_isbn", "item_barcode", "_file", "_code")
+    test = contains(q, *(where[f] for f in fields)) if fields else contains(
+        q, "member_name", "member_email", "_phone", "book_title", "_isbn", "item_barcode", "_file", "_code",
+    )
     number = whole_number(q) if fields is None else None
     if number is not None:
-        test = reduce(or_, [F.coalesce(F.col(c) == number, F.lit(False)) for c in ("borrow_id", "ebook_loan_id", "member_id", "book_id", "book_copy_id", "book_ebook_id", "payment_id")], test)
+        test = reduce(
+            or_,
+            [F.coalesce(F.col(c) == number, F.lit(False)) for c in ("borrow_id", "ebook_loan_id", "member_id", "book_id", "book_copy_id", "book_ebook_id", "payment_id")],
+            test,
+        )
     out = both if test is None else both.where(test)
     return out.select(
         "borrow_id", "member_id", "member_name", "member_email", "book_id", "book_title", "book_copy_id", "item_barcode", "copy_status", "borrowed_at", "due_date", "returned_at", "status", "renew_count", "max_renewals",
@@ -132,6 +143,8 @@ def loan_search(
 
 
 def members_with_overdue(members: DataFrame, loans: DataFrame, now: Column, q: str | None = None) -> DataFrame:
+    """Members, all columns, that have an overdue loan and whose name or e-mail holds q; a blank q filters nothing, null texts
+    hold nothing, and repeated members stay."""
     out = members.join(loans.where(is_overdue(now)).select("member_id"), F.col("id") == F.col("member_id"), "left_semi")
     found = contains(q, "full_name", "email")
     return out if found is None else out.where(found)
@@ -155,10 +168,15 @@ def dashboard(loans: DataFrame, ebooks: DataFrame, holds: DataFrame, now: Column
     b = ebooks.agg(count_if(F.col("status") == "ACTIVE").alias("ea"), count_if((F.col("status") == "ACTIVE") & (F.col("expired_at") < ebook_now)).alias("eo"))
     c = holds.agg(count_if(F.col("status") == "READY_FOR_PICKUP").alias("ready_holds"))
     one = a.crossJoin(b).crossJoin(c)  # three rows of aggregates
-    return one.select((F.col("a") + F.col("ea")).alias("active_loans"), (F.col("o") + F.col("eo")).alias("overdue_loans"), "ready_holds", "unpaid_fines", "unpaid_total", "borrowed_today", "returned_today")
+    return one.select(
+        (F.col("a") + F.col("ea")).alias("active_loans"), (F.col("o") + F.col("eo")).alias("overdue_loans"), "ready_holds", "unpaid_fines",
+        "unpaid_total", "borrowed_today", "returned_today",
+    )
 
 
-def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str, kind: str | None = None, value: str | None = None, language: str | None = None) -> DataFrame:
+def period_statistics(
+    loans: DataFrame, books: DataFrame, first: str, last: str, kind: str | None = None, value: str | None = None, language: str | None = None,
+) -> DataFrame:
     """A row for each day of a span of 21 days at most: borrowed, returned, net, and whether it is the first peak of borrowing.
 
     A longer span, or one that ends before it begins, raises. Loans are read once; loans without a book's row drop out only
@@ -172,7 +190,10 @@ def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str,
         wanted = wanted.where(F.lower("language") == language.lower())
     if test is not None or language:
         loans = loans.join(wanted.select(F.col("id").alias("book_id")), "book_id", "left_semi")
-    moved = F.array(F.struct(local_day("borrowed_at").alias("day"), F.lit(1).alias("b"), F.lit(0).alias("r")), F.when(F.col("status") == "RETURNED", F.struct(local_day("returned_at").alias("day"), F.lit(0).alias("b"), F.lit(1).alias("r"))))
+    moved = F.array(
+        F.struct(local_day("borrowed_at").alias("day"), F.lit(1).alias("b"), F.lit(0).alias("r")),
+        F.when(F.col("status") == "RETURNED", F.struct(local_day("returned_at").alias("day"), F.lit(0).alias("b"), F.lit(1).alias("r"))),
+    )
     each = loans.select(F.inline(F.filter(moved, lambda x: x.isNotNull()))).where(F.col("day").between(first, last))
     counts = each.groupBy("day").agg(F.sum("b").alias("borrowed"), F.sum("r").alias("returned"))
     out = filled(days.join(counts, "day", "left"), "borrowed", "returned")
@@ -182,7 +203,10 @@ def period_statistics(loans: DataFrame, books: DataFrame, first: str, last: str,
 
 def period_totals(days: DataFrame) -> DataFrame:
     """Totals of period_statistics(): borrowed, returned, net and the peak day as text, "" where nothing was borrowed."""
-    return days.agg(F.sum("borrowed").alias("borrowed"), F.sum("returned").alias("returned"), F.sum("net").alias("net"), F.coalesce(F.max(F.when(F.col("is_peak"), F.col("day").cast("string"))), F.lit("")).alias("peak_day"))
+    return days.agg(
+        F.sum("borrowed").alias("borrowed"), F.sum("returned").alias("returned"), F.sum("net").alias("net"),
+        F.coalesce(F.max(F.when(F.col("is_peak"), F.col("day").cast("string"))), F.lit("")).alias("peak_day"),
+    )
 
 
 # Rules
@@ -198,10 +222,15 @@ def rates_on(days: DataFrame, configs: DataFrame) -> DataFrame:
     larger id. The dated rows are cut into stretches once and merged with the days in order, so that neither meets all rows
     of the other."""
     number = lambda c: F.unix_date(c).cast("long")
-    spans = configs.select(F.lit(0).alias("_key"), F.col("id").cast("long").alias("id"), number("effective_from").alias("since"), number("effective_until").alias("until"), F.col("rate_per_day").cast("long").alias("value"))
+    spans = configs.select(
+        F.lit(0).alias("_key"), F.col("id").cast("long").alias("id"), number("effective_from").alias("since"), number("effective_until").alias("until"),
+        F.col("rate_per_day").cast("long").alias("value"),
+    )
     points = segments(spans, ["_key"]).select("_key", "t", F.lit(0).cast("long").alias("tie"), "value")
     probes = days.where("on_day IS NOT NULL").select("on_day").distinct().select(F.lit(0).alias("_key"), number("on_day").alias("t"), number("on_day").alias("row"))
-    return nearest(probes, points, ["_key"], "value").select(F.date_from_unix_date(F.col("row").cast("int")).alias("on_day"), F.col("value").alias("rate")).where("rate IS NOT NULL")
+    return nearest(probes, points, ["_key"], "value").select(
+        F.date_from_unix_date(F.col("row").cast("int")).alias("on_day"), F.col("value").alias("rate"),
+    ).where("rate IS NOT NULL")
 
 
 def effective_fines(loans: DataFrame, configs: DataFrame) -> DataFrame:
@@ -218,17 +247,24 @@ def effective_fines(loans: DataFrame, configs: DataFrame) -> DataFrame:
 def mark_overdue(loans: DataFrame, now: Column, most: int = 500) -> DataFrame:
     """The first `most` BORROWED loans past due, by due date and id, with their new state."""
     late = loans.where((F.col("status") == "BORROWED") & (F.col("due_date") < now))
-    return late.orderBy("due_date", "id").limit(most).select("id", "copy_id", F.lit("OVERDUE").alias("new_status"), F.lit("OVERDUE").alias("new_copy_status"), "due_date")
+    return late.orderBy("due_date", "id").limit(most).select(
+        "id", "copy_id", F.lit("OVERDUE").alias("new_status"), F.lit("OVERDUE").alias("new_copy_status"), "due_date",
+    )
 
 
 def hold_heads(holds: DataFrame) -> DataFrame:
     """Per book: the head of the queue and the next free position."""
     live = holds.where(F.col("status").isin(*ACTIVE_HOLD))
     order = F.struct(F.col("queue_position").isNull(), "queue_position", "reserved_at", "id")
-    return live.groupBy("book_id").agg(F.min_by(F.when(F.col("status") == "WAITING", F.col("id")), F.when(F.col("status") == "WAITING", order)).alias("head_id"), (F.coalesce(F.max("queue_position"), F.lit(0)) + 1).alias("next_position"))
+    return live.groupBy("book_id").agg(
+        F.min_by(F.when(F.col("status") == "WAITING", F.col("id")), F.when(F.col("status") == "WAITING", order)).alias("head_id"),
+        (F.coalesce(F.max("queue_position"), F.lit(0)) + 1).alias("next_position"),
+    )
 
 
-def violations(rows: list[tuple[DataFrame, dict[str, Column]]], groups: list[tuple[str, DataFrame, list]], missing: list[tuple[str, DataFrame, str, DataFrame]]) -> DataFrame:
+def violations(
+    rows: list[tuple[DataFrame, dict[str, Column]]], groups: list[tuple[str, DataFrame, list]], missing: list[tuple[str, DataFrame, str, DataFrame]],
+) -> DataFrame:
     """(rule, violations). rows: per table, rules that a row breaks, all counted in one pass; a null condition isn't broken.
     groups: (rule, table, keys) of keys that stand more than once. missing: (rule, table, column, parents with id) of rows
     whose value, unless null, has no parent."""

@@ -31,7 +31,10 @@ def member_state(members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, n
         m = m.join(part, "member_id", "left")
     m = filled(m, "active_count", "ebook_entitled", "unpaid_total", "marked")
     room = F.col("most") - F.col("active_count") - F.col("ebook_entitled")
-    return m.select(F.col("member_id").alias("_member"), "_account", (F.col("unpaid_total") > 0).alias("_unpaid"), (room <= 0).alias("_limit"), room.alias("_room"), (F.col("marked") > 0).alias("_overdue"))
+    return m.select(
+        F.col("member_id").alias("_member"), "_account", (F.col("unpaid_total") > 0).alias("_unpaid"), (room <= 0).alias("_limit"), room.alias("_room"),
+        (F.col("marked") > 0).alias("_overdue"),
+    )
 
 
 def with_member(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -55,7 +58,10 @@ def live(df: DataFrame, flag: str = "deleted") -> DataFrame:
     return df.where(~F.coalesce(flag, F.lit(False)))
 
 
-def copy_search(copies: DataFrame, book_id: int | None = None, status: str | None = None, barcode: str | None = None, condition: str | None = None, location: str | None = None) -> DataFrame:
+def copy_search(
+    copies: DataFrame, book_id: int | None = None, status: str | None = None, barcode: str | None = None, condition: str | None = None,
+    location: str | None = None,
+) -> DataFrame:
     """Live copies, of one book if given, that meet each given condition; texts are looked for anywhere, in any case.
     Columns are null where unknown and then don't meet a text condition."""
     out = live(copies)
@@ -75,13 +81,19 @@ def soft_deleted(copies: DataFrame, books: DataFrame, kept: tuple[str, ...], now
     gone = books.select(F.col("id").alias("_book")).distinct()
     hit = F.col("_book").isNotNull() & ~F.coalesce("deleted", F.lit(False)) & ~F.col("status").isin(*kept)
     out = copies.join(gone, F.col("book_id") == F.col("_book"), "left")
-    return out.select("id", "book_id", "status", F.when(hit, True).otherwise(F.coalesce("deleted", F.lit(False))).alias("deleted"), F.when(hit, now).alias("deleted_at"), F.when(hit, F.lit(by).cast("long")).alias("deleted_by"))
+    return out.select(
+        "id", "book_id", "status", F.when(hit, True).otherwise(F.coalesce("deleted", F.lit(False))).alias("deleted"),
+        F.when(hit, now).alias("deleted_at"), F.when(hit, F.lit(by).cast("long")).alias("deleted_by"),
+    )
 
 
 # Checkout
 
 
-def checkout_blocks(requests: DataFrame, copies: DataFrame, books: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column, ebook_now: Column, borrow_days: int = 14) -> DataFrame:
+def checkout_blocks(
+    requests: DataFrame, copies: DataFrame, books: DataFrame, members: DataFrame, loans: DataFrame, ebook_loans: DataFrame, now: Column,
+    ebook_now: Column, borrow_days: int = 14,
+) -> DataFrame:
     """requests: id, member_id, copy_id. All reasons in the rules' order, the first, and a due date if there is none."""
     c = copies.select(F.col("id").alias("_copy"), F.col("book_id").alias("_copy_book"), F.col("status").alias("_copy_status"))
     b = books.select(F.col("id").alias("_book"), F.coalesce("deleted", F.lit(False)).alias("_deleted"))
@@ -99,7 +111,10 @@ def checkout_blocks(requests: DataFrame, copies: DataFrame, books: DataFrame, me
         F.when(F.col("_copy").isNull(), "COPY_NOT_FOUND").when((F.col("_copy_status") != "AVAILABLE") | F.coalesce("_deleted", F.lit(True)), "COPY_NOT_AVAILABLE"),
     )
     j = j.withColumn("_reasons", F.filter(reasons, lambda x: x.isNotNull()))
-    return j.select("id", F.array_join("_reasons", ",").alias("reasons"), F.try_element_at("_reasons", F.lit(1)).alias("first_reason"), F.when(F.size("_reasons") == 0, now + days(borrow_days)).alias("due_date"))
+    return j.select(
+        "id", F.array_join("_reasons", ",").alias("reasons"), F.try_element_at("_reasons", F.lit(1)).alias("first_reason"),
+        F.when(F.size("_reasons") == 0, now + days(borrow_days)).alias("due_date"),
+    )
 
 
 def in_turn(asks: DataFrame, at: str, member: Column, item: Column, pair: Column, room: Column, free: Column, able: Column) -> DataFrame:
@@ -131,17 +146,28 @@ def checkouts(
         .when(away | (F.col("had_item") > 0), "COPY_NOT_AVAILABLE").otherwise("OK")
     )
     ok = F.col("code") == "OK"
-    new = {"borrowed_at": now, "due_date": now + days(borrow_days), "status": F.lit("BORROWED"), "renew_count": zero(), "max_renewals": F.lit(max_renewals).cast("long"), "fine_amount": zero()}
-    return j.withColumn("code", code).select("id", "member_id", "copy_id", "code", F.when(ok, F.col("_copy_book")).alias("book_id"), *[F.when(ok, v).alias(k) for k, v in new.items()])
+    new = {
+        "borrowed_at": now, "due_date": now + days(borrow_days), "status": F.lit("BORROWED"), "renew_count": zero(),
+        "max_renewals": F.lit(max_renewals).cast("long"), "fine_amount": zero(),
+    }
+    return j.withColumn("code", code).select(
+        "id", "member_id", "copy_id", "code", F.when(ok, F.col("_copy_book")).alias("book_id"), *[F.when(ok, v).alias(k) for k, v in new.items()],
+    )
 
 
 # Renewal
 
 
-def manual_renewals(requests: DataFrame, loans: DataFrame, members: DataFrame, ebook_loans: DataFrame, holds: DataFrame, now: Column, ebook_now: Column, renewal_days: int = 7, overdue_allowed: bool = False) -> DataFrame:
+def manual_renewals(
+    requests: DataFrame, loans: DataFrame, members: DataFrame, ebook_loans: DataFrame, holds: DataFrame, now: Column, ebook_now: Column,
+    renewal_days: int = 7, overdue_allowed: bool = False,
+) -> DataFrame:
     """requests: id, loan_id, actor_id, staff. The first rule that refuses a renewal, else OK with the new due date."""
     r = requests.select("id", F.col("loan_id").alias("_loan"), "actor_id", F.coalesce("staff", F.lit(False)).alias("staff"))
-    l = loans.select(F.col("id").alias("_loan"), "member_id", F.col("book_id").alias("_loan_book"), "status", "due_date", "renew_count", "max_renewals", F.lit(True).alias("_there"))
+    l = loans.select(
+        F.col("id").alias("_loan"), "member_id", F.col("book_id").alias("_loan_book"), "status", "due_date", "renew_count", "max_renewals",
+        F.lit(True).alias("_there"),
+    )
     j = with_member(r.join(l, "_loan", "left"), member_state(members, loans, ebook_loans, now, ebook_now))
     j = j.join(waiting_books(holds), F.col("_loan_book") == F.col("_held_book"), "left")
     late = F.lit(False) if overdue_allowed else F.col("due_date") < now
@@ -155,16 +181,24 @@ def manual_renewals(requests: DataFrame, loans: DataFrame, members: DataFrame, e
         .otherwise("OK")
     )
     ok = F.col("code") == "OK"
-    return j.withColumn("code", code).select("id", F.col("_loan").alias("loan_id"), "code", F.when(ok, F.col("due_date") + days(renewal_days)).alias("new_due_date"), F.when(ok, F.col("renew_count") + 1).alias("new_renew_count"))
+    return j.withColumn("code", code).select(
+        "id", F.col("_loan").alias("loan_id"), "code", F.when(ok, F.col("due_date") + days(renewal_days)).alias("new_due_date"),
+        F.when(ok, F.col("renew_count") + 1).alias("new_renew_count"),
+    )
 
 
-def auto_renewal_attempts(loans: DataFrame, members: DataFrame, copies: DataFrame, books: DataFrame, holds: DataFrame, now: Column, first: Column, until: Column, renewal_days: int = 7, most: int = 500, overdue_allowed: bool = False, enabled: bool = True) -> DataFrame:
+def auto_renewal_attempts(
+    loans: DataFrame, members: DataFrame, copies: DataFrame, books: DataFrame, holds: DataFrame, now: Column, first: Column, until: Column,
+    renewal_days: int = 7, most: int = 500, overdue_allowed: bool = False, enabled: bool = True,
+) -> DataFrame:
     """An attempt row for each of the first `most` (1 to 5000) BORROWED loans due in [first, until), by due date and id.
 
     The code is the first rule that refuses, else SUCCESS; then the due date moves and the count grows. A job that isn't
     enabled attempts nothing."""
     due = loans.where((F.col("status") == "BORROWED") & (F.col("due_date") >= first) & (F.col("due_date") < until) & F.lit(enabled))
-    due = due.select("id", "member_id", "book_id", "copy_id", "status", "due_date", "renew_count", "max_renewals").orderBy("due_date", "id").limit(max(1, min(most, 5000)))
+    due = due.select(
+        "id", "member_id", "book_id", "copy_id", "status", "due_date", "renew_count", "max_renewals",
+    ).orderBy("due_date", "id").limit(max(1, min(most, 5000)))
     m = members.select(F.col("id").alias("_member"), account_reason(now).alias("_account"))
     c = copies.select(F.col("id").alias("_copy"), F.col("status").alias("_copy_status"))
     b = books.select(F.col("id").alias("_book"), F.coalesce("deleted", F.lit(False)).alias("_deleted"))
@@ -202,7 +236,9 @@ def place_holds(requests: DataFrame, members: DataFrame, books: DataFrame, holds
     own = active.select(F.col("member_id").alias("_has_member"), F.col("book_id").alias("_has_book")).distinct()
     last = active.groupBy(F.col("book_id").alias("_queue_book")).agg(F.coalesce(F.max("queue_position"), F.lit(0)).alias("_last"))
     j = requests.select("id", "member_id", "book_id", "asked_at").join(account, F.col("member_id") == F.col("_member"), "left").join(shelf, F.col("book_id") == F.col("_book"), "left")
-    j = j.join(own, (F.col("member_id") == F.col("_has_member")) & (F.col("book_id") == F.col("_has_book")), "left").join(last, F.col("book_id") == F.col("_queue_book"), "left")
+    j = j.join(
+        own, (F.col("member_id") == F.col("_has_member")) & (F.col("book_id") == F.col("_has_book")), "left",
+    ).join(last, F.col("book_id") == F.col("_queue_book"), "left")
     before = (
         found().when(F.col("_book").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_on_shelf") > 0, "BOOK_AVAILABLE_ON_SHELF").when(F.col("_has_book").isNotNull(), "HOLD_ALREADY_EXISTS")
     )
@@ -212,7 +248,10 @@ def place_holds(requests: DataFrame, members: DataFrame, books: DataFrame, holds
     j = j.withColumn("code", F.coalesce("_code", F.when(F.col("_turn") > 1, "HOLD_ALREADY_EXISTS").otherwise("WAITING")))
     stands = F.col("code") == "WAITING"
     place = F.sum(stands.cast("int")).over(Window.partitionBy("book_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return j.select("id", "member_id", "book_id", "code", F.when(stands, F.coalesce("_last", F.lit(0)) + place).alias("queue_position"), F.when(stands, now + days(pickup_days)).alias("expires_at"))
+    return j.select(
+        "id", "member_id", "book_id", "code", F.when(stands, F.coalesce("_last", F.lit(0)) + place).alias("queue_position"),
+        F.when(stands, now + days(pickup_days)).alias("expires_at"),
+    )
 
 
 def checkout_holds(
@@ -247,14 +286,21 @@ def cancel_holds(requests: DataFrame, holds: DataFrame, copies: DataFrame, now:
         F.when(F.col("_owner").isNull(), "RESOURCE_NOT_FOUND").when(~F.col("staff") & ~F.col("actor_id").eqNullSafe(F.col("_owner")), "ACCESS_DENIED")
         .when(~F.col("_status").isin(*ACTIVE_HOLD), "HOLD_NOT_ACTIVE").otherwise("CANCELLED")
     )
-    j = j.withColumn("code", code).join(copies.select(F.col("id").alias("_copy"), F.col("status").alias("_copy_status")), F.col("assigned_copy_id") == F.col("_copy"), "left")
+    j = j.withColumn("code", code).join(
+        copies.select(F.col("id").alias("_copy"), F.col("status").alias("_copy_status")), F.col("assigned_copy_id") == F.col("_copy"), "left",
+    )
     free = (F.col("code") == "CANCELLED") & (F.col("_copy_status") == "ON_HOLD_SHELF")
     j = j.withColumn("_free", F.coalesce(free, F.lit(False)))
     j = j.withColumn("_n", F.when(F.col("_free"), F.row_number().over(Window.partitionBy("book_id", "_free").orderBy("_hold"))))
     gone = j.where("code = 'CANCELLED'").select(F.col("_hold").alias("id"))
     j = j.join(queue(holds.join(gone, "id", "left_anti")), (F.col("book_id") == F.col("_queue_book")) & (F.col("_n") == F.col("_place")), "left")
     given = F.col("_next").isNotNull()
-    return j.select("id", F.col("_hold").alias("hold_id"), "code", F.when(F.col("_free"), F.col("assigned_copy_id")).alias("freed_copy_id"), F.col("_next").alias("next_hold_id"), F.when(given, "ON_HOLD_SHELF").when(F.col("_free"), "AVAILABLE").alias("copy_status"), F.when(given, now + days(pickup_days)).alias("next_expires_at"))
+    return j.select(
+        "id", F.col("_hold").alias("hold_id"), "code", F.when(F.col("_free"), F.col("assigned_copy_id")).alias("freed_copy_id"),
+        F.col("_next").alias("next_hold_id"), F.when(given, "ON_HOLD_SHELF").when(F.col("_free"), "AVAILABLE").alias("copy_status"),
+        F.when(given, now + days(pickup_days)).alias("next_expires_at"), F.when(F.col("_free"), F.col("book_id")).alias("book_id"),
+        (F.col("_free") & ~given).cast("long").alias("counter_delta"),
+    )
 
 
 def queue(holds: DataFrame) -> DataFrame:
@@ -270,7 +316,10 @@ def check_in(returns: DataFrame, copies: DataFrame, loans: DataFrame, holds: Dat
     other goes to the next waiting hold of its book (copies by return time and id, holds by queue) or back on the shelf."""
     c = copies.select(F.lower(F.trim("barcode")).alias("_bar"), F.col("id").alias("_copy"), F.col("book_id").alias("_copy_book"))
     newest = loans.where(F.col("status").isin(*OPEN)).groupBy(F.col("copy_id").alias("_loan_copy")).agg(F.max_by(F.struct(F.col("id").alias("loan_id"), "member_id", "due_date", "fine_amount"), F.struct("borrowed_at", "id")).alias("_loan"))
-    r = returns.select("id", F.lower(F.trim("barcode")).alias("_bar"), "returned_at", F.upper(F.coalesce(F.nullif(F.trim("condition"), F.lit("")), F.lit("GOOD"))).alias("_condition"))
+    r = returns.select(
+        "id", F.lower(F.trim("barcode")).alias("_bar"), "returned_at",
+        F.upper(F.coalesce(F.nullif(F.trim("condition"), F.lit("")), F.lit("GOOD"))).alias("_condition"),
+    )
     j = r.join(c, "_bar", "left").join(newest, F.col("_copy") == F.col("_loan_copy"), "left")
     code = F.when(F.col("_copy").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_loan").isNull(), "ACTIVE_BORROW_NOT_FOUND").otherwise("RETURNED")
     j = j.withColumn("code", code).withColumn("overdue_days", F.when(F.col("code") == "RETURNED", days_overdue_calendar(F.col("returned_at"), F.col("_loan.due_date"))))
@@ -301,7 +350,11 @@ def expired_hold_moves(holds: DataFrame, copies: DataFrame, now: Column, pickup_
     j = j.withColumn("_n", F.when(F.col("_copy").isNotNull(), F.row_number().over(Window.partitionBy("book_id", F.col("_copy").isNull()).orderBy("expires_at", "id"))))
     j = j.join(queue(holds), (F.col("book_id") == F.col("_queue_book")) & (F.col("_n") == F.col("_place")), "left")
     freed = F.col("_copy").isNotNull() & F.col("_next").isNull()
-    return j.select(F.col("id").alias("expired_id"), "book_id", F.col("_copy").alias("copy_id"), F.col("_next").alias("next_id"), F.when(freed, "AVAILABLE").when(F.col("_next").isNotNull(), "ON_HOLD_SHELF").alias("copy_status"), F.when(F.col("_next").isNotNull(), now + days(pickup_days)).alias("next_expires_at"), freed.cast("long").alias("counter_delta"))
+    return j.select(
+        F.col("id").alias("expired_id"), "book_id", F.col("_copy").alias("copy_id"), F.col("_next").alias("next_id"),
+        F.when(freed, "AVAILABLE").when(F.col("_next").isNotNull(), "ON_HOLD_SHELF").alias("copy_status"),
+        F.when(F.col("_next").isNotNull(), now + days(pickup_days)).alias("next_expires_at"), freed.cast("long").alias("counter_delta"),
+    )
 
 
 def reminders(loans: DataFrame, books: DataFrame, queued: DataFrame, first: Column, until: Column, most: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -310,8 +363,14 @@ def reminders(loans: DataFrame, books: DataFrame, queued: DataFrame, first: Colu
     due = loans.where((F.col("status") == "BORROWED") & (F.col("due_date") >= first) & (F.col("due_date") < until)).select("id", "member_id", "book_id", "due_date").orderBy("due_date", "id").limit(most)
     had = queued.where("notification_type = 'DUE_SOON_REMINDER' AND target_type = 'BORROW_RECORD' AND channel = 'EMAIL'").select(F.col("target_id").alias("id"))
     new = due.join(had, "id", "left_anti").join(books.select(F.col("id").alias("book_id"), F.col("title").alias("_title")), "book_id", "left")
-    notes = new.select(F.col("id").alias("target_id"), "member_id", F.lit("DUE_SOON_REMINDER").alias("type"), F.concat(F.lit('"'), F.coalesce("_title", F.lit("N/A")), F.lit('" is due soon.')).alias("content"))
-    rows = new.select(F.lit("DUE_SOON_REMINDER").alias("notification_type"), F.lit("BORROW_RECORD").alias("target_type"), F.col("id").alias("target_id"), F.lit("EMAIL").alias("channel"), F.lit("PENDING").alias("status"), "member_id")
+    notes = new.select(
+        F.col("id").alias("target_id"), "member_id", F.lit("DUE_SOON_REMINDER").alias("type"),
+        F.concat(F.lit('"'), F.coalesce("_title", F.lit("N/A")), F.lit('" is due soon.')).alias("content"),
+    )
+    rows = new.select(
+        F.lit("DUE_SOON_REMINDER").alias("notification_type"), F.lit("BORROW_RECORD").alias("target_type"), F.col("id").alias("target_id"),
+        F.lit("EMAIL").alias("channel"), F.lit("PENDING").alias("status"), "member_id",
+    )
     return notes, rows
 
 
@@ -343,14 +402,19 @@ def ebook_grants(requests: DataFrame, ebooks: DataFrame, members: DataFrame, loa
     used = has.groupBy(F.col("ebook_id").alias("_used_ebook")).agg(F.count("*").alias("_used"))
     j = with_member(requests.select("id", "member_id", "book_id", "asked_at"), member_state(members, loans, ebook_loans, now, ebook_now))
     j = j.join(newest, F.col("book_id") == F.col("_ebook_book"), "left").withColumn("_ebook", F.col("_e.id"))
-    j = j.join(own, (F.col("member_id") == F.col("_own_member")) & (F.col("_ebook") == F.col("_own_ebook")), "left").join(used, F.col("_ebook") == F.col("_used_ebook"), "left")
+    j = j.join(
+        own, (F.col("member_id") == F.col("_own_member")) & (F.col("_ebook") == F.col("_own_ebook")), "left",
+    ).join(used, F.col("_ebook") == F.col("_used_ebook"), "left")
     before = (
         F.when(F.col("_ebook").isNull(), "EBOOK_NOT_FOUND").when(F.col("_e.access_type") != "FREE", "EBOOK_REQUIRES_PAYMENT")
         .when(F.col("_member").isNull(), "RESOURCE_NOT_FOUND").when(F.col("_unpaid"), "UNPAID_FINES")
     )
     free = F.col("_e.max_concurrent_loans") - F.coalesce("_used", zero())
     j = j.withColumn("_code", before)
-    j = in_turn(j, "asked_at", F.col("member_id"), F.col("_ebook"), F.struct("member_id", "_ebook"), F.col("_room"), free, F.col("_code").isNull() & F.col("_own_until").isNull())
+    j = in_turn(
+        j, "asked_at", F.col("member_id"), F.col("_ebook"), F.struct("member_id", "_ebook"), F.col("_room"), free,
+        F.col("_code").isNull() & F.col("_own_until").isNull(),
+    )
     mine = F.col("_own_until").isNotNull() | (F.col("had_pair") > 0)
     after = F.when(F.col("had_member") >= F.col("room"), "BORROW_LIMIT_REACHED").when(mine, "EXISTING").when(F.col("had_item") >= F.col("free"), "LICENSE_UNAVAILABLE").otherwise("GRANTED")
     end = ebook_now + F.make_dt_interval(F.col("_e.loan_days").cast("int"))

@@ -37,7 +37,9 @@ def earlier_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     within = Window.partitionBy(*keys, "_range").orderBy(*by).rowsBetween(FIRST, -1)
     totals = df.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
     ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(FIRST, -1)  # a row a range
-    before = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_at"), *[F.sum(f"_all_{n}").over(ranges).alias(f"_all_{n}") for n in sums])
+    before = totals.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_at"), *[F.sum(f"_all_{n}").over(ranges).alias(f"_all_{n}") for n in sums],
+    )
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_range") == F.col("_at"))
     here = df.withColumns({f"_own_{n}": F.sum(c).over(within) for n, c in sums.items()})
     both = here.join(before, on)
@@ -69,6 +71,14 @@ def nearest(probes: DataFrame, points: DataFrame, keys: list[str], value: str, f
     return found.select(F.col("_row").alias("row"), F.coalesce("_found", "_before").alias("_f")).where("_f IS NOT NULL").select("row", F.col("_f.v").alias(value))
 
 
+def numbered(rows: DataFrame, order: list[str], top: DataFrame) -> DataFrame:
+    """rows with id: after the largest of top (id), in order, numbered range by range."""
+    dealt = in_ranges(rows.withColumn("_one", F.lit(1)), *order)
+    most = top.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))  # one row
+    n = earlier_sums(dealt, ["_one"], order, {"_before": F.lit(1).cast("long")})
+    return n.crossJoin(F.broadcast(most)).withColumn("id", F.col("_top") + F.col("_before") + 1).drop("_one", "_before", "_top", "_range")
+
+
 LIMITS = ("member", "item", "pair")
 
 
@@ -85,7 +95,9 @@ def allocated(requests: DataFrame) -> DataFrame:
     order = ["at", "id", "row"]
     rows = in_ranges(requests, *order, folder=folder)
     zero = F.lit(0).cast("long")
-    open_ = rows.where(F.coalesce("able", F.lit(False))).select("row", "at", "id", *LIMITS, "room", "free", "_range", *[zero.alias(f"had_{k}") for k in LIMITS], F.lit(None).cast("boolean").alias("granted"))
+    open_ = rows.where(F.coalesce("able", F.lit(False))).select(
+        "row", "at", "id", *LIMITS, "room", "free", "_range", *[zero.alias(f"had_{k}") for k in LIMITS], F.lit(None).cast("boolean").alias("granted"),
+    )
     grants, step = [], 0
     while True:
         for k in LIMITS:

@@ -79,7 +79,10 @@ def keyed_requests(events: DataFrame) -> DataFrame:
     )
     scope = F.to_json(F.struct(has("actor_id").alias("a"), has("method").alias("m"), has("path").alias("p"), key.alias("k")))
     request = F.when(kind == "BEGIN", F.col("id").cast("string")).otherwise(has("request_id"))
-    return events.select("id", "received_at", scope.alias("_key"), kind.alias("kind"), F.coalesce("request_hash", F.lit("")).alias("request_hash"), request.alias("request"), fault.alias("_fault"))
+    return events.select(
+        "id", "received_at", scope.alias("_key"), kind.alias("kind"), F.coalesce("request_hash", F.lit("")).alias("request_hash"),
+        request.alias("request"), fault.alias("_fault"),
+    )
 
 
 def idempotency(events: DataFrame, ttl: int = 3600) -> DataFrame:
@@ -93,7 +96,10 @@ def idempotency(events: DataFrame, ttl: int = 3600) -> DataFrame:
     another kind UNKNOWN_KIND: none of these changes anything. Null hashes are equal to each other, null scopes, too."""
     rows = keyed_requests(events).withColumn("at", micros("received_at"))
     step = idempotency_step(ttl)
-    answers = streamed(rows.where("_fault IS NULL"), "_key", ("at", "id"), ("at", "kind", "request_hash", "request"), lambda s, e: (lambda r: (r[0], (r[1],)))(step(s, e)), "answer string")
+    answers = streamed(
+        rows.where("_fault IS NULL"), "_key", ("at", "id"), ("at", "kind", "request_hash", "request"), lambda s,
+        e: (lambda r: (r[0], (r[1],)))(step(s, e)), "answer string",
+    )
     return answers.unionByName(rows.where("_fault IS NOT NULL").select("id", F.col("_fault").alias("answer")))
 
 
@@ -136,7 +142,9 @@ def session_step(ttl: int, throttle: int, url_ttl: int) -> Callable[[dict | None
 
 def with_loan_end(events: DataFrame, ebook_loans: DataFrame) -> DataFrame:
     """events with _loan_end: the end of the loan of their member and e-book that is ACTIVE, has begun and ends last."""
-    l = ebook_loans.where("status = 'ACTIVE'").select(F.col("member_id").alias("_lm"), F.col("ebook_id").alias("_le"), F.col("borrowed_at").alias("_from"), F.col("expired_at").alias("_until"))
+    l = ebook_loans.where("status = 'ACTIVE'").select(
+        F.col("member_id").alias("_lm"), F.col("ebook_id").alias("_le"), F.col("borrowed_at").alias("_from"), F.col("expired_at").alias("_until"),
+    )
     rows = events.select("*", F.monotonically_increasing_id().alias("_row"))
     inside = (F.col("member_id") == F.col("_lm")) & (F.col("ebook_id") == F.col("_le")) & (F.col("_from") <= F.col("at")) & (F.col("_until") > F.col("at"))
     found = rows.where("action = 'OPEN'").join(l, inside).groupBy("_row").agg(F.max("_until").alias("_loan_end"))
@@ -159,7 +167,10 @@ def reading_sessions(events: DataFrame, ebook_loans: DataFrame, ttl: int = 15, t
     bad = F.col("session_id").isNull() | F.col("at").isNull() | ~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))
     rows = events.select("id", "session_id", "member_id", "ebook_id", "action", "at")
     good = with_loan_end(rows.where(~bad), ebook_loans).withColumns({"_t": micros("at"), "_loan_end": micros("_loan_end")})
-    answers = streamed(good, "session_id", ("_t", "id"), ("_t", "action", "member_id", "_loan_end"), session_step(ttl, throttle, url_ttl), "code string, end long, url long, wrote boolean")
+    answers = streamed(
+        good, "session_id", ("_t", "id"), ("_t", "action", "member_id", "_loan_end"), session_step(ttl, throttle, url_ttl),
+        "code string, end long, url long, wrote boolean",
+    )
     out = answers.select("id", "code", moment("end").alias("session_expires_at"), moment("url").alias("url_expires_at"), "wrote")
     null = F.lit(None).cast("timestamp_ntz")
     return out.unionByName(rows.where(bad).select("id", F.lit("BAD_REQUEST").alias("code"), null.alias("session_expires_at"), null.alias("url_expires_at"), F.lit(False).alias("wrote")))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.operators.circulation import zero
 from folioquarry.operators.lending import live
-from folioquarry.operators.ordered import earlier_sums, in_ranges
+from folioquarry.operators.ordered import numbered
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -19,18 +18,12 @@ def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return j.select(*[kept.get(c, F.col(c)) for c in table.columns])
 
 
-def numbered(rows: DataFrame, order: list[str], top: DataFrame) -> DataFrame:
-    """rows with id: after the largest of top (id), in order, numbered range by range."""
-    dealt = in_ranges(rows.withColumn("_one", F.lit(1)), *order)
-    most = top.agg(F.coalesce(F.max("id"), zero()).alias("_top"))  # one row
-    n = earlier_sums(dealt, ["_one"], order, {"_before": F.lit(1).cast("long")})
-    return n.crossJoin(F.broadcast(most)).withColumn("id", F.col("_top") + F.col("_before") + 1).drop("_one", "_before", "_top", "_range")
-
-
 def book_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """before, after: copies that changed (id, book_id, status, deleted), as they were and are; a new or removed copy stands in one
     of them. (book_id, total, available): what its counters grow by; books whose counters stay aren't there."""
-    one = lambda df, sign: live(df).select("book_id", F.lit(sign).cast("long").alias("total"), F.when(F.col("status") == "AVAILABLE", sign).otherwise(0).cast("long").alias("available"))
+    one = lambda df, sign: live(df).select(
+        "book_id", F.lit(sign).cast("long").alias("total"), F.when(F.col("status") == "AVAILABLE", sign).otherwise(0).cast("long").alias("available"),
+    )
     sums = one(before, -1).unionByName(one(after, 1)).groupBy("book_id").agg(F.sum("total").alias("total"), F.sum("available").alias("available"))
     return sums.where("total <> 0 OR available <> 0")
 
@@ -47,13 +40,16 @@ def counted_on(kept: DataFrame, deltas: DataFrame) -> DataFrame:
     return both.where("total <> 0 OR available <> 0")
 
 
-def desk_changes(loans: DataFrame, copies: DataFrame, holds: DataFrame, books: DataFrame, out: DataFrame | None = None, back: DataFrame | None = None, returned_at: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables loans, copies, holds and books after lending.checkouts() (out) or lending.check_in() (back, with the returns it
-    was given, for their moments). Refused requests change nothing.
+def desk_changes(
+    loans: DataFrame, copies: DataFrame, holds: DataFrame, books: DataFrame, out: DataFrame | None = None, back: DataFrame | None = None,
+    returned_at: DataFrame | None = None, cancelled: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """The tables loans, copies, holds and books after lending.checkouts() (out), lending.check_in() (back, with the returns it was
+    given, for their moments) or lending.cancel_holds() (cancelled). Refused requests change nothing.
 
-    A checkout adds a loan, with the next free ids in the order of requests, takes its copy and one from its book's available
-    copies. A return closes its loan with its fine, changes its copy, gives the copy to the hold that gets it, and adds one to
-    the available copies where the copy goes back on the shelf."""
+    A checkout adds a loan, with the next free ids in the order of requests' ids, takes its copy and one from its book's
+    available copies. A return closes its loan with its fine, changes its copy, gives the copy to the hold that gets it, and
+    adds one to the available copies where the copy goes back on the shelf; so does the copy of a cancelled hold."""
     deltas = []
     if out is not None:
         ok = out.where("code = 'OK'")
@@ -65,11 +61,29 @@ def desk_changes(loans: DataFrame, copies: DataFrame, holds: DataFrame, books: D
         deltas.append(ok.groupBy("book_id").agg((-F.count("*")).alias("_delta")))
     if back is not None:
         ok = back.where("code = 'RETURNED'").join(returned_at.select("id", F.col("returned_at").alias("_at")), "id")
-        loans = updated(loans, ok.select(F.col("loan_id").alias("id"), F.lit("RETURNED").alias("status"), F.col("_at").alias("returned_at"), F.col("fine").alias("fine_amount")))
+        loans = updated(
+            loans,
+            ok.select(F.col("loan_id").alias("id"), F.lit("RETURNED").alias("status"), F.col("_at").alias("returned_at"), F.col("fine").alias("fine_amount")),
+        )
         copies = updated(copies, ok.select(F.col("copy_id").alias("id"), F.col("copy_status").alias("status")))
         ready = ok.where("next_hold_id IS NOT NULL")
-        holds = updated(holds, ready.select(F.col("next_hold_id").alias("id"), F.lit("READY_FOR_PICKUP").alias("status"), F.col("copy_id").alias("assigned_copy_id"), F.col("next_expires_at").alias("expires_at")))
+        holds = updated(
+            holds,
+            ready.select(
+                F.col("next_hold_id").alias("id"), F.lit("READY_FOR_PICKUP").alias("status"), F.col("copy_id").alias("assigned_copy_id"),
+                F.col("next_expires_at").alias("expires_at"),
+            ),
+        )
         deltas.append(ok.groupBy("book_id").agg(F.sum("counter_delta").alias("_delta")))
+    if cancelled is not None:
+        ok = cancelled.where("code = 'CANCELLED'")
+        freed = ok.where("freed_copy_id IS NOT NULL")
+        ready = freed.where("next_hold_id IS NOT NULL")
+        holds = updated(holds, ok.select(F.col("hold_id").alias("id"), F.lit("CANCELLED").alias("status")))
+        states = {"id": "next_hold_id", "assigned_copy_id": "freed_copy_id", "expires_at": "next_expires_at"}
+        holds = updated(holds, ready.select(F.lit("READY_FOR_PICKUP").alias("status"), *[F.col(v).alias(k) for k, v in states.items()]))
+        copies = updated(copies, freed.select(F.col("freed_copy_id").alias("id"), F.col("copy_status").alias("status")))
+        deltas.append(freed.groupBy("book_id").agg(F.sum("counter_delta").alias("_delta")))
     for delta in deltas:
         j = books.join(delta.withColumnRenamed("book_id", "_book"), F.col("id") == F.col("_book"), "left")
         grown = F.col("available_copies") + F.coalesce("_delta", F.lit(0))

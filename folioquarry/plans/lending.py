@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquarry.functions import columns as c
-from folioquarry.operators import catalog, circulation, lending, paging, sequences, transitions
+from folioquarry.operators import catalog, circulation, lending, paging, search, sequences, transitions
 from folioquarry.plans.registry import E, LIVE, N, PERIOD, UNPAID, enow, now, query
 from folioquarry.sources import runs
+from folioquarry.sources.work import saved, work_dir
 
 # The state that rules look at, as SQL: st(member_id, account, unpaid, room, overdue).
 STATE = f""", st AS (SELECT m.id AS mid, CASE WHEN role <> 'MEMBER' THEN 'NOT_A_MEMBER' WHEN m.status <> 'ACTIVE' THEN 'ACCOUNT_NOT_ACTIVE' WHEN membership_expires_at < {N} THEN 'MEMBERSHIP_EXPIRED' END AS account,
@@ -102,8 +103,8 @@ def hold_checkout(holds, copies, members, loans, ebook_loans):
     FROM r LEFT JOIN holds h ON h.id = r.hold_id LEFT JOIN copies c ON c.id = assigned_copy_id),
   k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY hold_id) AS n FROM j WHERE code = 'CANCELLED' AND cs = 'ON_HOLD_SHELF'),
   rest AS (SELECT * FROM holds WHERE id NOT IN (SELECT hold_id FROM j WHERE code = 'CANCELLED')), q AS ({QUEUE.format(holds='rest')})
-  SELECT j.id, j.hold_id, j.code, k.assigned_copy_id AS freed_copy_id, next_id AS next_hold_id, CASE WHEN next_id IS NOT NULL THEN 'ON_HOLD_SHELF' WHEN k.id IS NOT NULL THEN 'AVAILABLE' END AS copy_status, CASE WHEN next_id IS NOT NULL THEN {N} + INTERVAL '3' DAY END AS next_expires_at
-  FROM j LEFT JOIN k ON k.id = j.id LEFT JOIN q ON q.book_id = k.book_id AND q.place = k.n""")
+  SELECT j.id, j.hold_id, j.code, k.assigned_copy_id AS freed_copy_id, next_id AS next_hold_id, CASE WHEN next_id IS NOT NULL THEN 'ON_HOLD_SHELF' WHEN k.id IS NOT NULL THEN 'AVAILABLE' END AS copy_status, CASE WHEN next_id IS NOT NULL THEN {N} + INTERVAL '3' DAY END AS next_expires_at,
+  CASE WHEN k.id IS NOT NULL THEN k.book_id END AS book_id, CAST(CASE WHEN k.id IS NOT NULL AND next_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS counter_delta FROM j LEFT JOIN k ON k.id = j.id LEFT JOIN q ON q.book_id = k.book_id AND q.place = k.n""")
 def hold_cancellation(holds, copies, members):
     whose = F.when(F.col("id") % 4 == 0, F.col("member_id") + 1).otherwise(F.col("member_id"))
     requests = holds.where("id % 3 > 0 OR status = 'CANCELLED'").select("id", F.col("id").alias("hold_id"), whose.alias("actor_id"), (F.col("id") % 16 == 0).alias("staff"))
@@ -390,6 +391,38 @@ def rate_limited_sends(callbacks):
     return sequences.rate_limits(callbacks, cooldown=6 * 3600, most=5, window=4 * 86_400)
 
 
+# Searches and pages by kept tables
+
+
+@query("SELECT id, full_name, email, phone FROM members WHERE lower(full_name) LIKE '%0012_%' OR lower(email) LIKE '%0012_%' OR phone LIKE '%0012_%'")
+def members_by_grams(members):
+    folder = work_dir(members.sparkSession)
+    search.write_grams(members, "id", ["full_name", "email", "phone"], f"{folder}/grams")
+    return search.gram_search(members, "id", ["full_name", "email", "phone"], " 0012_ ", f"{folder}/grams").select("id", "full_name", "email", "phone")
+
+
+@query("SELECT id, member_id, due_date, status FROM loans ORDER BY due_date DESC, id LIMIT 100 OFFSET 20000")
+def deep_loan_page(loans):
+    index = paging.PageIndex.build(loans.select("id", "member_id", "due_date", "status"), [F.desc_nulls_last("due_date"), F.col("id")])
+    return index.page(200, 100)
+
+
+@query("""SELECT id, CASE WHEN id % 13 = 0 THEN 'BAD_SIGNATURE' WHEN id % 11 = 0 THEN 'UNKNOWN_PAYMENT' WHEN id % 7 = 0 THEN 'AMOUNT_MISMATCH' WHEN status <> 'PENDING' THEN 'IGNORED' WHEN provider_response_code = '00' THEN 'SUCCESS' ELSE 'FAILED' END AS outcome,
+  CASE WHEN id % 17 > 0 THEN date_trunc('second', created_at) END AS paid_at FROM payments""")
+def signed_callbacks(payments):
+    texts = {
+        "vnp_TxnRef": F.when(F.col("id") % 11 == 0, "none").otherwise(F.col("payment_code")), "vnp_Amount": (F.col("amount") * 100 + F.when(F.col("id") % 7 == 0, 100).otherwise(0)).cast("string"),
+        "vnp_ResponseCode": F.col("provider_response_code"), "vnp_TransactionStatus": F.lit("00"), "vnp_OrderInfo": F.lit("books & fines"),
+        "vnp_PayDate": F.when(F.col("id") % 17 == 0, "soon").otherwise(F.date_format("created_at", "yyyyMMddHHmmss")),
+    }
+    params = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), v)])
+    signed = payments.select("id", F.col("created_at").alias("received_at"), params.alias("params")).withColumn("_hash", c.signature("secret")(F.col("params")))
+    sent = F.when(F.col("id") % 13 == 0, F.reverse("_hash")).otherwise(F.upper("_hash"))
+    events = signed.select("id", "received_at", F.map_concat("params", F.create_map(F.lit("vnp_SecureHash"), sent, F.lit("note"), F.lit("x"))).alias("params"))
+    checked = catalog.verified(events, payments, "secret")
+    return catalog.callback_outcomes(checked, payments).join(checked.select("id", "paid_at"), "id").select("id", "outcome", "paid_at")
+
+
 # Counters
 
 
@@ -457,13 +490,14 @@ PARENTS = [
     ("assigned copies exist", "holds", "assigned_copy_id", "copies"), ("e-book loans have members", "ebook_loans", "member_id", "members"), ("e-book loans have e-books", "ebook_loans", "ebook_id", "book_ebooks"), ("e-book loans have books", "ebook_loans", "book_id", "books"), ("e-book loans have payments", "ebook_loans", "payment_id", "payments"),
     ("payments have members", "payments", "member_id", "members"), ("reviews have books", "reviews", "book_id", "books"), ("copies have books", "copies", "book_id", "books"), ("e-books have books", "book_ebooks", "book_id", "books"),
 ]
-COUNTERS = "counters equal copies"
+COUNTERS, AVAILABLE = "counters equal copies", "available counters equal copies on the shelf"
 
 
 def _violation_sql() -> str:
     out = [f"SELECT '{r}' AS rule, count(*) FILTER (WHERE {x.format(digits="regexp_full_match(isbn, '[0-9]{13}')")}) AS violations FROM {t}" for t, rules in ROW_RULES.items() for r, x in rules.items()]
     out += [f"SELECT '{r}', count(*) FROM (SELECT 1 FROM {t} WHERE {w} GROUP BY {', '.join(k)} HAVING count(*) > 1)" for r, t, w, k in GROUPS]
     out += [f"SELECT '{r}', count(*) FROM {t} WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT id FROM {p})" for r, t, col, p in PARENTS]
+    out.append(f"SELECT '{AVAILABLE}', count(*) FROM books b LEFT JOIN (SELECT book_id, count(*) FILTER (WHERE status = 'AVAILABLE') AS n FROM copies WHERE NOT deleted GROUP BY 1) c ON c.book_id = b.id WHERE available_copies <> coalesce(n, 0)")
     out.append(f"SELECT '{COUNTERS}', count(*) FROM books b LEFT JOIN (SELECT book_id, count(*) AS n FROM copies WHERE NOT deleted GROUP BY 1) c ON c.book_id = b.id WHERE total_copies <> coalesce(n, 0)")
     out.append("SELECT 'one reminder per target', count(*) FROM (SELECT 1 FROM (SELECT id % 1000 AS target, id % 3 AS channel FROM loans WHERE status = 'BORROWED') GROUP BY target, channel HAVING count(*) > 1)")
     return " UNION ALL ".join(out)
@@ -471,11 +505,15 @@ def _violation_sql() -> str:
 
 @query(_violation_sql())
 def quality_violations(loans, holds, payments, reviews, members, books, copies, ebook_loans, book_ebooks):
+    folder = work_dir(loans.sparkSession)
+    # Both are joins, and every rule looks at them: they are made once, with the columns that rules name.
+    loans = saved(loans.select("id", "member_id", "book_id", "copy_id", "status", "borrowed_at", "due_date", "returned_at", "fine_amount"), "loans", folder)
+    payments = saved(payments.select("id", "member_id", "status", "target_type", "target_id", "amount"), "payments", folder)
     t = {"loans": loans, "holds": holds, "payments": payments, "reviews": reviews, "members": members, "books": books, "copies": copies, "ebook_loans": ebook_loans, "book_ebooks": book_ebooks}
     rows = [(t[name], {r: F.expr(x.format(digits="(isbn RLIKE '^[0-9]{13}$')")) for r, x in rules.items()}) for name, rules in ROW_RULES.items() if rules]
-    actual = lending.live(copies).groupBy(F.col("book_id").alias("_book")).agg(F.count("*").alias("_n"))
+    actual = transitions.book_counts(copies).select(F.col("book_id").alias("_book"), "total", "available")
     counted = books.join(actual, F.col("id") == F.col("_book"), "left")
-    rows.append((counted, {COUNTERS: F.col("total_copies") != F.coalesce("_n", F.lit(0))}))
+    rows.append((counted, {COUNTERS: F.col("total_copies") != F.coalesce("total", F.lit(0)), AVAILABLE: F.col("available_copies") != F.coalesce("available", F.lit(0))}))
     groups = [(r, t[name].where(w), [F.expr(k).alias(f"_k{i}") for i, k in enumerate(keys)]) for r, name, w, keys in GROUPS]
     sent = loans.where("status = 'BORROWED'").select((F.col("id") % 1000).alias("target"), (F.col("id") % 3).alias("channel"))
     groups.append(("one reminder per target", sent, ["target", "channel"]))

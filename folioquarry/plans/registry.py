@@ -183,10 +183,10 @@ def isbn_clashes(books):
     return catalog.isbn_clashes(books)
 
 
-@query("""SELECT count(*) FILTER (WHERE status = 'SUCCESS') AS n_success, count(*) FILTER (WHERE status = 'PENDING') AS n_pending, count(*) FILTER (WHERE status = 'FAILED') AS n_failed, CAST(coalesce(sum(amount) FILTER (WHERE status = 'SUCCESS'), 0) AS BIGINT) AS amount_success,
-  CAST(coalesce(sum(amount) FILTER (WHERE status = 'PENDING'), 0) AS BIGINT) AS amount_pending, count(*) FILTER (WHERE paid_at >= TIMESTAMP '1998-05-01' AND paid_at < TIMESTAMP '1998-06-01' AND status = 'SUCCESS') AS n_period, CAST(coalesce(sum(amount) FILTER (WHERE paid_at >= TIMESTAMP '1998-05-01' AND paid_at < TIMESTAMP '1998-06-01' AND status = 'SUCCESS'), 0) AS BIGINT) AS amount_period FROM payments""")
+@query("""SELECT currency, TIMESTAMP '1998-09-02' AS made_at, count(*) FILTER (WHERE status = 'SUCCESS') AS n_success, count(*) FILTER (WHERE status = 'PENDING') AS n_pending, count(*) FILTER (WHERE status = 'FAILED') AS n_failed, CAST(coalesce(sum(amount) FILTER (WHERE status = 'SUCCESS'), 0) AS BIGINT) AS amount_success,
+  CAST(coalesce(sum(amount) FILTER (WHERE status = 'PENDING'), 0) AS BIGINT) AS amount_pending, count(*) FILTER (WHERE paid_at >= TIMESTAMP '1998-05-01' AND paid_at < TIMESTAMP '1998-06-01' AND status = 'SUCCESS') AS n_period, CAST(coalesce(sum(amount) FILTER (WHERE paid_at >= TIMESTAMP '1998-05-01' AND paid_at < TIMESTAMP '1998-06-01' AND status = 'SUCCESS'), 0) AS BIGINT) AS amount_period FROM payments GROUP BY 1""")
 def payment_dashboard(payments):
-    return catalog.payment_dashboard(payments, c.at("1998-05-01"), c.at("1998-06-01"))
+    return catalog.payment_dashboard(payments, c.at("1998-05-01"), c.at("1998-06-01"), now())
 
 
 @query(""", j AS (SELECT c.*, p.status AS state, CASE WHEN NOT signature_valid THEN 'BAD_SIGNATURE' WHEN p.id IS NULL THEN 'UNKNOWN_PAYMENT' WHEN NOT amount_matches THEN 'AMOUNT_MISMATCH' END AS bad FROM callbacks c LEFT JOIN payments p ON p.id = c.payment_id),

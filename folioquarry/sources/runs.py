@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = 1000  # keys at most that are read to the driver
@@ -47,10 +47,7 @@ def setting_numbers(wanted: DataFrame, table: DataFrame) -> DataFrame:
 
 def append(df: DataFrame, path: str) -> int:
     """Adds rows to a Parquet table; the number of rows added."""
-    seen = F.count(F.lit(1))
-    from pyspark.sql import Observation
-
-    watch = Observation()
+    seen, watch = F.count(F.lit(1)), Observation()
     df.observe(watch, seen.alias("n")).write.mode("append").parquet(path)
     return int(watch.get["n"])
 
@@ -65,7 +62,10 @@ def received_events(callbacks: DataFrame) -> DataFrame:
     own parameters (vnp_...) as JSON with sorted keys, other parameters dropped. Null maps are empty."""
     ours = F.map_filter(F.coalesce("params", F.create_map().cast("map<string,string>")), lambda k, v: k.startswith("vnp_"))
     json = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
-    return callbacks.select("id", "payment_code", "event_type", json(ours).alias("payload"), json(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"), F.lit("RECEIVED").alias("processing_status"))
+    return callbacks.select(
+        "id", "payment_code", "event_type", json(ours).alias("payload"),
+        json(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"), F.lit("RECEIVED").alias("processing_status"),
+    )
 
 
 class EventSink:
@@ -108,14 +108,15 @@ def cut(message: str | None, most: int = 2000) -> str | None:
     return message if message is None else message[:most]
 
 
-def logged(spark: SparkSession, path: str, job: str, work: Callable[[], tuple[int, int]]) -> tuple[int, int]:
-    """Runs work() -> (succeeded, failed) between a RUNNING row and a COMPLETED or FAILED one; errors are raised again."""
+def logged(spark: SparkSession, path: str, job: str, work: Callable[[], tuple[int, int]], states: tuple[str, ...] = ("RUNNING",)) -> tuple[int, int]:
+    """Runs work() -> (succeeded, failed) between rows of `states` and a COMPLETED or FAILED one; errors are raised again."""
     run = uuid.uuid4().hex
 
     def say(status: str, good: int = 0, bad: int = 0, message: str | None = None) -> None:
         spark.createDataFrame([(run, job, datetime.now(timezone.utc), status, good + bad, good, bad, cut(message))], LOG).write.mode("append").parquet(path)
 
-    say("RUNNING")
+    for state in states:
+        say(state)
     try:
         good, bad = work()
     except Exception as e:
@@ -126,8 +127,12 @@ def logged(spark: SparkSession, path: str, job: str, work: Callable[[], tuple[in
 
 
 def runs(log: DataFrame) -> DataFrame:
-    """The state of each run: its last row, with when it began and, unless it is RUNNING, ended."""
-    rank = F.struct((F.col("status") != "RUNNING").alias("over"), "at")
-    done = F.max_by(F.struct("job", "status", "total", "succeeded", "failed", "message", "at"), rank)
+    """The state of each run: its last row, with when it began and, once it is over, ended."""
+    over = F.col("status").isin("COMPLETED", "FAILED")
+    rank = F.struct(over.alias("over"), (F.col("status") != "PENDING").alias("begun"), "at")
+    done = F.max_by(F.struct("job", "status", "total", "succeeded", "failed", "message", "at", over.alias("over")), rank)
     g = log.groupBy("run_id").agg(F.min("at").alias("started_at"), done.alias("s"))
-    return g.select("run_id", "s.job", "started_at", F.when(F.col("s.status") != "RUNNING", F.col("s.at")).alias("finished_at"), "s.status", "s.total", "s.succeeded", "s.failed", "s.message")
+    return g.select(
+        "run_id", "s.job", "started_at", F.when(F.col("s.over"), F.col("s.at")).alias("finished_at"), "s.status", "s.total", "s.succeeded", "s.failed",
+        "s.message",
+    )

@@ -130,6 +130,19 @@ def test_checkout_and_return_change_all_tables(spark):
     assert (hold.status, hold.assigned_copy_id, str(hold.expires_at)) == ("READY_FOR_PICKUP", 104, "2024-03-05 00:00:00")
 
 
+def test_cancelled_holds_free_their_copies(spark):
+    d, now = desk(spark), c.at("2024-03-01")
+    shelf = d["copies"].withColumn("status", F.when(F.col("id").isin(102, 103), "ON_HOLD_SHELF").otherwise(F.col("status")))
+    more = spark.sql(f"SELECT id, 1L AS member_id, book_id, {TS} '2024-02-01' AS reserved_at, {TS} '2024-03-03' AS expires_at, 'READY_FOR_PICKUP' AS status, 1L AS queue_position, copy AS assigned_copy_id FROM VALUES (60L, 10L, 102L), (61L, 11L, 103L) AS h(id, book_id, copy)")
+    holds = d["holds"].unionByName(more)
+    ask = spark.createDataFrame([(1, 60, 1, False), (2, 61, 1, False), (3, 50, 9, False)], "id long, hold_id long, actor_id long, staff boolean")
+    said = lending.cancel_holds(ask, holds, shelf, now)
+    end = transitions.desk_changes(d["loans"], shelf, holds, d["books"], cancelled=said)
+    assert {r.id: (r.status, r.assigned_copy_id) for r in end["holds"].collect()} == {50: ("READY_FOR_PICKUP", 102), 60: ("CANCELLED", 102), 61: ("CANCELLED", 103)}
+    assert {r.id: r.status for r in end["copies"].where("id in (102, 103)").collect()} == {102: "ON_HOLD_SHELF", 103: "AVAILABLE"}
+    assert {r.id: r.available_copies for r in end["books"].collect()} == {10: 2, 11: 3}
+
+
 def test_counters_by_deltas_equal_a_recount(spark):
     rng = random.Random(5)
     copies = {k: (rng.randrange(6), rng.choice(["AVAILABLE", "BORROWED", None]), rng.random() < 0.2) for k in range(60)}

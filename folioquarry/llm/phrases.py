@@ -57,8 +57,6 @@ class Stretch:
         self.seed = np.array([lang_hash(x) for x in names], np.uint64)[self.lang]
         piece = np.cumsum(PIECE[data])[starts] if len(starts) else starts
         self.next = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
-        _, rep, back = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.sure = same_words(data, starts, ends, rep[back])  # equal hashes are equal words here
         size = ends - starts
         self.start = np.cumsum(size + 1) - size - 1
         self.end = self.start + size
@@ -69,13 +67,13 @@ class Stretch:
     def counts(self, at: np.ndarray, k: int, run: np.ndarray) -> pa.RecordBatch:
         """(lang, phrase, n) of the runs of k words that begin at `at`, whose hashes are `run`."""
         _, rep, back, n = np.unique(run, return_index=True, return_inverse=True, return_counts=True)
-        like = at[rep[back]]
-        same = self.sure and (self.lang[at] == self.lang[like]).all() and all((self.hash[at + j] == self.hash[like + j]).all() for j in range(k))
+        like = rep[back]
+        starts, ends = self.start[at], self.end[at + k - 1]
+        same = (self.lang[at] == self.lang[at[like]]).all() and same_words(self.text, starts, ends, like)  # equal hashes are equal runs
         names = pa.array(self.names, pa.string())
         if same:
-            first = at[rep]
-            return pa.RecordBatch.from_arrays([names.take(pa.array(self.lang[first])), texts_of(self.text, self.start[first], self.end[first + k - 1]), pa.array(n)], names=["lang", "phrase", "n"])
-        each = pa.table({"lang": names.take(pa.array(self.lang[at])), "phrase": texts_of(self.text, self.start[at], self.end[at + k - 1]), "n": pa.array(np.ones(len(at), np.int64))})
+            return pa.RecordBatch.from_arrays([names.take(pa.array(self.lang[at[rep]])), texts_of(self.text, starts[rep], ends[rep]), pa.array(n)], names=["lang", "phrase", "n"])
+        each = pa.table({"lang": names.take(pa.array(self.lang[at])), "phrase": texts_of(self.text, starts, ends), "n": pa.array(np.ones(len(at), np.int64))})
         each = each.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
         return each.select(["lang", "phrase", "n"]).combine_chunks().to_batches()[0]
 

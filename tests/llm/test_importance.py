@@ -39,7 +39,7 @@ def brute(docs, target, most=1, buckets=10_000, percent=10, least_words=20):
     return sorted((tuple(x[:5]) for x in out), key=str)
 
 
-def made(seed, n=300):
+def made(seed, n=150):
     rng = random.Random(seed)
     vocab = ["The", "cat", "SAT", "é", "日本", "x" * 50, "y" * 33, "7up", *[f"w{k}" for k in range(200)]]
     text = lambda: "".join(rng.choice(vocab) + rng.choice([" ", ", ", "-", "\n", "　"]) for _ in range(rng.randrange(60)))
@@ -53,7 +53,7 @@ def test_equals_brute_force(spark, monkeypatch, most):
     docs, target = made(most)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS score", "3 AS n", "4 AS gain")
     goal = spark.createDataFrame([(x,) for x in target], "text string")
-    for shared, buckets, percent in ((8 << 20, 10_000, 10), (160, 97, 55), (0, 10_000, 100)):
+    for shared, buckets, percent in ((8 << 20, 10_000, 10), (160, 97, 100)):
         monkeypatch.setattr(m, "SHARED", shared)
         got = m.resampled(df.repartition(4), goal, most=most, buckets=buckets, percent=percent).collect()
         assert sorted(map(tuple, got), key=str) == brute(docs, target, most, buckets, percent), (shared, buckets)

@@ -24,7 +24,7 @@ PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BREAK = PIECE.copy()
 BREAK[[0x20, 0x09]] = True
 BITS = 1 << 26  # 8 MB
-STRETCH = 1 << 22  # bytes of text whose runs are counted at once
+STRETCH = 1 << 21  # bytes of text whose runs are counted at once
 SALTS = 64  # parts of a language's candidates that are ranked before they meet
 COUNTED = "lang string, phrase string, n long"
 
@@ -55,7 +55,7 @@ class Stretch:
         at = {x: k for k, x in enumerate(names)}
         self.names, self.lang = names, np.array([at[x] for x in langs], np.int64)[row]
         self.seed = np.array([lang_hash(x) for x in names], np.uint64)[self.lang]
-        piece = np.cumsum(PIECE[data])[starts] if len(starts) else starts
+        piece = np.cumsum(PIECE[data], dtype=np.int32)[starts] if len(starts) else starts
         self.next = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
         size = ends - starts
         self.start = np.cumsum(size + 1) - size - 1

@@ -48,7 +48,7 @@ def checkout_block_reasons(holds, copies, books, members, loans, ebook_loans):
   asks AS (SELECT id AS k, t, id, member_id AS m, copy_id AS i, member_id || ':' || coalesce(book, -1) AS p, room, 1 AS free, mid IS NOT NULL AND account IS NULL AND NOT unpaid AND NOT overdue AND NOT own AND cid IS NOT NULL AND NOT away AS able FROM j)
   {ALLOCATED}, x AS (SELECT j.*, CASE WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account WHEN unpaid THEN 'UNPAID_FINES' WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN overdue THEN 'OVERDUE_LOANS'
     WHEN own OR had_p > 0 THEN 'ALREADY_BORROWED_BOOK' WHEN cid IS NULL THEN 'COPY_NOT_FOUND' WHEN away OR had_i > 0 THEN 'COPY_NOT_AVAILABLE' ELSE 'OK' END AS code FROM j JOIN turns ON k = j.id)
-  SELECT id, member_id, copy_id, code, CASE WHEN code = 'OK' THEN book END AS book_id, CASE WHEN code = 'OK' THEN {N} + INTERVAL '14' DAY END AS due_date FROM x""")
+  SELECT id, member_id, copy_id, code, CASE WHEN code = 'OK' THEN book END AS book_id, CASE WHEN code = 'OK' THEN {N} + INTERVAL '14' DAY END AS due_date FROM x""", recursive=True)
 def checkout_loans(holds, copies, books, members, loans, ebook_loans):
     requests = holds.select("id", "member_id", (F.col("book_id") * 100000 + F.col("id") % 30).alias("copy_id"), F.col("reserved_at").alias("asked_at"))
     return lending.checkouts(requests, copies, books, members, loans, ebook_loans, now(), enow()).select("id", "member_id", "copy_id", "code", "book_id", "due_date")
@@ -93,7 +93,7 @@ def hold_placement(requests, members, books, holds):
   asks AS (SELECT id AS k, reserved_at AS t, id, member_id AS m, assigned_copy_id AS i, id AS p, room, 1 AS free, status = 'READY_FOR_PICKUP' AND NOT away AND mid IS NOT NULL AND account IS NULL AND NOT unpaid AND NOT overdue AS able FROM j)
   {ALLOCATED}, x AS (SELECT j.*, CASE WHEN status <> 'READY_FOR_PICKUP' THEN 'HOLD_NOT_READY_FOR_PICKUP' WHEN away OR had_i > 0 THEN 'HOLD_ASSIGNED_COPY_INVALID' WHEN mid IS NULL THEN 'RESOURCE_NOT_FOUND' WHEN account IS NOT NULL THEN account
     WHEN unpaid THEN 'UNPAID_FINES' WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN overdue THEN 'OVERDUE_LOANS' ELSE 'FULFILLED' END AS code FROM j JOIN turns ON k = j.id)
-  SELECT id, member_id, assigned_copy_id, code, CASE WHEN code = 'FULFILLED' THEN {N} + INTERVAL '14' DAY END AS due_date, CASE WHEN code = 'FULFILLED' THEN 'BORROWED' END AS copy_status FROM x""")
+  SELECT id, member_id, assigned_copy_id, code, CASE WHEN code = 'FULFILLED' THEN {N} + INTERVAL '14' DAY END AS due_date, CASE WHEN code = 'FULFILLED' THEN 'BORROWED' END AS copy_status FROM x""", recursive=True)
 def hold_checkout(holds, copies, members, loans, ebook_loans):
     return lending.checkout_holds(holds, copies, members, loans, ebook_loans, now(), enow())
 
@@ -278,7 +278,7 @@ FULFILMENT = STATE + f""", ent AS (SELECT * FROM ebook_loans WHERE status = 'ACT
     ELSE 'FULFILLED' END) AS outcome FROM j JOIN turns ON k = j.id) """
 
 
-@query(FULFILMENT + f"SELECT id, member_id, ebook_id, outcome, CASE WHEN outcome = 'FULFILLED' THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY END AS expired_at FROM o")
+@query(FULFILMENT + f"SELECT id, member_id, ebook_id, outcome, CASE WHEN outcome = 'FULFILLED' THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY END AS expired_at FROM o", recursive=True)
 def payment_fulfilment(payments, book_ebooks, members, loans, ebook_loans):
     return catalog.fulfilment(payments, book_ebooks, members, loans, ebook_loans, now(), enow())
 
@@ -289,7 +289,7 @@ _cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in catalog.MESSAGES.items())
 @query(FULFILMENT + f""", t AS (SELECT id, outcome, CASE outcome {_cases} END AS message FROM o)
   SELECT p.id, CASE WHEN message IS NULL THEN CASE WHEN p.id % 3 = 0 THEN '{{"ebookFulfillmentStatus":"OLD","vnp_BankCode":"NCB"}}' END
     ELSE '{{"ebookFulfillmentAt":"2024-01-20T00:00:00Z","ebookFulfillmentMessage":"' || message || '","ebookFulfillmentStatus":"' || outcome || '"' || CASE WHEN p.id % 3 = 0 THEN ',"vnp_BankCode":"NCB"' ELSE '' END || '}}' END AS metadata
-  FROM payments p LEFT JOIN t ON t.id = p.id""")
+  FROM payments p LEFT JOIN t ON t.id = p.id""", recursive=True)
 def payment_metadata(payments, book_ebooks, members, loans, ebook_loans):
     outcomes = catalog.fulfilment(payments, book_ebooks, members, loans, ebook_loans, now(), enow())
     old = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("vnp_BankCode"), F.lit("NCB"), F.lit("ebookFulfillmentStatus"), F.lit("OLD")))
@@ -310,7 +310,7 @@ def payment_receipt_search(payments, book_ebooks, books, loans, members):
     LEFT JOIN (SELECT ebook_id, count(*) AS n FROM ent GROUP BY 1) u ON u.ebook_id = e.id LEFT JOIN (SELECT member_id, ebook_id, max(expired_at) AS until FROM ent GROUP BY 1, 2) x ON x.member_id = r.member_id AND x.ebook_id = e.id),
   asks AS (SELECT id AS k, asked_at AS t, id, member_id AS m, ebook_id AS i, member_id || ':' || coalesce(ebook_id, -1) AS p, room, free, pre IS NULL AND until IS NULL AS able FROM j)
   {ALLOCATED}, o AS (SELECT j.*, coalesce(pre, CASE WHEN had_m >= room THEN 'BORROW_LIMIT_REACHED' WHEN until IS NOT NULL OR had_p > 0 THEN 'EXISTING' WHEN had_i >= free THEN 'LICENSE_UNAVAILABLE' ELSE 'GRANTED' END) AS code FROM j JOIN turns ON k = j.id)
-  SELECT id, member_id, ebook_id, code, CASE WHEN code = 'GRANTED' OR code = 'EXISTING' AND until IS NULL THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY WHEN code = 'EXISTING' THEN until END AS expired_at FROM o""")
+  SELECT id, member_id, ebook_id, code, CASE WHEN code = 'GRANTED' OR code = 'EXISTING' AND until IS NULL THEN {E} + CAST(loan_days AS INTEGER) * INTERVAL '1' DAY WHEN code = 'EXISTING' THEN until END AS expired_at FROM o""", recursive=True)
 def ebook_grants(requests, book_ebooks, members, loans, ebook_loans):
     return lending.ebook_grants(requests, book_ebooks, members, loans, ebook_loans, now(), enow())
 
@@ -357,7 +357,7 @@ _action = "CASE WHEN id % 10 IN (0, 1) THEN 'OPEN' WHEN id % 10 = 9 THEN CASE WH
       FROM (SELECT ev.sid, ev.n, ev.id, ev.t, ev.member, ev.action, ev.until, x.owner, x.loan_end, x.endd, x.written, x.state, CASE WHEN x.owner IS NULL THEN CASE WHEN ev.action <> 'OPEN' THEN 'READING_SESSION_NOT_FOUND' WHEN ev.until IS NULL THEN 'EBOOK_LOAN_REQUIRED' ELSE 'ACTIVE' END
           WHEN ev.member <> x.owner AND ev.action <> 'REVOKE' THEN 'READING_SESSION_FORBIDDEN' WHEN ev.action IN ('CLOSE', 'REVOKE') THEN CASE WHEN x.state = 'ACTIVE' THEN CASE WHEN x.endd <= ev.t THEN 'EXPIRED' WHEN ev.action = 'CLOSE' THEN 'CLOSED' ELSE 'REVOKED' END ELSE x.state END
           WHEN x.state <> 'ACTIVE' OR x.endd <= ev.t THEN 'READING_SESSION_NOT_ACTIVE' ELSE 'ACTIVE' END AS code FROM s x JOIN ev ON ev.sid = x.sid AND ev.n = x.n + 1)))
-  SELECT id, code, fin AS session_expires_at, url AS url_expires_at, wrote FROM s WHERE n > 0 UNION ALL SELECT id, 'BAD_REQUEST', NULL, NULL, false FROM e0 WHERE action = 'PLAY'""")
+  SELECT id, code, fin AS session_expires_at, url AS url_expires_at, wrote FROM s WHERE n > 0 UNION ALL SELECT id, 'BAD_REQUEST', NULL, NULL, false FROM e0 WHERE action = 'PLAY'""", recursive=True)
 def reading_sessions(requests, ebook_loans):
     at = enow() + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 7 % 240).cast("int"), F.when(F.col("id") % 2 == 1, F.lit(30)).otherwise(F.lit(0)))
     who = F.when(F.col("id") % 23 == 0, F.col("member_id") + 1).otherwise(F.col("member_id"))
@@ -373,7 +373,7 @@ def reading_sessions(requests, ebook_loans):
       CASE answer WHEN 'NEW' THEN request WHEN 'STORED' THEN NULL ELSE running END
     FROM (SELECT ev.k, ev.who, ev.n, ev.id, ev.kind, ev.t, ev.request, ev.q AS eq, x.fin, x.q, x.status, x.running, CASE WHEN ev.kind <> 'BEGIN' THEN CASE WHEN ev.request = x.running THEN 'STORED' ELSE 'UNKNOWN_REQUEST' END WHEN x.fin IS NULL OR ev.t >= x.fin THEN 'NEW' WHEN x.q <> ev.q THEN 'CONFLICT'
         WHEN x.status = 'PROCESSING' THEN 'IN_PROGRESS' WHEN x.status = 'FAILED' THEN 'REPLAY_FAILURE' ELSE 'REPLAY' END AS answer FROM s x JOIN ev ON ev.k = x.k AND ev.who = x.who AND ev.n = x.n + 1))
-  SELECT id, answer FROM s WHERE n > 0""")
+  SELECT id, answer FROM s WHERE n > 0""", recursive=True)
 def idempotent_requests(callbacks):
     began = callbacks.select("id", "idempotency_key", "request_hash", "received_at", (F.col("user_id") % 3).alias("actor_id"), F.lit("BEGIN").alias("kind"), F.col("id").alias("request_id"))
     kind = F.when(F.col("id") % 3 == 0, "FAILED").otherwise("COMPLETED")
@@ -386,7 +386,7 @@ def idempotent_requests(callbacks):
     UNION ALL SELECT u, n, id, answer, CASE WHEN answer = 'ALLOWED' THEN coalesce(begun, t) ELSE begun END, CASE WHEN answer = 'ALLOWED' THEN t ELSE last END, many + CASE WHEN answer = 'ALLOWED' THEN 1 ELSE 0 END
     FROM (SELECT *, CASE WHEN t < last + INTERVAL '6' HOUR THEN 'COOLDOWN' WHEN many >= 5 THEN 'LIMIT' ELSE 'ALLOWED' END AS answer FROM (SELECT ev.u, ev.n, ev.id, ev.t, x.last, CASE WHEN ev.t < x.begun + INTERVAL '4' DAY THEN x.begun END AS begun, CASE WHEN ev.t < x.begun + INTERVAL '4' DAY THEN many ELSE 0 END AS many
       FROM s x JOIN ev ON ev.u = x.u AND ev.n = x.n + 1)))
-  SELECT id, answer FROM s WHERE n > 0""")
+  SELECT id, answer FROM s WHERE n > 0""", recursive=True)
 def rate_limited_sends(callbacks):
     return sequences.rate_limits(callbacks, cooldown=6 * 3600, most=5, window=4 * 86_400)
 

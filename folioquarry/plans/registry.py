@@ -28,11 +28,11 @@ def enow():
     return c.at(EBOOK_NOW)
 
 
-def query(sql: str):
+def query(sql: str, recursive: bool = False):
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*spark_views(spark, sf_dir, *names))
-        SQL[f.__name__] = duckdb_views(*names) + sql
+        SQL[f.__name__] = duckdb_views(*names, recursive=recursive) + sql
         return f
 
     return add
@@ -196,10 +196,10 @@ def payment_callbacks(callbacks, payments):
     return catalog.callback_outcomes(callbacks, payments)
 
 
-@query("SELECT coalesce(m.id, h.member_id) AS id, coalesce('HOLDS ' || CAST(h.n AS VARCHAR), full_name) AS full_name FROM members m FULL JOIN (SELECT member_id, count(*) AS n FROM holds GROUP BY 1) h ON h.member_id = m.id UNION ALL SELECT -id, 'ADDED' FROM members")
+@query("SELECT coalesce(m.id, h.member_id) AS id, coalesce('HOLDS ' || CAST(h.n AS VARCHAR), full_name) AS full_name FROM members m FULL JOIN (SELECT member_id, count(*) AS n FROM holds GROUP BY 1) h ON h.member_id = m.id UNION ALL SELECT -id - 1, 'ADDED' FROM members")
 def member_upsert(members, holds):
     new = holds.groupBy(F.col("member_id").alias("id")).agg(F.concat(F.lit("HOLDS "), F.count("*").cast("string")).alias("full_name"))
-    new = new.unionByName(members.select((-F.col("id")).alias("id"), F.lit("ADDED").alias("full_name")))
+    new = new.unionByName(members.select((-F.col("id") - 1).alias("id"), F.lit("ADDED").alias("full_name")))
     return catalog.merged(members.select("id", "full_name"), new, "id")
 
 

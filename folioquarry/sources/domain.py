@@ -71,12 +71,12 @@ def spark_views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
     return out
 
 
-def duckdb_views(*names: str) -> str:
-    """WITH RECURSIVE members AS (...), ... of the named views, for DuckDB, where the tables have the same names."""
+def duckdb_views(*names: str, recursive: bool = False) -> str:
+    """WITH members AS (...), ... of the named views, for DuckDB, where the tables have the same names."""
     sql = {k: v.replace("{ts}", "timestamp ").replace("{days}", "datediff_days") for k, v in VIEWS.items() if k in names}
     for t in TABLES:
         sql = {k: v.replace("{" + t + "}", t) for k, v in sql.items()}
     days = "datediff_days(greatest(l_shipdate, o_orderdate), o_orderdate + INTERVAL '14' DAY)"
     if "loans" in sql:
         sql["loans"] = sql["loans"].replace(days, "date_diff('day', CAST(o_orderdate + INTERVAL '14' DAY AS DATE), CAST(greatest(l_shipdate, o_orderdate) AS DATE))")
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in sql.items()) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{k} AS ({v})" for k, v in sql.items()) + "\n"

@@ -195,27 +195,29 @@ def verified(events: DataFrame, payments: DataFrame, secret: str) -> DataFrame:
     vnp_PayDate (yyyyMMddHHmmss), null if it can't be read."""
     get = lambda k: F.try_element_at("params", F.lit(k))
     signed = F.map_filter("params", lambda k, v: k.startswith("vnp_") & ~k.isin("vnp_SecureHash", "vnp_SecureHashType"))
-    p = payments.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("_code"), F.col("amount").alias("_amount"))
-    j = events.join(p, get("vnp_TxnRef") == F.col("_code"), "left")
     valid = F.lower(signature(secret)(signed)) == F.lower(get("vnp_SecureHash"))
     paid = F.try_to_number(get("vnp_Amount"), F.lit("999999999999999")).cast("long")
-    amount = F.floor(paid / 100) == F.col("_amount")
     success = (get("vnp_ResponseCode") == "00") & (get("vnp_TransactionStatus") == "00")
     paid_at = F.expr("try_to_timestamp(params['vnp_PayDate'], 'yyyyMMddHHmmss')").cast("timestamp_ntz").alias("paid_at")
-    flags = ((valid, "signature_valid"), (amount, "amount_matches"), (success, "provider_success"))
-    return j.select("id", "payment_id", "received_at", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in flags), paid_at)
+    flags = ((valid, "signature_valid"), (success, "provider_success"))
+    e = events.select("id", "received_at", get("vnp_TxnRef").alias("_ref"), F.floor(paid / 100).alias("_paid"), *(F.coalesce(c, F.lit(False)).alias(n) for c, n in flags), paid_at)
+    p = payments.select(F.col("id").alias("payment_id"), F.col("payment_code").alias("_code"), F.col("amount").alias("_amount"))
+    j = e.join(p, F.col("_ref") == F.col("_code"), "left")  # parameters are read before, so that they don't move
+    amount = F.coalesce(F.col("_paid") == F.col("_amount"), F.lit(False)).alias("amount_matches")
+    return j.select("id", "payment_id", "received_at", "signature_valid", amount, "provider_success", "paid_at")
 
 
-def callback_outcomes(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
+def callback_outcomes(callbacks: DataFrame, payments: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """What each callback does, as if they were handled one after another: bad ones fail, the first good one of a pending
-    payment decides it, later ones are ignored."""
+    payment decides it, later ones are ignored. `kept` columns of the callbacks stay beside it."""
     p = payments.select(F.col("id").alias("payment_id"), F.col("status").alias("_state"))
-    j = callbacks.join(p, "payment_id", "left")
+    c = callbacks.select("id", "payment_id", "received_at", "signature_valid", "amount_matches", "provider_success", *kept)
+    j = c.join(p, "payment_id", "left")
     bad = F.when(~F.coalesce("signature_valid", F.lit(False)), "BAD_SIGNATURE").when(F.col("_state").isNull(), "UNKNOWN_PAYMENT").when(~F.coalesce("amount_matches", F.lit(False)), "AMOUNT_MISMATCH")
     j = j.withColumn("_bad", bad)
     n = F.sum(F.col("_bad").isNull().cast("int")).over(Window.partitionBy("payment_id").orderBy("received_at", "id").rowsBetween(Window.unboundedPreceding, 0))
     good = F.when((F.col("_state") != "PENDING") | (n > 1), "IGNORED").when(F.col("provider_success"), "SUCCESS").otherwise("FAILED")
-    return j.select("id", "payment_id", F.coalesce("_bad", good).alias("outcome"))
+    return j.select("id", "payment_id", F.coalesce("_bad", good).alias("outcome"), *kept)
 
 
 MESSAGES = {  # fixed texts, kept with a payment

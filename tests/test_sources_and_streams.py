@@ -102,6 +102,10 @@ def test_callbacks_from_parameters(spark):
     hashed = events.withColumn("params", F.map_concat("params", F.create_map(F.lit("vnp_SecureHash"), F.upper(signature("s")(F.map_filter("params", lambda k, v: k.startswith("vnp_")))))))
     assert {r.id: r.outcome for r in callback_outcomes(verified(hashed, payments, "s"), payments).collect()} == {1: "SUCCESS", 2: "IGNORED", 3: "AMOUNT_MISMATCH", 4: "FAILED", 5: "UNKNOWN_PAYMENT", 6: "AMOUNT_MISMATCH"}
     assert {r.outcome for r in callback_outcomes(verified(events, payments, "s"), payments).collect()} == {"BAD_SIGNATURE"}
+    both = callback_outcomes(verified(hashed, payments, "s"), payments, ("paid_at",))
+    assert {r.id: (r.outcome, r.paid_at) for r in both.collect()}[4] == ("FAILED", None)
+    plan = callback_outcomes(verified(events, payments, "s"), payments, ("paid_at",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sign(") == 1 and plan.index("sign(") > plan.rindex("Join")  # signed once, below the joins
 
 
 def stream(spark, df, tmp_path, f, name):

@@ -193,3 +193,14 @@ def test_nulls_empty_tables_repeats_and_clashing_columns(spark, desk):
 def test_views_bind(spark):
     for df in spark_views(spark, "/root/testdata/sf0.001", "authors", "book_authors", "categories", "copies", "book_ebooks", "requests", "images"):
         assert df.count() > 0
+
+
+def test_returns_are_dealt_out_by_book_once(spark, desk):
+    """Ranks and the queue meet without a join of their own, and rows that free no copy have no partition in common."""
+    back = spark.sql("SELECT * FROM VALUES (1L, 'x', TIMESTAMP_NTZ '2024-01-15', 'GOOD'), (2L, NULL, NULL, NULL) AS r(id, barcode, returned_at, condition)")
+    plan = lending.check_in(back, desk.copies, desk.loans, desk.holds, desk.configs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_place" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    rows = spark.sql("SELECT * FROM VALUES (1L, 7L, true), (2L, 7L, true), (3L, 7L, true), (4L, 7L, false), (5L, NULL, true), (6L, 8L, true) AS r(id, book, frees)")
+    waiting = spark.sql("SELECT * FROM VALUES (7L, 71L, 1), (7L, 72L, 2), (9L, 91L, 1), (CAST(NULL AS LONG), 11L, 1) AS q(_queue_book, _next, _place)")
+    got = lending.with_next(rows.repartition(4), F.col("frees"), "book", ["id"], waiting)
+    assert {r.id: r._next for r in got.collect()} == {1: 71, 2: 72, 3: None, 4: None, 5: None, 6: None}

@@ -204,3 +204,10 @@ def test_returns_are_dealt_out_by_book_once(spark, desk):
     waiting = spark.sql("SELECT * FROM VALUES (7L, 71L, 1), (7L, 72L, 2), (9L, 91L, 1), (CAST(NULL AS LONG), 11L, 1) AS q(_queue_book, _next, _place)")
     got = lending.with_next(rows.repartition(4), F.col("frees"), "book", ["id"], waiting)
     assert {r.id: r._next for r in got.collect()} == {1: 71, 2: 72, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_only_renewable_loans_meet_the_holds(spark, desk):
+    """A loan's book goes to the join with holds alone, and not with its requests."""
+    ask = desk.loans.select("id", F.col("id").alias("loan_id"), F.col("member_id").alias("actor_id"), F.lit(False).alias("staff"))
+    plan = lending.manual_renewals(ask, desk.loans, desk.members, desk.ebooks, desk.holds, NOW, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert [("LeftSemi" in line) for line in plan.splitlines() if "Join" in line and "_held_book" in line] == [True]

@@ -34,17 +34,17 @@ def earlier_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     """df, as in_ranges() gives it, with a column for each of `sums`: over the rows of its keys that come before; 0 for none.
     Null keys are keys like others."""
     by = [F.asc_nulls_last(c) for c in order]
-    within = Window.partitionBy(*keys, "_range").orderBy(*by).rowsBetween(FIRST, -1)
-    totals = df.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    rows = df.withColumns({f"_own_{n}": c for n, c in sums.items()} | {"_mark": F.lit(1)})
+    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(f"_own_{n}").alias(f"_own_{n}") for n in sums])
     ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(FIRST, -1)  # a row a range
-    before = totals.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_at"), *[F.sum(f"_all_{n}").over(ranges).alias(f"_all_{n}") for n in sums],
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_range") == F.col("_at"))
-    here = df.withColumns({f"_own_{n}": F.sum(c).over(within) for n, c in sums.items()})
-    both = here.join(before, on)
+    before = totals.select(*keys, "_range", F.lit(0).alias("_mark"), *[F.sum(f"_own_{n}").over(ranges).alias(f"_own_{n}") for n in sums])
+    # What came before a range stands as its key's first row there: rows move once, and there is no join.
+    within = Window.partitionBy(*keys, "_range").orderBy("_mark", *by).rowsBetween(FIRST, -1)
+    both = rows.unionByName(before, allowMissingColumns=True)
     zero = F.lit(0).cast("long")
-    return both.select(*df.columns, *[(F.coalesce(f"_own_{n}", zero) + F.coalesce(f"_all_{n}", zero)).alias(n) for n in sums])
+    return both.select(*df.columns, "_mark", *[F.coalesce(F.sum(f"_own_{n}").over(within), zero).alias(f"_sum_{n}") for n in sums]).where("_mark = 1").select(
+        *df.columns, *[F.col(f"_sum_{n}").alias(n) for n in sums],
+    )
 
 
 def nearest(probes: DataFrame, points: DataFrame, keys: list[str], value: str, forward: bool = False, inclusive: bool = True) -> DataFrame:

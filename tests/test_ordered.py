@@ -182,3 +182,11 @@ def test_versions_switch_at_once(spark, tmp_path):
         return {"a": t[0].union(spark.range(1))}
 
     assert tables.change(slow, "a") == 3 and sorted(r.id for r in tables.read("a")[0].collect()) == [0, 100]
+
+
+def test_earlier_sums_move_rows_once(spark):
+    """A wide row meets its key's earlier ranges without a join, which would deal it out again; null keys are keys."""
+    df = spark.sql("SELECT * FROM VALUES (CAST(NULL AS LONG), 1L, 4L), (NULL, 2L, 5L), (7L, 1L, 1L), (7L, 3L, 2L), (7L, 9L, 3L) AS t(key, t, v)")
+    sums = earlier_sums(in_ranges(df.repartition(3), "t"), ["key"], ["t"], {"s": F.col("v")})
+    assert {(r.key, r.t): r.s for r in sums.collect()} == {(None, 1): 0, (None, 2): 4, (7, 1): 0, (7, 3): 1, (7, 9): 3}
+    assert "Join" not in sums._jdf.queryExecution().optimizedPlan().toString()

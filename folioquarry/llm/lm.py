@@ -33,6 +33,7 @@ SHARD = 1 << 21  # ids of training rows that one copy of the model is trained on
 FINE = 1 << 20  # averages are sums of whole numbers, so that they don't depend on the order of summing
 WINDOW = CONTEXT + STRIDE
 PAD = CLASSES
+SLOT_BITS = 21  # of a word's hash, by which the broadcast words are found
 END_WORD = np.uint64(0x5BD1E9955BD1E995)  # stands for the end among word hashes
 SHAPES = [("E", (CLASSES + 1, DIM)), ("P", (WINDOW, DIM)), ("Q", (DIM, DIM)), ("K", (DIM, DIM)), ("V", (DIM, DIM)), ("O", (DIM, DIM)), ("W", (DIM, CLASSES)), ("b", (CLASSES,))]
 
@@ -164,10 +165,12 @@ def grown(counts: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndar
 def branches(tree: tuple, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in ids, node, side) of each branch on the way to each id."""
     first, node, way, _ = tree
-    n = first[ids + 1] - first[ids]
+    start = first.take(ids)
+    n = first.take(ids + 1) - start
     of = np.repeat(np.arange(len(ids)), n)
-    entry = np.arange(len(of)) + (first[ids] - np.cumsum(n) + n)[of]
-    return of, node[entry], way[entry]
+    entry = np.repeat(start - np.cumsum(n) + n, n)
+    entry += np.arange(len(of))
+    return of, node.take(entry), way.take(entry)
 
 
 def within_class(u: np.ndarray, h: np.ndarray, of: np.ndarray, node: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,12 +182,23 @@ def within_class(u: np.ndarray, h: np.ndarray, of: np.ndarray, node: np.ndarray,
     return -np.log1p(e), np.concatenate([d * hs, d], 1), d * us[:, :DIM]
 
 
-def summed_rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct places, the sum of g at each, how often it stands there)."""
-    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")  # 16 bits: a radix sort
-    a = at.take(order)
-    first = np.flatnonzero(np.diff(a, prepend=-1))
-    return a[first], np.add.reduceat(g.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(a)))
+def summed_at(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of g at each of `size` places; numpy sums a column at a time faster than short rows."""
+    out = np.empty((size, g.shape[1]), np.float32)
+    for k, column in enumerate(g.T.astype(float, order="C")):
+        out[:, k] = np.bincount(at, column, size)
+    return out
+
+
+def summed_rows(at: np.ndarray, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct places, below size, the sum of g at each, how often it stands there)."""
+    each = np.arange(len(at))
+    last = np.empty(size, np.int64)
+    last[at] = each
+    rows = at[last.take(at) == each]
+    last[rows] = np.arange(len(rows))
+    rank = last.take(at)
+    return rows, summed_at(rank, g, len(rows)), np.bincount(rank, minlength=len(rows))
 
 
 def learned(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, class_of: np.ndarray, tree: tuple) -> tuple[dict[str, np.ndarray], list[tuple[str, np.ndarray, np.ndarray]], int]:
@@ -194,40 +208,40 @@ def learned(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, class_o
     stay unnormalised, and their sums are divided out of what has DIM columns."""
     n, t = len(x), target.ravel()
     live = np.flatnonzero(t >= 0)
-    t, total = t[live], np.float32(max(len(live), 1))
+    total, root = np.float32(max(len(live), 1)), np.float32(DIM**0.5)
     ids = x.ravel()
-    x3 = p["E"].take(ids, axis=0).reshape(n, WINDOW, DIM) + p["P"]
+    x3 = p["E"].take(ids, axis=0).reshape(n, WINDOW, DIM)
+    x3 += p["P"]
     flat, top = x3.reshape(-1, DIM), x3[:, CONTEXT:].reshape(-1, DIM)
-    query = p["Q"] / np.float32(DIM**0.5)
+    query = p["Q"] / root
     q, k, v = ((m @ w).reshape(n, -1, DIM) for m, w in ((top, query), (flat, p["K"]), (flat, p["V"])))
-    e = q @ k.transpose(0, 2, 1)
-    np.clip(e, -60, 60, out=e)
-    np.exp(e, out=e)
-    e *= OPEN
+    e = attention(q, k)
     over = 1 / (e @ np.ones(WINDOW, np.float32))[..., None]
     mixed = ((e @ v) * over).reshape(-1, DIM)
-    h = np.tanh(mixed @ p["O"] + top)
-    z = h @ p["W"]
-    z += p["b"]
-    np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    weight = np.zeros(len(z), np.float32)
-    weight[live] = 1 / total
-    z *= (weight / (z @ ONES))[:, None]
-    z[live, class_of[t]] -= 1 / total
-    g = {"W": h.T @ z, "b": np.ones(len(z), np.float32) @ z}
+    h1 = np.ones((len(top), DIM + 1), np.float32)
+    h = np.tanh(mixed @ p["O"] + top, out=h1[:, :DIM])
+    z = class_weights(p, h1)
+    sums = z @ ONES
+    weight = (t >= 0) / (total * sums)  # a row without a target weighs nothing
+    own = class_of.take(np.maximum(t, 0))
     dh = z @ p["W"].T
-    of, node, way = branches(tree, t)
+    dh *= weight[:, None]
+    dh -= p["W"].T.take(own, axis=0) * ((t >= 0) / total)[:, None]
+    z.ravel()[np.arange(0, z.size, CLASSES) + own] -= sums
+    by = z.T @ (h1 * weight[:, None])
+    g = {"W": by[:, :DIM].T, "b": by[:, DIM]}
+    of, node, way = branches(tree, t[live])
     changes = []
     if len(of):
-        hs, us = h.take(live[of], axis=0), p["U"].take(node, axis=0)
-        d = -way / (1 + np.exp(np.clip(way * (np.einsum("ij,ij->i", hs, us[:, :DIM]) + us[:, DIM]), -60, 60)))
-        du = np.empty_like(us)
-        np.multiply(d[:, None], hs, out=du[:, :DIM])
-        du[:, DIM] = d
-        first = np.flatnonzero(np.diff(of, prepend=-1))  # of ascends
-        dh[live[of[first]]] += np.add.reduceat(d[:, None] * us[:, :DIM], first, axis=0) / total
-        changes.append(("U", node, du))
+        at = live.take(of)
+        hs, us = h1.take(at, axis=0), p["U"].take(node, axis=0)
+        s = np.einsum("ij,ij->i", hs, us)
+        s *= way
+        d = -way / (1 + np.exp(np.clip(s, -60, 60, out=s)))
+        hs *= d[:, None]
+        us *= (d / total)[:, None]
+        dh += summed_at(at, us[:, :DIM], len(dh))
+        changes.append(("U", node, hs))
     ds = dh * (1 - h * h)
     g["O"] = mixed.T @ ds
     dm = ds @ p["O"].T
@@ -238,34 +252,60 @@ def learned(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, class_o
     da -= both
     da *= e
     dq, dk = (da @ k).reshape(-1, DIM), (da.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-    g["Q"] = top.T @ dq / np.float32(DIM**0.5)
+    g["Q"] = top.T @ dq / root
     g["K"], g["V"] = flat.T @ dk, flat.T @ dv
-    dx = (dk @ p["K"].T + dv @ p["V"].T).reshape(n, WINDOW, DIM)
+    dx = dk @ p["K"].T
+    dx += dv @ p["V"].T
+    dx = dx.reshape(n, WINDOW, DIM)
     dx[:, CONTEXT:] += (ds + dq @ query.T).reshape(n, STRIDE, DIM)
-    g["P"] = dx.sum(0)
-    changes.append(("E", ids, dx.reshape(-1, DIM) * total))
+    g["P"] = (np.ones(n, np.float32) @ dx.reshape(n, -1)).reshape(WINDOW, DIM)
+    dx *= total
+    changes.append(("E", ids, dx.reshape(-1, DIM)))
     return g, changes, len(live)
 
 
+def attention(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """exp of the products, 0 where a place comes later. Exponents end at 60, which they seldom reach."""
+    e = q @ k.transpose(0, 2, 1)
+    if max(e.max(initial=0), -e.min(initial=0)) > 60:
+        np.clip(e, -60, 60, out=e)
+    np.exp(e, out=e)
+    e *= OPEN
+    return e
+
+
+def class_weights(p: dict[str, np.ndarray], h1: np.ndarray) -> np.ndarray:
+    """P(class) but for a factor a row. h1: h, which lies in -1 to 1, and a column of ones. Exponents end at 60; as h is
+    bounded, the weights say whether any can be over it."""
+    z = h1 @ np.concatenate([p["W"], p["b"][None]])
+    if (np.abs(p["W"]).sum(0) + p["b"]).max() > 60:
+        np.minimum(z, 60, out=z)
+    return np.exp(z, out=z)
+
+
 def train(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, tree: tuple, often: dict[str, np.ndarray]) -> int:
     """Adam on p, but Adagrad on the rows of E and U, of which a batch has few; the number of targets seen.
 
     often: what counts how often each row of E and U was trained."""
     dense = [k for k, _ in SHAPES if k != "E"]
-    m1, m2, t, seen = {k: np.zeros_like(p[k]) for k in dense}, {k: np.zeros_like(p[k]) for k in dense}, 0, 0
+    flat = np.concatenate([p[k].ravel() for k in dense])
+    cuts = np.cumsum([p[k].size for k in dense])[:-1]
+    p.update((k, part.reshape(p[k].shape)) for k, part in zip(dense, np.split(flat, cuts), strict=True))  # views of flat
+    m1, m2, t, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
     squares = {k: np.ones_like(p[k]) for k in "EU"}
     for x, target in batches:
         g, changes, n = learned(p, x, target, class_of, tree)
         t += 1
         seen += n
-        for k in dense:
-            m1[k] = 0.9 * m1[k] + 0.1 * g[k]
-            m2[k] = 0.99 * m2[k] + 0.01 * g[k] * g[k]
-            p[k] -= np.float32(RATE) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)
+        step = np.concatenate([g[k].ravel() for k in dense])
+        m1 += 0.1 * (step - m1)
+        m2 += 0.01 * (step * step - m2)
+        flat -= np.float32(RATE / (1 - 0.9**t)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**t)) + np.float32(1e-8))
         for k, at, d in changes:
-            rows, sums, n = summed_rows(at, d)
-            squares[k][rows] += sums * sums
-            p[k][rows] -= np.float32(ROW_RATE) * sums / np.sqrt(squares[k][rows])
+            rows, sums, n = summed_rows(at, d, len(p[k]))
+            now = squares[k].take(rows, axis=0) + sums * sums
+            squares[k][rows] = now
+            p[k][rows] -= np.float32(ROW_RATE) * sums / np.sqrt(now)
             often[k][rows] += n
     return seen
 
@@ -284,20 +324,17 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def target_logs(p: dict[str, np.ndarray], x_class: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What forward() says of the targets' classes, and its h, with fewer passes over what doesn't fit a cache."""
     n = len(x_class)
-    x = p["E"].take(x_class.ravel(), axis=0).reshape(n, WINDOW, DIM) + p["P"]
-    rows, top = x.reshape(-1, DIM), x[:, CONTEXT:]
-    a = (top @ (p["Q"] / np.float32(DIM**0.5))) @ (rows @ p["K"]).reshape(n, WINDOW, DIM).transpose(0, 2, 1)
-    np.clip(a, -60, 60, out=a)
-    np.exp(a, out=a)
-    a *= OPEN
-    mixed = (a @ (rows @ p["V"]).reshape(n, WINDOW, DIM)) / (a @ np.ones(WINDOW, np.float32))[..., None]
-    flat = np.tanh(mixed.reshape(-1, DIM) @ p["O"] + top.reshape(-1, DIM))
-    z = flat @ p["W"]
-    z += p["b"]
-    np.minimum(z, 60, out=z)
-    own = z[np.arange(len(flat)), target.ravel()]
-    np.exp(z, out=z)
-    return (own - np.log(z @ ONES)).reshape(target.shape), flat
+    x = p["E"].take(x_class.ravel(), axis=0).reshape(n, WINDOW, DIM)
+    x += p["P"]
+    rows, top = x.reshape(-1, DIM), x[:, CONTEXT:].reshape(-1, DIM)
+    q, k, v = ((m @ w).reshape(n, -1, DIM) for m, w in ((top, p["Q"] / np.float32(DIM**0.5)), (rows, p["K"]), (rows, p["V"])))
+    a = attention(q, k)
+    mixed = (a @ v) / (a @ np.ones(WINDOW, np.float32))[..., None]
+    h1 = np.ones((len(top), DIM + 1), np.float32)
+    h = np.tanh(mixed.reshape(-1, DIM) @ p["O"] + top, out=h1[:, :DIM])
+    t = target.ravel()
+    own = np.minimum(np.einsum("ij,ij->i", h, p["W"].T.take(t, axis=0)) + p["b"].take(t), 60)
+    return (own - np.log(class_weights(p, h1) @ ONES)).reshape(target.shape), h
 
 
 OPEN = (MASK == 0).astype(np.float32)
@@ -316,17 +353,21 @@ def log_scores(p: dict[str, np.ndarray], rows: list[np.ndarray], class_of: np.nd
     target = np.concatenate([*(m[1] for m in made), np.full((-count % 256, STRIDE), -1)])
     out = np.empty(len(x))
     for a in range(0, len(x), 256):
-        t = target[a : a + 256]
-        t0 = np.maximum(t, 0)
-        own, h = target_logs(p, x[a : a + 256], class_of[t0])
+        t = target[a : a + 256].ravel()
+        live = np.flatnonzero(t >= 0)
+        ids, row = t[live], live // STRIDE
+        own, h = target_logs(p, x[a : a + 256], class_of.take(np.maximum(t, 0)))
+        logs = np.bincount(row, own.take(live), 256)
         if tree is None:
-            each = own / np.log(10) + within[t0]
+            logs += np.bincount(row, within.take(ids), 256) * np.log(10)
         else:
-            of, node, way = branches(tree, t0.ravel())
+            of, node, way = branches(tree, ids)
             us = p["U"].take(node, axis=0)
-            s = np.clip(way * (np.einsum("ij,ij->i", h.take(of, axis=0), us[:, :DIM]) + us[:, DIM]), -60, 60)
-            each = (own - np.bincount(of, np.log1p(np.exp(-s)), t.size).reshape(t.shape)) / np.log(10)
-        out[a : a + 256] = np.where(t >= 0, each, 0).sum(1)
+            s = np.einsum("ij,ij->i", h.take(live.take(of), axis=0), us[:, :DIM])
+            s += us[:, DIM]
+            s *= -way
+            logs -= np.bincount(row.take(of), np.log(1 + np.exp(np.clip(s, -60, 60, out=s), out=s)), 256)
+        out[a : a + 256] = logs / np.log(10)
     cuts = np.cumsum([0, *(len(m[0]) for m in made)])
     return [float(out[a:b].sum()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
@@ -340,6 +381,27 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return u, np.bincount(inverse, c, len(u)).astype(np.int64)
 
 
+def first_places(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For the first SLOT_BITS bits of a hash the place in table of the hash with the largest value that has them, else -1."""
+    out = np.full(1 << SLOT_BITS, -1, np.int32)
+    order = np.argsort(values, kind="stable")
+    out[(table >> np.uint64(64 - SLOT_BITS)).astype(np.int64)[order]] = order  # of equal ones, the last stays
+    return out
+
+
+def looked_up(table: np.ndarray, slots: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in table, which ascends, of each word; whether it is there). slots: from first_places(); only a word that isn't
+    its slot's is looked for in the table."""
+    at = slots.take((word >> np.uint64(64 - SLOT_BITS)).astype(np.int64)).astype(np.int64)
+    hit = np.zeros(len(word), bool)
+    some = np.flatnonzero(at >= 0)
+    hit[some] = table.take(at.take(some)) == word.take(some)
+    rest = some[~hit.take(some)]
+    at[rest] = np.minimum(np.searchsorted(table, word.take(rest)), max(len(table) - 1, 0))
+    hit[rest] = table.take(at.take(rest)) == word.take(rest) if len(rest) else False
+    return at, hit
+
+
 def scored(docs: DataFrame, path: str, end_id: int = 50257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -398,13 +460,13 @@ def scored(docs: DataFrame, path: str, end_id: int = 50257, id_col: str = "doc_i
         the join spreads these rows too); and a row for each of its other words."""
         table, values = frequent.value
         logs = np.log10(values + 1.0)
+        slots = first_places(table, values)
         for batch in batches:
             for lo, hi, data, offsets in views(batch.column(1)):
                 word, _, first = words(data, offsets)
                 of = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo)])
                 word = np.concatenate([word, np.full(hi - lo, END_WORD)])
-                at = np.minimum(np.searchsorted(table, word), max(len(table) - 1, 0))
-                hit = table[at] == word if len(table) else np.zeros(len(word), bool)
+                at, hit = looked_up(table, slots, word)
                 sums = np.bincount(of[hit], logs[at[hit]], hi - lo) if hit.any() else np.zeros(hi - lo)
                 n_known = np.bincount(of[hit], minlength=hi - lo)
                 pair = np.stack([of[~hit], word[~hit].view(np.int64)])

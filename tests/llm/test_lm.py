@@ -190,3 +190,46 @@ def test_long_words_alike_under_a_polynomial_are_told_apart(spark):
     rows = [(k, a) for k in range(4)] + [(k, b) for k in range(100, 140) if zlib.crc32(str(k).encode()) % 7 == 2]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(got(df), key=str) == sorted(brute(rows), key=str)
+
+
+def test_exponents_end_at_sixty_only_where_weights_reach_it():
+    """The step leaves the clipping of scores and classes out where no exponent can be over 60, and keeps it elsewhere."""
+    rng, p, class_of, within, tree = small()
+    p["b"] = np.where(p["b"] < -1e6, -1e9, p["b"]).astype(np.float32)
+    for more in ({"Q": 1}, {"Q": 60}, {"W": 60}, {"Q": 60, "W": 60}):
+        big = dict(p, **{k: p[k] * np.float32(n) for k, n in more.items()})
+        x, t = rng.integers(0, 301, (5, lm.WINDOW)), rng.integers(0, 300, (5, lm.STRIDE))
+        logp, kept = lm.forward(big, x)
+        own, h = lm.target_logs(big, x, class_of[t])
+        want = np.take_along_axis(logp, class_of[t][..., None], 2)[..., 0]
+        assert np.allclose(h, kept[-1].reshape(-1, lm.DIM), atol=1e-3) and np.allclose(own, want, rtol=1e-3, atol=2e-2)
+        g, _, _ = lm.learned(big, x, t, class_of, tree)
+        assert all(np.isfinite(v).all() for v in g.values())
+    top = np.full((1, lm.DIM + 1), 1, np.float32)
+    assert lm.class_weights(dict(p, W=p["W"] * 0 + 10), top).max() <= np.exp(np.float32(60)) * 1.001
+
+
+def test_rows_are_summed_by_place():
+    rng = np.random.default_rng(6)
+    for n, size in ((0, 5), (1, 1), (500, 40), (500, 100_000)):
+        at, g = rng.integers(0, size, n), rng.standard_normal((n, 9)).astype(np.float32)
+        rows, sums, often = lm.summed_rows(at, g, size)
+        want, count = np.zeros((size, 9)), np.bincount(at, minlength=size)
+        np.add.at(want, at, g)
+        assert sorted(rows.tolist()) == np.flatnonzero(count).tolist()
+        assert np.allclose(sums, want[rows], atol=1e-4) and (often == count[rows]).all()
+
+
+def test_words_that_share_a_slot_are_told_apart():
+    rng = np.random.default_rng(8)
+    shared = np.uint64(77) << np.uint64(64 - lm.SLOT_BITS)
+    table = np.unique(np.concatenate([shared + np.arange(5, dtype=np.uint64), rng.integers(0, 1 << 64, 3000, np.uint64)]))
+    absent = np.concatenate([shared + np.arange(5, 9, dtype=np.uint64), rng.integers(0, 1 << 64, 3000, np.uint64)])
+    absent = absent[~np.isin(absent, table)]
+    values = rng.integers(1, 10, len(table))
+    word = rng.permutation(np.concatenate([table, table, absent]))
+    at, hit = lm.looked_up(table, lm.first_places(table, values), word)
+    assert (hit == np.isin(word, table)).all() and (table[at[hit]] == word[hit]).all() and hit.sum() == 2 * len(table)
+    none = np.zeros(0, np.uint64)
+    for t, w in ((none, word), (table, none), (none, none)):
+        assert not lm.looked_up(t, lm.first_places(t, np.zeros(len(t))), w)[1].any()
